@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from . import patterns as P
 from .hashing import MaskKey, hex_byte, hex_word, hmac_hex
+from .expr import let
 from .text import MARK_CLOSE, MARK_OPEN, clean_value, normalize
 
 # Our own invented name and word lists (not tied to any library's data).
@@ -90,19 +91,23 @@ def _letter(h: Column, k: int) -> Column:
     return F.substr(F.lit(LETTERS), (hex_byte(h, k) % 26) + 1, F.lit(1))
 
 
-def _check_digit(digits: list[Column], first_weight: int) -> Column:
-    total = sum((d.cast("int") * (first_weight - i) for i, d in enumerate(digits)), F.lit(0))
-    r = total % 11
-    return F.when(r < 2, F.lit(0)).otherwise(11 - r).cast("string")
+def _check_digit(total: Column) -> Column:
+    """mod-11 check digit: 0 when the remainder is 0 or 1, else 11 - r."""
+    return ((F.lit(11) - total % 11) % 11) % 10
 
 
 def fake_cpf(h: Column) -> Column:
-    """M7: formatted CPF with valid check digits."""
-    d = [_digit(h, k) for k in range(9)]
-    c1 = _check_digit(d, 10)
-    c2 = _check_digit(d + [c1], 11)
-    return F.concat(d[0], d[1], d[2], F.lit("."), d[3], d[4], d[5], F.lit("."),
-                    d[6], d[7], d[8], F.lit("-"), c1, c2)
+    """M7: formatted CPF with valid check digits (digits bound once)."""
+    def fmt(d: Column) -> Column:
+        e = [F.element_at(d, k + 1) for k in range(9)]
+        s1 = sum((e[i] * (10 - i) for i in range(9)), F.lit(0))
+        c1 = _check_digit(s1)
+        s2 = sum((e[i] * (11 - i) for i in range(9)), F.lit(0)) + c1 * 2
+        c2 = _check_digit(s2)
+        txt = [x.cast("string") for x in e]
+        return F.concat(txt[0], txt[1], txt[2], F.lit("."), txt[3], txt[4], txt[5], F.lit("."),
+                        txt[6], txt[7], txt[8], F.lit("-"), c1.cast("string"), c2.cast("string"))
+    return let(F.array(*[hex_byte(h, k) % 10 for k in range(9)]), fmt)
 
 
 def fake_rg(h: Column) -> Column:
@@ -181,24 +186,32 @@ def jitter_coords(value: Column, h: Column) -> Column:
         moved = (x + (micro.cast("decimal(12,0)") / F.lit(1000000))).cast("decimal(12,6)")
         return F.when(i == 0, p).otherwise(F.concat(moved.cast("string"), tail))
 
-    # a value that already holds a mark is jittered number by number anyway:
-    # marks are swapped out first so the split stays exact
     return F.array_join(F.transform(parts, jit), "")
 
 
 def surrogate_for(tag: str, value: Column, key: MaskKey, cleaned: bool = False) -> Column:
-    """Surrogate of ``value`` for a tag known when the plan is built."""
+    """Surrogate of ``value`` for a tag known when the plan is built.
+
+    The cleaned value and its digest are bound once (``let``): each fake
+    reads many digest bytes, and an inlined digest would be recomputed for
+    every one of them.
+    """
     fam = family(tag)
-    v = value if cleaned else clean_value(value)
-    h = digest(v, fam, key, cleaned=True)
-    if fam == "COORD":
-        return jitter_coords(v, h)
-    if fam == "PER":
-        return fake_person(h, canonical(normalize(v), "PER"))
-    return {
-        "CPF": fake_cpf, "RG": fake_rg, "PLATE": fake_plate, "EMAIL": fake_email,
-        "PHONE": fake_phone, "IP": fake_ipv4, "CHASSI": fake_vin,
-    }.get(fam, fake_word)(h)
+    v0 = value if cleaned else clean_value(value)
+
+    def with_value(v: Column) -> Column:
+        def with_digest(h: Column) -> Column:
+            if fam == "COORD":
+                return jitter_coords(v, h)
+            if fam == "PER":
+                return fake_person(h, canonical(normalize(v), "PER"))
+            return {
+                "CPF": fake_cpf, "RG": fake_rg, "PLATE": fake_plate, "EMAIL": fake_email,
+                "PHONE": fake_phone, "IP": fake_ipv4, "CHASSI": fake_vin,
+            }.get(fam, fake_word)(h)
+        return let(digest(v, fam, key, cleaned=True), with_digest)
+
+    return let(v0, with_value)
 
 
 def surrogate_any(tag: Column, value: Column, key: MaskKey, tags: list[str]) -> Column:

@@ -17,11 +17,11 @@ from . import patterns as P
 
 # Private-use marks.  They are stripped from (or swapped in) the input before
 # any of them is used as a sentinel, so user text can never forge one.
-MARK_OPEN = ""
-MARK_CLOSE = ""
-MARK_TAG = ""
-MARK_SAFE = ""            # stands in for a mark found in the input
-MARKS_CLASS = "[-]"
+MARK_OPEN = "\ue000"
+MARK_CLOSE = "\ue001"
+MARK_TAG = "\ue002"
+MARK_SAFE = "\ue00f"            # stands in for a mark found in the input
+MARKS_CLASS = "[\ue000-\ue002]"
 
 
 def py_strip(c: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import patterns as P
+from ..functions.expr import let
 from ..functions.hashing import MaskKey
 from ..functions.surrogates import MASKABLE_TYPES, surrogate_any, surrogate_for
 from ..functions.text import is_blank
@@ -82,9 +83,7 @@ class MaskRules:
         return cls(**off)
 
 
-def _let(value: Column, fn) -> Column:
-    """Bind ``value`` once and use it several times in ``fn``."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
+_let = let
 
 
 def detect_spans(text: Column, rules: MaskRules, approved_terms: Column | None = None) -> Column:

@@ -30,7 +30,7 @@ SPANS = T.ArrayType(SPAN)
 SPAN_FAKE = T.StructType(SPAN.fields + [T.StructField("fake", T.StringType())])
 SPANS_FAKE = T.ArrayType(SPAN_FAKE)
 
-_ESC = {MARK_SAFE: "", MARK_OPEN: "", MARK_CLOSE: "", MARK_TAG: ""}
+_ESC = {MARK_SAFE: "\ue010", MARK_OPEN: "\ue011", MARK_CLOSE: "\ue012", MARK_TAG: "\ue013"}
 _ANY_MARK = "[" + MARK_OPEN + "-" + MARK_SAFE + "]"
 
 
