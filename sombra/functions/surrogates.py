@@ -216,6 +216,8 @@ def surrogate_for(tag: str, value: Column, key: MaskKey, cleaned: bool = False)
 
 def surrogate_any(tag: Column, value: Column, key: MaskKey, tags: list[str]) -> Column:
     """Surrogate for a tag known only per row (spans in free text)."""
+    if not tags:
+        return surrogate_for("WORD", value, key)
     out = None
     for t in tags:
         branch = surrogate_for(t, value, key)

@@ -30,8 +30,8 @@ def py_strip(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    """Null or only whitespace."""
-    return c.isNull() | (py_strip(c) == F.lit(""))
+    """Null or only whitespace (P7).  Stops at the first non-space character."""
+    return c.isNull() | ~c.rlike(r"(?U)\S")
 
 
 def word_count(c: Column) -> Column:

@@ -78,6 +78,15 @@ def moving_speed(log: DataFrame, partition: str | None, order: list[str], speed:
     return log.withColumn(f"speed_{window}", F.avg(speed).over(w))
 
 
+def moving_window(log: DataFrame, partition: str | None, order: list[str], value: str,
+                  window: int = 30) -> DataFrame:
+    """W1 parts: sum and count over the last ``window`` rows (mean = sum / n)."""
+    w = Window.orderBy(*order) if partition is None else Window.partitionBy(partition).orderBy(*order)
+    w = w.rowsBetween(-(window - 1), 0)
+    return log.withColumn(f"sum_{window}", F.sum(value).over(w)) \
+              .withColumn(f"n_{window}", F.count(F.lit(1)).over(w))
+
+
 def eta(remaining: Column, speed: Column) -> Column:
     """``h:m:s`` left at ``speed`` rows/s (null when speed is 0)."""
     secs = F.when(speed > 0, F.floor(remaining / speed)).cast("bigint")

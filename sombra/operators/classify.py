@@ -64,60 +64,64 @@ def _hash_prefix(h: Column) -> Column:
     return F.conv(F.substring(h, 1, HASH_DIGITS), 16, 10).cast("bigint")
 
 
-def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Unpivot to (column, value), trimmed, null tokens dropped."""
+def long_values(df: DataFrame, columns: list[str], table: str = "") -> DataFrame:
+    """Unpivot to (table, column, value), trimmed, null tokens dropped."""
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"))
                       for c in columns])
     v = py_strip(F.col("value"))
     return (df.select(F.inline(cells))
-              .select("column", v.alias("value"))
+              .select(F.lit(table).alias("table"), "column", v.alias("value"))
               .filter(F.col("value").isNotNull() & ~F.upper("value").isin(P.NULL_TOKENS)))
 
 
-def _ranked(long: DataFrame, thresholds: dict[str, int] | None, k: int) -> DataFrame:
+def _key(table: Column | str, column: Column | str) -> Column:
+    t = F.lit(table) if isinstance(table, str) else table
+    c = F.lit(column) if isinstance(column, str) else column
+    return F.concat(t, F.lit("\u0000"), c)
+
+
+def _ranked(long: DataFrame, thresholds: dict[tuple[str, str], int] | None, k: int) -> DataFrame:
+    """(table, column, value, h, rank): the k distinct values with the smallest
+    hash per column.  ``row_number() <= k`` lets Spark keep only k rows per
+    column on the map side before the window's shuffle."""
     x = long.withColumn("h", sample_hash(F.col("value")))
     if thresholds is not None:
-        tmap = F.create_map(*[a for c, t in thresholds.items() for a in (F.lit(c), F.lit(t))])
-        x = x.filter(_hash_prefix(F.col("h")) < F.element_at(tmap, F.col("column")))
-    w = Window.partitionBy("column").orderBy("h", "value")
-    return (x.select("column", "value", "h").distinct()
+        tmap = F.create_map(*[a for (t, c), th in thresholds.items() for a in (_key(t, c), F.lit(th))])
+        x = x.filter(_hash_prefix(F.col("h")) < F.element_at(tmap, _key(F.col("table"), F.col("column"))))
+    w = Window.partitionBy("table", "column").orderBy("h", "value")
+    return (x.select("table", "column", "value", "h").distinct()
              .withColumn("rank", F.row_number().over(w))
              .filter(F.col("rank") <= k))
 
 
-def sample_columns(df: DataFrame, columns: list[str], k: int = P.SAMPLE_SIZE,
-                   thresholds: dict[str, int] | None | str = "auto") -> DataFrame:
-    """(column, value, h, rank) with rank 1..k in hash order."""
-    long = long_values(df, columns)
-    if thresholds == "auto":
-        ndv = {r["column"]: r["ndv"] for r in
-               long.groupBy("column").agg(F.approx_count_distinct("value").alias("ndv")).collect()}
-        thresholds = {c: min(HASH_SPACE, int(HASH_SPACE * OVERSAMPLE * k / max(ndv.get(c, 0), 1)))
-                      for c in columns}
-        if all(t >= HASH_SPACE for t in thresholds.values()):
-            thresholds = None
-    return _ranked(long, thresholds, k)
+# A sample that is wholly a document number is not a GPS sample, although
+# "123.456.789-01" holds "123.456" (design, README: the GPS rule would
+# otherwise jitter CPF columns as coordinates and leave most digits).
+DOCUMENT_SHAPES = ["CPF", "RG", "IP", "PHONE"]
 
 
 def _sample_features(samples: DataFrame) -> DataFrame:
     v = F.col("value")
     n_len = F.greatest(F.length(v), F.lit(1))
+    votes = {t: (F.length(F.regexp_extract(v, P.DETECTORS[t].pattern, 0)) / n_len) >= P.FULL_MATCH_SHARE
+             for t in VOTE_TYPES}
+    is_document = F.lit(False)
+    for t in DOCUMENT_SHAPES:
+        is_document = is_document | votes[t]
     feats = [
-        (v.rlike(P.DETECTORS["COORD"].pattern) | v.rlike(P.DETECTORS["COORD_SINGLE"].pattern))
-        .cast("int").alias("gps"),
+        ((v.rlike(P.DETECTORS["COORD"].pattern) | v.rlike(P.DETECTORS["COORD_SINGLE"].pattern))
+         & ~is_document).cast("int").alias("gps"),
         v.rlike(P.DETECTORS["COORD"].pattern).cast("int").alias("pair"),
         word_count(v).alias("words"),
         v.rlike(P.UNICODE + P.PROSE_PUNCT).cast("int").alias("punct"),
     ]
-    for t in VOTE_TYPES:
-        first = F.regexp_extract(v, P.DETECTORS[t].pattern, 0)
-        feats.append(((F.length(first) / n_len) >= P.FULL_MATCH_SHARE).cast("int").alias("v_" + t))
-    return samples.select("column", *feats)
+    feats += [votes[t].cast("int").alias("v_" + t) for t in VOTE_TYPES]
+    return samples.select("table", "column", *feats)
 
 
-def score_columns(samples: DataFrame, columns: list[str], table: str = "") -> DataFrame:
-    """C2-C11 over a sample frame -> policy frame."""
-    agg = (_sample_features(samples).groupBy("column").agg(
+def score_columns(samples: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
+    """C2-C11 over a sample frame -> policy frame, one row per (table, column)."""
+    agg = (_sample_features(samples).groupBy("table", "column").agg(
         F.count(F.lit(1)).cast("int").alias("n"),
         F.avg("gps").alias("gps_share"),
         F.max("pair").alias("any_pair"),
@@ -125,19 +129,21 @@ def score_columns(samples: DataFrame, columns: list[str], table: str = "") -> Da
         F.max("punct").alias("any_punct"),
         *[F.sum("v_" + t).cast("double").alias("v_" + t) for t in VOTE_TYPES]))
 
-    # plan-time facts about the names
-    hints = {c: name_hints(c) for c in columns}
-    ignored = [c for c in columns if name_is_ignored(c)]
-    all_cols = F.array(*[F.lit(c) for c in columns])
+    # plan-time facts about the names (metadata, one entry per column)
+    key = _key(F.col("table"), F.col("column"))
+    ignored = [_key(t, c) for t, c in columns if name_is_ignored(c)]
 
     n = F.col("n").cast("double")
     scores = []
     for t in TAG_PRIORITY:
         if t in VOTE_TYPES:
             s = F.col("v_" + t)
-            with_hint = [c for c in columns if t in hints[c]]
+            with_hint = [(tb, c) for tb, c in columns if t in name_hints(c)]
             if with_hint:
-                s = s + F.when(F.col("column").isin(with_hint), n * P.NAME_HINT_WEIGHT).otherwise(0.0)
+                hinted = F.lit(False)
+                for tb, c in with_hint:
+                    hinted = hinted | ((F.col("table") == tb) & (F.col("column") == c))
+                s = s + F.when(hinted, n * P.NAME_HINT_WEIGHT).otherwise(0.0)
         elif t == "TEXTO_LIVRE":
             s = F.when((F.col("mean_words") >= P.PROSE_MEAN_WORDS) | (F.col("any_punct") == 1),
                        n * P.PROSE_WEIGHT).otherwise(0.0)
@@ -153,52 +159,75 @@ def score_columns(samples: DataFrame, columns: list[str], table: str = "") -> Da
                                                      for a in (F.lit(k), F.lit(v))]), best["tag"]),
                         best["tag"])
     coord_tag = F.when(F.col("any_pair") == 1, "COORD").otherwise("COORD_SINGLE")
+    is_ignored = key.isin(ignored) if ignored else F.lit(False)
     tag = (F.when(F.col("gps_share") >= P.GPS_SHARE, coord_tag)
             .when(best.isNotNull() & (conf >= P.MIN_CONFIDENCE), mapped)
-            .when(F.col("column").isin(ignored) if ignored else F.lit(False), "IGNORAR")
+            .when(is_ignored, "IGNORAR")
             .when(total > 0, "TEXTO_LIVRE")
             .otherwise("IGNORAR"))
     confidence = (F.when(F.col("gps_share") >= P.GPS_SHARE, F.col("gps_share"))
                   .otherwise(F.coalesce(conf, F.lit(0.0))))
-    scored = agg.select(F.lit(table).alias("table"), "column", tag.alias("tag"),
+    scored = agg.select("table", "column", tag.alias("tag"),
                         F.round(confidence, 6).alias("confidence"), F.col("n").alias("n_samples"))
     # C11: columns with no usable sample are free text with n_samples = 0
-    present = scored.select("column")
-    empty = (samples.sparkSession.range(1)
-             .select(F.explode(all_cols).alias("column"))
-             .join(present, "column", "left_anti")
-             .select(F.lit(table).alias("table"), "column", F.lit("TEXTO_LIVRE").alias("tag"),
+    spark = samples.sparkSession
+    every = spark.createDataFrame(columns, "table string, column string")
+    empty = (every.join(scored.select("table", "column"), ["table", "column"], "left_anti")
+             .select("table", "column", F.lit("TEXTO_LIVRE").alias("tag"),
                      F.lit(0.0).alias("confidence"), F.lit(0).alias("n_samples")))
     return scored.unionByName(empty)
 
 
-def classify_columns(df: DataFrame, columns: list[str] | None = None, table: str = "",
-                     k: int = P.SAMPLE_SIZE) -> DataFrame:
-    """C1-C11 for one table: policy frame (table, column, tag, confidence, n_samples).
+def classify_tables(frames: dict[str, DataFrame], columns: dict[str, list[str]] | None = None,
+                    k: int = P.SAMPLE_SIZE) -> DataFrame:
+    """C1-C11 for many tables at once: policy frame
+    (table, column, tag, confidence, n_samples).
 
-    Runs the sample job, checks the threshold pass was exact, and returns the
-    (small, one row per column) policy frame as a DataFrame.
+    Jobs: one HyperLogLog pass for distinct counts, one sampling pass whose
+    small result (<= k rows per column) is checkpointed, one count check,
+    then the scoring over the checkpoint.  Nothing grows with table size
+    except the two scans.
     """
-    columns = string_columns(df) if columns is None else columns
-    spark = df.sparkSession
-    if not columns:
-        return spark.createDataFrame([], POLICY_SCHEMA)
-    long = long_values(df, columns)
-    ndv = {r["column"]: r["ndv"] for r in
-           long.groupBy("column").agg(F.approx_count_distinct("value").alias("ndv")).collect()}
-    thresholds = {c: min(HASH_SPACE, int(HASH_SPACE * OVERSAMPLE * k / max(ndv.get(c, 0), 1)))
-                  for c in columns}
-    cut = {c for c, t in thresholds.items() if t < HASH_SPACE}
+    pairs: list[tuple[str, str]] = []
+    longs = []
+    for t, df in frames.items():
+        cols = (columns or {}).get(t) or string_columns(df)
+        if not cols:
+            continue
+        pairs += [(t, c) for c in cols]
+        longs.append(long_values(df, cols, t))
+    if not longs:
+        return next(iter(frames.values())).sparkSession.createDataFrame([], POLICY_SCHEMA)
+    spark = longs[0].sparkSession
+    long = longs[0]
+    for x in longs[1:]:
+        long = long.unionByName(x)
+
+    ndv = {(r["table"], r["column"]): r["ndv"] for r in
+           long.groupBy("table", "column").agg(F.approx_count_distinct("value").alias("ndv")).collect()}
+    thresholds = {p: min(HASH_SPACE, int(HASH_SPACE * OVERSAMPLE * k / max(ndv.get(p, 0), 1)))
+                  for p in pairs}
+    cut = {p for p, th in thresholds.items() if th < HASH_SPACE}
     # the sample is small (<= k rows per column): cut its lineage once so the
-    # count check and the scoring do not scan the table again
+    # count check and the scoring do not scan the tables again
     ensure_checkpoint_dir(spark)
     samples = _ranked(long, thresholds if cut else None, k).checkpoint()
-    counts = {r["column"]: r["n"] for r in samples.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    short = [c for c in cut if counts.get(c, 0) < k]
-    if short:
-        redo = _ranked(long.filter(F.col("column").isin(short)), None, k)
-        samples = samples.filter(~F.col("column").isin(short)).unionByName(redo)
-    return score_columns(samples, columns, table)
+    if cut:
+        counts = {(r["table"], r["column"]): r["n"] for r in
+                  samples.groupBy("table", "column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        short = [p for p in cut if counts.get(p, 0) < k]
+        if short:   # threshold admitted too few values: sample those columns in full
+            redo_keys = [_key(t, c) for t, c in short]
+            redo = _ranked(long.filter(_key(F.col("table"), F.col("column")).isin(redo_keys)), None, k)
+            samples = samples.filter(~_key(F.col("table"), F.col("column")).isin(redo_keys)) \
+                             .unionByName(redo)
+    return score_columns(samples, pairs)
+
+
+def classify_columns(df: DataFrame, columns: list[str] | None = None, table: str = "",
+                     k: int = P.SAMPLE_SIZE) -> DataFrame:
+    """C1-C11 for one table."""
+    return classify_tables({table: df}, {table: columns} if columns else None, k)
 
 
 def policy_map(policies: DataFrame) -> dict[str, str]:

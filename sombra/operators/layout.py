@@ -1,0 +1,25 @@
+"""Partition layout for CPU-heavy projections."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def spread_for_cpu(df: DataFrame, key: list[str] | str | None = None,
+                   min_partitions: int | None = None) -> DataFrame:
+    """Give per-row heavy work (text masking, surrogates) at least one
+    partition per core.
+
+    On a cluster reading large tables the scan already yields thousands of
+    splits and this returns ``df`` unchanged (no shuffle).  A small file with
+    one row group is one split; then one hash repartition on ``key`` spreads
+    its rows (hash, not round-robin, so a retried task sees the same rows).
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    if key is None:
+        return df.repartition(target)
+    cols = [key] if isinstance(key, str) else list(key)
+    return df.repartition(target, F.xxhash64(*[F.col(c) for c in cols]))

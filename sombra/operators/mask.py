@@ -113,9 +113,11 @@ def detect_spans(text: Column, rules: MaskRules, approved_terms: Column | None =
     return resolve_overlaps(F.concat(*parts) if len(parts) > 1 else parts[0])
 
 
-def with_fakes(spans: Column, key: MaskKey) -> Column:
-    """Attach the surrogate of each span (field ``fake``)."""
-    tags = TEXT_TYPES + ["PER"]
+def with_fakes(spans: Column, key: MaskKey, rules: MaskRules | None = None) -> Column:
+    """Attach the surrogate of each span (field ``fake``); only enabled types
+    get a branch, which keeps the expression (and planning) small."""
+    rules = rules or MaskRules()
+    tags = [t for t in TEXT_TYPES if rules.on(t)] + (["PER"] if rules.names else [])
     return F.transform(spans, lambda s: s.withField("fake", surrogate_any(s["type"], s["value"], key, tags)))
 
 
@@ -129,7 +131,7 @@ def _mask_shielded(text: Column, rules: MaskRules, key: MaskKey,
             return F.struct(restore(masked, st["tags"]).alias("masked"), sp.alias("spans"),
                             (N.propagated_count(spliced, sp) if rules.names else F.lit(0).cast("bigint"))
                             .alias("extra"))
-        return _let(with_fakes(detect_spans(st["s"], rules, approved_terms), key), on_spans)
+        return _let(with_fakes(detect_spans(st["s"], rules, approved_terms), key, rules), on_spans)
 
     return _let(F.struct(shield(text).alias("s"), shield_tags(text).alias("tags")), on_shielded)
 

@@ -283,6 +283,8 @@ ORDER BY table_name, column_name"""
      AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pc} = c.{cc})) AS orphans""")
     out["fk_orphans"] = "\nUNION ALL\n".join(edges)
     out["run_speed_30"] = """
-SELECT event_id, user_id, AVG(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
-       ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS speed_30 FROM events"""
+SELECT event_id, user_id,
+       SUM(CAST(value AS DECIMAL(18,2))) OVER w AS sum_30, COUNT(*) OVER w AS n_30
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id
+                         ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"""
     return out

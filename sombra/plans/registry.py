@@ -25,6 +25,7 @@ from ..operators.mask import MaskRules, find_pii, mask_table, mask_text, mask_te
 from ..operators.spans import regex_spans, restore, shield, shield_tags
 from ..functions import patterns as P
 from ..sources import files as FS
+from ..operators.layout import spread_for_cpu
 from . import catalog as CAT
 
 # A fixed demonstration key: the oracle SQL embeds the same padded blocks.
@@ -38,13 +39,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def heavy(spark: SparkSession, sf_dir: str, name: str, key: str, cols: list[str] | None = None) -> DataFrame:
+    """A table about to go through per-row heavy work, spread over the cores."""
+    df = table(spark, sf_dir, name)
+    if cols:
+        df = df.select(*cols)
+    return spread_for_cpu(df, key)
+
+
 # ---------------------------------------------------------------------------
 # Detectors (D1-D10): every match of one detector, before overlap resolution
 # ---------------------------------------------------------------------------
 
 def _matches(spark, sf_dir, tag: str, with_pos: bool) -> DataFrame:
     d = P.DETECTORS[tag]
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = heavy(spark, sf_dir, "documents", "doc_id", ["doc_id", "text"])
     spans = regex_spans(F.col("text"), d.pattern, tag, d.prio)
     cols = ["doc_id", (F.col("pos") + 1).alias("match_no")]
     if with_pos:
@@ -59,7 +68,7 @@ def _detector_query(tag: str, with_pos: bool = True) -> Callable[[SparkSession,
 
 def find_all_pii(spark, sf_dir) -> DataFrame:
     """F4 + D19: kept findings of every detector (reference profile)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = heavy(spark, sf_dir, "documents", "doc_id", ["doc_id", "text"])
     return (docs.select("doc_id", F.inline(find_pii(F.col("text"), MaskRules(names=False))))
                 .select("doc_id", "start", "end", "type", "value"))
 
@@ -109,8 +118,8 @@ def jitter_coord(spark, sf_dir) -> DataFrame:
 def masked_join(spark, sf_dir) -> DataFrame:
     """Join customer and orders on masked keys; per segment counts equal
     the unmasked join's."""
-    c = table(spark, sf_dir, "customer")
-    o = table(spark, sf_dir, "orders")
+    c = heavy(spark, sf_dir, "customer", "c_custkey")
+    o = heavy(spark, sf_dir, "orders", "o_orderkey")
     mc = c.select(S.surrogate_for("CPF", cpf_source(F.col("c_custkey")), DEMO_KEY).alias("k"),
                   "c_mktsegment")
     mo = o.select(S.surrogate_for("CPF", cpf_source(F.col("o_custkey")), DEMO_KEY).alias("k"),
@@ -125,12 +134,12 @@ def masked_join(spark, sf_dir) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def mask_documents_email(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = heavy(spark, sf_dir, "documents", "doc_id")
     return d.select("doc_id", mask_text(F.col("text"), MaskRules.only("EMAIL"), DEMO_KEY).alias("masked"))
 
 
 def mask_documents(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = heavy(spark, sf_dir, "documents", "doc_id")
     return d.select("doc_id", mask_text(F.col("text"), MaskRules(), DEMO_KEY).alias("masked"))
 
 
@@ -142,19 +151,19 @@ def strip_shield_roundtrip(spark, sf_dir) -> DataFrame:
 
 def mask_pages_email(spark, sf_dir) -> DataFrame:
     """P12 + D4: e-mails in page text are masked, markup is kept byte for byte."""
-    p = table(spark, sf_dir, "pages")
+    p = heavy(spark, sf_dir, "pages", "page_id")
     return p.select("page_id", mask_text(F.col("html"), MaskRules.only("EMAIL"), DEMO_KEY).alias("html"))
 
 
 def candidate_terms(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("text"))
-    c = table(spark, sf_dir, "conversations").select(F.col("text"))
+    d = heavy(spark, sf_dir, "documents", "doc_id", ["doc_id", "text"]).select("text")
+    c = heavy(spark, sf_dir, "conversations", "conv_id", ["conv_id", "text"]).select("text")
     return N.candidate_terms(d.unionByName(c), "text")
 
 
 def upper_runs(spark, sf_dir) -> DataFrame:
     """D13 + D15 + D17: upper-case name candidates per document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = heavy(spark, sf_dir, "documents", "doc_id", ["doc_id", "text"])
     spans = N.suspect_names(F.col("text"))
     return (docs.select("doc_id", F.posexplode(spans).alias("pos", "s"))
                 .select("doc_id", F.col("s.start").alias("start"), F.col("s.value").alias("value")))
@@ -169,7 +178,7 @@ def fragment_text(spark, sf_dir) -> DataFrame:
 
 def mask_long_documents(spark, sf_dir) -> DataFrame:
     """D22 + D23: fragment, mask each fragment, concatenate in order."""
-    d = table(spark, sf_dir, "documents")
+    d = heavy(spark, sf_dir, "documents", "doc_id")
     return d.select("doc_id", FR.mask_fragmented(F.col("text"), MaskRules(), DEMO_KEY).alias("masked"))
 
 
@@ -193,15 +202,12 @@ CLASSIFY_TABLES = ["region", "nation", "customer", "supplier", "part", "orders",
 
 
 def classify_columns(spark, sf_dir) -> DataFrame:
-    frames = [C.classify_columns(table(spark, sf_dir, t), table=t) for t in CLASSIFY_TABLES]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    """C1-C11 over every string column of ten tables in one sampling job."""
+    return C.classify_tables({t: table(spark, sf_dir, t) for t in CLASSIFY_TABLES})
 
 
 def mask_customer(spark, sf_dir) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
+    c = heavy(spark, sf_dir, "customer", "c_custkey")
     pol = C.policy_map(C.classify_columns(c, table="customer"))
     return mask_table(c, pol, MaskRules(), DEMO_KEY)
 
@@ -261,19 +267,21 @@ def direct_copy(spark, sf_dir) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def audit_email(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = heavy(spark, sf_dir, "documents", "doc_id")
     return A.audit_summary(d, "text", MaskRules.only("EMAIL"), DEMO_KEY)
 
 
 def audit_by_type(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = heavy(spark, sf_dir, "documents", "doc_id")
     return A.audit_by_type(d, "text", MaskRules(names=False), DEMO_KEY)
 
 
 def run_speed_30(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return A.moving_speed(e, partition="user_id", order=["ts", "event_id"], speed="value",
-                          window=30).select("event_id", "user_id", "speed_30")
+    """30-row moving window per user; the mean is sum_30 / n_30, both
+    reported exactly (decimal sum) so the check does not hinge on float order."""
+    e = table(spark, sf_dir, "events").withColumn("v", F.col("value").cast("decimal(18,2)"))
+    return A.moving_window(e, partition="user_id", order=["ts", "event_id"], value="v",
+                           window=30).select("event_id", "user_id", "sum_30", "n_30")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
