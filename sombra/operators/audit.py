@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import MaskKey
 from ..functions.surrogates import digest, family
-from .mask import MaskRules, mask_text_struct
+from .mask import MaskRules, find_pii, mask_text_struct
 
 PERSON_TYPES = ["PER", "NOME_SOLTO"]
 DOCUMENT_TYPES = ["CPF", "RG", "PLATE", "PLACA"]
@@ -54,10 +54,11 @@ def audit_summary(df: DataFrame, text_col: str, rules, key: MaskKey,
                 .unionByName(docs.select(F.lit("documents_protected").alias("metric"), "value")))
 
 
-def audit_by_type(df: DataFrame, text_col: str, rules, key: MaskKey) -> DataFrame:
-    """A3/A5 per type: spans, cells with at least one, distinct values (keyed)."""
-    m = _masked(df, text_col, rules, key).withColumn("_cell", F.xxhash64("_text"))
-    ex = m.select("_cell", F.explode("_m.spans").alias("s"))
+def audit_by_type(df: DataFrame, text_col: str, rules, key: MaskKey | None = None) -> DataFrame:
+    """A3/A5 per type: spans, cells with at least one, distinct values.
+    Only detection is needed (no surrogates), so nothing is masked here."""
+    t = F.col(text_col)
+    ex = df.select(F.xxhash64(t).alias("_cell"), F.explode(find_pii(t, rules)).alias("s"))
     return (ex.groupBy(F.col("s.type").alias("type"))
               .agg(F.count(F.lit(1)).alias("n_spans"),
                    F.countDistinct("_cell").alias("n_cells"),

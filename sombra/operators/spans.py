@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import patterns as P
+from ..functions.expr import let
 from ..functions.text import MARK_CLOSE, MARK_OPEN, MARK_SAFE, MARK_TAG
 
 SPAN = T.StructType([
@@ -60,22 +61,26 @@ def regex_spans(text: Column, pattern: str, tag: str, prio: int, group: bool = F
     span covers the target only (D11, D12).
     """
     repl = ("$1" + MARK_OPEN + "$2" + MARK_CLOSE) if group else (MARK_OPEN + "$0" + MARK_CLOSE)
-    parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(repl)), MARK_OPEN)
-    first_len = F.length(F.element_at(parts, 1))
-    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    zero = F.struct(first_len.cast("int").alias("pos"), empty_spans().alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        v = F.substring_index(p, MARK_CLOSE, 1)
-        start = acc["pos"]
-        span = F.struct(start.alias("start"), (start + F.length(v)).cast("int").alias("end"),
-                        v.alias("value"), F.lit(tag).alias("type"), F.lit(prio).alias("prio"))
-        return F.struct((start + F.length(p) - 1).cast("int").alias("pos"),
-                        F.concat(acc["out"], F.array(span)).alias("out"))
-
-    found = F.aggregate(rest, zero, step, lambda acc: acc["out"])
-    # cheap skip: no match, no fold
-    return F.when(F.size(parts) > 1, found).otherwise(empty_spans())
+
+    def from_parts(parts: Column) -> Column:
+        first_len = F.length(F.element_at(parts, 1))
+        rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+        zero = F.struct(first_len.cast("int").alias("pos"), empty_spans().alias("out"))
+
+        def step(acc: Column, p: Column) -> Column:
+            v = F.substring_index(p, MARK_CLOSE, 1)
+            start = acc["pos"]
+            span = F.struct(start.alias("start"), (start + F.length(v)).cast("int").alias("end"),
+                            v.alias("value"), F.lit(tag).alias("type"), F.lit(prio).alias("prio"))
+            return F.struct((start + F.length(p) - 1).cast("int").alias("pos"),
+                            F.concat(acc["out"], F.array(span)).alias("out"))
+
+        found = F.aggregate(rest, zero, step, lambda acc: acc["out"])
+        # cheap skip: no match, no fold
+        return F.when(F.size(parts) > 1, found).otherwise(empty_spans())
+
+    # the marked-and-split text is bound once: one regex pass per detector
+    return let(F.split(F.regexp_replace(text, F.lit(pattern), F.lit(repl)), MARK_OPEN), from_parts)
 
 
 def _compare(l: Column, r: Column) -> Column:
