@@ -223,3 +223,14 @@ def surrogate_any(tag: Column, value: Column, key: MaskKey, tags: list[str]) ->
         branch = surrogate_for(t, value, key)
         out = F.when(tag == t, branch) if out is None else out.when(tag == t, branch)
     return out.otherwise(surrogate_for("WORD", value, key))
+
+
+def join_key(tag: str, value: Column, key: MaskKey) -> Column:
+    """Masked value for a join key: ``surrogate_for`` made non-nullable.
+
+    The join infers ``isnotnull(key)`` and would push it below the projection,
+    evaluating the surrogate twice; a non-nullable expression lets Catalyst
+    drop that filter.  Filter null source keys first (an inner join drops
+    them anyway), so the empty-string default is never produced.
+    """
+    return F.coalesce(surrogate_for(tag, value, key), F.lit(""))

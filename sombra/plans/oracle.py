@@ -288,3 +288,126 @@ SELECT event_id, user_id,
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id
                          ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"""
     return out
+
+
+# ---------------------------------------------------------------------------
+# classifier (C1-C11).  For a FIRST match, a look-behind/ahead equals a
+# consumed boundary character (or ^/$); the detector is group 2.
+# ---------------------------------------------------------------------------
+
+CLASSIFY_COLUMNS = {
+    "region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"],
+    "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"],
+    "orders": ["o_orderstatus", "o_orderpriority"], "events": ["event_type", "props"],
+    "pages": ["url", "html"], "conversations": ["role", "text"], "benchmark": ["text"],
+}
+_S = "[" + WS + "]"
+_CORE = {
+    "CPF": ("[^0-9]", f"(?:[0-9][-.{WS}_/*]{{0,4}}){{10}}[0-9]", "[^0-9]"),
+    "IP": ("[^0-9]", f"(?:[0-9]{{1,3}}[_.\\-{WS}]+){{3}}[0-9]{{1,3}}", "[^0-9]"),
+    "RG": ("[^0-9]", f"(?:[0-9][-.{WS}_/*]{{0,4}}){{6,9}}[0-9Xx]", "[^0-9]"),
+    "PLATE": ("[^A-Za-z]", f"(?:[A-Za-z][-.{WS}_]*){{3}}[0-9][-.{WS}_]*[A-Za-z0-9][-.{WS}_]*[0-9][-.{WS}_]*[0-9]",
+              "[^A-Za-z0-9]"),
+    "PHONE": ("[^0-9]", f"(?:\\+?55[-.{WS}_]*)?(?:\\(?[0]?[0-9]{{2}}\\)?[-.{WS}_]*)?(?:9[-.{WS}_]*)?"
+                        f"[0-9]{{4,5}}[-.{WS}_]*[0-9]{{4}}", "[^0-9]"),
+    "CHASSI": ("[^A-Za-z0-9]", f"(?i:(?:[A-HJ-NPR-Z0-9][\\-{WS}]*){{16}}[A-HJ-NPR-Z0-9])", "[^A-Za-z0-9]"),
+    "DATE_TIME": ("[^0-9]", f"[0-9]{{1,4}}[/.\\-\\\\][0-9]{{1,2}}[/.\\-\\\\][0-9]{{2,4}}"
+                            f"(?:[-.{WS}_]+[0-9]{{1,2}}[:hH][0-9]{{1,2}}(?::[0-9]{{1,2}})?)?", "[^0-9]"),
+    "COORD": ("[^0-9]", "-?[0-9]{1,3}[.,][0-9]{3,}[^A-Za-z0-9]+-?[0-9]{1,3}[.,][0-9]{3,}", "[^0-9]"),
+    "COORD_SINGLE": ("[^0-9]", "-?[0-9]{1,3}[.,][0-9]{3,}", "[^0-9]"),
+}
+
+
+def first_match_len(v: str, tag: str) -> str:
+    if tag == "EMAIL":
+        from ..functions.patterns import EMAIL
+        return f"length(regexp_extract({v}, {q(EMAIL)}, 0))"
+    pre, core, post = _CORE[tag]
+    return f"length(regexp_extract({v}, {q('(^|' + pre + ')(' + core + ')($|' + post + ')')}, 2))"
+
+
+def has_match(v: str, tag: str) -> str:
+    pre, core, post = _CORE[tag]
+    return f"regexp_matches({v}, {q('(^|' + pre + ')(' + core + ')($|' + post + ')')})"
+
+
+def classify_sql() -> str:
+    from ..operators import classify as C
+    from ..functions import patterns as PP
+    longs = []
+    for t, cols in CLASSIFY_COLUMNS.items():
+        for c in cols:
+            longs.append(f"SELECT '{t}' AS tbl, '{c}' AS col, {strip(c)} AS value FROM {t}")
+    long = "\nUNION ALL\n".join(longs)
+    nulls = ", ".join(q(x) for x in PP.NULL_TOKENS)
+    vote = {t: f"(CAST({first_match_len('value', t)} AS DOUBLE) / greatest(length(value), 1) >= 0.8)"
+            for t in C.VOTE_TYPES}
+    is_doc = " OR ".join(vote[t] for t in C.DOCUMENT_SHAPES)
+    feats = ",\n  ".join([
+        f"CAST(({has_match('value', 'COORD')} OR {has_match('value', 'COORD_SINGLE')}) AND NOT ({is_doc}) AS INTEGER) AS gps",
+        f"CAST({has_match('value', 'COORD')} AS INTEGER) AS pair",
+        f"len(regexp_split_to_array(value, {q('[' + WS + ']+')})) AS words",
+        f"CAST(regexp_matches(value, {q('[,.!?][' + WS + ']+[A-Z]')}) AS INTEGER) AS punct",
+    ] + [f"CAST({vote[t]} AS INTEGER) AS v_{t}" for t in C.VOTE_TYPES])
+    pairs = [(t, c) for t, cols in CLASSIFY_COLUMNS.items() for c in cols]
+    score_rows = []
+    for i, tag in enumerate(C.TAG_PRIORITY):
+        if tag in C.VOTE_TYPES:
+            hinted = [f"(tbl = '{t}' AND col = '{c}')" for t, c in pairs if tag in C.name_hints(c)]
+            hint = f" + CASE WHEN {' OR '.join(hinted)} THEN n * 0.4 ELSE 0 END" if hinted else ""
+            s = f"v_{tag}{hint}"
+        elif tag == "TEXTO_LIVRE":
+            s = "CASE WHEN mean_words >= 3 OR any_punct = 1 THEN n * 0.8 ELSE 0 END"
+        else:
+            s = "0.0"
+        score_rows.append(f"SELECT tbl, col, '{tag}' AS tag, CAST({s} AS DOUBLE) AS score, {i} AS prio FROM agg")
+    ignored = [f"(tbl = '{t}' AND col = '{c}')" for t, c in pairs if C.name_is_ignored(c)]
+    ign = " OR ".join(ignored) if ignored else "FALSE"
+    tagmap = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PP.TAG_TO_POLICY.items())
+    all_pairs = " UNION ALL ".join(f"SELECT '{t}' AS tbl, '{c}' AS col" for t, c in pairs)
+    return f"""
+WITH long AS ({long}),
+vals AS (SELECT DISTINCT tbl, col, value FROM long
+         WHERE value IS NOT NULL AND upper(value) NOT IN ({nulls})),
+samples AS (SELECT * FROM (SELECT tbl, col, value,
+              row_number() OVER (PARTITION BY tbl, col ORDER BY md5(value), value) AS rk FROM vals)
+            WHERE rk <= 50),
+feats AS (SELECT tbl, col,
+  {feats}
+  FROM samples),
+agg AS (SELECT tbl, col, COUNT(*) AS n, AVG(gps) AS gps_share, MAX(pair) AS any_pair,
+          AVG(words) AS mean_words, MAX(punct) AS any_punct,
+          {", ".join(f"CAST(SUM(v_{t}) AS DOUBLE) AS v_{t}" for t in C.VOTE_TYPES)}
+        FROM feats GROUP BY tbl, col),
+scores AS ({" UNION ALL ".join(score_rows)}),
+pos AS (SELECT * FROM scores WHERE score > 0),
+best AS (SELECT tbl, col, tag, score FROM (SELECT *, row_number() OVER (PARTITION BY tbl, col
+           ORDER BY score DESC, prio ASC) AS r FROM pos) WHERE r = 1),
+total AS (SELECT tbl, col, SUM(score) AS total FROM pos GROUP BY tbl, col),
+decided AS (
+  SELECT a.tbl, a.col, a.n, a.gps_share, a.any_pair, b.tag AS best_tag, b.score / a.n AS conf,
+         COALESCE(t.total, 0) AS total
+  FROM agg a LEFT JOIN best b USING (tbl, col) LEFT JOIN total t USING (tbl, col)),
+scored AS (
+  SELECT tbl AS "table", col AS "column",
+    CASE WHEN gps_share >= 0.5 THEN CASE WHEN any_pair = 1 THEN 'COORD' ELSE 'COORD_SINGLE' END
+         WHEN best_tag IS NOT NULL AND conf >= 0.6 THEN CASE best_tag {tagmap} ELSE best_tag END
+         WHEN {ign.replace('tbl', 'decided.tbl').replace('col', 'decided.col') if ignored else 'FALSE'} THEN 'IGNORAR'
+         WHEN total > 0 THEN 'TEXTO_LIVRE' ELSE 'IGNORAR' END AS tag,
+    round(CASE WHEN gps_share >= 0.5 THEN gps_share ELSE COALESCE(conf, 0.0) END, 6) AS confidence,
+    CAST(n AS INTEGER) AS n_samples
+  FROM decided)
+SELECT * FROM scored
+UNION ALL
+SELECT p.tbl, p.col, 'TEXTO_LIVRE', 0.0, 0 FROM ({all_pairs}) p
+WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s."table" = p.tbl AND s."column" = p.col)
+"""
+
+
+_base_oracle_queries = oracle_queries
+
+
+def oracle_queries() -> dict[str, str]:  # noqa: F811
+    out = _base_oracle_queries()
+    out["classify_columns"] = classify_sql()
+    return out
