@@ -86,7 +86,8 @@ class MaskRules:
 _let = let
 
 
-def detect_spans(text: Column, rules: MaskRules, approved_terms: Column | None = None) -> Column:
+def detect_spans(text: Column, rules: MaskRules, approved_terms: Column | None = None,
+                 entity_terms: Column | None = None) -> Column:
     """Kept, ordered, non-overlapping spans of ``text``."""
     has_digit = text.rlike(r"\d")
     parts = []
@@ -104,7 +105,10 @@ def detect_spans(text: Column, rules: MaskRules, approved_terms: Column | None =
         parts.append(s)
     if rules.names:
         def names_of(tr: Column) -> Column:
-            sus = N.approved_suspects(N.suspect_names(text, rules.strict), tr, approved_terms,
+            cands = N.suspect_names(text, rules.strict)
+            if entity_terms is not None:
+                cands = F.concat(cands, N.entity_spans(text, entity_terms))
+            sus = N.approved_suspects(cands, tr, approved_terms,
                                       approve_all=rules.unknown_names == "mask")
             return F.concat(tr, sus)
         parts.append(_let(N.trusted_names(text), names_of))
@@ -122,7 +126,7 @@ def with_fakes(spans: Column, key: MaskKey, rules: MaskRules | None = None) -> C
 
 
 def _mask_shielded(text: Column, rules: MaskRules, key: MaskKey,
-                   approved_terms: Column | None) -> Column:
+                   approved_terms: Column | None, entity_terms: Column | None = None) -> Column:
     """Mask text that is already escaped; returns struct(masked, spans)."""
     def on_shielded(st: Column) -> Column:
         def on_spans(sp: Column) -> Column:
@@ -131,20 +135,21 @@ def _mask_shielded(text: Column, rules: MaskRules, key: MaskKey,
             return F.struct(restore(masked, st["tags"]).alias("masked"), sp.alias("spans"),
                             (N.propagated_count(spliced, sp) if rules.names else F.lit(0).cast("bigint"))
                             .alias("extra"))
-        return _let(with_fakes(detect_spans(st["s"], rules, approved_terms), key, rules), on_spans)
+        return _let(with_fakes(detect_spans(st["s"], rules, approved_terms, entity_terms), key, rules), on_spans)
 
     return _let(F.struct(shield(text).alias("s"), shield_tags(text).alias("tags")), on_shielded)
 
 
 def mask_text_struct(text: Column, rules=None, key: MaskKey = None,
-                     approved_terms: Column | None = None) -> Column:
+                     approved_terms: Column | None = None,
+                     entity_terms: Column | None = None) -> Column:
     """struct(masked string, spans array, extra bigint) — masked text plus
     what was found (for audit).  Null/blank text passes through (P7)."""
     if key is None:
         raise ValueError("a MaskKey is required")
     rules = MaskRules.coerce(rules)
     res = _let(escape_marks(text), lambda e: _let(
-        _mask_shielded(e, rules, key, approved_terms),
+        _mask_shielded(e, rules, key, approved_terms, entity_terms),
         lambda r: r.withField("masked", unescape_marks(r["masked"]))))
     blank = F.struct(text.alias("masked"), F.array().cast(SPANS_FAKE).alias("spans"),
                      F.lit(0).cast("bigint").alias("extra"))
@@ -152,9 +157,11 @@ def mask_text_struct(text: Column, rules=None, key: MaskKey = None,
 
 
 def mask_text(text: Column, rules=None, key: MaskKey = None,
-              approved_terms: Column | None = None) -> Column:
-    """Masked free text (string)."""
-    return mask_text_struct(text, rules, key, approved_terms)["masked"]
+              approved_terms: Column | None = None,
+              entity_terms: Column | None = None) -> Column:
+    """Masked free text (string).  ``approved_terms``: upper-case names
+    approved by a verdict; ``entity_terms``: names from a recogniser (F1)."""
+    return mask_text_struct(text, rules, key, approved_terms, entity_terms)["masked"]
 
 
 def find_pii(text: Column, rules=None, approved_terms: Column | None = None) -> Column:

@@ -19,10 +19,11 @@ from typing import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions.text import normalize, word_count
-from .spans import regex_spans
+from .spans import SPANS, regex_spans
 
 PRIO_TRUSTED = P.SPAN_ORDER.index("PER_TRUSTED")
 PRIO_SUSPECT = P.SPAN_ORDER.index("PER")
@@ -45,6 +46,43 @@ def suspect_names(text: Column, strict: bool = False) -> Column:
     return F.filter(F.concat(role, run), _keep_candidate)
 
 
+def entity_spans(text: Column, terms: Column) -> Column:
+    """Every occurrence of the recogniser's names in ``text`` (literal,
+    case-sensitive), filtered like the other candidates.  They are suspects:
+    masked only when approved."""
+    usable = F.filter(terms, lambda t: t.isNotNull() & (F.length(t) >= P.MIN_NAME_CHARS)
+                      & ~t.rlike(r"\d") & ~t.contains(r"\E"))
+    pat = F.concat(F.lit("(?U)"), F.array_join(
+        F.transform(usable, lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|"))
+    found = regex_spans(text, pat, "PER", PRIO_SUSPECT)
+    return F.when(F.size(usable) > 0, F.filter(found, _keep_candidate)).otherwise(F.array().cast(SPANS))
+
+
+def recognise(df: DataFrame, text_col: str, recogniser: Callable[[str], list[str]],
+              out_col: str = "entity_terms") -> DataFrame:
+    """add the names a caller's recogniser finds in each text.
+
+    ``recogniser`` maps one text to a list of person names.  It runs with
+    ``mapInPandas`` inside the partition that holds the row: no shuffle, and
+    the row keeps all its columns.  Titles the text first when it is all upper
+    or all lower case and strips edge punctuation, like the reference.
+    """
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out_col, T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            def one(t):
+                if t is None or not str(t).strip():
+                    return []
+                s = str(t)
+                s = s.title() if (s.isupper() or s.islower()) else s
+                return [n.strip(".,;:?!() \n'\"") for n in recogniser(s)]
+            b[out_col] = b[text_col].map(one)
+            yield b
+
+    return df.mapInPandas(run, schema)
+
+
 def term_key(value: Column) -> Column:
     return F.upper(value)
 

@@ -54,7 +54,7 @@ def unescape_marks(text: Column) -> Column:
     return F.when(text.contains(MARK_SAFE), out).otherwise(text)
 
 
-def regex_spans(text: Column, pattern: str, tag: str, prio: int, group: bool = False) -> Column:
+def regex_spans(text: Column, pattern: str | Column, tag: str, prio: int, group: bool = False) -> Column:
     """All non-overlapping matches of ``pattern`` as spans, in text order.
 
     With ``group=True`` the pattern has two groups, (context)(target), and the
@@ -80,7 +80,8 @@ def regex_spans(text: Column, pattern: str, tag: str, prio: int, group: bool = F
         return F.when(F.size(parts) > 1, found).otherwise(empty_spans())
 
     # the marked-and-split text is bound once: one regex pass per detector
-    return let(F.split(F.regexp_replace(text, F.lit(pattern), F.lit(repl)), MARK_OPEN), from_parts)
+    pat = pattern if isinstance(pattern, Column) else F.lit(pattern)
+    return let(F.split(F.regexp_replace(text, pat, F.lit(repl)), MARK_OPEN), from_parts)
 
 
 def _compare(l: Column, r: Column) -> Column:

@@ -411,3 +411,56 @@ def oracle_queries() -> dict[str, str]:  # noqa: F811
     out = _base_oracle_queries()
     out["classify_columns"] = classify_sql()
     return out
+
+
+def audit_email_sql() -> str:
+    """A3/A4 for the e-mail profile: e-mails outside markup are the spans."""
+    from ..functions.patterns import EMAIL
+    shielded = f"regexp_replace(text, '<[^>]+>', ' {TAG} ', 'g')"
+    nonblank = f"(text IS NOT NULL AND {strip('text')} <> '')"
+    return f"""
+WITH d AS (SELECT {nonblank} AS evaluated,
+                  CASE WHEN {nonblank} THEN len(regexp_extract_all({shielded}, {q(EMAIL)})) ELSE 0 END AS n
+           FROM documents)
+SELECT 'cells_evaluated' AS metric, CAST(SUM(CAST(evaluated AS INTEGER)) AS BIGINT) AS value FROM d
+UNION ALL SELECT 'cells_changed', CAST(SUM(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS BIGINT) FROM d
+UNION ALL SELECT 'span_substitutions', CAST(SUM(n) AS BIGINT) FROM d
+UNION ALL SELECT 'propagated_substitutions', CAST(0 AS BIGINT)
+UNION ALL SELECT 'persons_protected', CAST(0 AS BIGINT)
+UNION ALL SELECT 'documents_protected', CAST(0 AS BIGINT)"""
+
+
+def fragment_sql() -> str:
+    """D22 by recursion over each document's newline-closed pieces."""
+    return """
+WITH RECURSIVE pieces AS (
+  SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\\n]*\\n*') AS p FROM documents WHERE text IS NOT NULL)
+),
+nz AS (SELECT doc_id, piece, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i
+       FROM pieces WHERE piece <> ''),
+walk AS (
+  SELECT doc_id, i, length(piece) AS cur, 0 AS frag,
+         (length(piece) > 1000 AND contains(piece, chr(10))) AS closes, length(piece) AS plen
+  FROM nz WHERE i = 1
+  UNION ALL
+  SELECT w.doc_id, n.i,
+         CASE WHEN w.closes THEN length(n.piece) ELSE w.cur + length(n.piece) END,
+         CASE WHEN w.closes THEN w.frag + 1 ELSE w.frag END,
+         (CASE WHEN w.closes THEN length(n.piece) ELSE w.cur + length(n.piece) END) > 1000
+           AND contains(n.piece, chr(10)),
+         length(n.piece)
+  FROM walk w JOIN nz n ON n.doc_id = w.doc_id AND n.i = w.i + 1
+)
+SELECT doc_id, CAST(frag AS INTEGER) AS frag_no, CAST(SUM(plen) AS INTEGER) AS n_chars
+FROM walk GROUP BY doc_id, frag"""
+
+
+_base_oracle_queries2 = oracle_queries
+
+
+def oracle_queries() -> dict[str, str]:  # noqa: F811
+    out = _base_oracle_queries2()
+    out["audit_email"] = audit_email_sql()
+    out["fragment_text"] = fragment_sql()
+    return out

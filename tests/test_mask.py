@@ -87,3 +87,20 @@ def test_no_leak_of_found_values(spark, key):
                                      & (F.length(s["value"]) > 6) & (s["type"] != "CHASSI"))).alias("n")) \
              .agg(F.sum("n")).first()[0]
     assert (leaks or 0) == 0
+
+
+def test_recogniser_hook(spark, key):
+    from sombra.operators.names import recognise
+    df = spark.createDataFrame([(1, "Relato: Ana Beatriz Souto chegou cedo."), (2, "nada aqui")],
+                               "id int, t string")
+
+    def toy(text):
+        return ["Ana Beatriz Souto"] if "Ana" in text else []
+
+    r = recognise(df, "t", toy)
+    assert r.columns == ["id", "t", "entity_terms"]
+    out = {x.id: x.m for x in r.select("id", mask_text(F.col("t"), MaskRules(unknown_names="mask"), key,
+                                                       entity_terms=F.col("entity_terms")).alias("m")).collect()}
+    assert "Ana Beatriz" not in out[1] and out[2] == "nada aqui"
+    kept = r.select(mask_text(F.col("t"), None, key, entity_terms=F.col("entity_terms"))).first()[0]
+    assert "Ana Beatriz Souto" in kept          # suspects need a verdict by default
