@@ -234,3 +234,54 @@ def join_key(tag: str, value: Column, key: MaskKey) -> Column:
     them anyway), so the empty-string default is never produced.
     """
     return F.coalesce(surrogate_for(tag, value, key), F.lit(""))
+
+
+def add_surrogates(df, specs: dict, key: MaskKey, non_null: bool = False):
+    """Codegen path for top-level columns: ``specs`` maps an output column to
+    (tag, input column).  The cleaned value and its digest are computed in one
+    projection and the fakes read them in the next; Catalyst keeps the two
+    apart because the digest is expensive and read many times, so no lambda
+    (interpreted) evaluation is needed.  Blank inputs stay as they are.
+    """
+    from .text import is_blank
+    tmp = {}
+    for i, (out, (tag, src)) in enumerate(specs.items()):
+        tmp[out] = (tag, src, f"__v{i}", f"__h{i}")
+    # cleaned values first, digests over them next, fakes last
+    staged = df.select(*[F.col(f"`{c}`") for c in df.columns],
+                       *[clean_value(F.col(f"`{src}`")).alias(v) for _, (tag, src, v, h) in tmp.items()])
+    staged = staged.select("*", *[digest(F.col(v), family(tag), key, cleaned=True).alias(h)
+                                  for _, (tag, src, v, h) in tmp.items()])
+    outs = {}
+    for out, (tag, src, v, h) in tmp.items():
+        fam = family(tag)
+        hv, vv = F.col(h), F.col(v)
+        if fam == "COORD":
+            fake = jitter_coords(vv, hv)
+        elif fam == "PER":
+            fake = fake_person(hv, canonical(normalize(vv), "PER"))
+        elif fam == "CPF":
+            fake = fake_cpf_inline(hv)
+        else:
+            fake = {"RG": fake_rg, "PLATE": fake_plate, "EMAIL": fake_email, "PHONE": fake_phone,
+                    "IP": fake_ipv4, "CHASSI": fake_vin}.get(fam, fake_word)(hv)
+        if non_null:
+            fake = F.coalesce(fake, F.lit(""))
+        else:
+            fake = F.when(is_blank(F.col(f"`{src}`")), F.col(f"`{src}`")).otherwise(fake)
+        outs[out] = fake
+    cols = [outs[c].alias(c) if c in outs else F.col(f"`{c}`") for c in df.columns]
+    cols += [outs[c].alias(c) for c in outs if c not in df.columns]
+    return staged.select(*cols)
+
+
+def fake_cpf_inline(h: Column) -> Column:
+    """M7 without a lambda, for a digest that is already a column."""
+    e = [hex_byte(h, k) % 10 for k in range(9)]
+    s1 = sum((e[i] * (10 - i) for i in range(9)), F.lit(0))
+    c1 = _check_digit(s1)
+    s2 = sum((e[i] * (11 - i) for i in range(9)), F.lit(0)) + c1 * 2
+    c2 = _check_digit(s2)
+    txt = [x.cast("string") for x in e]
+    return F.concat(txt[0], txt[1], txt[2], F.lit("."), txt[3], txt[4], txt[5], F.lit("."),
+                    txt[6], txt[7], txt[8], F.lit("-"), c1.cast("string"), c2.cast("string"))

@@ -25,8 +25,10 @@ MARKS_CLASS = "[\ue000-\ue002]"
 
 
 def py_strip(c: Column) -> Column:
-    """``str.strip()``: Unicode whitespace at both ends (Spark's trim only drops ' ')."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """``str.strip()``: Unicode whitespace at both ends (Spark's trim only drops ' ').
+    The regex runs only when the first or last character is whitespace."""
+    edge = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
+    return F.when(edge.rlike(r"(?U)\s"), F.regexp_replace(c, r"(?U)^\s+|\s+$", "")).otherwise(c)
 
 
 def is_blank(c: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions import patterns as P
 from ..functions.expr import let
 from ..functions.hashing import MaskKey
-from ..functions.surrogates import MASKABLE_TYPES, surrogate_any, surrogate_for
+from ..functions.surrogates import MASKABLE_TYPES, add_surrogates, surrogate_any, surrogate_for
 from ..functions.text import is_blank
 from . import names as N
 from .spans import (SPANS_FAKE, empty_spans, escape_marks, regex_spans, resolve_overlaps, restore,
@@ -207,17 +207,22 @@ def mask_table(df: DataFrame, policies: Mapping[str, str] | DataFrame, rules=Non
         policies = {r["column"]: r["tag"] for r in policies.select("column", "tag").collect()}
     wanted = set(df.columns if targets is None else targets)
     cast_cols = set(numeric_as_text or [])
-    out = []
+    out, direct = [], {}
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         is_str = isinstance(f.dataType, (T.StringType, T.VarcharType, T.CharType))
         if f.name in wanted and (is_str or f.name in cast_cols):
             src = c if is_str else c.cast("string")
-            out.append(mask_cell(src, policies.get(f.name, FREE_TEXT), rules, key,
-                                 approved_terms).alias(f.name))
+            policy = policies.get(f.name, FREE_TEXT)
+            if policy in DIRECT_POLICIES and rules.on(policy):
+                direct[f.name] = (policy, f.name)       # staged below (codegen path)
+                out.append(src.alias(f.name))
+            else:
+                out.append(mask_cell(src, policy, rules, key, approved_terms).alias(f.name))
         else:
             out.append(c)
-    return df.select(*out)
+    projected = df.select(*out)
+    return add_surrogates(projected, direct, key) if direct else projected
 
 
 def direct_copy(df: DataFrame) -> DataFrame:

@@ -120,10 +120,12 @@ def masked_join(spark, sf_dir) -> DataFrame:
     the unmasked join's."""
     c = heavy(spark, sf_dir, "customer", "c_custkey")
     o = heavy(spark, sf_dir, "orders", "o_orderkey")
-    mc = c.filter(F.col("c_custkey").isNotNull()).select(
-        S.join_key("CPF", cpf_source(F.col("c_custkey")), DEMO_KEY).alias("k"), "c_mktsegment")
-    mo = o.filter(F.col("o_custkey").isNotNull()).select(
-        S.join_key("CPF", cpf_source(F.col("o_custkey")), DEMO_KEY).alias("k"), "o_totalprice")
+    mc = S.add_surrogates(c.filter(F.col("c_custkey").isNotNull())
+                           .select(cpf_source(F.col("c_custkey")).alias("k"), "c_mktsegment"),
+                          {"k": ("CPF", "k")}, DEMO_KEY, non_null=True)
+    mo = S.add_surrogates(o.filter(F.col("o_custkey").isNotNull())
+                           .select(cpf_source(F.col("o_custkey")).alias("k"), "o_totalprice"),
+                          {"k": ("CPF", "k")}, DEMO_KEY, non_null=True)
     return (mo.join(mc, "k").groupBy("c_mktsegment")
               .agg(F.count(F.lit(1)).alias("n_orders"),
                    F.round(F.sum("o_totalprice"), 2).alias("revenue")))

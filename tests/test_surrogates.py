@@ -75,3 +75,15 @@ def test_jitter_moves_every_coordinate(spark, key):
         assert len(a) == len(b)
         assert all(abs(x - y) <= 0.0030001 for x, y in zip(a, b))
         assert r.m != r.v
+
+
+def test_staged_path_equals_column_path(spark, key):
+    vals = [f"{i:011d}" for i in range(0, 500, 3)] + ["João  Silva", "-25.4284,-49.2733", "  ", None]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    tags = ["CPF", "RG", "PLATE", "PHONE", "IP", "CHASSI", "EMAIL", "NOME_SOLTO", "COORD", "OTHER"]
+    staged = S.add_surrogates(df.select("v", *[F.col("v").alias(t) for t in tags]),
+                              {t: (t, t) for t in tags}, key)
+    from sombra.functions.text import is_blank
+    direct = df.select("v", *[F.when(is_blank(F.col("v")), F.col("v"))
+                              .otherwise(S.surrogate_for(t, F.col("v"), key)).alias(t) for t in tags])
+    assert sorted(map(tuple, staged.collect()), key=str) == sorted(map(tuple, direct.collect()), key=str)
