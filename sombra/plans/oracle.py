@@ -464,3 +464,42 @@ def oracle_queries() -> dict[str, str]:  # noqa: F811
     out["audit_email"] = audit_email_sql()
     out["fragment_text"] = fragment_sql()
     return out
+
+
+# VIN: look-arounds are "no ASCII letter or digit next to it", so maximal
+# alphanumeric runs are wrapped in marks instead of digit runs.
+AO, AC = "\ue013", "\ue014"
+CHASSI_RE = (f"{AO}(?:(?i:[A-HJ-NPR-Z0-9])(?:{AC}[\\-{WS}]+{AO})?){{16}}(?i:[A-HJ-NPR-Z0-9]){AC}")
+
+
+def find_chassi_sql() -> str:
+    marked = f"regexp_replace(text, '([A-Za-z0-9]+)', '{AO}\\1{AC}', 'g')"
+    wrapped = f"regexp_replace({marked}, {q(CHASSI_RE)}, '{SO}\\0{SC}', 'g')"
+    fix = lambda v: f"regexp_replace({v}, '[{AO}{AC}]', '', 'g')"
+    return f"""
+WITH m AS (SELECT doc_id, string_split({wrapped}, '{SO}') AS parts FROM documents),
+u AS (SELECT doc_id, unnest(parts) AS p, generate_subscripts(parts, 1) AS idx FROM m),
+w AS (SELECT doc_id, idx, p,
+        COALESCE(SUM(length(regexp_replace(p, '[{SC}{AO}{AC}]', '', 'g'))) OVER (
+          PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+      FROM u)
+SELECT doc_id, CAST(idx - 1 AS INTEGER) AS match_no, CAST(start AS INTEGER) AS start,
+       CAST(start + length({fix("split_part(p, '" + SC + "', 1)")}) AS INTEGER) AS "end",
+       {fix("split_part(p, '" + SC + "', 1)")} AS value
+FROM w WHERE idx > 1"""
+
+
+_base_oracle_queries3 = oracle_queries
+
+
+def oracle_queries() -> dict[str, str]:  # noqa: F811
+    out = _base_oracle_queries3()
+    out["find_chassi"] = find_chassi_sql()
+    # classification decides IGNORAR for every customer column (checked by
+    # classify_columns' own oracle), so the masked table equals the input
+    out["mask_customer"] = "SELECT * FROM customer"
+    from .registry import TABLES
+    parts = [f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows FROM {t}" for t in TABLES]
+    out["table_counts"] = ("WITH per AS (" + " UNION ALL ".join(parts) + ") "
+                           "SELECT * FROM per UNION ALL SELECT '*', SUM(n_rows) FROM per")
+    return out

@@ -286,6 +286,17 @@ def run_speed_30(spark, sf_dir) -> DataFrame:
                            window=30).select("event_id", "user_id", "sum_30", "n_30")
 
 
+def table_counts(spark, sf_dir) -> DataFrame:
+    """A1 + A2: rows per table and the total over all of them."""
+    per = None
+    for t in TABLES:
+        one = table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("n_rows")) \
+                                      .select(F.lit(t).alias("table_name"), "n_rows")
+        per = one if per is None else per.unionByName(one)
+    total = per.agg(F.sum("n_rows").alias("n_rows")).select(F.lit("*").alias("table_name"), "n_rows")
+    return per.unionByName(total)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "find_email": _detector_query("EMAIL"),
     "find_cpf": _detector_query("CPF"),
@@ -330,4 +341,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audit_email": audit_email,
     "audit_by_type": audit_by_type,
     "run_speed_30": run_speed_30,
+    "table_counts": table_counts,
 }
