@@ -155,17 +155,25 @@ def _alternation(words: list[str]) -> str:
     return "|".join(words)
 
 
+def _first_letters(words: list[str]) -> str:
+    """Java-only speedup: a look-ahead on the possible first letters lets the
+    engine skip every other start position at once (same matches)."""
+    return "(?=[" + "".join(sorted({w[0] for w in words})) + "])"
+
+
 def trusted_context_pattern() -> str:
     """Group 1 = the context up to the name, group 2 = the name."""
     return (UNICODE_NOCASE
-            + r"(\b(?:" + _alternation(TRUSTED_CONTEXT_WORDS) + r")\s*[:\-]?\s+)"
+            + r"(" + _first_letters(TRUSTED_CONTEXT_WORDS)
+            + r"\b(?:" + _alternation(TRUSTED_CONTEXT_WORDS) + r")\s*[:\-]?\s+)"
             + "(" + NAME_WORDS + r")\b")
 
 
 def role_context_pattern() -> str:
     """Group 1 = role word and filler, group 2 = the name."""
     return (UNICODE_NOCASE + UNIX_LINES
-            + r"(\b(?:" + _alternation(ROLE_CONTEXT_WORDS) + r")\b" + ROLE_FILLER + r"\s*)"
+            + r"(" + _first_letters(ROLE_CONTEXT_WORDS)
+            + r"\b(?:" + _alternation(ROLE_CONTEXT_WORDS) + r")\b" + ROLE_FILLER + r"\s*)"
             + "(" + NAME_WORDS + r")\b")
 
 

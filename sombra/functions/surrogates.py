@@ -83,12 +83,42 @@ def _pick(words: list[str], idx: Column) -> Column:
     return F.element_at(arr, (idx % len(words)) + 1)
 
 
-def _digit(h: Column, k: int) -> Column:
-    return (hex_byte(h, k) % 10).cast("string")
+# A fake reads digest bytes through an accessor ``byte(k) -> Column`` (k may be
+# a Column).  Top-level columns read them straight from the hex digest (plain
+# expressions, whole-stage codegen); spans inside a lambda decode the digest
+# once into an int array and index it.
 
+def hex_bytes(h: Column):
+    return lambda k: hex_byte(h, k)
 
-def _letter(h: Column, k: int) -> Column:
-    return F.substr(F.lit(LETTERS), (hex_byte(h, k) % 26) + 1, F.lit(1))
+
+def array_bytes(b: Column):
+    return lambda k: F.element_at(b, (F.lit(k) if not isinstance(k, Column) else k) + 1)
+
+
+def byte_array(h: Column) -> Column:
+    """The 32 digest bytes as array<int>, decoded once: five 7-byte chunks are
+    parsed as integers and the bytes shifted out of them."""
+    chunks = F.array(*[F.conv(F.rpad(F.substring(h, 14 * j + 1, 14), 14, "0"), 16, 10).cast("bigint")
+                       for j in range(5)])
+
+    def split(c: Column) -> Column:
+        return F.array(*[F.shiftright(F.element_at(c, k // 7 + 1), 8 * (6 - k % 7))
+                         .bitwiseAND(F.lit(255)).cast("int") for k in range(32)])
+
+    return let(chunks, split)
+
+
+def _word(byte, k) -> Column:
+    return byte(k) * 256 + byte(k + 1 if not isinstance(k, Column) else k + F.lit(1))
+
+
+def _digit(byte, k: int) -> Column:
+    return (byte(k) % 10).cast("string")
+
+
+def _letter(byte, k: int) -> Column:
+    return F.substr(F.lit(LETTERS), (byte(k) % 26) + 1, F.lit(1))
 
 
 def _check_digit(total: Column) -> Column:
@@ -96,40 +126,38 @@ def _check_digit(total: Column) -> Column:
     return ((F.lit(11) - total % 11) % 11) % 10
 
 
-def fake_cpf(h: Column) -> Column:
-    """M7: formatted CPF with valid check digits (digits bound once)."""
-    def fmt(d: Column) -> Column:
-        e = [F.element_at(d, k + 1) for k in range(9)]
-        s1 = sum((e[i] * (10 - i) for i in range(9)), F.lit(0))
-        c1 = _check_digit(s1)
-        s2 = sum((e[i] * (11 - i) for i in range(9)), F.lit(0)) + c1 * 2
-        c2 = _check_digit(s2)
-        txt = [x.cast("string") for x in e]
-        return F.concat(txt[0], txt[1], txt[2], F.lit("."), txt[3], txt[4], txt[5], F.lit("."),
-                        txt[6], txt[7], txt[8], F.lit("-"), c1.cast("string"), c2.cast("string"))
-    return let(F.array(*[hex_byte(h, k) % 10 for k in range(9)]), fmt)
+def fake_cpf(byte) -> Column:
+    """M7: formatted CPF with valid check digits."""
+    e = [byte(k) % 10 for k in range(9)]
+    s1 = sum((e[i] * (10 - i) for i in range(9)), F.lit(0))
+    c1 = _check_digit(s1)
+    s2 = sum((e[i] * (11 - i) for i in range(9)), F.lit(0)) + c1 * 2
+    c2 = _check_digit(s2)
+    txt = [x.cast("string") for x in e]
+    return F.concat(txt[0], txt[1], txt[2], F.lit("."), txt[3], txt[4], txt[5], F.lit("."),
+                    txt[6], txt[7], txt[8], F.lit("-"), c1.cast("string"), c2.cast("string"))
 
 
-def fake_rg(h: Column) -> Column:
+def fake_rg(byte) -> Column:
     """M8: ``##.###.###-#``."""
-    d = [_digit(h, k) for k in range(9)]
+    d = [_digit(byte, k) for k in range(9)]
     return F.concat(d[0], d[1], F.lit("."), d[2], d[3], d[4], F.lit("."),
                     d[5], d[6], d[7], F.lit("-"), d[8])
 
 
-def fake_plate(h: Column) -> Column:
+def fake_plate(byte) -> Column:
     """M9: old ``LLL-NNNN`` or Mercosur ``LLLNLNN`` plate."""
-    l1, l2, l3, l4 = (_letter(h, k) for k in (0, 1, 2, 3))
-    n = [_digit(h, k) for k in (4, 5, 6, 7)]
+    l1, l2, l3, l4 = (_letter(byte, k) for k in (0, 1, 2, 3))
+    n = [_digit(byte, k) for k in (4, 5, 6, 7)]
     old = F.concat(l1, l2, l3, F.lit("-"), n[0], n[1], n[2], n[3])
     new = F.concat(l1, l2, l3, n[0], l4, n[1], n[2])
-    return F.when(hex_byte(h, 8) % 2 == 0, old).otherwise(new)
+    return F.when(byte(8) % 2 == 0, old).otherwise(new)
 
 
-def fake_person(h: Column, real_norm: Column | None = None) -> Column:
+def fake_person(byte, real_norm: Column | None = None) -> Column:
     """M6: ``FIRST LAST``; if the surname equals the real one, take the next."""
-    first = _pick(FIRST_NAMES, hex_word(h, 0))
-    last_idx = hex_word(h, 2)
+    first = _pick(FIRST_NAMES, _word(byte, 0))
+    last_idx = _word(byte, 2)
     last = _pick(LAST_NAMES, last_idx)
     if real_norm is not None:
         real_last = F.element_at(F.split(real_norm, r"(?U)\s+"), -1)
@@ -137,39 +165,38 @@ def fake_person(h: Column, real_norm: Column | None = None) -> Column:
     return F.concat(first, F.lit(" "), last)
 
 
-def fake_email(h: Column) -> Column:
+def fake_email(byte) -> Column:
     """Lower-case ``first.lastNN@example.com``."""
-    first = _pick(FIRST_NAMES, hex_word(h, 0))
-    last = _pick(LAST_NAMES, hex_word(h, 2))
-    return F.lower(F.concat(first, F.lit("."), last, _digit(h, 4), _digit(h, 5),
+    first = _pick(FIRST_NAMES, _word(byte, 0))
+    last = _pick(LAST_NAMES, _word(byte, 2))
+    return F.lower(F.concat(first, F.lit("."), last, _digit(byte, 4), _digit(byte, 5),
                             F.lit("@" + EMAIL_DOMAIN)))
 
 
-def fake_phone(h: Column) -> Column:
+def fake_phone(byte) -> Column:
     """``(AA) 9NNNN-NNNN`` with an area code 11..99."""
-    area = (hex_byte(h, 0) % 89 + 11).cast("string")
-    d = [_digit(h, k) for k in range(1, 9)]
+    area = (byte(0) % 89 + 11).cast("string")
+    d = [_digit(byte, k) for k in range(1, 9)]
     return F.concat(F.lit("("), area, F.lit(") 9"), d[0], d[1], d[2], d[3],
                     F.lit("-"), d[4], d[5], d[6], d[7])
 
 
-def fake_ipv4(h: Column) -> Column:
+def fake_ipv4(byte) -> Column:
     """Four digest bytes."""
-    return F.concat_ws(".", *[hex_byte(h, k).cast("string") for k in range(4)])
+    return F.concat_ws(".", *[byte(k).cast("string") for k in range(4)])
 
 
-def fake_vin(h: Column) -> Column:
+def fake_vin(byte) -> Column:
     """17 draws from the VIN alphabet."""
-    return F.concat(*[F.substr(F.lit(VIN_ALPHABET), hex_byte(h, k) % 33 + 1, F.lit(1))
-                      for k in range(17)])
+    return F.concat(*[F.substr(F.lit(VIN_ALPHABET), byte(k) % 33 + 1, F.lit(1)) for k in range(17)])
 
 
-def fake_word(h: Column) -> Column:
+def fake_word(byte) -> Column:
     """One upper-case word."""
-    return _pick(WORDS, hex_word(h, 0))
+    return _pick(WORDS, _word(byte, 0))
 
 
-def jitter_coords(value: Column, h: Column) -> Column:
+def jitter_coords(value: Column, byte) -> Column:
     """M5: every number with >= 3 decimals moves by at most 0.003, 6 decimals.
 
     The n-th number uses digest bytes 2n..2n+1, so two numbers in one value
@@ -182,47 +209,68 @@ def jitter_coords(value: Column, h: Column) -> Column:
         num = F.substring_index(p, MARK_CLOSE, 1)
         tail = F.substring_index(p, MARK_CLOSE, -1)
         x = F.regexp_replace(num, ",", ".").cast("decimal(12,6)")
-        micro = hex_word(h, (i * 2) % 30) % (2 * P.JITTER_MICRODEG + 1) - P.JITTER_MICRODEG
+        micro = _word(byte, (i * 2) % 30) % (2 * P.JITTER_MICRODEG + 1) - P.JITTER_MICRODEG
         moved = (x + (micro.cast("decimal(12,0)") / F.lit(1000000))).cast("decimal(12,6)")
         return F.when(i == 0, p).otherwise(F.concat(moved.cast("string"), tail))
 
     return F.array_join(F.transform(parts, jit), "")
 
 
+SHAPES = {"CPF": fake_cpf, "RG": fake_rg, "PLATE": fake_plate, "EMAIL": fake_email,
+          "PHONE": fake_phone, "IP": fake_ipv4, "CHASSI": fake_vin}
+
+
+def _fake(fam: str, byte, v: Column) -> Column:
+    if fam == "COORD":
+        return jitter_coords(v, byte)
+    if fam == "PER":
+        return fake_person(byte, canonical(normalize(v), "PER"))
+    return SHAPES.get(fam, fake_word)(byte)
+
+
 def surrogate_for(tag: str, value: Column, key: MaskKey, cleaned: bool = False) -> Column:
     """Surrogate of ``value`` for a tag known when the plan is built.
 
-    The cleaned value and its digest are bound once (``let``): each fake
-    reads many digest bytes, and an inlined digest would be recomputed for
-    every one of them.
+    The cleaned value and the decoded digest bytes are bound once (``let``).
     """
     fam = family(tag)
     v0 = value if cleaned else clean_value(value)
+    return let(v0, lambda v: let(byte_array(digest(v, fam, key, cleaned=True)),
+                                 lambda b: _fake(fam, array_bytes(b), v)))
 
-    def with_value(v: Column) -> Column:
-        def with_digest(h: Column) -> Column:
-            if fam == "COORD":
-                return jitter_coords(v, h)
-            if fam == "PER":
-                return fake_person(h, canonical(normalize(v), "PER"))
-            return {
-                "CPF": fake_cpf, "RG": fake_rg, "PLATE": fake_plate, "EMAIL": fake_email,
-                "PHONE": fake_phone, "IP": fake_ipv4, "CHASSI": fake_vin,
-            }.get(fam, fake_word)(h)
-        return let(digest(v, fam, key, cleaned=True), with_digest)
 
-    return let(v0, with_value)
+def _canonical_any(norm: Column, tag: Column) -> tuple[Column, Column]:
+    """(family, canonical form) for a tag known only per row."""
+    fam_expr = F.coalesce(F.element_at(F.create_map(*[a for t, f in FAMILY.items()
+                                                      for a in (F.lit(t), F.lit(f))]), tag),
+                          F.lit("WORD"))
+    canon = (F.when(fam_expr.isin("CPF", "RG", "PHONE", "PLATE", "CHASSI"),
+                    F.regexp_replace(norm, "[^0-9A-Z]", ""))
+             .when(fam_expr == "IP", F.regexp_replace(norm, "[^0-9]+", "."))
+             .when(fam_expr == "PER", F.regexp_replace(norm, r"(?U)\s+", " "))
+             .otherwise(norm))
+    return fam_expr, canon
 
 
 def surrogate_any(tag: Column, value: Column, key: MaskKey, tags: list[str]) -> Column:
-    """Surrogate for a tag known only per row (spans in free text)."""
-    if not tags:
-        return surrogate_for("WORD", value, key)
-    out = None
-    for t in tags:
-        branch = surrogate_for(t, value, key)
-        out = F.when(tag == t, branch) if out is None else out.when(tag == t, branch)
-    return out.otherwise(surrogate_for("WORD", value, key))
+    """Surrogate for a tag known only per row (spans in free text): one digest
+    per span, decoded once, then the shape of the span's type."""
+    fams = sorted({family(t) for t in tags} | {"WORD"})
+
+    def with_value(v: Column) -> Column:
+        fam, canon = _canonical_any(normalize(v), tag)
+        msg = F.concat(fam, F.lit(":"), canon)
+
+        def with_bytes(b: Column) -> Column:
+            byte = array_bytes(b)
+            out = None
+            for f in fams:
+                branch = _fake(f, byte, v)
+                out = F.when(fam == f, branch) if out is None else out.when(fam == f, branch)
+            return out.otherwise(fake_word(byte))
+        return let(byte_array(hmac_hex(msg, key)), with_bytes)
+
+    return let(clean_value(value), with_value)
 
 
 def join_key(tag: str, value: Column, key: MaskKey) -> Column:
@@ -254,17 +302,7 @@ def add_surrogates(df, specs: dict, key: MaskKey, non_null: bool = False):
                                   for _, (tag, src, v, h) in tmp.items()])
     outs = {}
     for out, (tag, src, v, h) in tmp.items():
-        fam = family(tag)
-        hv, vv = F.col(h), F.col(v)
-        if fam == "COORD":
-            fake = jitter_coords(vv, hv)
-        elif fam == "PER":
-            fake = fake_person(hv, canonical(normalize(vv), "PER"))
-        elif fam == "CPF":
-            fake = fake_cpf_inline(hv)
-        else:
-            fake = {"RG": fake_rg, "PLATE": fake_plate, "EMAIL": fake_email, "PHONE": fake_phone,
-                    "IP": fake_ipv4, "CHASSI": fake_vin}.get(fam, fake_word)(hv)
+        fake = _fake(family(tag), hex_bytes(F.col(h)), F.col(v))
         if non_null:
             fake = F.coalesce(fake, F.lit(""))
         else:
@@ -273,15 +311,3 @@ def add_surrogates(df, specs: dict, key: MaskKey, non_null: bool = False):
     cols = [outs[c].alias(c) if c in outs else F.col(f"`{c}`") for c in df.columns]
     cols += [outs[c].alias(c) for c in outs if c not in df.columns]
     return staged.select(*cols)
-
-
-def fake_cpf_inline(h: Column) -> Column:
-    """M7 without a lambda, for a digest that is already a column."""
-    e = [hex_byte(h, k) % 10 for k in range(9)]
-    s1 = sum((e[i] * (10 - i) for i in range(9)), F.lit(0))
-    c1 = _check_digit(s1)
-    s2 = sum((e[i] * (11 - i) for i in range(9)), F.lit(0)) + c1 * 2
-    c2 = _check_digit(s2)
-    txt = [x.cast("string") for x in e]
-    return F.concat(txt[0], txt[1], txt[2], F.lit("."), txt[3], txt[4], txt[5], F.lit("."),
-                    txt[6], txt[7], txt[8], F.lit("-"), c1.cast("string"), c2.cast("string"))

@@ -29,7 +29,7 @@ FREE_TEXT = "TEXTO_LIVRE"
 DIRECT_POLICIES = ["NOME_SOLTO", "COORD", "COORD_SINGLE", "PLACA", "CPF", "RG", "EMAIL",
                    "PLATE", "PHONE", "IP", "CHASSI"]
 TEXT_TYPES = ["CPF", "IP", "RG", "EMAIL", "PLATE", "PHONE", "CHASSI", "COORD", "COORD_SINGLE"]
-DIGIT_TYPES = {"CPF", "IP", "RG", "PHONE", "COORD", "COORD_SINGLE"}
+DIGIT_TYPES = {"CPF", "IP", "RG", "PHONE", "PLATE", "COORD", "COORD_SINGLE"}   # need a digit
 
 
 @dataclass(frozen=True)

@@ -131,14 +131,16 @@ def splice(text: Column, spans: Column, fake_field: str = "fake") -> Column:
 # ---------------------------------------------------------------------------
 
 def shield_tags(text: Column) -> Column:
-    """Markup tags of ``text`` in order (array<string>)."""
-    return F.regexp_extract_all(text, F.lit(P.TAG_PATTERN), 0)
+    """Markup tags of ``text`` in order (array<string>); no '<', no scan."""
+    return F.when(text.contains("<"), F.regexp_extract_all(text, F.lit(P.TAG_PATTERN), 0)) \
+            .otherwise(F.array().cast("array<string>"))
 
 
 def shield(text: Column) -> Column:
     """Each tag becomes `` MARK_TAG `` so detectors see a word break there and
     never match inside markup."""
-    return F.regexp_replace(text, P.TAG_PATTERN, " " + MARK_TAG + " ")
+    return F.when(text.contains("<"), F.regexp_replace(text, P.TAG_PATTERN, " " + MARK_TAG + " ")) \
+            .otherwise(text)
 
 
 def restore(masked: Column, tags: Column) -> Column:

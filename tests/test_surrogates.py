@@ -87,3 +87,11 @@ def test_staged_path_equals_column_path(spark, key):
     direct = df.select("v", *[F.when(is_blank(F.col("v")), F.col("v"))
                               .otherwise(S.surrogate_for(t, F.col("v"), key)).alias(t) for t in tags])
     assert sorted(map(tuple, staged.collect()), key=str) == sorted(map(tuple, direct.collect()), key=str)
+
+
+def test_byte_array_decodes_digest(spark):
+    import hashlib
+    hs = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(100)]
+    df = spark.createDataFrame([(h,) for h in hs], "h string")
+    got = [r.b for r in df.select(S.byte_array(F.col("h")).alias("b")).collect()]
+    assert got == [list(bytes.fromhex(h)) for h in hs]
