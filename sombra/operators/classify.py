@@ -27,6 +27,7 @@ from ..functions.text import py_strip, word_count
 from ..session import ensure_checkpoint_dir
 
 HASH_DIGITS = 15                      # 60 bits of md5 as a bigint
+SMALL_INPUT_BYTES = 256 * 1024 * 1024  # below this (plan estimate) skip the HLL pass
 HASH_SPACE = 16 ** HASH_DIGITS
 OVERSAMPLE = 8
 
@@ -51,6 +52,14 @@ def name_is_ignored(column: str) -> bool:
     return any(p in P.IGNORE_NAME_PARTS for p in name_parts(column))
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (from file sizes; no job runs)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - unknown size: take the scalable path
+        return SMALL_INPUT_BYTES + 1
+
+
 def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, (T.StringType, T.VarcharType, T.CharType))]
@@ -167,15 +176,15 @@ def score_columns(samples: DataFrame, columns: list[tuple[str, str]]) -> DataFra
             .otherwise("IGNORAR"))
     confidence = (F.when(F.col("gps_share") >= P.GPS_SHARE, F.col("gps_share"))
                   .otherwise(F.coalesce(conf, F.lit(0.0))))
-    scored = agg.select("table", "column", tag.alias("tag"),
-                        F.round(confidence, 6).alias("confidence"), F.col("n").alias("n_samples"))
     # C11: columns with no usable sample are free text with n_samples = 0
-    spark = samples.sparkSession
-    every = spark.createDataFrame(columns, "table string, column string")
-    empty = (every.join(scored.select("table", "column"), ["table", "column"], "left_anti")
-             .select("table", "column", F.lit("TEXTO_LIVRE").alias("tag"),
-                     F.lit(0.0).alias("confidence"), F.lit(0).alias("n_samples")))
-    return scored.unionByName(empty)
+    # (one row per column on both sides of this join)
+    every = samples.sparkSession.createDataFrame(columns, "table string, column string")
+    joined = every.join(agg, ["table", "column"], "left")
+    has = F.col("n").isNotNull()
+    return joined.select("table", "column",
+                         F.when(has, tag).otherwise(F.lit("TEXTO_LIVRE")).alias("tag"),
+                         F.when(has, F.round(confidence, 6)).otherwise(F.lit(0.0)).alias("confidence"),
+                         F.coalesce(F.col("n"), F.lit(0)).alias("n_samples"))
 
 
 def classify_tables(frames: dict[str, DataFrame], columns: dict[str, list[str]] | None = None,
@@ -203,11 +212,15 @@ def classify_tables(frames: dict[str, DataFrame], columns: dict[str, list[str]]
     for x in longs[1:]:
         long = long.unionByName(x)
 
-    ndv = {(r["table"], r["column"]): r["ndv"] for r in
-           long.groupBy("table", "column").agg(F.approx_count_distinct("value").alias("ndv")).collect()}
-    thresholds = {p: min(HASH_SPACE, int(HASH_SPACE * OVERSAMPLE * k / max(ndv.get(p, 0), 1)))
-                  for p in pairs}
-    cut = {p for p, th in thresholds.items() if th < HASH_SPACE}
+    if estimated_bytes(long) <= SMALL_INPUT_BYTES:
+        # small input: ranking every distinct value is cheaper than a second scan
+        thresholds, cut = None, set()
+    else:
+        ndv = {(r["table"], r["column"]): r["ndv"] for r in
+               long.groupBy("table", "column").agg(F.approx_count_distinct("value").alias("ndv")).collect()}
+        thresholds = {p: min(HASH_SPACE, int(HASH_SPACE * OVERSAMPLE * k / max(ndv.get(p, 0), 1)))
+                      for p in pairs}
+        cut = {p for p, th in thresholds.items() if th < HASH_SPACE}
     # the sample is small (<= k rows per column): cut its lineage once so the
     # count check and the scoring do not scan the tables again
     ensure_checkpoint_dir(spark)
