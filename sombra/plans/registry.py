@@ -163,6 +163,31 @@ def candidate_terms(spark, sf_dir) -> DataFrame:
     return N.candidate_terms(d.unionByName(c), "text")
 
 
+def _rule_scorer(terms):
+    """Stand-in adjudicator (F2): a term is a person when it has two to four
+    words and every word is alphabetic.  Runs per Arrow batch."""
+    import pandas as pd
+    words = terms.str.split()
+    return words.map(lambda ws: 2 <= len(ws) <= 4 and all(w.isalpha() for w in ws)).astype(bool) \
+        if len(terms) else pd.Series([], dtype=bool)
+
+
+def name_verdict_semi(spark, sf_dir) -> DataFrame:
+    """D18 + J3: distinct candidate terms, adjudicated with mapInPandas, kept
+    when the verdict approves them (left-semi join on the term)."""
+    cands = candidate_terms(spark, sf_dir)
+    verdicts = N.adjudicate(cands, _rule_scorer)
+    return N.verdict_terms(cands, verdicts)
+
+
+def name_trusted_anti(spark, sf_dir) -> DataFrame:
+    """Per document, suspect names that are not already trusted there."""
+    docs = heavy(spark, sf_dir, "documents", "doc_id", ["doc_id", "text"])
+    t = F.col("text")
+    sus = N.approved_suspects(N.suspect_names(t), N.trusted_names(t), None, approve_all=True)
+    return docs.select("doc_id", F.inline(sus)).select("doc_id", "start", "value")
+
+
 def upper_runs(spark, sf_dir) -> DataFrame:
     """D13 + D15 + D17: upper-case name candidates per document."""
     docs = heavy(spark, sf_dir, "documents", "doc_id", ["doc_id", "text"])
@@ -327,6 +352,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "strip_shield_roundtrip": strip_shield_roundtrip,
     "candidate_terms": candidate_terms,
     "upper_runs": upper_runs,
+    "name_verdict_semi": name_verdict_semi,
+    "name_trusted_anti": name_trusted_anti,
     "fragment_text": fragment_text,
     "mask_long_documents": mask_long_documents,
     "stitch_pages": stitch_pages,

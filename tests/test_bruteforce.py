@@ -104,3 +104,17 @@ def test_mask_documents_hides_findings(spark, docs):
             for m in RAW[tag].finditer(t):
                 if len(m.group()) > 8:
                     assert m.group() not in masked[d], (d, tag)
+
+
+def test_name_trusted_anti_and_verdicts(spark, docs):
+    got = rows(R.QUERIES["name_trusted_anti"](spark, SF), ["doc_id", "start", "value"])
+    want = []
+    for d, t in docs.items():
+        if not t:
+            continue
+        trusted, sus = name_candidates(t)
+        want += [(d, s, v) for s, v in sus if v not in trusted and len(v.split()) >= 2]
+    assert got == sorted(want)
+    approved = {r.term_key for r in R.QUERIES["name_verdict_semi"](spark, SF).collect()}
+    cands = {r.term_key for r in R.QUERIES["candidate_terms"](spark, SF).collect()}
+    assert approved == {c for c in cands if 2 <= len(c.split()) <= 4 and all(w.isalpha() for w in c.split())}
