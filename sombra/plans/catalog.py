@@ -51,16 +51,19 @@ def fk_edges(spark: SparkSession, edges: list[tuple[str, str, str, str]],
 def orphan_counts(frames: dict[str, DataFrame], edges: DataFrame) -> DataFrame:
     """Per FK edge, child rows whose (masked) key has no parent row.
 
-    One left-anti join per edge; the edge list is metadata (tiny), so it is
-    collected to build the plan.  Parent keys are de-duplicated first so the
-    anti-join's build side is the set of distinct keys.
+    One left-anti join per edge between the distinct child keys (with their
+    row counts) and the distinct parent keys; the edge list is metadata
+    (tiny), so it is collected to build the plan.
     """
     out = None
     for r in edges.orderBy("child", "parent", "child_col").collect():
-        child = frames[r["child"]].select(F.col(r["child_col"]).alias("k"))
+        # child keys are counted first (map-side partial aggregation), so a key
+        # that holds a third of the rows reaches the join as a single row
+        child = (frames[r["child"]].select(F.col(r["child_col"]).alias("k"))
+                 .filter(F.col("k").isNotNull()).groupBy("k").agg(F.count(F.lit(1)).alias("n")))
         parent = frames[r["parent"]].select(F.col(r["parent_col"]).alias("k")).distinct()
-        orphans = child.filter(F.col("k").isNotNull()).join(parent, "k", "left_anti")
-        one = orphans.agg(F.count(F.lit(1)).alias("orphans")).select(
+        orphans = child.join(parent, "k", "left_anti")
+        one = orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphans")).select(
             F.lit(r["child"]).alias("child"), F.lit(r["parent"]).alias("parent"),
             F.lit(r["child_col"]).alias("child_col"), "orphans")
         out = one if out is None else out.unionByName(one)
