@@ -118,3 +118,23 @@ def test_name_trusted_anti_and_verdicts(spark, docs):
     approved = {r.term_key for r in R.QUERIES["name_verdict_semi"](spark, SF).collect()}
     cands = {r.term_key for r in R.QUERIES["candidate_terms"](spark, SF).collect()}
     assert approved == {c for c in cands if 2 <= len(c.split()) <= 4 and all(w.isalpha() for w in c.split())}
+
+
+def test_audit_by_type(spark, docs):
+    per = {}
+    for d, t in docs.items():
+        if not t or not t.strip():
+            continue
+        found = [(m.start(), m.end(), m.group(), tag) for tag in ORDER for m in RAW[tag].finditer(t)]
+        found.sort(key=lambda x: (x[0], -(x[1] - x[0])))
+        last = -1
+        for s, e, v, tag in found:
+            if s >= last:
+                spans, cells, values = per.setdefault(tag, [0, set(), set()])
+                per[tag][0] += 1
+                cells.add(t)          # the query counts distinct cell texts
+                values.add(v)
+                last = e
+    want = sorted((tag, n, len(c), len(v)) for tag, (n, c, v) in per.items())
+    got = rows(R.QUERIES["audit_by_type"](spark, SF), ["type", "n_spans", "n_cells", "n_distinct"])
+    assert got == want
