@@ -103,19 +103,34 @@ def row_signature(df: DataFrame) -> Column:
 
 
 def split_rejects(df: DataFrame, max_lengths: dict[str, int] | None = None,
-                  required: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+                  required: list[str] | None = None,
+                  unique_key: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """K4: rows that would fail the target's checks go to a quarantine frame
-    (with signature and reason) instead of being written or dropped silently."""
+    (with signature and reason) instead of being written or dropped silently.
+
+    With ``unique_key``, every row after the first of a key is rejected as a
+    duplicate, as the target's primary key would; "first" is the smallest row
+    signature, so the choice does not depend on partitioning.  The window
+    streams each key's rows (``row_number``), so a hot key needs no memory
+    beyond its sort.
+    """
     reasons = []
+    if unique_key:
+        from pyspark.sql import Window
+        sig = F.sha2(F.to_json(F.struct(*[F.col(c) for c in df.columns])), 256)
+        w = Window.partitionBy(*[F.col(c) for c in unique_key]).orderBy(sig)
+        df = df.withColumn("_dup", F.row_number().over(w) > 1)
+        reasons.append(F.when(F.col("_dup"), F.lit("duplicate key")))
     for c, n in (max_lengths or {}).items():
         reasons.append(F.when(F.length(c) > n, F.lit(f"{c} longer than {n}")))
     for c in required or []:
         reasons.append(F.when(F.col(c).isNull(), F.lit(f"{c} is null")))
     reason = F.concat_ws("; ", *reasons) if reasons else F.lit("")
-    tagged = df.withColumn("_reason", reason)
+    base = [c for c in df.columns if c != "_dup"]
+    tagged = df.withColumn("_reason", reason).drop("_dup")
     accepted = tagged.filter(F.col("_reason") == "").drop("_reason")
     rejected = (tagged.filter(F.col("_reason") != "")
-                .withColumn("_signature", row_signature(df))
+                .withColumn("_signature", row_signature(tagged.select(*base)))
                 .withColumnRenamed("_reason", "reason").withColumnRenamed("_signature", "signature"))
     return accepted, rejected
 

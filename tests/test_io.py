@@ -94,3 +94,27 @@ def test_copy_mode_is_identity(spark, key):
     df = spark.createDataFrame([(1, "a@b.com")], "id int, e string")
     out, pol = plan_tables({"t": df}, mode="copy")
     assert pol is None and out["t"].collect() == df.collect()
+
+
+def test_duplicate_keys_rejected(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id int, v string")
+    acc, rej = FS.split_rejects(df, unique_key=["id"])
+    assert sorted(r.id for r in acc.collect()) == [1, 2]
+    assert [(r.id, r.reason) for r in rej.collect()] == [(1, "duplicate key")]
+    assert acc.columns == ["id", "v"]
+
+
+def test_mask_csv_job(spark, key):
+    from sombra.plans.database import mask_csv_files
+    d = scratch()
+    src = os.path.join(d, "in.csv")
+    with open(src, "w", encoding="utf-8") as f:
+        f.write("id;email;obs\n")
+        for i in range(30):
+            f.write(f"{i:03d};user{i}@example.com;Texto {i}. Com frase\n")
+    out_dir = os.path.join(d, "out")
+    mask_csv_files(spark, src, out_dir, key, ignored=["id"])
+    out = spark.read.option("header", True).csv(out_dir)
+    rows = {r.id: r for r in out.collect()}
+    assert len(rows) == 30 and "000" in rows
+    assert all("@example.com" in r.email and not r.email.startswith("user") for r in rows.values())
