@@ -66,10 +66,13 @@ def _options(url: str, props: dict | None) -> dict:
 
 
 def read_table(spark: SparkSession, url: str, table: str, props: dict | None = None,
-               partition_column: str | None = None, num_partitions: int = 8,
+               partition_column: str | None = None, num_partitions: int | None = None,
                fetch_size: int = 1000, temporal_as_text: bool = False) -> DataFrame:
     """S1 (+S2): full-table read, paged by ``fetchsize``, split into
-    ``num_partitions`` range reads on ``partition_column`` when given."""
+    ``num_partitions`` range reads on ``partition_column`` when given
+    (default: the session's parallelism, so every core reads a range)."""
+    if num_partitions is None:
+        num_partitions = spark.sparkContext.defaultParallelism
     r = spark.read.format("jdbc").options(**_options(url, props)).option("dbtable", table) \
              .option("fetchsize", fetch_size)
     if partition_column:
