@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions.text import normalize, word_count
+from ..session import ship_package
 from .spans import SPANS, regex_spans
 
 PRIO_TRUSTED = P.SPAN_ORDER.index("PER_TRUSTED")
@@ -68,6 +69,7 @@ def recognise(df: DataFrame, text_col: str, recogniser: Callable[[str], list[str
     or all lower case and strips edge punctuation, like the reference.
     """
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out_col, T.ArrayType(T.StringType()))])
+    ship_package(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -124,6 +126,8 @@ def adjudicate(candidates: DataFrame,
     A scorer failure fails the task (and the job): nothing is approved by
     accident and nothing unmasked is written (SURVEY Q1).
     """
+    ship_package(candidates.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ok = scorer(b["term_key"]).astype(bool).to_numpy()
