@@ -24,6 +24,7 @@ HEADLINE = [
     ("classify_columns", None),
     ("mask_customer", "customer"),
     ("masked_join", "orders"),
+    ("mask_orders_cpf", "orders"),
     ("mask_documents", "documents"),
     ("mask_long_documents", "documents"),
     ("find_all_pii", "documents"),

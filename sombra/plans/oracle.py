@@ -495,6 +495,9 @@ _base_oracle_queries3 = oracle_queries
 def oracle_queries() -> dict[str, str]:  # noqa: F811
     out = _base_oracle_queries3()
     out["find_chassi"] = find_chassi_sql()
+    src = cpf_source("o_custkey")
+    out["mask_orders_cpf"] = (f"SELECT o_orderkey, {surrogate('CPF', src)} AS cpf, o_orderstatus, "
+                              f"o_totalprice FROM orders")
     # classification decides IGNORAR for every customer column (checked by
     # classify_columns' own oracle), so the masked table equals the input
     out["mask_customer"] = "SELECT * FROM customer"

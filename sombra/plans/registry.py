@@ -313,6 +313,16 @@ def run_speed_30(spark, sf_dir) -> DataFrame:
                            window=30).select("event_id", "user_id", "sum_30", "n_30")
 
 
+def mask_orders_cpf(spark, sf_dir) -> DataFrame:
+    """D24 with direct-swap policies: each order carries its customer's CPF
+    (derived from the key); ``mask_table`` swaps it by policy, keeps the
+    status as is (IGNORAR) and leaves non-string columns untouched."""
+    o = heavy(spark, sf_dir, "orders", "o_orderkey")
+    src = o.select("o_orderkey", cpf_source(F.col("o_custkey")).alias("cpf"), "o_orderstatus",
+                   "o_totalprice")
+    return mask_table(src, {"cpf": "CPF", "o_orderstatus": "IGNORAR"}, MaskRules(), DEMO_KEY)
+
+
 def table_counts(spark, sf_dir) -> DataFrame:
     """A1 + A2: rows per table and the total over all of them."""
     per = None
@@ -371,4 +381,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audit_by_type": audit_by_type,
     "run_speed_30": run_speed_30,
     "table_counts": table_counts,
+    "mask_orders_cpf": mask_orders_cpf,
 }
