@@ -95,7 +95,7 @@ def detect_spans(text: Column, rules: MaskRules, approved_terms: Column | None =
         if not rules.on(tag):
             continue
         d = P.DETECTORS[tag]
-        s = regex_spans(text, d.pattern, tag, d.prio)
+        s = regex_spans(text, d.pattern, tag, d.prio, marks_checked=True)   # input escaped
         if tag == "CHASSI" and rules.strict:
             s = F.filter(s, lambda x: x["value"].rlike(r"\d"))
         if tag in DIGIT_TYPES:
@@ -105,13 +105,13 @@ def detect_spans(text: Column, rules: MaskRules, approved_terms: Column | None =
         parts.append(s)
     if rules.names:
         def names_of(tr: Column) -> Column:
-            cands = N.suspect_names(text, rules.strict)
+            cands = N.suspect_names(text, rules.strict, marks_checked=True)
             if entity_terms is not None:
-                cands = F.concat(cands, N.entity_spans(text, entity_terms))
+                cands = F.concat(cands, N.entity_spans(text, entity_terms, marks_checked=True))
             sus = N.approved_suspects(cands, tr, approved_terms,
                                       approve_all=rules.unknown_names == "mask")
             return F.concat(tr, sus)
-        parts.append(_let(N.trusted_names(text), names_of))
+        parts.append(_let(N.trusted_names(text, marks_checked=True), names_of))
     if not parts:
         return empty_spans()
     return resolve_overlaps(F.concat(*parts) if len(parts) > 1 else parts[0])

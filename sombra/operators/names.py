@@ -36,18 +36,21 @@ def _keep_candidate(s: Column) -> Column:
         ~normalize(s["value"]).rlike(P.stop_words_pattern())
 
 
-def trusted_names(text: Column) -> Column:
-    spans = regex_spans(text, P.trusted_context_pattern(), "PER", PRIO_TRUSTED, group=True)
+def trusted_names(text: Column, marks_checked: bool = False) -> Column:
+    spans = regex_spans(text, P.trusted_context_pattern(), "PER", PRIO_TRUSTED, group=True,
+                        marks_checked=marks_checked)
     return F.filter(spans, _keep_candidate)
 
 
-def suspect_names(text: Column, strict: bool = False) -> Column:
-    role = regex_spans(text, P.role_context_pattern(), "PER", PRIO_SUSPECT, group=True)
-    run = regex_spans(text, P.upper_run_pattern(strict), "PER", PRIO_SUSPECT)
+def suspect_names(text: Column, strict: bool = False, marks_checked: bool = False) -> Column:
+    role = regex_spans(text, P.role_context_pattern(), "PER", PRIO_SUSPECT, group=True,
+                       marks_checked=marks_checked)
+    run = regex_spans(text, P.upper_run_pattern(strict), "PER", PRIO_SUSPECT,
+                      marks_checked=marks_checked)
     return F.filter(F.concat(role, run), _keep_candidate)
 
 
-def entity_spans(text: Column, terms: Column) -> Column:
+def entity_spans(text: Column, terms: Column, marks_checked: bool = False) -> Column:
     """Every occurrence of the recogniser's names in ``text`` (literal,
     case-sensitive), filtered like the other candidates.  They are suspects:
     masked only when approved."""
@@ -55,7 +58,7 @@ def entity_spans(text: Column, terms: Column) -> Column:
                       & ~t.rlike(r"\d") & ~t.contains(r"\E"))
     pat = F.concat(F.lit("(?U)"), F.array_join(
         F.transform(usable, lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|"))
-    found = regex_spans(text, pat, "PER", PRIO_SUSPECT)
+    found = regex_spans(text, pat, "PER", PRIO_SUSPECT, marks_checked=marks_checked)
     return F.when(F.size(usable) > 0, F.filter(found, _keep_candidate)).otherwise(F.array().cast(SPANS))
 
 

@@ -54,12 +54,23 @@ def unescape_marks(text: Column) -> Column:
     return F.when(text.contains(MARK_SAFE), out).otherwise(text)
 
 
-def regex_spans(text: Column, pattern: str | Column, tag: str, prio: int, group: bool = False) -> Column:
+def regex_spans(text: Column, pattern: str | Column, tag: str, prio: int, group: bool = False,
+                marks_checked: bool = False) -> Column:
     """All non-overlapping matches of ``pattern`` as spans, in text order.
 
     With ``group=True`` the pattern has two groups, (context)(target), and the
-    span covers the target only (D11, D12).
+    span covers the target only (D11, D12).  Unless the caller already
+    escaped the marks (``marks_checked``), a text holding one is matched with
+    a same-width stand-in and its span values are read back from the text.
     """
+    if not marks_checked:
+        has_mark = text.rlike("[" + MARK_OPEN + MARK_CLOSE + "]")
+        stand_in = F.translate(text, MARK_OPEN + MARK_CLOSE, MARK_SAFE + MARK_SAFE)
+        raw = regex_spans(stand_in, pattern, tag, prio, group, marks_checked=True)
+        exact = F.transform(raw, lambda s: s.withField(
+            "value", F.substr(text, s["start"] + 1, s["end"] - s["start"])))
+        return F.when(has_mark, exact).otherwise(
+            regex_spans(text, pattern, tag, prio, group, marks_checked=True))
     repl = ("$1" + MARK_OPEN + "$2" + MARK_CLOSE) if group else (MARK_OPEN + "$0" + MARK_CLOSE)
 
     def from_parts(parts: Column) -> Column:
