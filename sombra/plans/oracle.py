@@ -32,8 +32,13 @@ def strip(x: str) -> str:
     return f"regexp_replace({x}, {q('^[' + WS + ']+|[' + WS + ']+$')}, '', 'g')"
 
 
+def upper(x: str) -> str:
+    """Java's and Python's upper() turn ß into SS; DuckDB's gives ẞ."""
+    return f"upper(replace({x}, 'ß', 'ss'))"
+
+
 def norm(x: str) -> str:
-    return strip(f"upper(strip_accents({x}))")
+    return strip(upper(f"strip_accents({x})"))
 
 
 def clean(x: str) -> str:
@@ -506,3 +511,118 @@ def oracle_queries() -> dict[str, str]:  # noqa: F811
     out["table_counts"] = ("WITH per AS (" + " UNION ALL ".join(parts) + ") "
                            "SELECT * FROM per UNION ALL SELECT '*', SUM(n_rows) FROM per")
     return out
+
+
+# Name candidates (D12, D13, D15, D17).  Unicode \b is rebuilt without
+# look-around: every non-word character is followed by a marker NM, so
+# "boundary before" is "after NM or at the start", and "boundary after"
+# consumes the non-word character but leaves its NM for the next match.
+NM = "\ue020"
+_NONWORD = "[^\\pL\\pN_" + NM + "]"
+_WSM = f"(?:[{WS}]{NM})"
+
+
+def _words_re() -> str:
+    w = "[A-ZÀ-Ÿa-zà-ÿ]{2,20}"
+    return f"{w}(?:{_WSM}+{w}){{1,5}}"
+
+
+def upper_run_re() -> str:
+    up = "[A-ZÀ-Ÿ]{2,}"
+    core = f"{up}(?:{_WSM}+(?:DE|DA|DO|DOS|DAS|E|DI)?{_WSM}*{up}){{1,5}}"
+    return f"(^|{NM})({core})($|{_NONWORD})"
+
+
+def role_re() -> str:
+    from ..functions import patterns as PP
+    words = "|".join(PP.ROLE_CONTEXT_WORDS)
+    pre = f"(?i:(?:^|{NM})(?:{words})(?:$|{_NONWORD})(?:[^\\n]*?[:\\-.)]{NM})?{_WSM}*)"
+    return f"({pre})((?i:{_words_re()}))($|{_NONWORD})"
+
+
+def _name_matches(col: str, pattern: str, id_col: str, table: str) -> str:
+    marked = f"regexp_replace({col}, '([^\\pL\\pN_])', '\\1{NM}', 'g')"
+    wrapped = f"regexp_replace({marked}, {q(pattern)}, '\\1{SO}\\2{SC}\\3', 'g')"
+    return f"""
+SELECT {id_col} AS doc_id, idx, p,
+       COALESCE(SUM(length(regexp_replace(p, '[{SC}{NM}]', '', 'g'))) OVER (
+         PARTITION BY {id_col} ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+FROM (SELECT {id_col}, unnest(parts) AS p, generate_subscripts(parts, 1) AS idx
+      FROM (SELECT {id_col}, string_split({wrapped}, '{SO}') AS parts FROM {table} WHERE {col} IS NOT NULL))"""
+
+
+def _keep(v: str) -> str:
+    from ..functions import patterns as PP
+    stop = "(?i)(^|[^\\pL\\pN_])(?:" + "|".join(PP.STOP_WORDS) + ")($|[^\\pL\\pN_])"
+    return f"(length({v}) >= 3 AND NOT regexp_matches({norm(v)}, {q(stop)}))"
+
+
+def upper_runs_sql() -> str:
+    parts = []
+    for pat in (role_re(), upper_run_re()):
+        parts.append(f"""SELECT doc_id, CAST(start AS INTEGER) AS start,
+       regexp_replace(split_part(p, '{SC}', 1), '{NM}', '', 'g') AS value
+FROM ({_name_matches('text', pat, 'doc_id', 'documents')}) WHERE idx > 1""")
+    u = " UNION ALL ".join(parts)
+    return f"SELECT doc_id, start, value FROM ({u}) WHERE {_keep('value')}"
+
+
+_base_oracle_queries4 = oracle_queries
+
+
+def oracle_queries() -> dict[str, str]:  # noqa: F811
+    out = _base_oracle_queries4()
+    out["upper_runs"] = upper_runs_sql()
+    return out
+
+
+def trusted_re() -> str:
+    from ..functions import patterns as PP
+    words = "|".join(w.replace(" ", f"[{WS}]{NM}") for w in PP.TRUSTED_CONTEXT_WORDS)
+    pre = f"(?i:(?:^|{NM})(?:{words}){_WSM}*(?:[:\\-]{NM})?{_WSM}+)"
+    return f"({pre})((?i:{_words_re()}))($|{_NONWORD})"
+
+
+def _candidates(table: str, id_col: str, col: str) -> str:
+    """(doc_id, start, value, trusted) candidates that pass D15/D17."""
+    parts = []
+    for kind, pat in (("suspect", role_re()), ("suspect", upper_run_re()), ("trusted", trusted_re())):
+        parts.append(f"""SELECT doc_id, CAST(start AS INTEGER) AS start, '{kind}' AS kind,
+       regexp_replace(split_part(p, '{SC}', 1), '{NM}', '', 'g') AS value
+FROM ({_name_matches(col, pat, id_col, table)}) WHERE idx > 1""")
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE {_keep('value')}"
+
+
+def _approvable(table: str, id_col: str, col: str) -> str:
+    """Suspects of >= 2 words not trusted in their own text."""
+    c = _candidates(table, id_col, col)
+    nwords = f"len(regexp_split_to_array({strip('s.value')}, {q('[' + WS + ']+')}))"
+    return f"""
+WITH c AS ({c})
+SELECT s.doc_id, s.start, s.value FROM c s
+WHERE s.kind = 'suspect' AND {nwords} >= 2
+  AND NOT EXISTS (SELECT 1 FROM c t WHERE t.kind = 'trusted' AND t.doc_id = s.doc_id AND t.value = s.value)"""
+
+
+_base_oracle_queries5 = oracle_queries
+
+
+def oracle_queries() -> dict[str, str]:  # noqa: F811
+    out = _base_oracle_queries5()
+    out["name_trusted_anti"] = _approvable("documents", "doc_id", "text")
+    docs = _approvable("documents", "doc_id", "text")
+    conv = _approvable("(SELECT row_number() OVER () AS rid, text FROM conversations)", "rid", "text")
+    out["candidate_terms"] = (f"SELECT DISTINCT {upper('value')} AS term_key FROM ({docs}) "
+                              f"UNION SELECT DISTINCT {upper('value')} AS term_key FROM ({conv})")
+    return out
+
+
+_base_oracle_queries6 = oracle_queries
+
+
+def oracle_queries() -> dict[str, str]:  # noqa: F811
+    out = _base_oracle_queries6()
+    # the registered query's stand-in adjudicator approves 2-4 alphabetic words
+    out["name_verdict_semi"] = (f"SELECT term_key FROM ({out['candidate_terms']}) "
+                                f"WHERE regexp_full_match(term_key, {q('\\pL+(?:[' + WS + ']+\\pL+){1,3}')})")
+    return out
