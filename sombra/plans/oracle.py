@@ -241,7 +241,7 @@ def mask_values_sql(tag: str) -> str:
     return (f"SELECT c_custkey, {src} AS src, {surrogate(tag, src)} AS masked FROM customer")
 
 
-def oracle_queries() -> dict[str, str]:
+def _core_queries() -> dict[str, str]:
     out = {"find_email": find_email_sql()}
     for t, name in [("CPF", "find_cpf"), ("IP", "find_ip"), ("RG", "find_rg"),
                     ("COORD", "find_coord"), ("COORD_SINGLE", "find_coord_single"),
@@ -409,14 +409,6 @@ WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s."table" = p.tbl AND s."column"
 """
 
 
-_base_oracle_queries = oracle_queries
-
-
-def oracle_queries() -> dict[str, str]:  # noqa: F811
-    out = _base_oracle_queries()
-    out["classify_columns"] = classify_sql()
-    return out
-
 
 def audit_email_sql() -> str:
     """A3/A4 for the e-mail profile: e-mails outside markup are the spans."""
@@ -461,15 +453,6 @@ SELECT doc_id, CAST(frag AS INTEGER) AS frag_no, CAST(SUM(plen) AS INTEGER) AS n
 FROM walk GROUP BY doc_id, frag"""
 
 
-_base_oracle_queries2 = oracle_queries
-
-
-def oracle_queries() -> dict[str, str]:  # noqa: F811
-    out = _base_oracle_queries2()
-    out["audit_email"] = audit_email_sql()
-    out["fragment_text"] = fragment_sql()
-    return out
-
 
 # VIN: look-arounds are "no ASCII letter or digit next to it", so maximal
 # alphanumeric runs are wrapped in marks instead of digit runs.
@@ -494,24 +477,6 @@ SELECT doc_id, CAST(idx - 1 AS INTEGER) AS match_no, CAST(start AS INTEGER) AS s
 FROM w WHERE idx > 1"""
 
 
-_base_oracle_queries3 = oracle_queries
-
-
-def oracle_queries() -> dict[str, str]:  # noqa: F811
-    out = _base_oracle_queries3()
-    out["find_chassi"] = find_chassi_sql()
-    src = cpf_source("o_custkey")
-    out["mask_orders_cpf"] = (f"SELECT o_orderkey, {surrogate('CPF', src)} AS cpf, o_orderstatus, "
-                              f"o_totalprice FROM orders")
-    # classification decides IGNORAR for every customer column (checked by
-    # classify_columns' own oracle), so the masked table equals the input
-    out["mask_customer"] = "SELECT * FROM customer"
-    from .registry import TABLES
-    parts = [f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows FROM {t}" for t in TABLES]
-    out["table_counts"] = ("WITH per AS (" + " UNION ALL ".join(parts) + ") "
-                           "SELECT * FROM per UNION ALL SELECT '*', SUM(n_rows) FROM per")
-    return out
-
 
 # Name candidates (D12, D13, D15, D17).  Unicode \b is rebuilt without
 # look-around: every non-word character is followed by a marker NM, so
@@ -567,14 +532,6 @@ FROM ({_name_matches('text', pat, 'doc_id', 'documents')}) WHERE idx > 1""")
     return f"SELECT doc_id, start, value FROM ({u}) WHERE {_keep('value')}"
 
 
-_base_oracle_queries4 = oracle_queries
-
-
-def oracle_queries() -> dict[str, str]:  # noqa: F811
-    out = _base_oracle_queries4()
-    out["upper_runs"] = upper_runs_sql()
-    return out
-
 
 def trusted_re() -> str:
     from ..functions import patterns as PP
@@ -604,24 +561,29 @@ WHERE s.kind = 'suspect' AND {nwords} >= 2
   AND NOT EXISTS (SELECT 1 FROM c t WHERE t.kind = 'trusted' AND t.doc_id = s.doc_id AND t.value = s.value)"""
 
 
-_base_oracle_queries5 = oracle_queries
-
-
-def oracle_queries() -> dict[str, str]:  # noqa: F811
-    out = _base_oracle_queries5()
+def oracle_queries() -> dict[str, str]:
+    """Query name -> DuckDB SQL (the correctness oracle)."""
+    out = _core_queries()
+    out["classify_columns"] = classify_sql()
+    out["audit_email"] = audit_email_sql()
+    out["fragment_text"] = fragment_sql()
+    out["find_chassi"] = find_chassi_sql()
+    src = cpf_source("o_custkey")
+    out["mask_orders_cpf"] = (f"SELECT o_orderkey, {surrogate('CPF', src)} AS cpf, o_orderstatus, "
+                              f"o_totalprice FROM orders")
+    # classification decides IGNORAR for every customer column (checked by
+    # classify_columns' own oracle), so the masked table equals the input
+    out["mask_customer"] = "SELECT * FROM customer"
+    from .registry import TABLES
+    parts = [f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows FROM {t}" for t in TABLES]
+    out["table_counts"] = ("WITH per AS (" + " UNION ALL ".join(parts) + ") "
+                           "SELECT * FROM per UNION ALL SELECT '*', SUM(n_rows) FROM per")
+    out["upper_runs"] = upper_runs_sql()
     out["name_trusted_anti"] = _approvable("documents", "doc_id", "text")
     docs = _approvable("documents", "doc_id", "text")
     conv = _approvable("(SELECT row_number() OVER () AS rid, text FROM conversations)", "rid", "text")
     out["candidate_terms"] = (f"SELECT DISTINCT {upper('value')} AS term_key FROM ({docs}) "
                               f"UNION SELECT DISTINCT {upper('value')} AS term_key FROM ({conv})")
-    return out
-
-
-_base_oracle_queries6 = oracle_queries
-
-
-def oracle_queries() -> dict[str, str]:  # noqa: F811
-    out = _base_oracle_queries6()
     # the registered query's stand-in adjudicator approves 2-4 alphabetic words
     out["name_verdict_semi"] = (f"SELECT term_key FROM ({out['candidate_terms']}) "
                                 f"WHERE regexp_full_match(term_key, {q('\\pL+(?:[' + WS + ']+\\pL+){1,3}')})")
