@@ -47,8 +47,8 @@ _SHIPPED: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``sombra`` importable in Python workers (for ``mapInPandas``
-    hooks): zip the package once per SparkContext and ``addPyFile`` it, which
-    Spark distributes to every executor."""
+    hooks): zip the package once per SparkContext, copy it into the shared
+    ``spark.checkpoint.dir`` and ``addPyFile`` it from there."""
     import os
     import zipfile
 
@@ -65,5 +65,12 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(d, f)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(out)
+    # stage the zip in the shared checkpoint folder the cluster names, so
+    # executors fetch it from shared storage rather than the driver's disk
+    shared = ensure_checkpoint_dir(spark).rstrip("/") + "/sombra-pkg/" + app + "/sombra.zip"
+    jvm = sc._jvm
+    dst = jvm.org.apache.hadoop.fs.Path(shared)
+    fs = dst.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path("file://" + out), dst)
+    sc.addPyFile(dst.toString())
     _SHIPPED.add(app)
