@@ -90,9 +90,10 @@ def moving_window(log: DataFrame, partition: str | None, order: list[str], value
 
 def eta(remaining: Column, speed: Column) -> Column:
     """``h:m:s`` left at ``speed`` rows/s (null when speed is 0)."""
-    secs = F.when(speed > 0, F.floor(remaining / speed)).cast("bigint")
-    return F.format_string("%dh %02dm %02ds", F.floor(secs / 3600).cast("int"),
+    secs = F.floor(remaining / speed).cast("bigint")
+    text = F.format_string("%dh %02dm %02ds", F.floor(secs / 3600).cast("int"),
                            F.floor((secs % 3600) / 60).cast("int"), (secs % 60).cast("int"))
+    return F.when(speed > 0, text)
 
 
 def progress(done: Column, total: Column) -> Column:
