@@ -118,3 +118,13 @@ def test_mask_csv_job(spark, key):
     rows = {r.id: r for r in out.collect()}
     assert len(rows) == 30 and "000" in rows
     assert all("@example.com" in r.email and not r.email.startswith("user") for r in rows.values())
+
+
+def test_urls_and_temporal_text(spark):
+    assert J.build_url("postgresql", "h", 5432, "db") == "jdbc:postgresql://h:5432/db"
+    assert J.build_url("mysql", "h", 3306, "db").startswith("jdbc:mysql://h:3306/db")
+    assert J.build_url("mssql", "h", 1433, "db", trusted=True).endswith(";integratedSecurity=true")
+    assert J.target_database("prod") == "prod_anon" and J.target_database("prod", "x") == "x"
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").limit(3)
+    t = J.temporal_to_text(o)
+    assert dict(t.dtypes)["o_orderdate"] == "string" and dict(t.dtypes)["o_totalprice"] == "double"
