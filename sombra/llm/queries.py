@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, topk
+from . import bpe, jaccard, packing, pii, topk
 from .common import read
 
 
@@ -22,7 +22,7 @@ def span_digest(spans) -> F.Column:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = pii.find_spans(docs, pii.train(docs))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long) as n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(span_digest("base"), 256).alias("base_sha256"),
                         span_digest("spans").alias("spans"),
                         (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
@@ -34,13 +34,17 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"), k=4, pct=85)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_pii": op2_pii, "op5_bpe": op5_bpe, "op7_packing": op7_packing}
+QUERIES = {"op1_topk": op1_topk, "op2_pii": op2_pii, "op5_bpe": op5_bpe, "op6_jaccard": op6_jaccard, "op7_packing": op7_packing}
 
 ORACLE = {
     "op1_topk": """
