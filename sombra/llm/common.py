@@ -93,7 +93,7 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _rng = np.random.Generator(np.random.PCG64(20240611))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(64, np.uint64)
+_POWERS = np.empty(0, np.uint64)
 
 
 def _powers(n: int) -> np.ndarray:
