@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, packing, pii, topk
+from . import bpe, fingerprints, jaccard, packing, pii, topk, toxicity
 from .common import read
 
 
@@ -44,7 +44,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_pii": op2_pii, "op5_bpe": op5_bpe, "op6_jaccard": op6_jaccard, "op7_packing": op7_packing}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_topk": op1_topk, "op2_pii": op2_pii, "op5_bpe": op5_bpe, "op6_jaccard": op6_jaccard, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity,
+           "op9_fingerprints": op9_fingerprints}
 
 ORACLE = {
     "op1_topk": """
