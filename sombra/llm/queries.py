@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard, packing, pii, topk, toxicity
+from . import bpe, fingerprints, jaccard, lm, packing, pii, topk, toxicity
 from .common import read
 
 
@@ -28,6 +28,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(read(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.encode_decode(read(spark, sf_dir, "documents"))
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -53,7 +57,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_pii": op2_pii, "op5_bpe": op5_bpe, "op6_jaccard": op6_jaccard, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity,
+QUERIES = {"op1_topk": op1_topk, "op2_pii": op2_pii, "op3_lm": op3_lm, "op5_bpe": op5_bpe, "op6_jaccard": op6_jaccard, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity,
            "op9_fingerprints": op9_fingerprints}
 
 ORACLE = {
