@@ -119,12 +119,13 @@ def mix64(h: np.ndarray) -> np.ndarray:
 _powers(64)
 
 
-def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of every word; rows are delimited by ``off``."""
+def word_spans(buf: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every word; rows are delimited by ``off``, words by
+    the bytes that ``space`` marks."""
     if not len(buf):
         z = np.empty(0, np.int64)
         return z, z, z
-    solid = ~_SPACE[buf]
+    solid = ~space[buf]
     edge = np.zeros(len(buf) + 1, bool)
     edge[off] = True
     begin, stop = solid.copy(), solid.copy()
@@ -134,14 +135,14 @@ def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s, e, np.searchsorted(off, s, "right") - 1
 
 
-def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, space: np.ndarray = _SPACE) -> np.ndarray:
     """64-bit polynomial hashes of lower-cased words, in one vector pass."""
     if not len(s):
         return np.empty(0, np.uint64)
     low = _LOWER[buf[s[0]:e[-1]]]
     s, e = s - s[0], e - s[0]
     vals = _BYTE[low]
-    vals[_SPACE[low]] = 0
+    vals[space[low]] = 0
     gap = np.diff(s, append=len(low))
     pos = np.arange(len(low)) - np.repeat(s, gap)
     with np.errstate(over="ignore"):

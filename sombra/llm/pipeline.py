@@ -1,11 +1,31 @@
-"""Stage functions of the corpus pipeline (see corpus_pipeline.py)."""
+"""Stage functions of the corpus pipeline (see corpus_pipeline.py).
+
+Each takes (spark, docs, sf_dir) and works on every row of ``docs``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii
+from . import jaccard, packing, pii, toxicity
+from .common import read
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels table, does not
+    call toxic."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8) the
+    document with the smallest id.  Exact repeats of a row stay once; rows
+    without an id cannot be told apart and stay."""
+    groups = jaccard.jaccard_components(docs, k=5, pct=80)
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.select(docs.columns).union(docs.where("doc_id is null"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +41,3 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return (packing.pack(docs)
             .select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                     "sequence_id", "offset"))
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
-
-
-def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError

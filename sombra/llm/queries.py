@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard, lm, packing, pii, topk, toxicity
+from . import bpe, fingerprints, jaccard, licenses, lm, packing, pii, token_counts, topk, toxicity
 from .common import read
 
 
@@ -32,6 +32,10 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(read(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.encode_decode(read(spark, sf_dir, "documents"))
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -57,8 +61,13 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_pii": op2_pii, "op3_lm": op3_lm, "op5_bpe": op5_bpe, "op6_jaccard": op6_jaccard, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity,
-           "op9_fingerprints": op9_fingerprints}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_topk": op1_topk, "op2_pii": op2_pii, "op3_lm": op3_lm, "op4_token_counts": op4_token_counts,
+           "op5_bpe": op5_bpe, "op6_jaccard": op6_jaccard, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity,
+           "op9_fingerprints": op9_fingerprints, "op10_licenses": op10_licenses}
 
 ORACLE = {
     "op1_topk": """

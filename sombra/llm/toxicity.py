@@ -355,3 +355,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     scored = map_arrow(docs.select(*id_text(id_col, text_col)), run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores under one half, with all their
+    columns; no row moves between tasks."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        m = shared.value
+        r = reader(m.landmarks)
+        for b in batches:
+            col = [t or "" for t in b.column(at).to_pylist()]
+            ok = [i for lo in range(0, len(col), 1000) for i, x in enumerate(r.sentences(col[lo:lo + 1000]), lo) if m.score(x) < 0.5]
+            if ok:
+                yield b.take(pa.array(ok))
+    return map_arrow(docs, run, docs.schema)
