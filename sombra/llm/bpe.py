@@ -28,9 +28,10 @@ from .common import TOKENIZER, id_text, map_arrow, tokenizer_path
 
 MEMO = 500_000
 
-# The vocabulary file's pre-token pattern (and the same for ASCII)
-_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+# The vocabulary file's pre-token pattern (and the same for ASCII);
+# white space is Unicode's, without the four separators that Python's \s adds
+_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 # White space of the pattern: Python's str.split() also cuts at these four
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
 _SPACES = re.compile(r"[^\S\x1c\x1d\x1e\x1f]+")
@@ -63,6 +64,8 @@ class Bpe:
         sym = byte_symbols()
         self.inner = [self.vocab[c] for c in sym]
         self.final = [self.vocab[c + self.suffix] for c in sym]
+        self.path, self.library = path, None
+        self.byte_of = {c: b for b, c in enumerate(sym)}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.memo: dict[str, tuple[bytes, str]] = {}
 
@@ -99,16 +102,26 @@ class Bpe:
                     heapq.heappush(heap, (m[0], h, m[1], ids[h], new))
         return [x for x in ids if x >= 0]
 
+    def pre_tokens(self, raw: str) -> list[bytes]:
+        """UTF-8 of the pre-tokens of a piece without white space."""
+        if raw.isascii():
+            return [t.encode() for t in _ASCII.findall(raw.lower())]
+        if any(unicodedata.category(c) == "Cn" for c in raw):
+            # characters newer than Python's tables: the file's own splitting
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.path)
+            text = self.library.normalizer.normalize_str(raw)
+            return [bytes(self.byte_of[c] for c in t) for t, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        text = unicodedata.normalize("NFC", raw)
+        # lower-case each character by itself (a final sigma stays as it is)
+        low = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+        return [t.encode() for t in _PATTERN.findall(low)]
+
     def piece(self, raw: str) -> tuple[bytes, str]:
         """(ids as little-endian uint32, decoded) of a piece without white space."""
-        if raw.isascii():
-            tokens = _ASCII.findall(raw.lower())
-        else:
-            text = unicodedata.normalize("NFC", raw)
-            # lower-case each character by itself (a final sigma stays as it is)
-            low = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-            tokens = _PATTERN.findall(low)
-        ids = [i for t in tokens for i in self.merge(t.encode("utf-8", "surrogatepass"))]
+        ids = [i for t in self.pre_tokens(raw) for i in self.merge(t)]
         return np.array(ids, "<u4").tobytes(), self.decode(ids)
 
     def decode(self, ids: list[int]) -> str:

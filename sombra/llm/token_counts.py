@@ -16,13 +16,12 @@ counts of the first ``MEMO`` white-space-delimited pieces it met.
 from __future__ import annotations
 
 import math
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import _ASCII, _NOT_SPACE, _PATTERN, _SPACES, Bpe, byte_symbols
+from .bpe import _NOT_SPACE, _SPACES, Bpe, byte_symbols
 from .common import TOKENIZER, id_text, map_arrow, tokenizer_path
 
 MEMO = 500_000
@@ -30,7 +29,7 @@ MEMO = 500_000
 
 class Unigram:
     def __init__(self, path: str):
-        bpe = Bpe(path)
+        bpe = self.bpe = Bpe(path)
         size = len(bpe.vocab)
         norm = math.log(sum(1 / (i + 1) for i in range(size)))
         end = bpe.suffix
@@ -47,13 +46,8 @@ class Unigram:
 
     def pre_tokens(self, piece: str) -> list[str]:
         """Pre-tokens of a piece without white space, as byte symbols."""
-        if piece.isascii():
-            found = _ASCII.findall(piece.lower())
-            return found        # printable ASCII stands for itself
-        text = unicodedata.normalize("NFC", piece)
-        low = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
         sym = self.symbols
-        return ["".join([sym[b] for b in t.encode("utf-8", "surrogatepass")]) for t in _PATTERN.findall(low)]
+        return ["".join([sym[b] for b in t]) for t in self.bpe.pre_tokens(piece)]
 
     def forward(self, words: list[str]) -> dict[str, tuple[int, float]]:
         """(tokens, log probability) of the best segmentation of each distinct
