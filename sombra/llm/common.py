@@ -86,8 +86,8 @@ def text_bytes(col: pa.Array, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
 # Words [^\x20\x09-\x0D]+ of lower-cased (A-Z) UTF-8 text, as 64-bit hashes
 # ---------------------------------------------------------------------------
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _rng = np.random.Generator(np.random.PCG64(20240611))
@@ -139,7 +139,7 @@ def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, space: np.ndarray
     """64-bit polynomial hashes of lower-cased words, in one vector pass."""
     if not len(s):
         return np.empty(0, np.uint64)
-    low = _LOWER[buf[s[0]:e[-1]]]
+    low = LOWER[buf[s[0]:e[-1]]]
     s, e = s - s[0], e - s[0]
     vals = _BYTE[low]
     vals[space[low]] = 0

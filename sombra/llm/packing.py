@@ -13,17 +13,20 @@ which need no padding, so no sequence is padded at all.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _NOT_SPACE, _SPACES, MEMO
-from .common import TOKENIZER, id_text, map_arrow, materialise, tokenizer_path
+from .common import (LOWER, TOKENIZER, id_text, map_arrow, materialise, slices, text_bytes, tokenizer_path, word_hashes,
+                     word_spans)
 
 END_ID = 1
 DIMS, BITS = 4, 8
+MEMO = 800_000
 
 
 def projection(vocab: int, dims: int = DIMS, seed: int = 11) -> np.ndarray:
@@ -63,8 +66,14 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 class Ids:
-    """Token ids of texts by the tokenizers library, whose calls are kept to
-    white-space-delimited pieces not yet in a bounded memo."""
+    """Token ids of texts by the tokenizers library.
+
+    No pre-token of the vocabulary crosses white space and it ignores case, so
+    a text's ids are those of its lower-cased pieces between ASCII white space,
+    one after another.  Pieces are told apart by vectorised hashes (checked
+    byte by byte), the library encodes each distinct one once, and a bounded
+    memo per Python worker keeps the encodings.  A text that may hold a special
+    token (their case matters) goes to the library whole."""
 
     def __init__(self, path: str):
         import os
@@ -77,44 +86,94 @@ class Ids:
         self.tok.no_padding()
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.memo: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, ``END_ID`` last, packed as ``kind`` integers."""
-        memo, kind = self.memo, self.kind
-        end = np.array([END_ID], kind).tobytes()
-        plain, whole = {}, []
-        for i, t in enumerate(texts):
-            if "<|" in t:          # special tokens may stand inside: leave the text whole
-                whole.append(i)
-            elif any(c in t for c in _NOT_SPACE):
-                plain[i] = [p for p in _SPACES.split(t) if p]
-            else:
-                plain[i] = t.split()
-        found = {i: list(map(memo.get, p)) for i, p in plain.items()}
-        missing = list({p for i, f in found.items() if None in f for p, v in zip(plain[i], f, strict=True) if v is None})
-        late: dict[str, bytes] = {}
-        for lo in range(0, len(missing), 20_000):
-            part = missing[lo:lo + 20_000]
-            for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                v = np.array(e.ids, kind).tobytes()
-                if len(memo) < MEMO:
-                    memo[p] = v
-                else:
-                    late[p] = v
-        out = []
-        for i, t in enumerate(texts):
-            if i in found:
-                f = found[i]
-                if None in f:
-                    f = [v if v is not None else memo.get(p) or late.get(p, b"")
-                         for p, v in zip(plain[i], f, strict=True)]
-                out.append(b"".join(f) + end)
-            else:
-                e = self.tok.encode(t, add_special_tokens=False)
-                out.append(np.array(e.ids, kind).tobytes() + end)
+        self.final = np.zeros(self.size, bool)
+        for token, i in self.tok.get_vocab().items():
+            self.final[i] = token.endswith("</w>")
+        self.memo: dict[bytes, int] = {}
+        self.off = np.zeros(1, np.int64)          # encoding k is data[off[k]:off[k + 1]]
+        self.data = np.empty(0, self.kind)
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, ids per word).  Words of letters
+        only are one pre-token each and go to the library in lines of a hundred,
+        cut again where a word-end token stands."""
+        plain = [k for k, w in enumerate(words) if w.isalpha()]
+        rest = [k for k, w in enumerate(words) if not w.isalpha()]
+        lines = [" ".join([words[k] for k in plain[lo:lo + 100]]) for lo in range(0, len(plain), 100)]
+        ids, ends = self._ids(lines)
+        stop = np.flatnonzero(self.final[ids]) + 1
+        if len(stop) != len(plain):            # letters that fall apart when normalised
+            rest, plain, stop, ids = list(range(len(words))), [], stop[:0], ids[:0]
+        more, ends = self._ids([words[k] for k in rest])
+        lens = np.empty(len(words), np.int64)
+        lens[plain] = np.diff(stop, prepend=0)
+        lens[rest] = np.diff(ends, prepend=0)
+        begin = np.empty(len(words), np.int64)
+        begin[plain] = stop - lens[plain]
+        begin[rest] = ends - lens[rest] + len(ids)
+        both = np.concatenate([ids, more])
+        within = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+        return both[np.repeat(begin, lens) + within], lens
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
+        return np.fromiter(chain.from_iterable(got), self.kind, int(ends[-1]) if len(ends) else 0), ends
+
+    def _ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(data, begin, length) of the encodings of distinct words; words met
+        while the memo is full are encoded for this call only."""
+        got = list(map(self.memo.get, words))
+        new = [k for k, g in enumerate(got) if g is None]
+        data, off = self.data, self.off
+        if new:
+            ids, lens = self.encode([words[k].decode() for k in new])
+            base = len(off) - 1
+            for n, k in enumerate(new, base):
+                got[k] = n
+            off = np.concatenate([off, off[-1] + np.cumsum(lens)])
+            data = np.concatenate([data, ids])
+            if len(self.memo) + len(new) <= MEMO:
+                self.memo.update((words[k], got[k]) for k in new)
+                self.data, self.off = data, off
+        at = np.array(got, np.int64)
+        return data, off[at], off[at + 1] - off[at]
+
+    def __call__(self, col: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a string column, ``END_ID`` last."""
+        out: list[np.ndarray] = []
+        for i, j in slices(col, 4 << 20):
+            out += self._slice(*text_bytes(col, i, j))
         return out
 
+    def _slice(self, buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+        s, e, row = word_spans(buf, off)
+        lens = e - s
+        low = LOWER[buf]
+        _, first, inv = np.unique(word_hashes(buf, s, e), return_index=True, return_inverse=True)
+        # equal hashes must be equal bytes
+        step = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+        rep = first[inv]
+        if not (lens[rep] == lens).all() or not (low[np.repeat(s, lens) + step] == low[np.repeat(s[rep], lens) + step]).all():
+            return [self.whole(buf[off[r]:off[r + 1]].tobytes()) for r in range(len(off) - 1)]
+        raw = low.tobytes()
+        data, begin, size = self._ids_of([raw[a:b] for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)])
+        width = size[inv]
+        texts = len(off) - 1
+        ends = np.cumsum(np.bincount(row, width, minlength=texts).astype(np.int64) + 1)
+        flat = np.full(ends[-1], END_ID, self.kind)
+        within = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+        flat[np.repeat(np.cumsum(width) - width + row, width) + within] = data[np.repeat(begin[inv], width) + within]
+        found = np.split(flat, ends[:-1])
+        mark = np.flatnonzero((buf[:-1] == 60) & (buf[1:] == 124))        # "<|"
+        for r in np.unique(np.searchsorted(off, mark, "right") - 1).tolist():
+            found[r] = self.whole(buf[off[r]:off[r + 1]].tobytes())
+        return found
+
+    def whole(self, raw: bytes) -> np.ndarray:
+        ids = self.tok.encode(raw.decode(), add_special_tokens=False).ids
+        return np.array([*ids, END_ID], self.kind)
+
 
 _LOADED: dict[str, Ids] = {}
 
@@ -129,15 +188,10 @@ def tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
         ids_of = _LOADED[path]
         signs = projection(ids_of.size)
         for b in batches:
-            col = b.column("text").to_pylist()
-            packed, n, proj = [], [], []
-            for lo in range(0, len(col), 1000):
-                part = ids_of(col[lo:lo + 1000])
-                packed += part
-                for p in part:
-                    x = np.frombuffer(p, ids_of.kind)
-                    n.append(len(x))
-                    proj.append(signs[x].mean(0))
+            found = ids_of(b.column("text"))
+            n = [len(x) for x in found]
+            packed = [x.tobytes() for x in found]
+            proj = [signs[x].mean(0) for x in found]
             proj = np.array(proj, np.float64).reshape(len(n), DIMS)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(packed, pa.binary())]

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -31,8 +32,8 @@ def test_encoding_and_decoding_equal_the_library(text):
     raw, decoded = bpe.load(PATH).encode(text)
     assert np.frombuffer(raw, "<u4").tolist() == want
     assert decoded == lib.decode(want, skip_special_tokens=False)
-    ids = packing.Ids(PATH)([text])[0]
-    assert np.frombuffer(ids, "<u2").tolist() == [*want, packing.END_ID]
+    ids = packing._LOADED.setdefault(PATH, packing.Ids(PATH))(pa.array(["other Words", text, ""]))
+    assert ids[1].tolist() == [*want, packing.END_ID] and ids[2].tolist() == [packing.END_ID]
 
 
 def test_special_tokens(library):
