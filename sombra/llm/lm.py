@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import id_text, map_arrow, materialise
 
-VOCAB = 1 << 17
+VOCAB = 1 << 16
 SLOT_BITS = 18
 CHUNK = 1 << 12
+ROWS = 500               # texts handled together in a task
 RATE = 0.06
 BLOCK = 512              # symbols of a text read between two weight updates
 SAMPLE = 300             # training texts the starting weights are fitted on
@@ -195,6 +196,23 @@ def word_counts(train: DataFrame) -> DataFrame:
     return map_arrow(train.select("text"), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def vocabulary(counts: DataFrame, vocab: int) -> tuple[list[bytes], list[int]]:
+    """The words with the largest counts, as many as ``vocab`` at most (all
+    words of the last count or none), and the end, which comes last."""
+    least, room = 1 << 62, vocab
+    for r in counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(vocab).toArrow().to_pylist():
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["c"]
+    # at most ``vocab`` rows and the end
+    top = counts.where((F.col("c") >= least) | (F.octet_length("word") == 0)).toArrow()
+    got = dict(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True))
+    end = got.pop(b"", 0)
+    ranked = sorted(got.items(), key=lambda x: (-x[1], x[0]))
+    return [*(w for w, _ in ranked), b""], [*(c for _, c in ranked), end]
+
+
 def table_size(code: Code) -> int:
     cells = 2 * (code.n_nodes + 2 * (1 << SLOT_BITS))
     return -(-cells // CHUNK) * CHUNK
@@ -204,8 +222,8 @@ def count_bits(code: Code, texts: list[list[bytes]], table: np.ndarray) -> None:
     """Add the bits of texts to a flat (context cell, bit) count table."""
     for lo, hi in groups(texts):
         st = Stream(code, texts[lo:hi])
-        for at in range(0, len(st.ids), 100_000):
-            node, bit, _, c1, c2, _ = st.bits(code, np.arange(at, min(at + 100_000, len(st.ids))))
+        for at in range(0, len(st.ids), 50_000):
+            node, bit, _, c1, c2, _ = st.bits(code, np.arange(at, min(at + 50_000, len(st.ids))))
             size = 1 << SLOT_BITS
             for base, cell, cells in ((0, node.astype(np.int64), code.n_nodes),
                                       (code.n_nodes, slots(c1, node), size), (code.n_nodes + size, slots(c2, node), size)):
@@ -220,7 +238,9 @@ def bit_counts(train: DataFrame, shared) -> np.ndarray:
         code = shared.value
         table = np.zeros(table_size(code), np.uint32)
         for b in batches:
-            count_bits(code, [split(t) for t in b.column("text").cast(pa.binary()).to_pylist()], table)
+            raw = b.column("text").cast(pa.binary())
+            for lo in range(0, len(raw), ROWS):
+                count_bits(code, [split(t) for t in raw[lo:lo + ROWS].to_pylist()], table)
         flat = table.reshape(-1, CHUNK)
         keep = np.flatnonzero(flat.any(1))
         if len(keep):
@@ -340,8 +360,8 @@ class Fitter:
             st = Stream(self.code, texts)
             # plain logistic regression steps over all sample bits
             curv = np.full((GATES, INPUTS, INPUTS), 0.0) + np.eye(INPUTS) * 1e-2
-            for at in range(0, len(st.ids), 100_000):
-                node, bit, gate, c1, c2, _ = st.bits(self.code, np.arange(at, min(at + 100_000, len(st.ids))))
+            for at in range(0, len(st.ids), 20_000):
+                node, bit, gate, c1, c2, _ = st.bits(self.code, np.arange(at, min(at + 20_000, len(st.ids))))
                 x = np.stack(self.left_out(node, bit, c1, c2), 1).astype(np.float64)
                 z = (mixer.weights[gate] * x).sum(1)
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -378,27 +398,22 @@ def score_texts(docs: DataFrame, vocab: int = VOCAB, sample: int = SAMPLE, id_co
     counts = materialise(word_counts(train), "word-counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"]), int(total["v"])
-    # at most ``vocab`` rows; the end is always among them
-    top = (counts.where(F.octet_length("word") > 0).orderBy(F.desc("c"), "word").limit(vocab).collect()
-           + counts.where(F.octet_length("word") == 0).collect())
-    words = [bytes(r["word"]) for r in top]
-    if b"" not in words:
-        top, words = [*top, {"c": 0}], [*words, b""]
-    code = Code(words, [max(1, int(r["c"])) for r in top], n)
+    words, freq = vocabulary(counts, vocab)
+    code = Code(words, [max(1, c) for c in freq], n)
     shared = spark.sparkContext.broadcast(code)
     table = bit_counts(train, shared)
     mixer = Mixer(code, table)
     some = (train.withColumn("h", F.xxhash64("doc_id", "text")).orderBy("h", "doc_id", "text").limit(sample)
             .select(F.col("text").cast("binary").alias("raw")).collect())
     Fitter(code, table).fit(mixer, [split(bytes(r["raw"])) for r in some])
-    model = spark.sparkContext.broadcast((mixer, np.log10(np.array([float(r["c"]) + 1 for r in top]))))
+    model = spark.sparkContext.broadcast((mixer, np.log10(np.array(freq, float) + 1)))
     rare = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64()), ("bits", pa.int32())]))
 
     def run(batches):
         code, (mixer, logs) = shared.value, model.value
         logs = np.append(logs, 0.0)      # the escape's own share is joined later
         has_end = n > 0
-        for b in batches:
+        for b in (x.slice(lo, ROWS) for x in batches for lo in range(0, x.num_rows, ROWS)):
             texts = [split(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
             cost, base, known, tail = [], [], [], []
             for lo, hi in groups(texts):
@@ -424,7 +439,7 @@ def score_texts(docs: DataFrame, vocab: int = VOCAB, sample: int = SAMPLE, id_co
     c = F.coalesce("c", F.lit(0))
     # words outside the vocabulary: their training tokens and types, and one
     # type for all that were never seen
-    outside = float(n - sum(int(r["c"]) for r in top) + v - sum(1 for r in top if r["c"]) + 1)
+    outside = float(n - sum(freq) + v - sum(1 for c in freq if c) + 1)
     found = (scored.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.tf", "r.bits")
              .join(counts, "word", "left").groupBy("rid")
              .agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more"), F.sum("tf").alias("escaped"),
