@@ -138,6 +138,32 @@ def fake_cpf(byte) -> Column:
                     txt[6], txt[7], txt[8], F.lit("-"), c1.cast("string"), c2.cast("string"))
 
 
+CPF_LEFT, CPF_RIGHT = 10 ** 4, 10 ** 5      # halves of the nine payload digits
+
+
+def permuted_cpf(canon: Column, key: MaskKey) -> Column:
+    """M7 for join keys: the nine payload digits of an 11-digit CPF moved by a
+    keyed permutation (four Feistel rounds, halves added modulo their size), so
+    different payloads never share a mask; check digits follow."""
+    def turn(r: int, x: Column, size: int) -> Column:
+        h = hmac_hex(F.concat(F.lit(f"CPF{r}:"), x.cast("string")), key)
+        return F.conv(F.substring(h, 1, 12), 16, 10).cast("bigint") % size
+
+    # every half is bound once; nothing is copied into the next round
+    def first_right(left: Column) -> Column:
+        return let((F.substring(canon, 5, 5).cast("bigint") + turn(1, left, CPF_RIGHT)) % CPF_RIGHT,
+                   lambda right: let((left + turn(2, right, CPF_LEFT)) % CPF_LEFT,
+                                     lambda last: last_right(last, right)))
+
+    def last_right(left: Column, right: Column) -> Column:
+        right = (right + turn(3, left, CPF_RIGHT)) % CPF_RIGHT
+        digits = F.concat(F.lpad(left.cast("string"), 4, "0"), F.lpad(right.cast("string"), 5, "0"))
+        return let(digits, lambda d: fake_cpf(lambda k: F.substring(d, k + 1, 1).cast("int")))
+
+    start = F.substring(canon, 1, 4).cast("bigint") + turn(0, F.substring(canon, 5, 5).cast("bigint"), CPF_LEFT)
+    return let(start % CPF_LEFT, first_right)
+
+
 def fake_rg(byte) -> Column:
     """M8: ``##.###.###-#``."""
     d = [_digit(byte, k) for k in range(9)]
@@ -166,11 +192,12 @@ def fake_person(byte, real_norm: Column | None = None) -> Column:
 
 
 def fake_email(byte) -> Column:
-    """Lower-case ``first.lastNN@example.com``."""
+    """Lower-case ``first.last.<token>@example.com``; the token of 48
+    digest bits keeps masks of different addresses apart."""
     first = _pick(FIRST_NAMES, _word(byte, 0))
     last = _pick(LAST_NAMES, _word(byte, 2))
-    return F.lower(F.concat(first, F.lit("."), last, _digit(byte, 4), _digit(byte, 5),
-                            F.lit("@" + EMAIL_DOMAIN)))
+    token = F.concat(*[F.lpad(F.hex(byte(k)), 2, "0") for k in range(4, 10)])
+    return F.lower(F.concat(first, F.lit("."), last, F.lit("."), token, F.lit("@" + EMAIL_DOMAIN)))
 
 
 def fake_phone(byte) -> Column:
@@ -220,7 +247,10 @@ SHAPES = {"CPF": fake_cpf, "RG": fake_rg, "PLATE": fake_plate, "EMAIL": fake_ema
           "PHONE": fake_phone, "IP": fake_ipv4, "CHASSI": fake_vin}
 
 
-def _fake(fam: str, byte, v: Column) -> Column:
+def _fake(fam: str, byte, v: Column, key: MaskKey) -> Column:
+    if fam == "CPF":
+        return let(canonical(normalize(v), "CPF"), lambda c: F.when(
+            c.rlike("^[0-9]{11}$"), permuted_cpf(c, key)).otherwise(fake_cpf(byte)))
     if fam == "COORD":
         return jitter_coords(v, byte)
     if fam == "PER":
@@ -236,7 +266,7 @@ def surrogate_for(tag: str, value: Column, key: MaskKey, cleaned: bool = False)
     fam = family(tag)
     v0 = value if cleaned else clean_value(value)
     return let(v0, lambda v: let(byte_array(digest(v, fam, key, cleaned=True)),
-                                 lambda b: _fake(fam, array_bytes(b), v)))
+                                 lambda b: _fake(fam, array_bytes(b), v, key)))
 
 
 def _canonical_any(norm: Column, tag: Column) -> tuple[Column, Column]:
@@ -265,7 +295,7 @@ def surrogate_any(tag: Column, value: Column, key: MaskKey, tags: list[str]) ->
             byte = array_bytes(b)
             out = None
             for f in fams:
-                branch = _fake(f, byte, v)
+                branch = _fake(f, byte, v, key)
                 out = F.when(fam == f, branch) if out is None else out.when(fam == f, branch)
             return out.otherwise(fake_word(byte))
         return let(byte_array(hmac_hex(msg, key)), with_bytes)
@@ -302,7 +332,7 @@ def add_surrogates(df, specs: dict, key: MaskKey, non_null: bool = False):
                                   for _, (tag, src, v, h) in tmp.items()])
     outs = {}
     for out, (tag, src, v, h) in tmp.items():
-        fake = _fake(family(tag), hex_bytes(F.col(h)), F.col(v))
+        fake = _fake(family(tag), hex_bytes(F.col(h)), F.col(v), key)
         if non_null:
             fake = F.coalesce(fake, F.lit(""))
         else:

@@ -58,7 +58,8 @@ def _accent_table() -> tuple[str, str]:
 
 def strip_accents(c: Column) -> Column:
     src, dst = _accent_table()
-    return F.translate(c, src, dst)
+    # letters composed with a mark, then marks that stand by themselves
+    return F.regexp_replace(F.translate(c, src, dst), r"\p{M}+", "")
 
 
 def normalize(c: Column) -> Column:

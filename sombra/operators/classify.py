@@ -27,7 +27,6 @@ from ..functions.text import py_strip, word_count
 from ..session import ensure_checkpoint_dir
 
 HASH_DIGITS = 15                      # 60 bits of md5 as a bigint
-SMALL_INPUT_BYTES = 256 * 1024 * 1024  # below this (plan estimate) skip the HLL pass
 HASH_SPACE = 16 ** HASH_DIGITS
 OVERSAMPLE = 8
 
@@ -52,14 +51,6 @@ def name_is_ignored(column: str) -> bool:
     return any(p in P.IGNORE_NAME_PARTS for p in name_parts(column))
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (from file sizes; no job runs)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - unknown size: take the scalable path
-        return SMALL_INPUT_BYTES + 1
-
-
 def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, (T.StringType, T.VarcharType, T.CharType))]
@@ -105,7 +96,10 @@ def _ranked(long: DataFrame, thresholds: dict[tuple[str, str], int] | None, k: i
 
 # A sample that is wholly a document number is not a GPS sample, although
 # "123.456.789-01" holds "123.456" (design, README: the GPS rule would
-# otherwise jitter CPF columns as coordinates and leave most digits).
+# otherwise jitter CPF columns as coordinates and leave most digits).  A value
+# that is one whole decimal number stays a coordinate although a latitude with
+# six decimals also fits RG.
+WHOLE_DECIMAL = r"^[-+]?[0-9]{1,3}[.,][0-9]{3,}$"
 DOCUMENT_SHAPES = ["CPF", "RG", "IP", "PHONE"]
 
 
@@ -117,6 +111,7 @@ def _sample_features(samples: DataFrame) -> DataFrame:
     is_document = F.lit(False)
     for t in DOCUMENT_SHAPES:
         is_document = is_document | votes[t]
+    is_document = is_document & ~v.rlike(WHOLE_DECIMAL)
     feats = [
         ((v.rlike(P.DETECTORS["COORD"].pattern) | v.rlike(P.DETECTORS["COORD_SINGLE"].pattern))
          & ~is_document).cast("int").alias("gps"),
@@ -212,19 +207,15 @@ def classify_tables(frames: dict[str, DataFrame], columns: dict[str, list[str]]
     for x in longs[1:]:
         long = long.unionByName(x)
 
-    if estimated_bytes(long) <= SMALL_INPUT_BYTES:
-        # small input: ranking every distinct value is cheaper than a second scan
-        thresholds, cut = None, set()
-    else:
-        ndv = {(r["table"], r["column"]): r["ndv"] for r in
-               long.groupBy("table", "column").agg(F.approx_count_distinct("value").alias("ndv")).collect()}
-        thresholds = {p: min(HASH_SPACE, int(HASH_SPACE * OVERSAMPLE * k / max(ndv.get(p, 0), 1)))
-                      for p in pairs}
-        cut = {p for p, th in thresholds.items() if th < HASH_SPACE}
+    ndv = {(r["table"], r["column"]): r["ndv"] for r in
+           long.groupBy("table", "column").agg(F.approx_count_distinct("value").alias("ndv")).collect()}
+    # a small column's threshold is the whole hash space
+    thresholds = {p: min(HASH_SPACE, int(HASH_SPACE * OVERSAMPLE * k / max(ndv.get(p, 0), 1))) for p in pairs}
+    cut = {p for p, th in thresholds.items() if th < HASH_SPACE}
     # the sample is small (<= k rows per column): cut its lineage once so the
     # count check and the scoring do not scan the tables again
     ensure_checkpoint_dir(spark)
-    samples = _ranked(long, thresholds if cut else None, k).checkpoint()
+    samples = _ranked(long, thresholds, k).checkpoint()
     if cut:
         counts = {(r["table"], r["column"]): r["n"] for r in
                   samples.groupBy("table", "column").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -243,6 +234,13 @@ def classify_columns(df: DataFrame, columns: list[str] | None = None, table: str
     return classify_tables({table: df}, {table: columns} if columns else None, k)
 
 
-def policy_map(policies: DataFrame) -> dict[str, str]:
-    """The policy frame is one row per column: collect it to build the mask plan."""
-    return {r["column"]: r["tag"] for r in policies.select("column", "tag").collect()}
+def policy_map(policies: DataFrame, table: str | None = None) -> dict[str, str]:
+    """The policy frame is one row per column: collect it to build the mask
+    plan.  Two tables' columns of one name are refused without ``table``."""
+    if table is not None:
+        policies = policies.filter(F.col("table") == table)
+    rows = policies.select("column", "tag").collect()
+    out = {r["column"]: r["tag"] for r in rows}
+    if len(out) < len(rows):
+        raise ValueError("several policies for a column: pass the table they are meant for")
+    return out

@@ -19,7 +19,7 @@ from ..functions import patterns as P
 from ..functions.expr import let
 from ..functions.hashing import MaskKey
 from ..functions.surrogates import MASKABLE_TYPES, add_surrogates, surrogate_any, surrogate_for
-from ..functions.text import is_blank
+from ..functions.text import html_unescape, is_blank
 from . import names as N
 from .spans import (SPANS_FAKE, empty_spans, escape_marks, regex_spans, resolve_overlaps, restore,
                     shield, shield_tags, splice, unescape_marks)
@@ -27,7 +27,7 @@ from .spans import (SPANS_FAKE, empty_spans, escape_marks, regex_spans, resolve_
 IGNORE = "IGNORAR"
 FREE_TEXT = "TEXTO_LIVRE"
 DIRECT_POLICIES = ["NOME_SOLTO", "COORD", "COORD_SINGLE", "PLACA", "CPF", "RG", "EMAIL",
-                   "PLATE", "PHONE", "IP", "CHASSI"]
+                   "PLATE", "PHONE", "IP", "CHASSI", "GENERIC_CODE", "DOC_GENERICO"]
 TEXT_TYPES = ["CPF", "IP", "RG", "EMAIL", "PLATE", "PHONE", "CHASSI", "COORD", "COORD_SINGLE"]
 DIGIT_TYPES = {"CPF", "IP", "RG", "PHONE", "PLATE", "COORD", "COORD_SINGLE"}   # need a digit
 
@@ -89,7 +89,11 @@ _let = let
 def detect_spans(text: Column, rules: MaskRules, approved_terms: Column | None = None,
                  entity_terms: Column | None = None) -> Column:
     """Kept, ordered, non-overlapping spans of ``text``."""
-    has_digit = text.rlike(r"\d")
+    return _let(text.rlike(r"(?U)\d"), lambda has_digit: _detect(text, rules, approved_terms, entity_terms, has_digit))
+
+
+def _detect(text: Column, rules: MaskRules, approved_terms: Column | None, entity_terms: Column | None,
+            has_digit: Column) -> Column:
     parts = []
     for tag in TEXT_TYPES:
         if not rules.on(tag):
@@ -97,7 +101,7 @@ def detect_spans(text: Column, rules: MaskRules, approved_terms: Column | None =
         d = P.DETECTORS[tag]
         s = regex_spans(text, d.pattern, tag, d.prio, marks_checked=True)   # input escaped
         if tag == "CHASSI" and rules.strict:
-            s = F.filter(s, lambda x: x["value"].rlike(r"\d"))
+            s = F.filter(s, lambda x: x["value"].rlike(r"(?U)\d"))
         if tag in DIGIT_TYPES:
             s = F.when(has_digit, s).otherwise(empty_spans())
         elif tag == "EMAIL":
@@ -180,22 +184,25 @@ def mask_cell(c: Column, policy: str, rules: MaskRules, key: MaskKey,
     if policy == IGNORE:
         return c
     if policy == FREE_TEXT:
-        return mask_text(c, rules, key, approved_terms)
+        # entities are decoded first, so that an encoded value is found
+        return mask_text(html_unescape(c), rules, key, approved_terms)
     if policy in DIRECT_POLICIES:
         if not rules.on(policy):
             return c
         return F.when(is_blank(c), c).otherwise(surrogate_for(policy, c, key))
-    return c
+    raise ValueError(f"unknown policy {policy!r}")
 
 
 def mask_table(df: DataFrame, policies: Mapping[str, str] | DataFrame, rules=None,
                key: MaskKey = None, targets: list[str] | None = None,
                numeric_as_text: list[str] | None = None,
-               approved_terms: Column | None = None) -> DataFrame:
+               approved_terms: Column | None = None, table: str | None = None) -> DataFrame:
     """One ``select`` that rewrites every target string column.
 
     ``policies`` maps column -> policy (or is a policy frame with ``column``
-    and ``tag``; it has one row per column, so it is collected).  Columns
+    and ``tag``; it has one row per column, so it is collected).  A policy frame
+    of several tables needs ``table``, and a column may have one policy only;
+    an unknown policy is an error, never a cell left in clear.  Columns
     without a policy default to free text; non-target and non-string columns
     pass through untouched (P5, P6).  ``numeric_as_text`` lists numeric
     columns to cast and mask anyway (SURVEY Q11).
@@ -204,7 +211,12 @@ def mask_table(df: DataFrame, policies: Mapping[str, str] | DataFrame, rules=Non
         raise ValueError("a MaskKey is required")
     rules = MaskRules.coerce(rules)
     if isinstance(policies, DataFrame):
-        policies = {r["column"]: r["tag"] for r in policies.select("column", "tag").collect()}
+        if table is not None and "table" in policies.columns:
+            policies = policies.filter(F.col("table") == table)
+        rows = policies.select("column", "tag").collect()
+        policies = {r["column"]: r["tag"] for r in rows}
+        if len(policies) < len(rows):
+            raise ValueError("several policies for a column: pass the table they are meant for")
     wanted = set(df.columns if targets is None else targets)
     cast_cols = set(numeric_as_text or [])
     out, direct = [], {}

@@ -89,16 +89,35 @@ def check_digit(total: str) -> str:
     return f"CAST(((11 - ({total}) % 11) % 11) % 10 AS VARCHAR)"
 
 
+def cpf_text(d: list[str]) -> str:
+    s1 = " + ".join(f"CAST({d[i]} AS INTEGER) * {10 - i}" for i in range(9))
+    c1 = check_digit(s1)
+    s2 = " + ".join(f"CAST({d[i]} AS INTEGER) * {11 - i}" for i in range(9)) + f" + CAST({c1} AS INTEGER) * 2"
+    return " || ".join([d[0], d[1], d[2], "'.'", d[3], d[4], d[5], "'.'", d[6], d[7], d[8], "'-'", c1, check_digit(s2)])
+
+
+def permuted_cpf(canon: str) -> list[str]:
+    """The nine payload digits after four Feistel rounds (see the README)."""
+    def turn(r: int, x: str, size: int) -> str:
+        h = hmac(f"'CPF{r}:' || CAST({x} AS VARCHAR)")
+        return f"CAST('0x' || substr({h}, 1, 12) AS BIGINT) % {size}"
+
+    left = f"CAST(substr({canon}, 1, 4) AS BIGINT)"
+    right = f"CAST(substr({canon}, 5, 5) AS BIGINT)"
+    for r in (0, 2):
+        left = f"(({left} + {turn(r, right, 10 ** 4)}) % {10 ** 4})"
+        right = f"(({right} + {turn(r + 1, left, 10 ** 5)}) % {10 ** 5})"
+    # one lambda binds the digits; their expression would be repeated otherwise
+    whole = f"lpad(CAST({left} AS VARCHAR), 4, '0') || lpad(CAST({right} AS VARCHAR), 5, '0')"
+    return [f"substr({whole}, {k + 1}, 1)" for k in range(9)]
+
+
 def fake(tag: str, h: str, real: str | None = None) -> str:
     fam = S.family(tag)
     if fam == "CPF":
-        d = [digit(h, k) for k in range(9)]
-        s1 = " + ".join(f"CAST({d[i]} AS INTEGER) * {10 - i}" for i in range(9))
-        c1 = check_digit(s1)
-        s2 = " + ".join(f"CAST({d[i]} AS INTEGER) * {11 - i}" for i in range(9)) + f" + CAST({c1} AS INTEGER) * 2"
-        c2 = check_digit(s2)
-        return " || ".join([d[0], d[1], d[2], "'.'", d[3], d[4], d[5], "'.'", d[6], d[7], d[8],
-                            "'-'", c1, c2])
+        canon = canonical(norm(clean(real)), "CPF")
+        return (f"(CASE WHEN regexp_full_match({canon}, '[0-9]{{11}}') THEN {cpf_text(permuted_cpf(canon))} "
+                f"ELSE {cpf_text([digit(h, k) for k in range(9)])} END)")
     if fam == "RG":
         d = [digit(h, k) for k in range(9)]
         return " || ".join([d[0], d[1], "'.'", d[2], d[3], d[4], "'.'", d[5], d[6], d[7], "'-'", d[8]])
@@ -110,7 +129,7 @@ def fake(tag: str, h: str, real: str | None = None) -> str:
         return f"(CASE WHEN {byte(h, 8)} % 2 = 0 THEN {old} ELSE {new} END)"
     if fam == "EMAIL":
         return (f"lower({pick(S.FIRST_NAMES, word(h, 0))} || '.' || {pick(S.LAST_NAMES, word(h, 2))}"
-                f" || {digit(h, 4)} || {digit(h, 5)} || '@{S.EMAIL_DOMAIN}')")
+                f" || '.' || substr({h}, 9, 12) || '@{S.EMAIL_DOMAIN}')")
     if fam == "PHONE":
         d = [digit(h, k) for k in range(1, 9)]
         return (f"'(' || CAST({byte(h, 0)} % 89 + 11 AS VARCHAR) || ') 9' || "
@@ -266,12 +285,13 @@ FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"""
 SELECT conv_id, string_agg(text || chr(10) || chr(10), '' ORDER BY turn) AS text
 FROM conversations WHERE text IS NOT NULL AND text <> '' GROUP BY conv_id"""
     out["latin1_text"] = "SELECT doc_id, regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?', 'g') AS text FROM documents"
-    out["fit_length"] = "SELECT p_partkey, left(p_name, 10) AS p_name, left(p_type, 6) AS p_type FROM part"
+    out["fit_length"] = "SELECT * REPLACE (left(p_name, 10) AS p_name, left(p_type, 6) AS p_type) FROM part"
     out["quarantine_split"] = """
-SELECT p_partkey, CASE WHEN length(p_name) > 12 OR length(p_type) > 8 OR p_brand IS NULL
-                       THEN 'quarantine' ELSE 'accepted' END AS status FROM part"""
-    out["direct_copy"] = ("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority "
-                          "FROM orders")
+SELECT p_partkey, CASE WHEN reason = '' THEN 'accepted' ELSE 'quarantine' END AS status, reason
+FROM (SELECT p_partkey, concat_ws('; ', CASE WHEN length(p_name) > 11 THEN 'p_name longer than 11' END,
+        CASE WHEN length(p_type) > 7 THEN 'p_type longer than 7' END,
+        CASE WHEN p_brand IS NULL THEN 'p_brand is null' END) AS reason FROM part)"""
+    out["direct_copy"] = "SELECT * FROM orders"
     allow = ["customer", "orders", "lineitem", "part", "documents", "events"]
     out["column_catalogue"] = f"""
 SELECT DISTINCT table_name, column_name, table_name || '.' || column_name AS qualified
@@ -305,6 +325,7 @@ CLASSIFY_COLUMNS = {
     "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"],
     "orders": ["o_orderstatus", "o_orderpriority"], "events": ["event_type", "props"],
     "pages": ["url", "html"], "conversations": ["role", "text"], "benchmark": ["text"],
+    "documents": ["text", "lang", "source"], "lineitem": ["l_returnflag", "l_linestatus"],
 }
 _S = "[" + WS + "]"
 _CORE = {
@@ -336,25 +357,37 @@ def has_match(v: str, tag: str) -> str:
     return f"regexp_matches({v}, {q('(^|' + pre + ')(' + core + ')($|' + post + ')')})"
 
 
-def classify_sql() -> str:
+def identity_sql() -> str:
+    """The registry's identity_table."""
+    k = "c_custkey"
+    pad = lambda x, n: f"lpad(CAST(({x}) % {10 ** n} AS VARCHAR), {n}, '0')"
+    letter = lambda m: f"substr('ABCDEFGHJK', CAST({k} * {m} % 10 + 1 AS INTEGER), 1)"
+    return (f"SELECT c_custkey, {cpf_source(k)} AS nr_documento, 'user' || {k} || '@example.com' AS contato, "
+            f"{letter(1)} || {letter(3)} || {letter(7)} || {pad(k, 1)} || {letter(9)} || {pad(k + ' * 31', 2)} AS veiculo, "
+            f"'-' || CAST({k} % 89 AS VARCHAR) || '.' || {pad(k + ' * 37', 6)} AS posicao, "
+            f"'01/02/20' || {pad(k, 2)} AS quando, c_mktsegment, c_acctbal FROM customer")
+
+
+def classify_sql(columns: dict[str, list[str]] | None = None, sources: dict[str, str] | None = None) -> str:
     from ..operators import classify as C
     from ..functions import patterns as PP
+    columns = columns or CLASSIFY_COLUMNS
     longs = []
-    for t, cols in CLASSIFY_COLUMNS.items():
+    for t, cols in columns.items():
         for c in cols:
-            longs.append(f"SELECT '{t}' AS tbl, '{c}' AS col, {strip(c)} AS value FROM {t}")
+            longs.append(f"SELECT '{t}' AS tbl, '{c}' AS col, {strip(c)} AS value FROM {(sources or {}).get(t, t)}")
     long = "\nUNION ALL\n".join(longs)
     nulls = ", ".join(q(x) for x in PP.NULL_TOKENS)
     vote = {t: f"(CAST({first_match_len('value', t)} AS DOUBLE) / greatest(length(value), 1) >= 0.8)"
             for t in C.VOTE_TYPES}
     is_doc = " OR ".join(vote[t] for t in C.DOCUMENT_SHAPES)
     feats = ",\n  ".join([
-        f"CAST(({has_match('value', 'COORD')} OR {has_match('value', 'COORD_SINGLE')}) AND NOT ({is_doc}) AS INTEGER) AS gps",
+        f"CAST(({has_match('value', 'COORD')} OR {has_match('value', 'COORD_SINGLE')}) AND NOT (({is_doc}) AND NOT regexp_matches(value, '^[-+]?[0-9]{{1,3}}[.,][0-9]{{3,}}$')) AS INTEGER) AS gps",
         f"CAST({has_match('value', 'COORD')} AS INTEGER) AS pair",
         f"len(regexp_split_to_array(value, {q('[' + WS + ']+')})) AS words",
         f"CAST(regexp_matches(value, {q('[,.!?][' + WS + ']+[A-Z]')}) AS INTEGER) AS punct",
     ] + [f"CAST({vote[t]} AS INTEGER) AS v_{t}" for t in C.VOTE_TYPES])
-    pairs = [(t, c) for t, cols in CLASSIFY_COLUMNS.items() for c in cols]
+    pairs = [(t, c) for t, cols in columns.items() for c in cols]
     score_rows = []
     for i, tag in enumerate(C.TAG_PRIORITY):
         if tag in C.VOTE_TYPES:
@@ -569,8 +602,12 @@ def oracle_queries() -> dict[str, str]:
     out["fragment_text"] = fragment_sql()
     out["find_chassi"] = find_chassi_sql()
     src = cpf_source("o_custkey")
-    out["mask_orders_cpf"] = (f"SELECT o_orderkey, {surrogate('CPF', src)} AS cpf, o_orderstatus, "
-                              f"o_totalprice FROM orders")
+    out["mask_orders_cpf"] = f"SELECT *, {surrogate('CPF', src)} AS cpf FROM orders"
+    strings = ["nr_documento", "contato", "veiculo", "posicao", "quando", "c_mktsegment"]
+    out["classify_identities"] = classify_sql({"customer": strings}, {"customer": f"({identity_sql()})"})
+    out["mask_identities"] = (
+        f"SELECT c_custkey, {surrogate('CPF', 'nr_documento')} AS nr_documento, {surrogate('EMAIL', 'contato')} AS contato, "
+        f"{surrogate('PLATE', 'veiculo')} AS veiculo, quando, c_mktsegment, c_acctbal FROM ({identity_sql()})")
     # classification decides IGNORAR for every customer column (checked by
     # classify_columns' own oracle), so the masked table equals the input
     out["mask_customer"] = "SELECT * FROM customer"

@@ -25,7 +25,6 @@ from ..operators.mask import MaskRules, find_pii, mask_table, mask_text, mask_te
 from ..operators.spans import regex_spans, restore, shield, shield_tags
 from ..functions import patterns as P
 from ..sources import files as FS
-from ..operators.layout import spread_for_cpu
 from . import catalog as CAT
 
 # A fixed demonstration key: the oracle SQL embeds the same padded blocks.
@@ -40,11 +39,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def heavy(spark: SparkSession, sf_dir: str, name: str, key: str, cols: list[str] | None = None) -> DataFrame:
-    """A table about to go through per-row heavy work, spread over the cores."""
+    """A table about to go through per-row heavy work.  Its parallelism is the
+    scan's: set ``spark.sql.files.maxPartitionBytes`` for smaller splits."""
     df = table(spark, sf_dir, name)
-    if cols:
-        df = df.select(*cols)
-    return spread_for_cpu(df, key)
+    return df.select(*cols) if cols else df
 
 
 # ---------------------------------------------------------------------------
@@ -227,14 +225,39 @@ def latin1_text(spark, sf_dir) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 CLASSIFY_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "events",
-                   "pages", "conversations", "benchmark"]
+                   "pages", "conversations", "benchmark", "documents", "lineitem"]
 
 
 def classify_columns(spark, sf_dir) -> DataFrame:
-    """C1-C11 over every string column of ten tables in one sampling job."""
+    """C1-C11 over every string column of twelve tables in one sampling job."""
     return C.classify_tables({t: table(spark, sf_dir, t) for t in CLASSIFY_TABLES})
 
 
+def identity_table(spark, sf_dir) -> DataFrame:
+    """Customers with identifiers of every shape, built from their keys."""
+    k = F.col("c_custkey")
+    pad = lambda x, n: F.lpad((x % 10 ** n).cast("string"), n, "0")
+    lat = F.concat(F.lit("-"), (k % 89).cast("string"), F.lit("."), pad(k * 37, 6))
+    letter = lambda m: F.substr(F.lit("ABCDEFGHJK"), (k * m % 10 + 1).cast("int"), F.lit(1))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", cpf_source(k).alias("nr_documento"), F.concat(F.lit("user"), k, F.lit("@example.com")).alias("contato"),
+        F.concat(letter(1), letter(3), letter(7), pad(k, 1), letter(9), pad(k * 31, 2)).alias("veiculo"),
+        lat.alias("posicao"), F.concat(F.lit("01/02/20"), pad(k, 2)).alias("quando"), "c_mktsegment", "c_acctbal")
+
+
+def classify_identities(spark, sf_dir) -> DataFrame:
+    """Columns whose values, not names, decide the policy."""
+    return C.classify_columns(identity_table(spark, sf_dir), table="customer")
+
+
+def mask_identities(spark, sf_dir) -> DataFrame:
+    """D24 by classified policy: documents, e-mails and plates are swapped,
+    dates and segments stay."""
+    src = identity_table(spark, sf_dir).drop("posicao")
+    pol = C.policy_map(C.classify_columns(src, table="customer"), "customer")
+    return mask_table(src, pol, MaskRules(), DEMO_KEY)
+
+
 def mask_customer(spark, sf_dir) -> DataFrame:
     c = heavy(spark, sf_dir, "customer", "c_custkey")
     pol = C.policy_map(C.classify_columns(c, table="customer"))
@@ -273,22 +296,21 @@ def fk_orphans(spark, sf_dir) -> DataFrame:
 
 def quarantine_split(spark, sf_dir) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    accepted, rejected = FS.split_rejects(p, max_lengths={"p_name": 12, "p_type": 8},
+    accepted, rejected = FS.split_rejects(p, max_lengths={"p_name": 11, "p_type": 7},
                                           required=["p_brand"])
-    return (accepted.select("p_partkey", F.lit("accepted").alias("status"))
-            .unionByName(rejected.select("p_partkey", F.lit("quarantine").alias("status"))))
+    return (accepted.select("p_partkey", F.lit("accepted").alias("status"), F.lit("").alias("reason"))
+            .unionByName(rejected.select("p_partkey", F.lit("quarantine").alias("status"), "reason")))
 
 
 def fit_length(spark, sf_dir) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    return FS.fit_lengths(p, {"p_name": 10, "p_type": 6}).select("p_partkey", "p_name", "p_type")
+    return FS.fit_lengths(p, {"p_name": 10, "p_type": 6})
 
 
 def direct_copy(spark, sf_dir) -> DataFrame:
     from ..operators.mask import direct_copy as copy
     o = table(spark, sf_dir, "orders")
-    return copy(o).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
-                          "o_orderpriority")
+    return copy(o)
 
 
 # ---------------------------------------------------------------------------
@@ -318,9 +340,8 @@ def mask_orders_cpf(spark, sf_dir) -> DataFrame:
     (derived from the key); ``mask_table`` swaps it by policy, keeps the
     status as is (IGNORAR) and leaves non-string columns untouched."""
     o = heavy(spark, sf_dir, "orders", "o_orderkey")
-    src = o.select("o_orderkey", cpf_source(F.col("o_custkey")).alias("cpf"), "o_orderstatus",
-                   "o_totalprice")
-    return mask_table(src, {"cpf": "CPF", "o_orderstatus": "IGNORAR"}, MaskRules(), DEMO_KEY)
+    src = o.withColumn("cpf", cpf_source(F.col("o_custkey")))
+    return mask_table(src, {"cpf": "CPF", "o_orderstatus": "IGNORAR", "o_orderpriority": "IGNORAR"}, MaskRules(), DEMO_KEY)
 
 
 def table_counts(spark, sf_dir) -> DataFrame:
@@ -372,6 +393,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "latin1_text": latin1_text,
     "classify_columns": classify_columns,
     "mask_customer": mask_customer,
+    "classify_identities": classify_identities,
+    "mask_identities": mask_identities,
     "column_catalogue": column_catalogue,
     "fk_orphans": fk_orphans,
     "quarantine_split": quarantine_split,

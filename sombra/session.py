@@ -29,14 +29,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return ``spark.checkpoint.dir``; set a scratch one only when unset
-    (tests, local runs).  On a cluster it must name a shared folder."""
+    """Return ``spark.checkpoint.dir``; set a scratch one only when unset and
+    Spark runs in one local process.  A cluster must name a shared folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="sombra-ckpt-")
     sc.setCheckpointDir(path)
     return path

@@ -6,10 +6,11 @@ bytes and decoded strictly, with undecodable files set aside (SURVEY Q21).
 
 from __future__ import annotations
 
-from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Candidate CSV separators, in preference order for ties.
 SEPARATORS = [",", ";", "\t", "|"]
@@ -17,39 +18,76 @@ OUTPUT_PREFIX = "SEGURO_"
 PAGE_SEPARATOR = "\n\n"
 
 
-def sniff_separator(spark: SparkSession, path: str, lines: int = 20) -> str:
-    """The separator that appears the same non-zero number of times on
-    the first lines of ``path`` (reads only the first partition)."""
-    head = [r["value"] for r in spark.read.text(path).limit(lines).collect()]
-    best, best_score = ",", -1
-    for sep in SEPARATORS:
-        counts = Counter(line.count(sep) for line in head if line.strip())
-        if not counts:
-            continue
-        n, freq = counts.most_common(1)[0]
-        score = freq if n > 0 else 0
-        if score > best_score:
-            best, best_score = sep, score
-    return best
-
-
-def read_csv(spark: SparkSession, path: str, sep: str | None = None,
+def csv_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, header, sep) of every CSV file under ``path``: the first line
+    of each file and the separator it uses most (ties in ``SEPARATORS`` order).
+    One scan job over all files; the text is pruned to first blocks."""
+    lines = (spark.read.text(path)
+             .select("value", F.col("_metadata.file_path").alias("file"),
+                     F.col("_metadata.file_block_start").alias("at"))
+             .filter("at = 0").withColumn("no", F.monotonically_increasing_id()))
+    first = lines.groupBy("file").agg(F.min_by("value", "no").alias("header"))
+    first = first.withColumn("header", F.regexp_replace("header", "^\\uFEFF", ""))
+    uses = F.array(*[F.struct((F.length("header") - F.length(F.replace("header", F.lit(x)))).alias("n"),
+                              F.lit(-i).alias("order"), F.lit(x).alias("sep")) for i, x in enumerate(SEPARATORS)])
+    return first.select("file", "header", F.array_max(uses)["sep"].alias("sep"))
+
+
+def sniff_separator(spark: SparkSession, path: str) -> str:
+    """The separator of the first file's header."""
+    row = csv_headers(spark, path).orderBy("file").select("sep").first()
+    return row["sep"] if row else SEPARATORS[0]
+
+
+CORRUPT = "_corrupt_record"
+
+
+def read_csv_checked(spark: SparkSession, path: str | list[str], sep: str | None = None,
+                     multiline: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantine).  Files are read per (header, separator) group,
+    all-string, and joined by column name, so files whose columns differ in
+    order or number never shift.  A short row keeps its values (the rest is
+    null); a row with more fields than its header goes to the quarantine frame
+    (file header, line) instead of being dropped."""
+    heads = csv_headers(spark, path)
+    if sep:
+        heads = heads.withColumn("sep", F.lit(sep))
+    groups = (heads.groupBy("header", "sep").agg(F.sort_array(F.collect_list("file")).alias("files"))
+              .orderBy("header", "sep").collect())     # one row per kind of file
+    if not groups:
+        raise ValueError(f"no CSV file with a header under {path}")
+    good, bad = [], []
+    for g in groups:
+        names = spark.createDataFrame([(g["header"],)], "h string").select(
+            F.from_csv("h", ", ".join(f"c{i} string" for i in range(g["header"].count(g["sep"]) + 1)),
+                       {"sep": g["sep"]}).alias("r")).select("r.*").first()
+        names = [n for n in names if n is not None]
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+        df = (spark.read.schema(schema).option("header", True).option("sep", g["sep"]).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", multiline)
+              .option("encoding", "UTF-8").option("enforceSchema", True).csv(g["files"]))
+        wide = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+        extra = F.from_csv(F.col(CORRUPT), wide, {"sep": g["sep"], "mode": "PERMISSIVE"})[f"c{len(names)}"]
+        long = F.col(CORRUPT).isNotNull() & extra.isNotNull()
+        good.append(df.filter(~F.coalesce(long, F.lit(False))).drop(CORRUPT))
+        bad.append(df.filter(long).select(F.lit(g["header"]).alias("header"), F.col(CORRUPT).alias("line")))
+    union = lambda xs: reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), xs)
+    return union(good), union(bad)
+
+
+def read_csv(spark: SparkSession, path: str | list[str], sep: str | None = None,
              multiline: bool = False) -> DataFrame:
-    """Header, all-string, malformed lines dropped, bad bytes replaced.
-    ``multiline`` handles quoted newlines but makes each file one task."""
-    sep = sep or sniff_separator(spark, path)
-    return (spark.read.option("header", True).option("sep", sep)
-            .option("mode", "DROPMALFORMED").option("inferSchema", False)
-            .option("multiLine", multiline).option("encoding", "UTF-8").csv(path))
+    """The rows of :func:`read_csv_checked`.  ``multiline`` handles quoted
+    newlines but makes each file one task."""
+    return read_csv_checked(spark, path, sep, multiline)[0]
 
 
 def csv_header_union(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Sorted union of header names of every file (header rows only)."""
-    names: set[str] = set()
-    for p in paths:
-        sep = sniff_separator(spark, p, lines=2)
-        names.update(spark.read.option("header", True).option("sep", sep).csv(p).columns)
-    return sorted(names)
+    """Sorted union of header names of every file (one job)."""
+    cut = F.split("header", F.concat(F.lit("["), "sep", F.lit("]")))
+    names = csv_headers(spark, paths).select(F.explode(cut).alias("n"))
+    names = names.select(F.regexp_replace("n", '^"|"$', "").alias("n")).distinct().orderBy("n")
+    return [r["n"] for r in names.collect()]
 
 
 def read_text_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

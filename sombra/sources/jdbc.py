@@ -9,8 +9,6 @@ Derby (``jdbc:derby:memory:…``), which ships with Spark: no server, no port.
 from __future__ import annotations
 
 import urllib.parse
-from typing import Iterable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,8 +87,8 @@ def read_table(spark: SparkSession, url: str, table: str, props: dict | None = N
 
 
 def temporal_to_text(df: DataFrame) -> DataFrame:
-    """date/timestamp columns cast to string (opt-in; SURVEY Q7)."""
-    kinds = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    """Date, timestamp and time columns cast to string (opt-in; SURVEY Q7)."""
+    kinds = tuple(k for k in (T.DateType, T.TimestampType, T.TimestampNTZType, getattr(T, "TimeType", None)) if k)
     return df.select(*[F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, kinds)
                        else F.col(f.name) for f in df.schema.fields])
 
@@ -172,7 +170,3 @@ def fk_edges_from(spark: SparkSession, url: str, props: dict | None = None) -> D
              JOIN information_schema.constraint_column_usage ccu ON tc.constraint_name = ccu.constraint_name
              WHERE tc.constraint_type = 'FOREIGN KEY'"""
     return query(spark, url, sql, props)
-
-
-def qualified(schema: str, tables: Iterable[str]) -> list[str]:
-    return [f"{schema}.{t}" for t in tables]
