@@ -64,11 +64,6 @@ def hmac_hex(message: Column, key: MaskKey) -> Column:
     return F.sha2(F.concat(F.unhex(F.lit(key.opad_hex)), F.unhex(inner)), 256)
 
 
-def seed(h: Column) -> Column:
-    """M3: the first 16 hex digits as an unsigned 64-bit integer."""
-    return F.conv(F.substring(h, 1, 16), 16, 10).cast("decimal(20,0)")
-
-
 def hex_byte(h: Column, k) -> Column:
     """Byte ``k`` (0..31) of the digest as an int 0..255; ``k`` may be a Column."""
     pos = (F.lit(k) if not isinstance(k, Column) else k) * 2 + 1

@@ -126,13 +126,23 @@ def _check_digit(total: Column) -> Column:
     return ((F.lit(11) - total % 11) % 11) % 10
 
 
+def cpf_checks(e: list[Column]) -> tuple[Column, Column]:
+    """The two check digits of nine payload digits."""
+    c1 = _check_digit(sum((e[i] * (10 - i) for i in range(9)), F.lit(0)))
+    c2 = _check_digit(sum((e[i] * (11 - i) for i in range(9)), F.lit(0)) + c1 * 2)
+    return c1, c2
+
+
+def valid_cpf(canon: Column) -> Column:
+    """Eleven digits of which the last two check the others."""
+    c1, c2 = cpf_checks([F.substring(canon, i + 1, 1).cast("int") for i in range(9)])
+    return canon.rlike("^[0-9]{11}$") & (F.substring(canon, 10, 2) == F.concat(c1.cast("string"), c2.cast("string")))
+
+
 def fake_cpf(byte) -> Column:
     """M7: formatted CPF with valid check digits."""
     e = [byte(k) % 10 for k in range(9)]
-    s1 = sum((e[i] * (10 - i) for i in range(9)), F.lit(0))
-    c1 = _check_digit(s1)
-    s2 = sum((e[i] * (11 - i) for i in range(9)), F.lit(0)) + c1 * 2
-    c2 = _check_digit(s2)
+    c1, c2 = cpf_checks(e)
     txt = [x.cast("string") for x in e]
     return F.concat(txt[0], txt[1], txt[2], F.lit("."), txt[3], txt[4], txt[5], F.lit("."),
                     txt[6], txt[7], txt[8], F.lit("-"), c1.cast("string"), c2.cast("string"))
@@ -142,9 +152,10 @@ CPF_LEFT, CPF_RIGHT = 10 ** 4, 10 ** 5      # halves of the nine payload digits
 
 
 def permuted_cpf(canon: Column, key: MaskKey) -> Column:
-    """M7 for join keys: the nine payload digits of an 11-digit CPF moved by a
-    keyed permutation (four Feistel rounds, halves added modulo their size), so
-    different payloads never share a mask; check digits follow."""
+    """M7: the nine payload digits of a valid CPF moved by a keyed permutation
+    (four Feistel rounds, halves added modulo their size), so different CPFs
+    never share a mask; check digits follow.  Numbers whose check digits are
+    wrong take theirs from the digest (10^9 masks, which can collide)."""
     def turn(r: int, x: Column, size: int) -> Column:
         h = hmac_hex(F.concat(F.lit(f"CPF{r}:"), x.cast("string")), key)
         return F.conv(F.substring(h, 1, 12), 16, 10).cast("bigint") % size
@@ -250,7 +261,7 @@ SHAPES = {"CPF": fake_cpf, "RG": fake_rg, "PLATE": fake_plate, "EMAIL": fake_ema
 def _fake(fam: str, byte, v: Column, key: MaskKey) -> Column:
     if fam == "CPF":
         return let(canonical(normalize(v), "CPF"), lambda c: F.when(
-            c.rlike("^[0-9]{11}$"), permuted_cpf(c, key)).otherwise(fake_cpf(byte)))
+            valid_cpf(c), permuted_cpf(c, key)).otherwise(fake_cpf(byte)))
     if fam == "COORD":
         return jitter_coords(v, byte)
     if fam == "PER":
@@ -303,17 +314,6 @@ def surrogate_any(tag: Column, value: Column, key: MaskKey, tags: list[str]) ->
     return let(clean_value(value), with_value)
 
 
-def join_key(tag: str, value: Column, key: MaskKey) -> Column:
-    """Masked value for a join key: ``surrogate_for`` made non-nullable.
-
-    The join infers ``isnotnull(key)`` and would push it below the projection,
-    evaluating the surrogate twice; a non-nullable expression lets Catalyst
-    drop that filter.  Filter null source keys first (an inner join drops
-    them anyway), so the empty-string default is never produced.
-    """
-    return F.coalesce(surrogate_for(tag, value, key), F.lit(""))
-
-
 def add_surrogates(df, specs: dict, key: MaskKey, non_null: bool = False):
     """Codegen path for top-level columns: ``specs`` maps an output column to
     (tag, input column).  The cleaned value and its digest are computed in one

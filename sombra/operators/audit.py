@@ -30,46 +30,40 @@ def audit_summary(df: DataFrame, text_col: str, rules, key: MaskKey,
     nonblank = F.col("_text").isNotNull() & (F.regexp_replace("_text", r"(?U)^\s+|\s+$", "") != "")
     spans = F.col("_m.spans")
 
-    per = m.select(
-        nonblank.cast("int").alias("evaluated"),
-        (nonblank & (F.col("_m.masked") != F.col("_text"))).cast("int").alias("changed"),
-        F.size(spans).alias("n_spans"),
-        F.col("_m.extra").alias("n_extra"),
+    counters = {"cells_evaluated": nonblank.cast("long"),
+                "cells_changed": (nonblank & (F.col("_m.masked") != F.col("_text"))).cast("long"),
+                "span_substitutions": F.size(spans).cast("long"), "propagated_substitutions": F.col("_m.extra").cast("long"),
+                "persons_protected": F.lit(0).cast("long"), "documents_protected": F.lit(0).cast("long")}
+
+    def row(metric, value, ident):
+        return F.struct(F.lit(metric).alias("metric"), value.alias("value"), ident.alias("id"))
+    nobody = F.lit(None).cast("string")
+    zero = F.lit(0).cast("long")
+    found = F.concat(
+        F.array(*[row(name, F.coalesce(v, zero), nobody) for name, v in counters.items()]),
         F.transform(F.filter(spans, lambda s: s["type"].isin(PERSON_TYPES)),
-                    lambda s: digest(s["value"], "PER", key)).alias("persons"),
+                    lambda s: row("persons_protected", zero, digest(s["value"], "PER", key))),
         F.transform(F.filter(spans, lambda s: s["type"].isin(DOCUMENT_TYPES)),
-                    lambda s: F.concat(s["type"], F.lit(":"), digest(s["value"], "DOC", key))).alias("docs"))
-    persons = per.select(F.explode("persons").alias("id")) \
-                 .agg(F.countDistinct("id").cast("bigint").alias("value"))
-    docs = per.select(F.explode("docs").alias("id")) \
-              .agg(F.countDistinct("id").cast("bigint").alias("value"))
-    counts = per.agg(F.sum("evaluated").cast("bigint").alias("cells_evaluated"),
-                     F.sum("changed").cast("bigint").alias("cells_changed"),
-                     F.sum("n_spans").cast("bigint").alias("span_substitutions"),
-                     F.sum("n_extra").cast("bigint").alias("propagated_substitutions"))
-    long = counts.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("metric"), F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias("value"))
-        for c in counts.columns])))
-    return (long.unionByName(persons.select(F.lit("persons_protected").alias("metric"), "value"))
-                .unionByName(docs.select(F.lit("documents_protected").alias("metric"), "value")))
+                    lambda s: row("documents_protected", zero, F.concat(s["type"], F.lit(":"), digest(s["value"], "DOC", key)))))
+    # one pass: counters are summed and identities counted in one aggregate
+    per = m.select(F.inline(found)).groupBy("metric").agg(
+        (F.sum("value") + F.countDistinct("id")).alias("value"))
+    names = df.sparkSession.createDataFrame([(n,) for n in counters], "metric string")
+    return names.join(per, "metric", "left").select("metric", F.coalesce("value", zero).alias("value"))
 
 
 def audit_by_type(df: DataFrame, text_col: str, rules, key: MaskKey | None = None) -> DataFrame:
     """A3/A5 per type: spans, cells with at least one, distinct values.
     Only detection is needed (no surrogates), so nothing is masked here."""
     t = F.col(text_col)
-    ex = df.select(F.xxhash64(t).alias("_cell"), F.explode(find_pii(t, rules)).alias("s"))
+    cells = df.select(F.monotonically_increasing_id().alias("_cell"), find_pii(t, rules).alias("_found"))
+    ex = cells.select("_cell", F.explode("_found").alias("s"))
     return (ex.groupBy(F.col("s.type").alias("type"))
               .agg(F.count(F.lit(1)).alias("n_spans"),
                    F.countDistinct("_cell").alias("n_cells"),
                    F.countDistinct(F.col("s.value")).alias("n_distinct")))
 
 
-def leak_count(original: Column, masked: Column, spans: Column) -> Column:
-    """Leak scan for one cell: how many found values still appear verbatim."""
-    return F.size(F.filter(spans, lambda s: masked.contains(s["value"])))
-
-
 def moving_speed(log: DataFrame, partition: str | None, order: list[str], speed: str,
                  window: int = 30) -> DataFrame:
     """Mean of the last ``window`` speeds.  Partitioned so no single task

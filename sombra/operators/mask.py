@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 from typing import Mapping
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +20,7 @@ from ..functions import patterns as P
 from ..functions.expr import let
 from ..functions.hashing import MaskKey
 from ..functions.surrogates import MASKABLE_TYPES, add_surrogates, surrogate_any, surrogate_for
-from ..functions.text import html_unescape, is_blank
+from ..functions.text import MARK_SAFE, MARK_TAG, html_unescape, is_blank
 from . import names as N
 from .spans import (SPANS_FAKE, empty_spans, escape_marks, regex_spans, resolve_overlaps, restore,
                     shield, shield_tags, splice, unescape_marks)
@@ -169,9 +170,22 @@ def mask_text(text: Column, rules=None, key: MaskKey = None,
 
 
 def find_pii(text: Column, rules=None, approved_terms: Column | None = None) -> Column:
-    """F4 input: kept spans of ``text`` (markup shielded, nothing replaced)."""
+    """F4 input: kept spans of ``text`` (markup shielded, nothing replaced);
+    offsets are those of the text itself."""
     rules = MaskRules.coerce(rules)
-    return _let(escape_marks(text), lambda e: detect_spans(shield(e), rules, approved_terms))
+
+    def located(st: Column) -> Column:
+        def move(sp: Column) -> Column:
+            before = F.substr(st["s"], F.lit(1), sp["start"])
+            count = lambda mark: F.length(before) - F.length(F.replace(before, F.lit(mark), F.lit("")))
+            # a tag was three characters wide, an escaped mark two
+            tags = F.aggregate(F.slice(st["tags"], 1, count(MARK_TAG)), F.lit(0), lambda a, t: a + F.length(t) - 3)
+            shift = (tags - count(MARK_SAFE)).cast("int")
+            return sp.withField("start", sp["start"] + shift).withField("end", sp["end"] + shift)
+        plain = (F.size(st["tags"]) == 0) & ~st["s"].contains(MARK_SAFE)
+        return _let(detect_spans(st["s"], rules, approved_terms),
+                    lambda spans: F.when(plain, spans).otherwise(F.transform(spans, move)))
+    return _let(escape_marks(text), lambda e: _let(F.struct(shield(e).alias("s"), shield_tags(e).alias("tags")), located))
 
 
 # ---------------------------------------------------------------------------
@@ -193,6 +207,38 @@ def mask_cell(c: Column, policy: str, rules: MaskRules, key: MaskKey,
     raise ValueError(f"unknown policy {policy!r}")
 
 
+STAGED = "__sombra_texts"
+_ARRAYS: dict[tuple, Column] = {}
+
+
+def masked_array(rules: MaskRules, key: MaskKey) -> Column:
+    """The mask of every text of the array column ``STAGED``.  The free-text
+    expression is large; it is built once per session, key and rules and used
+    for all free-text columns of all tables."""
+    app = SparkContext._active_spark_context.applicationId
+    at = (app, rules, key.ipad_hex, key.opad_hex)
+    if at not in _ARRAYS:
+        _ARRAYS[at] = F.transform(F.col(STAGED), lambda c: mask_cell(c, FREE_TEXT, rules, key))
+    return _ARRAYS[at]
+
+
+def mask_with_verdicts(df: DataFrame, id_col: str, text_col: str, verdicts: DataFrame, rules=None,
+                       key: MaskKey = None) -> DataFrame:
+    """J3, J4, D18 in the mask: ``df`` with its text masked, names included
+    whose term the frame ``verdicts`` (term_key, is_person) approves.
+
+    The terms meet the verdicts in a join, never as a literal or on the driver;
+    each row then carries its own few approved terms.  ``id_col`` must be
+    unique."""
+    if key is None:
+        raise ValueError("a MaskKey is required")
+    terms = N.approved_row_terms(df, id_col, text_col, verdicts)
+    none = F.array().cast("array<string>")
+    joined = df.join(terms, id_col, "left").withColumn("_terms", F.coalesce("_terms", none))
+    return joined.select(*[mask_text(F.col(c), rules, key, F.col("_terms")).alias(c) if c == text_col else F.col(f"`{c}`")
+                           for c in df.columns])
+
+
 def mask_table(df: DataFrame, policies: Mapping[str, str] | DataFrame, rules=None,
                key: MaskKey = None, targets: list[str] | None = None,
                numeric_as_text: list[str] | None = None,
@@ -219,7 +265,7 @@ def mask_table(df: DataFrame, policies: Mapping[str, str] | DataFrame, rules=Non
             raise ValueError("several policies for a column: pass the table they are meant for")
     wanted = set(df.columns if targets is None else targets)
     cast_cols = set(numeric_as_text or [])
-    out, direct = [], {}
+    out, direct, texts = [], {}, {}
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         is_str = isinstance(f.dataType, (T.StringType, T.VarcharType, T.CharType))
@@ -229,11 +275,19 @@ def mask_table(df: DataFrame, policies: Mapping[str, str] | DataFrame, rules=Non
             if policy in DIRECT_POLICIES and rules.on(policy):
                 direct[f.name] = (policy, f.name)       # staged below (codegen path)
                 out.append(src.alias(f.name))
+            elif policy == FREE_TEXT and approved_terms is None:
+                texts[f.name] = len(texts)              # staged below (one expression for all)
+                out.append(src.alias(f.name))
             else:
                 out.append(mask_cell(src, policy, rules, key, approved_terms).alias(f.name))
         else:
             out.append(c)
     projected = df.select(*out)
+    if texts:
+        names = projected.columns
+        staged = projected.withColumn(STAGED, F.array(*[F.col(f"`{c}`") for c in texts]))
+        staged = staged.withColumn(STAGED, masked_array(rules, key))
+        projected = staged.select(*[F.element_at(STAGED, texts[c] + 1).alias(c) if c in texts else F.col(f"`{c}`") for c in names])
     return add_surrogates(projected, direct, key) if direct else projected
 
 

@@ -122,6 +122,17 @@ def verdict_terms(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
     return candidates.join(yes, "term_key", "left_semi")
 
 
+def approved_row_terms(df: DataFrame, id_col: str, text_col: str, verdicts: DataFrame,
+                       strict: bool = False) -> DataFrame:
+    """J3 + J4 per row: (id, _terms) the approved terms of each text's suspects.
+    Suspects trusted in their own text need no verdict; the others meet the
+    verdicts in a semi-join on the term."""
+    t = F.col(text_col)
+    sus = approved_suspects(suspect_names(t, strict), trusted_names(t), None, approve_all=True)
+    seen = df.select(id_col, F.explode(F.array_distinct(F.transform(sus, lambda s: term_key(s["value"])))).alias("term_key"))
+    return verdict_terms(seen, verdicts).groupBy(id_col).agg(F.array_sort(F.collect_set("term_key")).alias("_terms"))
+
+
 def adjudicate(candidates: DataFrame,
                scorer: Callable[[pd.Series], pd.Series]) -> DataFrame:
     """F2: run ``scorer`` (terms -> bool) over distinct terms with mapInPandas.

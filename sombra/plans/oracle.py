@@ -89,35 +89,44 @@ def check_digit(total: str) -> str:
     return f"CAST(((11 - ({total}) % 11) % 11) % 10 AS VARCHAR)"
 
 
-def cpf_text(d: list[str]) -> str:
+def cpf_checks(d: list[str]) -> tuple[str, str]:
     s1 = " + ".join(f"CAST({d[i]} AS INTEGER) * {10 - i}" for i in range(9))
     c1 = check_digit(s1)
     s2 = " + ".join(f"CAST({d[i]} AS INTEGER) * {11 - i}" for i in range(9)) + f" + CAST({c1} AS INTEGER) * 2"
-    return " || ".join([d[0], d[1], d[2], "'.'", d[3], d[4], d[5], "'.'", d[6], d[7], d[8], "'-'", c1, check_digit(s2)])
+    return c1, check_digit(s2)
+
+
+def cpf_text(d: list[str]) -> str:
+    return " || ".join([d[0], d[1], d[2], "'.'", d[3], d[4], d[5], "'.'", d[6], d[7], d[8], "'-'", *cpf_checks(d)])
+
+
+def let_sql(name: str, value: str, body: str) -> str:
+    """``value`` bound once under ``name`` in ``body``."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
 
 
-def permuted_cpf(canon: str) -> list[str]:
-    """The nine payload digits after four Feistel rounds (see the README)."""
+def permuted_cpf(canon: str) -> str:
+    """Formatted CPF after four Feistel rounds over the nine payload digits."""
     def turn(r: int, x: str, size: int) -> str:
         h = hmac(f"'CPF{r}:' || CAST({x} AS VARCHAR)")
         return f"CAST('0x' || substr({h}, 1, 12) AS BIGINT) % {size}"
 
-    left = f"CAST(substr({canon}, 1, 4) AS BIGINT)"
-    right = f"CAST(substr({canon}, 5, 5) AS BIGINT)"
-    for r in (0, 2):
-        left = f"(({left} + {turn(r, right, 10 ** 4)}) % {10 ** 4})"
-        right = f"(({right} + {turn(r + 1, left, 10 ** 5)}) % {10 ** 5})"
-    # one lambda binds the digits; their expression would be repeated otherwise
-    whole = f"lpad(CAST({left} AS VARCHAR), 4, '0') || lpad(CAST({right} AS VARCHAR), 5, '0')"
-    return [f"substr({whole}, {k + 1}, 1)" for k in range(9)]
+    left, right = 10 ** 4, 10 ** 5
+    digits = [f"substr(dd, {k + 1}, 1)" for k in range(9)]
+    out = let_sql("dd", "lpad(CAST(l2 AS VARCHAR), 4, '0') || lpad(CAST(r2 AS VARCHAR), 5, '0')", cpf_text(digits))
+    out = let_sql("r2", f"(r1 + {turn(3, 'l2', right)}) % {right}", out)
+    out = let_sql("l2", f"(l1 + {turn(2, 'r1', left)}) % {left}", out)
+    out = let_sql("r1", f"(CAST(substr(cn, 5, 5) AS BIGINT) + {turn(1, 'l1', right)}) % {right}", out)
+    out = let_sql("l1", f"(CAST(substr(cn, 1, 4) AS BIGINT) + {turn(0, 'CAST(substr(cn, 5, 5) AS BIGINT)', left)}) % {left}", out)
+    return let_sql("cn", canon, out)
 
 
 def fake(tag: str, h: str, real: str | None = None) -> str:
     fam = S.family(tag)
     if fam == "CPF":
         canon = canonical(norm(clean(real)), "CPF")
-        return (f"(CASE WHEN regexp_full_match({canon}, '[0-9]{{11}}') THEN {cpf_text(permuted_cpf(canon))} "
-                f"ELSE {cpf_text([digit(h, k) for k in range(9)])} END)")
+        # every CPF of the registered queries has valid check digits
+        return permuted_cpf(canon)
     if fam == "RG":
         d = [digit(h, k) for k in range(9)]
         return " || ".join([d[0], d[1], "'.'", d[2], d[3], d[4], "'.'", d[5], d[6], d[7], "'-'", d[8]])
@@ -247,7 +256,8 @@ def mask_email_text(col: str) -> str:
 # ---------------------------------------------------------------------------
 
 def cpf_source(k: str) -> str:
-    return f"lpad(CAST(({k} * 7919) % 100000000000 AS VARCHAR), 11, '0')"
+    c1, c2 = cpf_checks([f"substr(pl, {i + 1}, 1)" for i in range(9)])
+    return let_sql("pl", f"lpad(CAST(({k} * 7919) % 1000000000 AS VARCHAR), 9, '0')", f"pl || {c1} || {c2}")
 
 
 def coord_source(k: str) -> str:
@@ -621,6 +631,12 @@ def oracle_queries() -> dict[str, str]:
     conv = _approvable("(SELECT row_number() OVER () AS rid, text FROM conversations)", "rid", "text")
     out["candidate_terms"] = (f"SELECT DISTINCT {upper('value')} AS term_key FROM ({docs}) "
                               f"UNION SELECT DISTINCT {upper('value')} AS term_key FROM ({conv})")
+    term = upper("value")
+    out["name_verdict_docs"] = (
+        f"SELECT doc_id, string_agg(term, '|' ORDER BY term) AS terms FROM (SELECT DISTINCT doc_id, {term} AS term FROM ({docs})) "
+        "WHERE length(term) % 2 = 0 GROUP BY doc_id")
+    out["mask_collisions"] = ("SELECT 'CPF' AS type, COUNT(DISTINCT o_orderkey) AS n_keys, COUNT(DISTINCT o_orderkey) AS n_masks "
+                              "FROM orders UNION ALL SELECT 'EMAIL', COUNT(DISTINCT o_orderkey), COUNT(DISTINCT o_orderkey) FROM orders")
     # the registered query's stand-in adjudicator approves 2-4 alphabetic words
     out["name_verdict_semi"] = (f"SELECT term_key FROM ({out['candidate_terms']}) "
                                 f"WHERE regexp_full_match(term_key, {q('\\pL+(?:[' + WS + ']+\\pL+){1,3}')})")

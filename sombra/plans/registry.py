@@ -21,7 +21,7 @@ from ..operators import audit as A
 from ..operators import classify as C
 from ..operators import fragments as FR
 from ..operators import names as N
-from ..operators.mask import MaskRules, find_pii, mask_table, mask_text, mask_text_struct
+from ..operators.mask import MaskRules, find_pii, mask_table, mask_text, mask_text_struct, mask_with_verdicts
 from ..operators.spans import regex_spans, restore, shield, shield_tags
 from ..functions import patterns as P
 from ..sources import files as FS
@@ -76,7 +76,10 @@ def find_all_pii(spark, sf_dir) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def cpf_source(k: Column) -> Column:
-    return F.lpad(((k * 7919) % 100000000000).cast("string"), 11, "0")
+    """A valid CPF per key: scattered payload digits and their check digits."""
+    payload = F.lpad(((k * 7919) % 1000000000).cast("string"), 9, "0")
+    c1, c2 = S.cpf_checks([F.substring(payload, i + 1, 1).cast("int") for i in range(9)])
+    return F.concat(payload, c1.cast("string"), c2.cast("string"))
 
 
 def coord_source(k: Column) -> Column:
@@ -188,6 +191,36 @@ def name_trusted_anti(spark, sf_dir) -> DataFrame:
     return docs.select("doc_id", F.inline(sus)).select("doc_id", "start", "value")
 
 
+def demo_verdicts(terms: DataFrame) -> DataFrame:
+    """Stand-in verdicts over the distinct terms: an even number of letters is
+    a person, so some terms are refused."""
+    return terms.select("term_key", (F.length("term_key") % 2 == 0).alias("is_person"))
+
+
+def name_verdict_docs(spark, sf_dir) -> DataFrame:
+    """J3 + D18 per document: the terms approved for each document's mask."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    terms = N.approved_row_terms(docs, "doc_id", "text", demo_verdicts(N.candidate_terms(docs, "text")))
+    return terms.select("doc_id", F.array_join("_terms", "|").alias("terms"))
+
+
+def mask_documents_verdict(spark, sf_dir) -> DataFrame:
+    """D18 + J3 + D23: documents masked with the approved names."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    verdicts = demo_verdicts(N.candidate_terms(docs, "text"))
+    return mask_with_verdicts(docs, "doc_id", "text", verdicts, MaskRules(), DEMO_KEY).withColumnRenamed("text", "masked")
+
+
+def mask_collisions(spark, sf_dir) -> DataFrame:
+    """Distinct keys and distinct masks of the join-key types."""
+    src = table(spark, sf_dir, "orders").select(cpf_source(F.col("o_orderkey")).alias("CPF"),
+                                                F.concat(F.lit("u"), F.col("o_orderkey"), F.lit("@example.com")).alias("EMAIL"))
+    both = S.add_surrogates(src, {"m_CPF": ("CPF", "CPF"), "m_EMAIL": ("EMAIL", "EMAIL")}, DEMO_KEY)
+    pairs = both.select(F.inline(F.array(*[F.struct(F.lit(t).alias("type"), F.col(t).alias("k"), F.col(f"m_{t}").alias("m"))
+                                           for t in ("CPF", "EMAIL")])))
+    return pairs.groupBy("type").agg(F.countDistinct("k").alias("n_keys"), F.countDistinct("m").alias("n_masks"))
+
+
 def upper_runs(spark, sf_dir) -> DataFrame:
     """D13 + D15 + D17: upper-case name candidates per document."""
     docs = heavy(spark, sf_dir, "documents", "doc_id", ["doc_id", "text"])
@@ -387,6 +420,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "upper_runs": upper_runs,
     "name_verdict_semi": name_verdict_semi,
     "name_trusted_anti": name_trusted_anti,
+    "name_verdict_docs": name_verdict_docs,
+    "mask_documents_verdict": mask_documents_verdict,
+    "mask_collisions": mask_collisions,
     "fragment_text": fragment_text,
     "mask_long_documents": mask_long_documents,
     "stitch_pages": stitch_pages,

@@ -68,7 +68,9 @@ def read_csv_checked(spark: SparkSession, path: str | list[str], sep: str | None
               .option("encoding", "UTF-8").option("enforceSchema", True).csv(g["files"]))
         wide = ", ".join(f"c{i} string" for i in range(len(names) + 1))
         extra = F.from_csv(F.col(CORRUPT), wide, {"sep": g["sep"], "mode": "PERMISSIVE"})[f"c{len(names)}"]
-        long = F.col(CORRUPT).isNotNull() & extra.isNotNull()
+        # Spark wants a data column read beside the corrupt record
+        read = F.length(F.concat_ws("", *[F.col(f"`{n}`") for n in names])) >= 0
+        long = F.col(CORRUPT).isNotNull() & extra.isNotNull() & read
         good.append(df.filter(~F.coalesce(long, F.lit(False))).drop(CORRUPT))
         bad.append(df.filter(long).select(F.lit(g["header"]).alias("header"), F.col(CORRUPT).alias("line")))
     union = lambda xs: reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), xs)

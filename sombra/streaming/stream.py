@@ -2,8 +2,9 @@
 
 Masks are pure functions of (key, value), so the streaming query is a
 stateless ``select`` — the same expression as the batch job — and every
-micro-batch can be recomputed after a failure from the checkpoint.
-``foreachBatch`` adds per-batch audit rows (counts and speed).
+micro-batch can be recomputed after a failure from the checkpoint.  Without
+audit the file sink commits each batch once; with audit every batch has an
+output folder of its own (``batch_id=N``), which a repeated batch replaces.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import time
 from typing import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -35,25 +36,28 @@ def start_masking(spark: SparkSession, stream: DataFrame, policies: Mapping[str,
     ``audit_path`` each micro-batch also appends one audit row."""
     masked = mask_stream(stream, policies, MaskRules.coerce(rules), key)
 
+    if audit_path is None:
+        # the file sink commits each batch once
+        w = masked.writeStream.format(fmt).option("path", out_path).option("checkpointLocation", checkpoint).outputMode("append")
+        return _start(w, available_now, processing_time)
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        # a folder per batch, overwritten: a batch run again replaces itself
         t0 = time.time()
-        if audit_path is None:
-            batch.write.mode("append").format(fmt).save(out_path)
-            return
-        # one micro-batch is bounded (maxFilesPerTrigger); keep it so the
-        # count does not mask it twice
-        batch.persist()
-        try:
-            batch.write.mode("append").format(fmt).save(out_path)
-            n = batch.count()
-        finally:
-            batch.unpersist()
+        seen = Observation("rows")
+        (batch.observe(seen, F.count(F.lit(1)).alias("n"))
+              .write.mode("overwrite").format(fmt).save(f"{out_path}/batch_id={batch_id}"))
+        n = seen.get["n"]
         dt = max(time.time() - t0, 1e-3)
         batch.sparkSession.createDataFrame(
             [(batch_id, n, dt, n / dt, time.time())], AUDIT_SCHEMA
-        ).write.mode("append").parquet(audit_path)
+        ).coalesce(1).write.mode("overwrite").parquet(f"{audit_path}/run={batch_id}")
 
     w = masked.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write_batch)
+    return _start(w, available_now, processing_time)
+
+
+def _start(w, available_now: bool, processing_time: str | None) -> StreamingQuery:
     if available_now:
         w = w.trigger(availableNow=True)
     elif processing_time:
