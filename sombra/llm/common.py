@@ -32,14 +32,15 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
+def materialise(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table into the cluster's shared checkpoint
     folder and read it back: cuts lineage, survives lost executors, and later
-    readers prune its columns.  Removed when the session's JVM ends."""
+    readers prune its columns.  Removed when the session's JVM ends.  Hashes do
+    not compress: ``codec`` "uncompressed" spares them the buffers."""
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/sombra-llm/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)

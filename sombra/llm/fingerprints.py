@@ -159,7 +159,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = base.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
                         F.expr(paragraph_keys("text")).alias("own"), F.expr(paragraph_keys("edited")).alias("e"),
                         F.expr(paragraph_keys("next_text")).alias("n"))
-    keyed = materialise(keyed.withColumn("rid", F.monotonically_increasing_id()), "paragraph-keys")
+    keyed = materialise(keyed.withColumn("rid", F.monotonically_increasing_id()), "paragraph-keys", "uncompressed")
 
     one = "transform({0}, x -> named_struct('x', x, 's', 1))"
     sk = keyed
@@ -183,7 +183,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         step = subs.withColumn("p", F.expr(peel(cells("keys", width, seed), width, seed, 3 * width)))
         step = step.withColumn("ok", F.expr(clear("p.t")))
         step = materialise(step.select("rid", "side", F.when(F.col("ok"), F.col("p.d")).alias("d"),
-                                       F.when(~F.col("ok"), F.col("keys")).alias("keys")), "peeled")
+                                       F.when(~F.col("ok"), F.col("keys")).alias("keys")), "peeled", "uncompressed")
         done.append(step.where("d is not null").select("rid", "side", "d"))
         subs = step.where("d is null").select("rid", "side", "keys")
         if not subs.limit(1).count():

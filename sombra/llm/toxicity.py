@@ -22,16 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_arrow
+from .common import LOWER, id_text, map_arrow, slices, text_bytes, word_hashes, word_spans
 
 ORDER, DECAY, FLOOR = 3, 0.6, 0.25
-LANDMARKS = 32
+LANDMARKS = 40
+ALIKE = 0.4              # a landmark resembles no earlier one more than this
 SAMPLE = 8000            # labelled rows the classifier is fitted on, at most
 LONGEST = 24             # longer words are cut into overlapping pieces
 MEMO = 400_000
 
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
-_SPELT = re.compile(r"(?<!\S)(?:\S[ ]){2,}\S(?!\S)")    # letters spelt one by one
+_STOPS = np.frombuffer(b".!?", np.uint8)
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -90,7 +92,8 @@ class Landmarks:
 
     def features(self, words: list[str]) -> np.ndarray:
         """Normalised kernel (words x landmarks); pairs that share fewer than
-        ORDER different letters, and values below FLOOR, are 0."""
+        ORDER different letters, or fewer than half of the landmark's, and
+        values below FLOOR, are 0."""
         out = np.zeros((len(words), len(self.words)), np.float32)
         if not words or not self.words:
             return out
@@ -99,7 +102,7 @@ class Landmarks:
             part = order[lo:lo + 8192]
             code, lens = encode_words([words[i] for i in part])
             bits = letter_bits(code)
-            live = [np.flatnonzero(np.bitwise_count(bits & b) >= ORDER) for b in self.bits]
+            live = [np.flatnonzero(np.bitwise_count(bits & b) >= max(ORDER, -(-int(b).bit_count() // 2))) for b in self.bits]
             if not any(len(x) for x in live):
                 continue
             need = np.unique(np.concatenate(live))
@@ -130,48 +133,85 @@ def clean(word: str) -> list[str]:
 
 
 class Reader:
-    """Sentence features of texts, with a bounded memo of words per worker."""
+    """Sentence features of texts.  Words are told apart by vectorised hashes
+    and each distinct one is compared with the landmarks once; a bounded memo
+    per worker keeps the feature rows of the words met first."""
 
     def __init__(self, landmarks: list[str]):
         self.marks = Landmarks(landmarks)
-        self.memo: dict[str, np.ndarray | None] = {}
-
-    def learn(self, words: list[str]) -> dict:
-        """Feature rows (None where all are 0) of words not in the memo."""
-        pieces, owner = [], []
-        for i, w in enumerate(words):
-            for p in clean(w):
-                pieces.append(p)
-                owner.append(i)
-        feats = self.marks.features(pieces)
-        got: dict[str, np.ndarray | None] = dict.fromkeys(words)
-        for r in np.flatnonzero(feats.any(1)).tolist():
-            w = words[owner[r]]
-            got[w] = feats[r] if got[w] is None else np.maximum(got[w], feats[r])
-        if len(self.memo) + len(got) <= MEMO:
-            self.memo.update(got)
-        return got
+        self.memo: dict[bytes, int] = {}
+        self.rows = np.zeros((1, len(landmarks)), np.float32)      # row 0: all zero
+
+    def _numbers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(feature rows, row number of each distinct word)."""
+        got = list(map(self.memo.get, words))
+        new = [k for k, g in enumerate(got) if g is None]
+        rows = self.rows
+        if new:
+            pieces, owner = [], []
+            for n, k in enumerate(new):
+                for p in clean(words[k].decode().lower()):
+                    pieces.append(p)
+                    owner.append(n)
+            feats = self.marks.features(pieces)
+            live = np.flatnonzero(feats.any(1))
+            at = np.array(owner, np.int64)[live] if len(live) else np.empty(0, np.int64)
+            heads = np.flatnonzero(np.diff(at, prepend=-1))         # pieces of a word lie together
+            number = np.zeros(len(new), np.int64)
+            if len(heads):
+                number[at[heads]] = len(rows) + np.arange(len(heads))
+                rows = np.concatenate([rows, np.maximum.reduceat(feats[live], heads)])
+            for n, k in zip(number.tolist(), new, strict=True):
+                got[k] = n
+            if len(self.memo) + len(new) <= MEMO:
+                self.memo.update((words[k], got[k]) for k in new)
+                self.rows = rows
+        return rows, np.array(got, np.int64)
+
+    def pooled(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(feature rows of sentences that are not all zero, their texts'
+        numbers), in text order."""
+        out, owner = [np.zeros((0, len(self.marks.words)), np.float32)], [np.empty(0, np.int64)]
+        for i, j in slices(col, 4 << 20):
+            f, r = self._slice(*text_bytes(col, i, j))
+            out.append(f)
+            owner.append(r + i)
+        return np.concatenate(out), np.concatenate(owner)
+
+    def _slice(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s, e, row = word_spans(buf, off)
+        if not len(s):
+            return np.zeros((0, len(self.marks.words)), np.float32), np.empty(0, np.int64)
+        raw = LOWER[buf].tobytes()
+        _, first, inv = np.unique(word_hashes(buf, s, e), return_index=True, return_inverse=True)
+        rows, number = self._numbers([raw[x:y] for x, y in zip(s[first].tolist(), e[first].tolist(), strict=True)])
+        number = number[inv]
+        # a sentence ends after . ! ? or at a line end
+        lines = np.cumsum(buf == 10)
+        stop = np.isin(buf[e - 1], _STOPS)
+        part = lines[s] + np.concatenate([[0], np.cumsum(stop)[:-1]])
+        # three or more single letters in a row are read as one word
+        spelt: dict[int, str] = {}
+        one = (e - s == 1) & _LETTER[buf[s]]
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], one.astype(np.int8), [0]])))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if b - a >= ORDER and row[a] == row[b - 1]:
+                spelt[a] = "".join(chr(raw[x]) for x in s[a:b])
+        if spelt:
+            more, at = self._numbers([w.encode() for w in spelt.values()])
+            number[list(spelt)] = np.where(at > 0, at + len(rows), number[list(spelt)])
+            rows = np.concatenate([rows, more])
+        hit = np.flatnonzero(number)
+        if not len(hit):
+            return np.zeros((0, len(self.marks.words)), np.float32), np.empty(0, np.int64)
+        begin = np.flatnonzero(np.diff(row[hit], prepend=-1) | np.diff(part[hit], prepend=-1))
+        return np.maximum.reduceat(rows[number[hit]], begin), row[hit][begin]
 
     def sentences(self, texts: list[str]) -> list[np.ndarray]:
-        """Per text its sentences' pooled feature rows that are not all 0."""
-        low = [_SPELT.sub(lambda m: m.group() + " " + m.group().replace(" ", ""), t.lower()) for t in texts]
-        split = [t.split() for t in low]
-        unseen = {w for ws in split for w in ws if w not in self.memo}
-        late = self.learn(list(unseen)) if unseen else {}
-        memo = self.memo
-        hits = {w for w, v in late.items() if v is not None}
-        out = []
-        for t, ws in zip(low, split, strict=True):
-            if not any(memo.get(w) is not None or w in hits for w in set(ws)):
-                out.append(np.empty((0, len(self.marks.words)), np.float32))
-                continue
-            rows = []
-            for s in _SENTENCE.split(t):
-                v = [f for f in (memo.get(w, late.get(w)) for w in s.split()) if f is not None]
-                if v:
-                    rows.append(np.maximum.reduce(v))
-            out.append(np.array(rows, np.float32).reshape(len(rows), len(self.marks.words)))
-        return out
+        """Per text its sentences' feature rows that are not all zero."""
+        rows, owner = self.pooled(pa.array(texts, pa.string()))
+        cut = np.searchsorted(owner, np.arange(len(texts) + 1))
+        return [rows[cut[i]:cut[i + 1]] for i in range(len(texts))]
 
 
 _READERS: dict[tuple, Reader] = {}
@@ -238,6 +278,14 @@ class Model:
     def score(self, rows: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.a * self.margins(rows) + self.b, -30, 30))))
 
+    def scores(self, col: pa.Array) -> np.ndarray:
+        """Scores of all texts of a string column."""
+        rows, owner = reader(self.landmarks).pooled(col)
+        margin = np.full(len(col), self.bias)
+        if len(rows):
+            np.maximum.at(margin, owner, (rows.astype(float) @ self.direct) + self.bias)
+        return 1 / (1 + np.exp(-np.clip(self.a * margin + self.b, -30, 30)))
+
 
 def fold(id_col, mod: int = 5):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(mod))
@@ -290,7 +338,7 @@ def choose_landmarks(rows: DataFrame, count: int = LANDMARKS) -> list[str]:
     for w in top:
         if chosen:
             marks = Landmarks(chosen)
-            if marks.features([w]).max() > 0.6:
+            if marks.features([w]).max() > ALIKE:
                 continue
         chosen.append(w)
         if len(chosen) == count:
@@ -303,6 +351,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     """Fit on a bounded sample of labelled rows (``sample`` is the bound)."""
     rows = training_rows(docs, labels, sample, id_col, text_col)
     marks = choose_landmarks(rows)
+    if not marks:      # no rows, one class, or no word that tells them apart
+        share = rows.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
+        share = min(max(share, 1e-6), 1 - 1e-6)
+        return Model([], np.empty((0, 0)), np.empty(0), 0.0, 1.0, float(np.log(share / (1 - share))))
     d = len(marks)
 
     def feats(batches):
@@ -315,9 +367,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     got = sorted((r["doc_id"], r["toxic"], bytes(r["rows"])) for r in map_arrow(
         rows.select("doc_id", "text", "toxic"), feats, "doc_id long, toxic long, rows binary").collect())
     y = np.array([t == 1 for _, t, _ in got], float)
-    if not marks or not len(y) or y.all() or not y.any():
-        share = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
-        return Model([], np.empty((0, 0)), np.empty(0), 0.0, 1.0, float(np.log(share / (1 - share))))
     bags = [np.frombuffer(r, np.float32).reshape(-1, d).astype(float) for _, _, r in got]
     lm = Landmarks(marks)
     K = lm.features(marks).astype(float)
@@ -344,14 +393,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks and a few hundred floats
 
     def run(batches):
-        m = shared.value
-        r = reader(m.landmarks)
         for b in batches:
-            col = b.column("text").to_pylist()
-            out = []
-            for lo in range(0, len(col), 1000):
-                out += [m.score(x) for x in r.sentences(col[lo:lo + 1000])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(shared.value.scores(b.column("text")))],
+                                             names=["doc_id", "score"])
     scored = map_arrow(docs.select(*id_text(id_col, text_col)), run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -364,11 +408,8 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     at = docs.columns.index(text_col)
 
     def run(batches):
-        m = shared.value
-        r = reader(m.landmarks)
         for b in batches:
-            col = [t or "" for t in b.column(at).to_pylist()]
-            ok = [i for lo in range(0, len(col), 1000) for i, x in enumerate(r.sentences(col[lo:lo + 1000]), lo) if m.score(x) < 0.5]
-            if ok:
+            ok = np.flatnonzero(shared.value.scores(b.column(at).fill_null("")) < 0.5)
+            if len(ok):
                 yield b.take(pa.array(ok))
     return map_arrow(docs, run, docs.schema)
