@@ -93,8 +93,8 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
 
 def test_words_spelt_out_and_long_words():
     r = toxicity.Reader(["idiot"])
-    spelt, plain, inside, none = r.sentences(["you i d i o t you", "an idiot.", "x" * 40 + "idiot" + "y" * 40, "nothing here"])
-    assert spelt.max() > 0.9 and plain.max() > 0.9 and inside.max() > 0.2 and len(none) == 0
+    spelt, plain, inside, none = r.sentences(["you i d i o t you", "an idiot.", "thidiotth", "nothing here " + "x" * 200])
+    assert spelt.max() > 0.9 and plain.max() > 0.9 and inside.max() > 0.4 and len(none) == 0
 
 
 # -- language model ----------------------------------------------------------
