@@ -10,10 +10,13 @@ floor((1 - t) n) + 1 ones.
    paired with its list's leader only, and every class keeps the one leader it
    shares most lists with.  These pairs are verified, which gives the exact
    overlap with the leader and the difference to it.
+   The leader of a list is its most common member: in a family of copies the
+   text that the others were made from.
 2. The lists are read again with what is known: pairs already connected are
-   skipped, blocks of a list are skipped by size and by position bounds, and a
-   pair under one leader L is skipped when its overlaps with L rule the link
-   out: |a & z| <= |z & L| + |a - L|.
+   skipped, and blocks of a list are skipped by size and by position bounds.  A
+   pair under one leader L shares at most min(|a & L|, |z & L|) shingles of L; if
+   that is too few it is skipped here, and found by the additions it must share
+   (shingles that L lacks), which copies edited apart do not.
 3. The remaining pairs are counted over the lists (a pair that links shares
    enough of its first shingles), and verified: under a common leader
    incrementally, |a & z| = |L| - |(L - a) | (L - z)| + |(a - L) & (z - L)|, from
@@ -113,14 +116,16 @@ def overlap_needed(n: np.ndarray, m: np.ndarray, pct: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, pct: int) -> DataFrame:
-    """(rid, doc_id, n, digest, head): set size, digest of the set and its
-    first shingles in the global order."""
+    """(rid, doc_id, n, digest, head, common): set size, digest of the set, its
+    first shingles in the global order, and how common those are (mean log of
+    their counts): in a family of copies the text that the others were made
+    from has no shingle of its own, so its first ones are common."""
     sketch = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, k))
 
     def run(batches):
         table = sketch.value
         for b in batches:
-            n, dig, head = [], [], []
+            n, dig, head, common = [], [], [], []
             for s in doc_sets(b.column("text"), k):
                 n.append(len(s))
                 dig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -128,12 +133,15 @@ def signatures(docs: DataFrame, k: int, pct: int) -> DataFrame:
                     est = np.minimum.reduce([table[r][_cells(s, r)] for r in range(SKETCH_ROWS)])
                     order = np.lexsort((s, est))[:prefix_length(len(s), pct)]
                     head.append(s[order].tobytes())
+                    common.append(int(64 * np.log2(est[order].astype(float)).mean()))
                 else:
                     head.append(b"")
+                    common.append(0)
             yield pa.RecordBatch.from_arrays(
                 [b.column("rid"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(dig, pa.binary()),
-                 pa.array(head, pa.binary())], names=["rid", "doc_id", "n", "digest", "head"])
-    return map_arrow(docs, run, "rid long, doc_id long, n long, digest binary, head binary")
+                 pa.array(head, pa.binary()), pa.array(common, pa.int64())],
+                names=["rid", "doc_id", "n", "digest", "head", "common"])
+    return map_arrow(docs, run, "rid long, doc_id long, n long, digest binary, head binary, common long")
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -173,8 +181,9 @@ def _lists(batches, names):
 
 
 def leader_pairs(posts: DataFrame, pct: int) -> DataFrame:
-    """(cls, leader) candidates: in each list, read by size, a member meets the
-    last leader; one too small for the member gives its place to it."""
+    """(cls, leader) candidates: in each list, read from the most common class
+    down, a member meets the last leader; one of another size gives its place
+    to it."""
     def run(batches):
         token = leader = None
         size = 0
@@ -187,26 +196,56 @@ def leader_pairs(posts: DataFrame, pct: int) -> DataFrame:
                 if i != prev + 1 and i > 0:      # the member before opened this list
                     leader, size = int(c[i - 1]), int(n[i - 1])
                 prev = i
-                if 100 * size >= pct * int(n[i]):
+                m = int(n[i])
+                if 100 * min(size, m) >= pct * max(size, m):
                     out_c.append(int(c[i]))
                     out_l.append(leader)
                 else:
-                    leader, size = int(c[i]), int(n[i])
+                    leader, size = int(c[i]), m
             if prev != len(t) - 1:
                 leader, size = int(c[-1]), int(n[-1])
             token = t[-1]
             if out_c:
                 yield pa.RecordBatch.from_arrays([pa.array(out_c, pa.int64()), pa.array(out_l, pa.int64())],
                                                  names=["cls", "leader"])
-    dealt = posts.select("token", "n", "cls").repartition("token").sortWithinPartitions("token", "n", "cls")
-    return map_arrow(dealt, run, "cls long, leader long")
+    dealt = posts.select("token", "n", "cls", "common").repartition("token").sortWithinPartitions(
+        "token", F.desc("common"), "cls")
+    return map_arrow(dealt.select("token", "n", "cls"), run, "cls long, leader long")
+
+
+def shared_additions(known: DataFrame, facts: DataFrame, pct: int) -> DataFrame:
+    """(a, b, na, nb, leader) pairs under one leader L that can only link
+    through shingles which L lacks.
+
+    |a & z| <= min(|a & L|, |z & L|) + |(a - L) & (z - L)|, so such a pair must
+    share the missing ones among its additions: the answers of a set are
+    derived from its leader's, and only additions are looked up."""
+    def run(batches):
+        for b in batches:
+            adds = b.column("add").to_pylist()
+            lens = np.array([len(x) // 8 for x in adds], np.int64)
+            take = pa.array(np.repeat(np.arange(len(adds)), lens))
+            yield pa.RecordBatch.from_arrays([b.column("cls").take(take), b.column("leader").take(take),
+                                              pa.array(np.frombuffer(b"".join(adds), np.int64))], names=["cls", "leader", "token"])
+    lists = map_arrow(known.where("add is not null").select("cls", "leader", "add"), run, "cls long, leader long, token long")
+    mine = facts.select("cls", "n", "root", "ov")
+    # an addition of one member alone pairs nothing
+    several = lists.groupBy("leader", "token").agg(F.count("*").alias("df")).where("df > 1").select("leader", "token")
+    rows = lists.join(several, ["leader", "token"]).join(mine, "cls")
+    left = rows.select("leader", "token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("ov").alias("oa"))
+    right = rows.select("leader", "token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("ov").alias("ob"))
+    need = F.expr(f"({pct} * (na + nb) + 99 + {pct}) div (100 + {pct})")
+    pairs = (left.join(right, ["leader", "token"]).where("a < b and ra <> rb")
+             .where(f"100 * least(na, nb) >= {pct} * greatest(na, nb)").where(need > F.least("oa", "ob")))
+    return (pairs.groupBy("a", "b", "na", "nb", "leader", "oa", "ob").agg(F.count("*").alias("shared"))
+            .where(F.col("shared") >= need - F.least("oa", "ob")).select("a", "b", "na", "nb", "leader"))
 
 
 def cross_pairs(posts: DataFrame, pct: int) -> DataFrame:
     """(a, b, na, nb, oneleader, shared) pairs of different components that
     share first shingles and pass the size, position and leader bounds;
     ``shared`` counts the lists that hold both."""
-    names = ["token", "n", "cls", "pos", "root", "leader", "ov", "side"]
+    names = ["token", "n", "cls", "pos", "root", "leader", "ov", "delta", "side"]
     hot = posts.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     # lists whose members are all connected hold no open pair
     hot = hot.where("lo <> hi").select("token", "df")
@@ -214,7 +253,7 @@ def cross_pairs(posts: DataFrame, pct: int) -> DataFrame:
     # a long list is cut into blocks by hash; each pair of blocks is one unit
     live = posts.join(hot, "token").withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    live = live.select("token", "n", "cls", "pos", "root", "leader", "ov",
+    live = live.select("token", "n", "cls", "pos", "root", "leader", "ov", "delta",
                        F.least("mine", "other").alias("u"), F.greatest("mine", "other").alias("v"),
                        F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).cast("long").alias("side"))
     dealt = (live.repartition("token", "u", "v").sortWithinPartitions("token", "u", "v", "n", "cls")
@@ -247,10 +286,10 @@ def cross_pairs(posts: DataFrame, pct: int) -> DataFrame:
                     # position bound: before, at and after the shared shingle
                     most = (np.minimum(cols["pos"][x], cols["pos"][y]) + 1
                             + np.minimum(n[x] - cols["pos"][x], n[y] - cols["pos"][y]) - 1)
-                    # leader bound
-                    one = cols["leader"][y] == cols["leader"][x]
-                    far = np.minimum(cols["ov"][y] + n[x] - cols["ov"][x], cols["ov"][x] + n[y] - cols["ov"][y])
-                    y = y[(most >= need) & (~one | (far >= need))]
+                    # leader bound: beyond their overlaps with a common leader two
+                    # sets share additions only, and shared_additions has those
+                    one = cols["delta"][x] & cols["delta"][y] & (cols["leader"][y] == cols["leader"][x])
+                    y = y[(most >= need) & (~one | (np.minimum(cols["ov"][y], cols["ov"][x]) >= need))]
                     if len(y):
                         out.append((np.full(len(y), x), y))
             if out:
@@ -364,10 +403,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str =
     classes = materialise(
         sigs.where("n > 0").groupBy("digest")
         .agg(F.min("rid").alias("cls"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),
-             F.first("head").alias("head")), "classes")
+             F.first("head").alias("head"), F.first("common").alias("common")), "classes")
 
     # 1. leaders
-    best = (leader_pairs(postings(classes.select("cls", "n", "head")), pct)
+    best = (leader_pairs(postings(classes.select("cls", "n", "head", "common")), pct)
             .groupBy("cls", "leader").agg(F.count("*").alias("lists")))
     # a row for each (cls, leader) and list count; per class the leader met most
     best = (best.groupBy("cls").agg(F.max(F.struct("lists", (-F.col("leader")).alias("l"))).alias("m"))
@@ -392,12 +431,15 @@ def jaccard_components(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str =
     # 2. open pairs
     facts = (wanted.select("cls", "n", "head")
              .join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
-             .join(known.select("cls", "leader", "ov"), "cls", "left")
-             # a class without a leader leads its own list: overlap with itself is its size
+             .join(known.select("cls", "leader", "ov", F.col("add").isNotNull().alias("delta")), "cls", "left")
+             # a class without a leader is its own: overlap with itself is its size
              .select("cls", "n", "head", F.coalesce("root", "cls").alias("root"),
-                     F.coalesce("leader", "cls").alias("leader"), F.coalesce("ov", "n").alias("ov")))
+                     F.coalesce("leader", "cls").alias("leader"), F.coalesce("ov", "n").alias("ov"),
+                     F.coalesce("delta", F.lit(True)).alias("delta")))
+    facts = materialise(facts, "facts")
     posts = materialise(postings(facts), "postings")
-    open_pairs = materialise(cross_pairs(posts, pct), "open")
+    open_pairs = materialise(cross_pairs(posts, pct).select("a", "b", "na", "nb", "leader")
+                             .union(shared_additions(known, facts, pct)).distinct(), "open")
 
     # 3. verification
     delta = known.select("cls", "leader", "add", "rem").where("add is not null")
