@@ -44,7 +44,7 @@ BLOCK = 2048          # members of an index list read together
 FILTER_BITS = 24
 
 
-def doc_sets(col: pa.Array, k: int, max_bytes: int = 4 << 20):
+def doc_sets(col: pa.Array, k: int, max_bytes: int = 1 << 20):
     """Sorted distinct shingle hashes of every text of a string column; fewer
     than ``k`` words are one shingle, none an empty set."""
     for i, j in slices(col, max_bytes):

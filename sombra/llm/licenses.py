@@ -103,7 +103,7 @@ class Scanner:
     def scan(self, col: pa.Array) -> list[tuple[int, str, int, int, float]]:
         """(row, template, start byte, end byte, containment)."""
         out = []
-        for i, j in slices(col, 4 << 20):
+        for i, j in slices(col, 1 << 20):
             buf, off = text_bytes(col, i, j)
             s, e, row, w = _words(buf, off)
             by_k = {}

@@ -142,7 +142,7 @@ class Ids:
     def __call__(self, col: pa.Array) -> list[np.ndarray]:
         """Ids of each text of a string column, ``END_ID`` last."""
         out: list[np.ndarray] = []
-        for i, j in slices(col, 4 << 20):
+        for i, j in slices(col, 2 << 20):
             out += self._slice(*text_bytes(col, i, j))
         return out
 

@@ -172,7 +172,7 @@ class Reader:
         """(feature rows of sentences that are not all zero, their texts'
         numbers), in text order."""
         out, owner = [np.zeros((0, len(self.marks.words)), np.float32)], [np.empty(0, np.int64)]
-        for i, j in slices(col, 4 << 20):
+        for i, j in slices(col, 1 << 20):
             f, r = self._slice(*text_bytes(col, i, j))
             out.append(f)
             owner.append(r + i)
