@@ -132,7 +132,7 @@ def test_audit_by_type(spark, docs):
             if s >= last:
                 spans, cells, values = per.setdefault(tag, [0, set(), set()])
                 per[tag][0] += 1
-                cells.add(t)          # the query counts distinct cell texts
+                cells.add(d)
                 values.add(v)
                 last = e
     want = sorted((tag, n, len(c), len(v)) for tag, (n, c, v) in per.items())
