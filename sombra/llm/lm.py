@@ -406,7 +406,7 @@ def score_texts(docs: DataFrame, vocab: int = VOCAB, sample: int = SAMPLE, id_co
     some = (train.withColumn("h", F.xxhash64("doc_id", "text")).orderBy("h", "doc_id", "text").limit(sample)
             .select(F.col("text").cast("binary").alias("raw")).collect())
     Fitter(code, table).fit(mixer, [split(bytes(r["raw"])) for r in some])
-    model = spark.sparkContext.broadcast((mixer, np.log10(np.array(freq, float) + 1)))
+    model = spark.sparkContext.broadcast((mixer, np.log10((np.array(freq, float) + 1) / (n + v + 1))))
     rare = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64()), ("bits", pa.int32())]))
 
     def run(batches):
@@ -444,9 +444,10 @@ def score_texts(docs: DataFrame, vocab: int = VOCAB, sample: int = SAMPLE, id_co
              .join(counts, "word", "left").groupBy("rid")
              .agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more"), F.sum("tf").alias("escaped"),
                   F.sum(F.col("tf") * F.log10(c + F.lit(1.0))).alias("add"),
+                  F.sum(F.col("tf") * F.log10((c + F.lit(1.0)) / F.lit(float(n + v + 1)))).alias("add_base"),
                   F.sum(F.when(c == 0, F.col("tf") * F.col("bits")).otherwise(0)).alias("spelt")))
     zero = F.lit(0.0)
-    base = (F.col("logs") + F.coalesce("add", zero) - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1))))
+    base = F.col("logs") + F.coalesce("add_base", zero)
     score = F.col("words") + F.coalesce(F.col("add") - F.col("escaped") * F.lit(float(np.log10(outside))), zero)
     bits = F.coalesce("spelt", F.lit(0)) - score * F.lit(LN10 / float(np.log(2.0)))
     return scored.drop("rare").join(found, "rid", "left").select(
