@@ -144,8 +144,10 @@ def signatures(docs: DataFrame, k: int, pct: int) -> DataFrame:
     return map_arrow(docs, run, "rid long, doc_id long, n long, digest binary, head binary, common long")
 
 
-def postings(classes: DataFrame) -> DataFrame:
-    """(token, n, cls, pos, ...other columns) one row per first shingle."""
+def postings(classes: DataFrame, keep: np.ndarray | None = None) -> DataFrame:
+    """(token, n, cls, pos, ...other columns) one row per first shingle; with
+    ``keep`` only shingles in that bit filter."""
+    shared = None if keep is None else classes.sparkSession.sparkContext.broadcast(keep)      # 2 MB
     rest = [c for c in classes.columns if c not in ("cls", "n", "head")]
     fields = ", ".join(f"{c} {classes.schema[c].dataType.simpleString()}" for c in rest)
 
@@ -156,6 +158,9 @@ def postings(classes: DataFrame) -> DataFrame:
             tok = np.frombuffer(b"".join(heads), np.int64)
             take = pa.array(np.repeat(np.arange(len(heads)), lens))
             pos = np.arange(len(tok)) - np.repeat(np.cumsum(lens) - lens, lens)
+            if shared is not None:
+                ok = np.flatnonzero(_in_filter(shared.value, tok))
+                tok, pos, take = tok[ok], pos[ok], take.take(pa.array(ok))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(tok), b.column("n").take(take), b.column("cls").take(take), pa.array(pos)]
                 + [b.column(c).take(take) for c in rest], names=["token", "n", "cls", "pos", *rest])
@@ -241,14 +246,17 @@ def shared_additions(known: DataFrame, facts: DataFrame, pct: int) -> DataFrame:
             .where(F.col("shared") >= need - F.least("oa", "ob")).select("a", "b", "na", "nb", "leader"))
 
 
-def cross_pairs(posts: DataFrame, pct: int) -> DataFrame:
+def cross_pairs(facts: DataFrame, pct: int) -> DataFrame:
     """(a, b, na, nb, oneleader, shared) pairs of different components that
     share first shingles and pass the size, position and leader bounds;
     ``shared`` counts the lists that hold both."""
     names = ["token", "n", "cls", "pos", "root", "leader", "ov", "delta", "side"]
-    hot = posts.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    # lists whose members are all connected hold no open pair
-    hot = hot.where("lo <> hi").select("token", "df")
+    # lists whose members are all connected hold no open pair; only the others'
+    # rows are moved with what is known of them
+    slim = postings(facts.select("cls", "n", "head", "root")).select("token", "root")
+    hot = slim.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    hot = materialise(hot.where("lo <> hi").select("token", "df"), "open-lists")
+    posts = postings(facts, _member_filter(hot.select("token")))
     parts = F.ceil(F.col("df") / BLOCK).cast("int")
     # a long list is cut into blocks by hash; each pair of blocks is one unit
     live = posts.join(hot, "token").withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
@@ -343,9 +351,10 @@ def _incremental(batches):
                                          names=["a", "b", "na", "nb", "ov"])
 
 
-def _member_filter(ids: DataFrame):
-    """Fixed-size bit filter (2 MB) over the ids, so that only documents that
-    may be needed are shingled again; false positives are dropped by a join."""
+def _member_filter(ids: DataFrame) -> np.ndarray:
+    """Fixed-size bit filter (2 MB) over one column of numbers, so that only
+    rows that may be needed are moved; false positives are dropped by a join."""
+    ids = ids.toDF("doc_id")
     def run(batches):
         bits = np.zeros(1 << FILTER_BITS, bool)
         for b in batches:
@@ -359,6 +368,11 @@ def _member_filter(ids: DataFrame):
     return out
 
 
+def _in_filter(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _filter_bits(ids)
+    return ((bits[at >> 3] >> (7 - (at & 7))) & 1).astype(bool)
+
+
 def _filter_bits(ids: np.ndarray) -> np.ndarray:
     return (mix64(ids.astype(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
@@ -367,15 +381,14 @@ def class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(cls, set binary) of the wanted classes (cls, doc_id, digest), shingled
     again from their texts."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_member_filter(wanted))
+    bits = spark.sparkContext.broadcast(_member_filter(wanted.select("doc_id")))
 
     def run(batches):
         some = bits.value
         for b in batches:
             ids = b.column("doc_id")
             null = ids.is_null().to_numpy(zero_copy_only=False)
-            at = _filter_bits(ids.fill_null(0).to_numpy())
-            ok = np.flatnonzero(((some[at >> 3] >> (7 - (at & 7))) & 1).astype(bool) | null)
+            ok = np.flatnonzero(_in_filter(some, ids.fill_null(0).to_numpy()) | null)
             if not len(ok):
                 continue
             part = b.take(pa.array(ok))
@@ -437,8 +450,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str =
                      F.coalesce("leader", "cls").alias("leader"), F.coalesce("ov", "n").alias("ov"),
                      F.coalesce("delta", F.lit(True)).alias("delta")))
     facts = materialise(facts, "facts")
-    posts = materialise(postings(facts), "postings")
-    open_pairs = materialise(cross_pairs(posts, pct).select("a", "b", "na", "nb", "leader")
+    open_pairs = materialise(cross_pairs(facts, pct).select("a", "b", "na", "nb", "leader")
                              .union(shared_additions(known, facts, pct)).distinct(), "open")
 
     # 3. verification
