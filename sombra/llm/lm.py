@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import id_text, map_arrow, materialise
 
-VOCAB = 1 << 16
+VOCAB = 1 << 17
 SLOT_BITS = 18
 CHUNK = 1 << 12
 ROWS = 500               # texts handled together in a task
@@ -442,15 +442,17 @@ def score_texts(docs: DataFrame, vocab: int = VOCAB, sample: int = SAMPLE, id_co
     outside = float(n - sum(freq) + v - sum(1 for c in freq if c) + 1)
     found = (scored.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.tf", "r.bits")
              .join(counts, "word", "left").groupBy("rid")
-             .agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more"), F.sum("tf").alias("escaped"),
-                  F.sum(F.col("tf") * F.log10(c + F.lit(1.0))).alias("add"),
-                  F.sum(F.col("tf") * F.log10((c + F.lit(1.0)) / F.lit(float(n + v + 1)))).alias("add_base"),
+             .agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more"),
+                  F.sum(F.col("tf") * F.log10((c + F.lit(1.0)) / F.lit(float(n + v + 1)))).alias("add"),
                   F.sum(F.when(c == 0, F.col("tf") * F.col("bits")).otherwise(0)).alias("spelt")))
     zero = F.lit(0.0)
-    base = F.col("logs") + F.coalesce("add_base", zero)
-    score = F.col("words") + F.coalesce(F.col("add") - F.col("escaped") * F.lit(float(np.log10(outside))), zero)
+    base = F.col("logs") + F.coalesce("add", zero)
+    escaped = F.aggregate("rare", F.lit(0).cast("long"), lambda a, r: a + r["tf"])
+    # the same words by their share of the counts outside the vocabulary
+    score = F.col("words") + F.coalesce(F.col("add") + F.col("escaped") * F.lit(float(np.log10((n + v + 1) / outside))), zero)
     bits = F.coalesce("spelt", F.lit(0)) - score * F.lit(LN10 / float(np.log(2.0)))
-    return scored.drop("rare").join(found, "rid", "left").select(
+    slim = scored.withColumn("escaped", escaped).drop("rare")
+    return slim.join(found, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"),
         F.when(F.col("bytes") > 0, bits / F.col("bytes")).alias("bits_per_byte"))
