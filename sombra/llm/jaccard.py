@@ -12,8 +12,8 @@ floor((1 - t) n) + 1 ones.
    overlap with the leader and the difference to it.
    The leader of a list is its most common member: in a family of copies the
    text that the others were made from.
-2. The lists are read again with what is known: pairs already connected are
-   skipped, and blocks of a list are skipped by size and by position bounds.  A
+2. The lists of every class that shares one, with a leader or without, are read
+   again with what is known: pairs already connected are skipped, and blocks of a list are skipped by size and by position bounds.  A
    pair under one leader L shares at most min(|a & L|, |z & L|) shingles of L; if
    that is too few it is skipped here, and found by the additions it must share
    (shingles that L lacks), which copies edited apart do not.
@@ -187,8 +187,9 @@ def _lists(batches, names):
 
 def leader_pairs(posts: DataFrame, pct: int) -> DataFrame:
     """(cls, leader) candidates: in each list, read from the most common class
-    down, a member meets the last leader; one of another size gives its place
-    to it."""
+    down, a member meets the last leader; one of another size takes its place,
+    and both are given with a null leader, so each member of a list of two or
+    more is in some row."""
     def run(batches):
         token = leader = None
         size = 0
@@ -206,6 +207,8 @@ def leader_pairs(posts: DataFrame, pct: int) -> DataFrame:
                     out_c.append(int(c[i]))
                     out_l.append(leader)
                 else:
+                    out_c += [leader, int(c[i])]
+                    out_l += [None, None]
                     leader, size = int(c[i]), m
             if prev != len(t) - 1:
                 leader, size = int(c[-1]), int(n[-1])
@@ -421,14 +424,20 @@ def jaccard_components(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str =
     # 1. leaders
     best = (leader_pairs(postings(classes.select("cls", "n", "head", "common")), pct)
             .groupBy("cls", "leader").agg(F.count("*").alias("lists")))
-    # a row for each (cls, leader) and list count; per class the leader met most
-    best = (best.groupBy("cls").agg(F.max(F.struct("lists", (-F.col("leader")).alias("l"))).alias("m"))
-            .select("cls", (-F.col("m.l")).alias("leader")))
-    best = materialise(best, "leaders")
-    involved = best.select("cls").union(best.select("leader")).distinct()
-    wanted = classes.join(involved, "cls", "left_semi").select("cls", "doc_id", "digest", "n", "head")
-    wanted = materialise(wanted, "involved")
-    sets = materialise(class_sets(docs.select("doc_id", "text"), wanted, k), "sets")
+    # a row for each (cls, leader) and list count; per class the leader met most,
+    # null if it met none
+    met = F.when(F.col("leader").isNotNull(), F.struct("lists", (-F.col("leader")).alias("l")))
+    best = best.groupBy("cls").agg(F.max(met).alias("m")).select("cls", (-F.col("m.l")).alias("leader"))
+    listed = materialise(best, "leaders")
+    best = listed.where("leader is not null")
+    # step 1 verifies the classes of a pair; step 2 reads all that share a list
+    paired = best.select("cls").union(best.select("leader")).distinct()
+    sharing = listed.select("cls").union(best.select("leader")).distinct().join(
+        paired.withColumn("paired", F.lit(True)), "cls", "left")
+    wanted = (classes.select("cls", "doc_id", "digest", "n", "head").join(sharing, "cls")
+              .withColumn("paired", F.coalesce("paired", F.lit(False))))
+    wanted = materialise(wanted, "sharing")
+    sets = materialise(class_sets(docs.select("doc_id", "text"), wanted.where("paired"), k), "sets")
     stars = (best.join(sets, "cls")
              .join(sets.select(F.col("cls").alias("leader"), F.col("set").alias("other")), "leader"))
     known = materialise(map_arrow(stars.select("cls", "leader", "set", "other"), lambda it: _verify(it, pct),
@@ -469,8 +478,14 @@ def jaccard_components(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str =
     usable = " and ".join(f"{x}_{s} is not null" for s in "ab" for x in ("add", "rem"))
     quick = map_arrow(sided.where(usable), _incremental, "a long, b long, na long, nb long, ov long")
     slow = (sided.where(f"not ({usable})").select("a", "b", "na", "nb")
-            .union(pairs.where("leader < 0").select("a", "b", "na", "nb"))
-            .join(sets.select(F.col("cls").alias("a"), "set"), "a")
+            .union(pairs.where("leader < 0").select("a", "b", "na", "nb")))
+    # sets of open pairs that step 1 had no use for
+    late = (wanted.where("not paired").select("cls", "doc_id", "digest")
+            .join(slow.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi"))
+    late = materialise(late, "late")
+    if late.limit(1).count():
+        sets = sets.union(materialise(class_sets(docs.select("doc_id", "text"), late, k), "late-sets"))
+    slow = (slow.join(sets.select(F.col("cls").alias("a"), "set"), "a")
             .join(sets.select(F.col("cls").alias("b"), F.col("set").alias("other")), "b"))
     slow = map_arrow(slow.select("a", "b", "na", "nb", "set", "other"), lambda it: _verify(it, pct),
                      "a long, b long, na long, nb long, ov long, add binary, rem binary").select("a", "b", "na", "nb", "ov")

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from sombra.llm import jaccard
@@ -86,3 +87,35 @@ def test_table_against_all_pairs(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.collect()]
     assert got(jaccard.jaccard_components(df)) == brute(rows, 4, 85)
+
+
+def growing(seed):
+    """Families of versions that grow by a tenth each, copies with few edits
+    and texts that hold another one and a quarter more."""
+    r = random.Random(seed)
+    vocab = [f"w{i}" for i in range(300)]
+    rows = []
+    for _ in range(25):
+        base = r.choices(vocab, k=r.choice([40, 80, 120]))
+        for _ in range(r.randint(2, 6)):
+            kind, t = r.randrange(3), list(base)
+            if kind == 0:
+                t[r.randrange(len(t))] = r.choice(vocab)
+            elif kind == 1:
+                t += r.choices(vocab, k=len(t) // 4)
+            else:
+                base = base + r.choices(vocab, k=len(base) // 10)
+            rows.append((len(rows), " ".join(t)))
+    r.shuffle(rows)
+    return rows
+
+
+def test_growing_texts_under_a_saturated_sketch(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SKETCH_BITS", 6)
+    monkeypatch.setattr(jaccard, "SKETCH_CHUNK", 64)
+    # workers import the module anew, so what reads the size is sent by value
+    monkeypatch.setattr(jaccard, "_cells", lambda h, row: ((h >> np.uint64(58 - 6 * row)) & np.uint64(63)).astype(np.int64))
+    for seed in (1, 2, 3):
+        rows = growing(seed)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert got(jaccard.jaccard_components(df)) == brute(rows, 4, 85)
