@@ -3,7 +3,8 @@
 Words are compared by the gap-weighted subsequence kernel (all common
 subsequences of ``ORDER`` characters, each weighted by DECAY to the length it
 spans in both words, normalised), so an insult with gaps, inserted characters
-or other endings stays close to the insult.  Nystroem landmarks are words of
+or other endings stays close to the insult; a word is also compared without its
+non-letters, as a mark between all letters leaves little of the kernel.  Nystroem landmarks are words of
 the training rows whose presence tells the classes apart.  A sentence is the
 largest kernel value of its words with each landmark (values below ``FLOOR``
 count as 0), mapped by K^(-1/2) of the landmarks; a linear support vector
@@ -35,6 +36,7 @@ _STOPS = np.frombuffer(b".!?", np.uint8)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _EDGES = re.compile(r"^\W+|\W+$")
+_MARKS = re.compile(r"[\W\d_]+")
 
 
 def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +134,14 @@ def clean(word: str) -> list[str]:
     return [w[i:i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2)]
 
 
+def forms(word: str) -> list[str]:
+    """The pieces of a raw word as written and without its non-letters."""
+    pieces = clean(word)
+    if not word.isalpha():
+        pieces += [p for p in clean(_MARKS.sub("", word)) if p not in pieces]
+    return pieces
+
+
 class Reader:
     """Sentence features of texts.  Words are told apart by vectorised hashes
     and each distinct one is compared with the landmarks once; a bounded memo
@@ -150,7 +160,7 @@ class Reader:
         if new:
             pieces, owner = [], []
             for n, k in enumerate(new):
-                for p in clean(words[k].decode().lower()):
+                for p in forms(words[k].decode().lower()):
                     pieces.append(p)
                     owner.append(n)
             feats = self.marks.features(pieces)

@@ -97,6 +97,17 @@ def test_words_spelt_out_and_long_words():
     assert spelt.max() > 0.9 and plain.max() > 0.9 and inside.max() > 0.4 and len(none) == 0
 
 
+def test_marks_between_all_letters(spark):
+    docs, labels, _ = toxic_table(spark)
+    model = toxicity.train(docs, labels)
+    plain = model.scores(pa.array([f"thoner {w} shable." for w in model.landmarks]))
+    for mark in ".*-_":
+        rows = toxicity.Reader(model.landmarks).sentences([f"thoner {mark.join(w)} shable." for w in model.landmarks])
+        assert all(len(r) and r.max() > 0.5 for r in rows)
+        got = model.scores(pa.array([f"thoner {mark.join(w)} shable." for w in model.landmarks]))
+        assert len(got) >= 4 and (got[plain >= 0.5] >= 0.5).all()
+
+
 # -- language model ----------------------------------------------------------
 
 def split(text):
