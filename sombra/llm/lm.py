@@ -8,8 +8,8 @@ node alone, the node under the hashed previous word, and the node under the
 hashed endings of the two previous words - whose counts are gathered over all
 training texts in tables of fixed size.  The predictions are mixed in the
 logistic domain by weights gated by bit depth, refined by a learned map, and
-weights and a per-gate correction are learned online while a text is read,
-block by block, starting from weights fitted on a bounded sample.
+weights and a per-gate correction are learned online while a text is read, a
+few symbols at a time, starting from weights fitted on all training texts.
 
 The code is complete, so the bits add up to the log probability of the text.
 ``score`` is in the space of the base score, where all words never seen in
@@ -38,8 +38,9 @@ SLOT_BITS = 18
 CHUNK = 1 << 12
 ROWS = 500               # texts handled together in a task
 RATE = 0.06
-BLOCK = 512              # symbols of a text read between two weight updates
-SAMPLE = 300             # training texts the starting weights are fitted on
+BLOCK = 16               # symbols of a text read between two weight updates
+ROUNDS = 4               # passes over the training texts for the starting weights
+SCALE = 1 << 24          # gradients are summed as whole numbers, in any order
 GATES = 8                # bit depths with weights of their own; deeper bits share the last
 INPUTS = 3
 LN10 = float(np.log(10.0))
@@ -300,91 +301,119 @@ class Mixer:
         """Cost (natural log units) of each text's bits; weights adapt per
         text and start afresh for the next."""
         cost = np.zeros(stream.n_docs)
-        w = np.repeat(self.weights[None], stream.n_docs, 0).reshape(-1, INPUTS)
-        corr = np.zeros(len(w), np.float32)
+        w = np.repeat(self.weights[None], stream.n_docs, 0)
+        corr = np.zeros((stream.n_docs, GATES), np.float32)
         left, stop = stream.off[:-1].copy(), stream.off[1:]
-        one, size = np.float32(1), len(w)
+        one = np.float32(1)
         while True:
             live = np.flatnonzero(left < stop)
             if not len(live):
                 return cost
+            # all texts advance together, each from its own last update
             n = np.minimum(stop[live] - left[live], BLOCK)
             at = np.repeat(left[live] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             left[live] += n
-            for lo in range(0, len(at), 20_000):
-                part = at[lo:lo + 20_000]
-                node, bit, gate, c1, c2, owner = stream.bits(code, part)
-                x = self.look_up(node, c1, c2)
-                lane = stream.doc[part][owner]
-                lg = lane * GATES + gate
-                flat = w[lg]
-                st = flat[:, 0] * x[0] + flat[:, 1] * x[1] + flat[:, 2] * x[2]
-                sign = one - 2 * bit.astype(np.float32)          # -1 for a one
-                e = np.exp(np.clip((self.refine(st, gate) + corr[lg]) * sign, -30, 30))   # cost = log(1 + e)
-                cost += np.bincount(lane, np.log(one + e), minlength=stream.n_docs)
-                err = -sign * (e / (one + e))                     # bit - prediction
-                seen = rate / np.sqrt(np.bincount(lg, minlength=size) + 1.0)
-                for k in range(INPUTS):
-                    w[:, k] += (seen * np.bincount(lg, err * x[k], minlength=size)).astype(np.float32)
-                corr += (seen * np.bincount(lg, err, minlength=size)).astype(np.float32)
+            node, bit, gate, c1, c2, owner = stream.bits(code, at)
+            x = self.look_up(node, c1, c2)
+            lane = np.repeat(np.arange(len(live)), n)[owner]
+            lg, size = lane * GATES + gate, len(live) * GATES
+            flat = w[live].reshape(-1, INPUTS)[lg]
+            st = flat[:, 0] * x[0] + flat[:, 1] * x[1] + flat[:, 2] * x[2]
+            sign = one - 2 * bit.astype(np.float32)          # -1 for a one
+            e = np.exp(np.clip((self.refine(st, gate) + corr[live].ravel()[lg]) * sign, -30, 30))   # cost = log(1 + e)
+            cost[live] += np.bincount(lane, np.log(one + e), minlength=len(live))
+            err = -sign * (e / (one + e))                     # bit - prediction
+            seen = rate / np.sqrt(np.bincount(lg, minlength=size) + 1.0)
+            for k in range(INPUTS):
+                w[live, :, k] += (seen * np.bincount(lg, err * x[k], minlength=size)).astype(np.float32).reshape(-1, GATES)
+            corr[live] += (seen * np.bincount(lg, err, minlength=size)).astype(np.float32).reshape(-1, GATES)
 
 
 class Fitter:
-    """Fits a mixer's starting weights and final map on sample texts, each bit
-    counted out of its own counters first."""
+    """Sums over texts from which a mixer's starting weights and final map are
+    fitted, each bit counted out of its own counters first."""
 
     def __init__(self, code: Code, table: np.ndarray):
         size = 1 << SLOT_BITS
         self.cells = table[:2 * (code.n_nodes + 2 * size)].reshape(-1, 2)
         self.code, self.size = code, size
-        self.sums = np.zeros((GATES, 33, 2))
+        self.grads = np.zeros((INPUTS, GATES), np.int64)
+        self.curv = np.zeros((INPUTS, INPUTS, GATES), np.int64)
+        self.seen = np.zeros((GATES, 33, 2), np.int64)
 
     def left_out(self, node, bit, c1, c2):
         out = []
         for cell in (node.astype(np.int64), self.code.n_nodes + slots(c1, node), self.code.n_nodes + self.size + slots(c2, node)):
             n = self.cells[cell].copy()
             n[np.arange(len(bit)), bit] = np.maximum(n[np.arange(len(bit)), bit] - 1, 0)
-            out.append(inputs(n[:, 0], n[:, 1]))
+            out.append(inputs(n[:, 0], n[:, 1]).astype(np.float64))
         return out
 
-    def note(self, st, gate, bit):
-        i = np.rint((np.clip(st, -8, 8) + 8) * 2).astype(np.int64)
-        np.add.at(self.sums, (gate, i, bit), 1)
-
-    def fit(self, mixer: Mixer, texts: list[list[bytes]], rounds: int = 4) -> None:
-        if not texts:
-            return
-        for r in range(rounds):
-            self.sums[:] = 0
-            grads = np.zeros((GATES, INPUTS))
-            st = Stream(self.code, texts)
-            # plain logistic regression steps over all sample bits
-            curv = np.full((GATES, INPUTS, INPUTS), 0.0) + np.eye(INPUTS) * 1e-2
-            for at in range(0, len(st.ids), 20_000):
-                node, bit, gate, c1, c2, _ = st.bits(self.code, np.arange(at, min(at + 20_000, len(st.ids))))
-                x = np.stack(self.left_out(node, bit, c1, c2), 1).astype(np.float64)
-                z = (mixer.weights[gate] * x).sum(1)
-                p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                for g in range(GATES):
-                    sel = gate == g
-                    if sel.any():
-                        xs = x[sel]
-                        grads[g] += xs.T @ (bit[sel] - p[sel])
-                        curv[g] += (xs * (p[sel] * (1 - p[sel]) + 1e-6)[:, None]).T @ xs
-                self.note(z, gate, bit)
-            mixer.weights = (mixer.weights + np.array([np.linalg.solve(c, d) for c, d in zip(curv, grads, strict=True)])
-                             .clip(-1, 1)).astype(np.float32)
-        n0, n1 = self.sums[..., 0], self.sums[..., 1]
-        prior = 1 / (1 + np.exp(-mixer.grid))[None]
-        mixer.final = np.log((n1 + 20 * prior) / (n0 + 20 * (1 - prior))).astype(np.float32)
+    def add(self, weights: np.ndarray, texts: list[list[bytes]]) -> None:
+        """Gradient, curvature and (prediction, bit) counts of plain logistic
+        regression at ``weights``."""
+        def total(gate, v):
+            return np.bincount(gate, np.rint(v * SCALE), minlength=GATES).astype(np.int64)
+        st = Stream(self.code, texts)
+        for at in range(0, len(st.ids), 20_000):
+            node, bit, gate, c1, c2, _ = st.bits(self.code, np.arange(at, min(at + 20_000, len(st.ids))))
+            x = self.left_out(node, bit, c1, c2)
+            w = weights.astype(np.float64)
+            z = sum(w[gate, k] * x[k] for k in range(INPUTS))
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            var = p * (1 - p) + 1e-6
+            for k in range(INPUTS):
+                self.grads[k] += total(gate, x[k] * (bit - p))
+                for m in range(k + 1):
+                    self.curv[k, m] += total(gate, x[k] * x[m] * var)
+            i = np.rint((np.clip(z, -8, 8) + 8) * 2).astype(np.int64)
+            self.seen += np.bincount((gate * 33 + i) * 2 + bit, minlength=GATES * 66).reshape(GATES, 33, 2)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.grads.ravel(), self.curv.ravel(), self.seen.ravel()])
+
+
+def fit_sums(train: DataFrame, shared, table, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(grads, curv, seen) of a Fitter over all training texts; what is
+    collected is a row per number, whatever the input."""
+    def run(batches):
+        fitter = Fitter(shared.value, table.value)
+        for b in batches:
+            raw = b.column("text").cast(pa.binary())
+            for lo in range(0, len(raw), ROWS):
+                texts = [split(t) for t in raw[lo:lo + ROWS].to_pylist()]
+                for i, j in groups(texts):
+                    fitter.add(weights, texts[i:j])
+        sums = fitter.flat()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["i", "v"])
+
+    sums = np.zeros(GATES * (INPUTS + INPUTS * INPUTS + 66), np.int64)
+    for r in map_arrow(train.select("text"), run, "i long, v long").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        sums[r["i"]] = r["v"]
+    grads, curv, seen = np.split(sums, np.cumsum([GATES * INPUTS, GATES * INPUTS * INPUTS]))
+    lower = curv.reshape(INPUTS, INPUTS, GATES).transpose(2, 0, 1) / SCALE
+    return (grads.reshape(INPUTS, GATES).T / SCALE, lower + np.tril(lower, -1).transpose(0, 2, 1),
+            seen.reshape(GATES, 33, 2))
+
+
+def fit(train: DataFrame, shared, table: np.ndarray, mixer: Mixer) -> None:
+    """Starting weights by Newton steps and the final map, over all training
+    texts."""
+    cells = train.sparkSession.sparkContext.broadcast(table)      # of fixed size, as in the mixer
+    for _ in range(ROUNDS):
+        grads, curv, seen = fit_sums(train, shared, cells, mixer.weights)
+        step = [np.linalg.solve(c + np.eye(INPUTS) * 1e-2, g) for c, g in zip(curv, grads, strict=True)]
+        mixer.weights = (mixer.weights + np.array(step).clip(-1, 1)).astype(np.float32)
+    n0, n1 = seen[..., 0], seen[..., 1]
+    prior = 1 / (1 + np.exp(-mixer.grid))[None]
+    mixer.final = np.log((n1 + 20 * prior) / (n0 + 20 * (1 - prior))).astype(np.float32)
 
 
 # ---------------------------------------------------------------------------
 # Scoring
 # ---------------------------------------------------------------------------
 
-def score_texts(docs: DataFrame, vocab: int = VOCAB, sample: int = SAMPLE, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, vocab: int = VOCAB, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     bits_per_byte), one row per input row, over whole texts.
 
@@ -403,9 +432,8 @@ def score_texts(docs: DataFrame, vocab: int = VOCAB, sample: int = SAMPLE, id_co
     shared = spark.sparkContext.broadcast(code)
     table = bit_counts(train, shared)
     mixer = Mixer(code, table)
-    some = (train.withColumn("h", F.xxhash64("doc_id", "text")).orderBy("h", "doc_id", "text").limit(sample)
-            .select(F.col("text").cast("binary").alias("raw")).collect())
-    Fitter(code, table).fit(mixer, [split(bytes(r["raw"])) for r in some])
+    if n:
+        fit(train, shared, table, mixer)
     model = spark.sparkContext.broadcast((mixer, np.log10((np.array(freq, float) + 1) / (n + v + 1))))
     rare = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64()), ("bits", pa.int32())]))
 

@@ -178,6 +178,48 @@ def test_code_is_complete():
     assert abs(total / math.exp(-mixer.score(code, one)[0]) - 1) < 1e-3 and base > 0
 
 
+def lm_texts(n, seed=5):
+    r = random.Random(seed)
+    words = [b"w%d" % i for i in range(50)]
+    return [[r.choice(words[:r.randint(2, 50)]) for _ in range(r.randint(400, 700))] for _ in range(n)]
+
+
+def lm_mixer(texts):
+    counts = Counter(w for t in texts for w in (*t, b""))
+    words = [*sorted(w for w in counts if w), b""]
+    code = lm.Code(words, [counts[w] for w in words], sum(counts.values()))
+    table = np.zeros(lm.table_size(code), np.uint32)
+    lm.count_bits(code, texts, table)
+    return code, table.astype(np.float32)
+
+
+def test_a_text_scores_the_same_in_any_batch():
+    texts = lm_texts(80)
+    code, table = lm_mixer(texts)
+    mixer = lm.Mixer(code, table)
+    together = mixer.score(code, lm.Stream(code, texts))
+    alone = [mixer.score(code, lm.Stream(code, [t]))[0] for t in texts]
+    assert np.allclose(together, alone, rtol=1e-12, atol=0)
+
+
+def test_weights_adapt_within_a_short_text():
+    code, table = lm_mixer(lm_texts(20))
+    mixer = lm.Mixer(code, table)
+    text = lm.Stream(code, [[b"w1", b"w2"] * 100])
+    assert mixer.score(code, text)[0] < mixer.score(code, text, rate=0.0)[0]
+
+
+def test_starting_weights_read_all_training_rows(spark):
+    texts = lm_texts(700)
+    code, table = lm_mixer(texts)
+    df = spark.createDataFrame([(b" ".join(t).decode(),) for t in texts], "text string").repartition(7)
+    share = spark.sparkContext.broadcast
+    grads, curv, seen = lm.fit_sums(df, share(code), share(table), lm.Mixer(code, table).weights)
+    st = lm.Stream(code, texts)
+    assert seen.sum() == (code.off[st.ids + 1] - code.off[st.ids]).sum()
+    assert np.allclose(curv, curv.transpose(0, 2, 1)) and np.isfinite(grads).all()
+
+
 # -- fingerprints -------------------------------------------------------------
 
 def check_fingerprints(df):
