@@ -136,11 +136,14 @@ def word_spans(buf: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE) ->
     return s, e, np.searchsorted(off, s, "right") - 1
 
 
-def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, space: np.ndarray = _SPACE) -> np.ndarray:
-    """64-bit polynomial hashes of lower-cased words, in one vector pass."""
+def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, space: np.ndarray = _SPACE,
+                lower: bool = True) -> np.ndarray:
+    """64-bit polynomial hashes of words, lower-cased (A-Z) unless told
+    otherwise, in one vector pass."""
     if not len(s):
         return np.empty(0, np.uint64)
-    low = LOWER[buf[s[0]:e[-1]]]
+    low = buf[s[0]:e[-1]]
+    low = LOWER[low] if lower else low
     s, e = s - s[0], e - s[0]
     vals = _BYTE[low]
     vals[space[low]] = 0

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard, licenses, lm, merkle, negatives, packing, pii, token_counts, topk, toxicity
+from . import bpe, fingerprints, jaccard, licenses, lm, merkle, negatives, packing, pii, repeats, token_counts, topk, toxicity
 from .common import read
 
 
@@ -71,6 +71,10 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(negatives.labelled(rows.withColumn("label", label)), F.col("vec_id") % 50 == 0)
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read(spark, sf_dir, "documents"))
 
@@ -78,7 +82,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_topk": op1_topk, "op2_pii": op2_pii, "op3_lm": op3_lm, "op4_token_counts": op4_token_counts,
            "op5_bpe": op5_bpe, "op6_jaccard": op6_jaccard, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity,
            "op9_fingerprints": op9_fingerprints, "op10_licenses": op10_licenses,
-           "op11_negatives": op11_negatives, "op13_merkle": op13_merkle}
+           "op11_negatives": op11_negatives, "op12_repeats": op12_repeats, "op13_merkle": op13_merkle}
 
 ORACLE = {
     "op1_topk": """
@@ -144,6 +148,28 @@ WITH v AS MATERIALIZED (
 )
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
 FROM r WHERE rank <= 3
+""",
+    "op12_repeats": r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), w AS MATERIALIZED (
+  SELECT rid, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h
+  FROM (SELECT rid, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)
+), r AS (
+  SELECT rid, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)
+), c AS (
+  SELECT rid, list_distinct(flatten(list(range(i, i + 35)))) AS gone FROM r GROUP BY rid
+), k AS (
+  SELECT rid, list(ws[i] ORDER BY i) AS kept
+  FROM (SELECT d.rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM d) x
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT rid, unnest(gone) AS j FROM c) g WHERE g.rid = x.rid AND g.j = x.i)
+  GROUP BY rid
+)
+SELECT d.doc_id, len(ws) AS n_words, len(ws) - coalesce(len(k.kept), 0) AS n_removed,
+       sha256(coalesce(array_to_string(k.kept, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
 """,
     "op13_merkle": """
 WITH RECURSIVE f AS (
