@@ -35,6 +35,9 @@ DATE_TIME = (r"(?<!\d)\d{1,4}[/.\-\\]\d{1,2}[/.\-\\]\d{2,4}"
 COORD = r"(?<!\d)-?\d{1,3}[.,]\d{3,}[^A-Za-z0-9]+-?\d{1,3}[.,]\d{3,}(?!\d)"
 COORD_SINGLE = r"(?<!\d)-?\d{1,3}[.,]\d{3,}(?!\d)"
 
+# Amounts of money (own design): a sample's amounts are not its coordinates.
+MONEY = r"(?:R\$|US\$|\$|€)\s*[0-9][0-9.,]*|[0-9][0-9.,]*\s*(?:mil\s+)?(?:reais|real|euros?)\b"
+
 # Tags whose pattern ignores case.
 NOCASE_TAGS = ("CHASSI", "DATE_TIME")
 

@@ -99,10 +99,30 @@ def _ranked(long: DataFrame, thresholds: dict[tuple[str, str], int] | None, k: i
 # otherwise jitter CPF columns as coordinates and leave most digits).  A value
 # that is one whole decimal number stays a coordinate although a latitude with
 # six decimals also fits RG.
+#
+# In a longer value coordinates must cover most of what is written: a sentence
+# with a CPF, a date or an amount in it is prose, not a position (the GPS rule
+# alone would jitter such a column and leave its names and documents in clear).
+COORD_COVER = 0.5
 WHOLE_DECIMAL = r"^[-+]?[0-9]{1,3}[.,][0-9]{3,}$"
 DOCUMENT_SHAPES = ["CPF", "RG", "IP", "PHONE"]
 
 
+def _written(c: Column) -> Column:
+    """Letters and digits of a text, counted."""
+    return F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+
+
+def coordinate_cover(v: Column) -> Column:
+    """The share of a value's letters and digits that coordinates cover,
+    after e-mails, amounts, CPFs and dates are taken out."""
+    rest = v
+    for pattern in (P.DETECTORS["EMAIL"].pattern, P.UNICODE + P.MONEY, P.DETECTORS["CPF"].pattern, P.DETECTORS["DATE_TIME"].pattern):
+        rest = F.regexp_replace(rest, pattern, " ")
+    covered = _written(rest) - _written(F.regexp_replace(rest, P.DETECTORS["COORD_SINGLE"].pattern, " "))
+    return covered / F.greatest(_written(v), F.lit(1))
+
+
 def _sample_features(samples: DataFrame) -> DataFrame:
     v = F.col("value")
     n_len = F.greatest(F.length(v), F.lit(1))
@@ -113,8 +133,7 @@ def _sample_features(samples: DataFrame) -> DataFrame:
         is_document = is_document | votes[t]
     is_document = is_document & ~v.rlike(WHOLE_DECIMAL)
     feats = [
-        ((v.rlike(P.DETECTORS["COORD"].pattern) | v.rlike(P.DETECTORS["COORD_SINGLE"].pattern))
-         & ~is_document).cast("int").alias("gps"),
+        ((coordinate_cover(v) > COORD_COVER) & ~is_document).cast("int").alias("gps"),
         v.rlike(P.DETECTORS["COORD"].pattern).cast("int").alias("pair"),
         word_count(v).alias("words"),
         v.rlike(P.UNICODE + P.PROSE_PUNCT).cast("int").alias("punct"),

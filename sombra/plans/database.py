@@ -113,17 +113,23 @@ def copy_database(spark: SparkSession, src_url: str, dst_url: str, schema: str,
 def mask_csv_files(spark: SparkSession, path: str, out_path: str, key: MaskKey, rules=None,
                    ignored: list[str] | None = None, quarantine_path: str | None = None) -> DataFrame:
     """SURVEY 3.2, CSV: read a file or a folder of files with any headers and
-    separators all-string, classify, mask, write with header."""
-    df, long_rows = FS.read_csv_checked(spark, path)
-    targets = [c for c in df.columns if c not in set(ignored or [])]
-    pol = C.policy_map(C.classify_columns(df, targets, table="csv"))
-    out = mask_table(df, pol, rules, key, targets=targets)
-    FS.write_csv(out, out_path)
+    separators all-string, classify, mask, write each file with its own columns
+    and header under its ``SEGURO_`` name (K7, K10).  A column of one name has
+    one policy, decided over all files.  Returns all masked rows."""
+    groups, aside = FS.read_csv_groups(spark, path)
+    both = FS.stack(groups)
+    targets = [c for c in both.columns if c not in {*(ignored or []), FS.SOURCE_FILE}]
+    pol = C.policy_map(C.classify_columns(both, targets, table="csv"))
+    masked = [mask_table(g, pol, rules, key, targets=[c for c in targets if c in g.columns]) for g in groups]
+    for i, m in enumerate(masked):
+        named = m.withColumn("name", FS.output_name(F.col(FS.SOURCE_FILE), "csv")).drop(FS.SOURCE_FILE)
+        FS.write_csv(named, out_path, mode="append" if i else "overwrite", by="name")
+    long_rows = FS.stack(aside)
     if quarantine_path:
         long_rows.write.mode("append").parquet(quarantine_path)
     elif long_rows.limit(1).count():
         raise ValueError("rows with more fields than their header: pass quarantine_path to set them aside")
-    return out
+    return FS.stack(masked).drop(FS.SOURCE_FILE)
 
 
 def mask_text_files(spark: SparkSession, path: str, out_path: str, key: MaskKey, rules=None,

@@ -183,6 +183,8 @@ def g(a: int, b: int | None) -> str:
     return f"{DO}[0-9]{rng}{DC}"
 
 
+# stated again here, not taken from the engine
+EMAIL_RE = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
 DIGIT_RE = {
     "CPF": f"{DO}(?:[0-9](?:{DC}{SEP}{{1,4}}{DO})?){{10}}[0-9]{DC}",
     "IP": f"(?:{g(1, 3)}[_.\\-{WS}]+){{3}}{g(1, 3)}",
@@ -225,8 +227,7 @@ FROM w WHERE idx > 1
 
 
 def find_email_sql() -> str:
-    from ..functions.patterns import EMAIL
-    return matches_sql("EMAIL", EMAIL, "text", lambda v: v)
+    return matches_sql("EMAIL", EMAIL_RE, "text", lambda v: v)
 
 
 def find_digit_sql(tag: str) -> str:
@@ -238,10 +239,9 @@ def find_digit_sql(tag: str) -> str:
 # ---------------------------------------------------------------------------
 
 def mask_email_text(col: str) -> str:
-    from ..functions.patterns import EMAIL
     shielded = f"regexp_replace({col}, '<[^>]+>', ' {TAG} ', 'g')"
     tags = f"regexp_extract_all({col}, '<[^>]+>')"
-    parts = f"string_split(regexp_replace({shielded}, {q(EMAIL)}, '{SO}\\0{SC}', 'g'), '{SO}')"
+    parts = f"string_split(regexp_replace({shielded}, {q(EMAIL_RE)}, '{SO}\\0{SC}', 'g'), '{SO}')"
     v = f"split_part(p, '{SC}', 1)"
     body = f"CASE WHEN i = 1 THEN p ELSE {surrogate('EMAIL', v)} || split_part(p, '{SC}', 2) END"
     spliced = f"array_to_string(list_transform({parts}, lambda p, i: {body}), '')"
@@ -302,6 +302,8 @@ FROM (SELECT p_partkey, concat_ws('; ', CASE WHEN length(p_name) > 11 THEN 'p_na
         CASE WHEN length(p_type) > 7 THEN 'p_type longer than 7' END,
         CASE WHEN p_brand IS NULL THEN 'p_brand is null' END) AS reason FROM part)"""
     out["direct_copy"] = "SELECT * FROM orders"
+    out["csv_roundtrip"] = """SELECT doc_id, lang, coalesce(text || chr(13) || chr(10), '') || '"fim", ;' || chr(10) AS text
+                              FROM documents"""
     allow = ["customer", "orders", "lineitem", "part", "documents", "events"]
     out["column_catalogue"] = f"""
 SELECT DISTINCT table_name, column_name, table_name || '.' || column_name AS qualified
@@ -356,8 +358,7 @@ _CORE = {
 
 def first_match_len(v: str, tag: str) -> str:
     if tag == "EMAIL":
-        from ..functions.patterns import EMAIL
-        return f"length(regexp_extract({v}, {q(EMAIL)}, 0))"
+        return f"length(regexp_extract({v}, {q(EMAIL_RE)}, 0))"
     pre, core, post = _CORE[tag]
     return f"length(regexp_extract({v}, {q('(^|' + pre + ')(' + core + ')($|' + post + ')')}, 2))"
 
@@ -367,6 +368,19 @@ def has_match(v: str, tag: str) -> str:
     return f"regexp_matches({v}, {q('(^|' + pre + ')(' + core + ')($|' + post + ')')})"
 
 
+def coordinate_cover(v: str) -> str:
+    """Share of letters and digits that coordinates cover, other spans taken out."""
+    money = (f"(?:R\\$|US\\$|\\$|€)[{WS}]*[0-9][0-9.,]*|[0-9][0-9.,]*[{WS}]*(?:mil[{WS}]+)?(?:reais|real|euros?)\\b")
+    rest = f"regexp_replace(regexp_replace({v}, {q(EMAIL_RE)}, ' ', 'g'), {q(money)}, ' ', 'g')"
+    rest = f"regexp_replace({rest}, '([0-9]+)', '{DO}\\1{DC}', 'g')"
+    for tag in ("CPF", "DATE_TIME"):
+        rest = f"regexp_replace({rest}, {q(DIGIT_RE[tag])}, ' ', 'g')"
+    rest = f"replace({rest}, '{DC}-{DO}', '{DC}{DM}{DO}')"
+    written = lambda x: f"length(regexp_replace({x}, '[^\\pL\\pN]', '', 'g'))"
+    single = DIGIT_RE["COORD_SINGLE"]
+    return f"(({written(rest)} - {written(f'regexp_replace({rest}, {q(single)}, {q(chr(32))}, {q(chr(103))})')}) / greatest({written(v)}, 1))"
+
+
 def identity_sql() -> str:
     """The registry's identity_table."""
     k = "c_custkey"
@@ -392,7 +406,7 @@ def classify_sql(columns: dict[str, list[str]] | None = None, sources: dict[str,
             for t in C.VOTE_TYPES}
     is_doc = " OR ".join(vote[t] for t in C.DOCUMENT_SHAPES)
     feats = ",\n  ".join([
-        f"CAST(({has_match('value', 'COORD')} OR {has_match('value', 'COORD_SINGLE')}) AND NOT (({is_doc}) AND NOT regexp_matches(value, '^[-+]?[0-9]{{1,3}}[.,][0-9]{{3,}}$')) AS INTEGER) AS gps",
+        f"CAST({coordinate_cover('value')} > 0.5 AND NOT (({is_doc}) AND NOT regexp_matches(value, '^[-+]?[0-9]{{1,3}}[.,][0-9]{{3,}}$')) AS INTEGER) AS gps",
         f"CAST({has_match('value', 'COORD')} AS INTEGER) AS pair",
         f"len(regexp_split_to_array(value, {q('[' + WS + ']+')})) AS words",
         f"CAST(regexp_matches(value, {q('[,.!?][' + WS + ']+[A-Z]')}) AS INTEGER) AS punct",
@@ -455,12 +469,11 @@ WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s."table" = p.tbl AND s."column"
 
 def audit_email_sql() -> str:
     """A3/A4 for the e-mail profile: e-mails outside markup are the spans."""
-    from ..functions.patterns import EMAIL
     shielded = f"regexp_replace(text, '<[^>]+>', ' {TAG} ', 'g')"
     nonblank = f"(text IS NOT NULL AND {strip('text')} <> '')"
     return f"""
 WITH d AS (SELECT {nonblank} AS evaluated,
-                  CASE WHEN {nonblank} THEN len(regexp_extract_all({shielded}, {q(EMAIL)})) ELSE 0 END AS n
+                  CASE WHEN {nonblank} THEN len(regexp_extract_all({shielded}, {q(EMAIL_RE)})) ELSE 0 END AS n
            FROM documents)
 SELECT 'cells_evaluated' AS metric, CAST(SUM(CAST(evaluated AS INTEGER)) AS BIGINT) AS value FROM d
 UNION ALL SELECT 'cells_changed', CAST(SUM(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS BIGINT) FROM d

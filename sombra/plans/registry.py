@@ -9,6 +9,7 @@ the work of every query grows with the tables.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,6 +25,7 @@ from ..operators import names as N
 from ..operators.mask import MaskRules, find_pii, mask_table, mask_text, mask_text_struct, mask_with_verdicts
 from ..operators.spans import regex_spans, restore, shield, shield_tags
 from ..functions import patterns as P
+from ..session import ensure_checkpoint_dir
 from ..sources import files as FS
 from . import catalog as CAT
 
@@ -340,6 +342,16 @@ def fit_length(spark, sf_dir) -> DataFrame:
     return FS.fit_lengths(p, {"p_name": 10, "p_type": 6})
 
 
+def csv_roundtrip(spark, sf_dir) -> DataFrame:
+    """S4 + K7: all documents written as CSV (texts with line breaks, quotes and
+    separators) and read back in parallel."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat_ws("\r\n", "text", F.lit('"fim", ;\n')).alias("text"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sombra-csv/{uuid.uuid4().hex}"
+    FS.write_csv(docs, path)
+    back = FS.read_csv(spark, path, ",")
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+
+
 def direct_copy(spark, sf_dir) -> DataFrame:
     from ..operators.mask import direct_copy as copy
     o = table(spark, sf_dir, "orders")
@@ -435,6 +447,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fk_orphans": fk_orphans,
     "quarantine_split": quarantine_split,
     "fit_length": fit_length,
+    "csv_roundtrip": csv_roundtrip,
     "direct_copy": direct_copy,
     "audit_email": audit_email,
     "audit_by_type": audit_by_type,

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import csv_records as CR
+
 # Candidate CSV separators, in preference order for ties.
 SEPARATORS = [",", ";", "\t", "|"]
 OUTPUT_PREFIX = "SEGURO_"
@@ -42,46 +44,110 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
 CORRUPT = "_corrupt_record"
 
 
-def read_csv_checked(spark: SparkSession, path: str | list[str], sep: str | None = None,
-                     multiline: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows, quarantine).  Files are read per (header, separator) group,
-    all-string, and joined by column name, so files whose columns differ in
-    order or number never shift.  A short row keeps its values (the rest is
-    null); a row with more fields than its header goes to the quarantine frame
-    (file header, line) instead of being dropped."""
+def header_names(header: str, sep: str, spark: SparkSession) -> list[str]:
+    """Column names of a header line: an empty name becomes ``_c<place>``, a
+    repeated one gets a number (``id``, ``id_1``), so no column is lost."""
+    n = header.count(sep) + 1
+    row = spark.createDataFrame([(header,)], "h string").select(
+        F.from_csv("h", ", ".join(f"c{i} string" for i in range(n)), {"sep": sep, "multiLine": "true"}).alias("r")).select("r.*").first()
+    fields = list(row)
+    while len(fields) > 1 and fields[-1] is None and not header.rstrip().endswith(sep):
+        fields.pop()             # separators inside quoted names
+    names: list[str] = []
+    for i, f in enumerate(fields):
+        base = f.strip() if f and f.strip() else f"_c{i}"
+        name, k = base, 0
+        while name.lower() in {x.lower() for x in names}:
+            k += 1
+            name = f"{base}_{k}"
+        names.append(name)
+    return names
+
+
+SOURCE_FILE = "_source_file"
+
+
+def read_csv_groups(spark: SparkSession, path: str | list[str],
+                    sep: str | None = None) -> tuple[list[DataFrame], list[DataFrame]]:
+    """The rows of each (header, separator) group of files, all-string, with
+    each row's file as ``SOURCE_FILE``, and what is set aside.  A short row
+    keeps its values (the rest is null); a row with more fields than its header,
+    and the lines of a last record whose quoted cell never ends, go to the
+    quarantine frames (header, line) instead of being dropped.
+
+    Files in which no line leaves a quoted cell open are split by Spark's CSV
+    reader; the others are split too, by :mod:`csv_records`."""
     heads = csv_headers(spark, path)
     if sep:
         heads = heads.withColumn("sep", F.lit(sep))
-    groups = (heads.groupBy("header", "sep").agg(F.sort_array(F.collect_list("file")).alias("files"))
-              .orderBy("header", "sep").collect())     # one row per kind of file
+    lines = CR.lines_of(spark, path)
+    multi = CR.files_with_open_lines(lines, heads.select("file", "sep")).withColumn("multi", F.lit(True))
+    groups = (heads.join(multi, "file", "left").groupBy("header", "sep", F.coalesce("multi", F.lit(False)).alias("multi"))
+              .agg(F.sort_array(F.collect_list("file")).alias("files"))
+              .orderBy("header", "sep", "multi").collect())     # one row per kind of file
     if not groups:
         raise ValueError(f"no CSV file with a header under {path}")
     good, bad = [], []
     for g in groups:
-        names = spark.createDataFrame([(g["header"],)], "h string").select(
-            F.from_csv("h", ", ".join(f"c{i} string" for i in range(g["header"].count(g["sep"]) + 1)),
-                       {"sep": g["sep"]}).alias("r")).select("r.*").first()
-        names = [n for n in names if n is not None]
+        if g["multi"]:
+            rows, rest = _read_records(spark, g["files"], g["sep"])
+            good += rows
+            bad += rest
+            continue
+        names = header_names(g["header"], g["sep"], spark)
         schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
         df = (spark.read.schema(schema).option("header", True).option("sep", g["sep"]).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", multiline)
+              .option("columnNameOfCorruptRecord", CORRUPT).option("escape", '"')
               .option("encoding", "UTF-8").option("enforceSchema", True).csv(g["files"]))
+        df = df.withColumn(SOURCE_FILE, F.col("_metadata.file_path"))
         wide = ", ".join(f"c{i} string" for i in range(len(names) + 1))
-        extra = F.from_csv(F.col(CORRUPT), wide, {"sep": g["sep"], "mode": "PERMISSIVE"})[f"c{len(names)}"]
+        extra = F.from_csv(F.col(CORRUPT), wide, {"sep": g["sep"], "mode": "PERMISSIVE", "escape": '"'})[f"c{len(names)}"]
         # Spark wants a data column read beside the corrupt record
         read = F.length(F.concat_ws("", *[F.col(f"`{n}`") for n in names])) >= 0
         long = F.col(CORRUPT).isNotNull() & extra.isNotNull() & read
         good.append(df.filter(~F.coalesce(long, F.lit(False))).drop(CORRUPT))
         bad.append(df.filter(long).select(F.lit(g["header"]).alias("header"), F.col(CORRUPT).alias("line")))
-    union = lambda xs: reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), xs)
-    return union(good), union(bad)
+    return good, bad
+
+
+def stack(frames: list[DataFrame]) -> DataFrame:
+    """Frames under one another, by column name."""
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
+
+
+def read_csv_checked(spark: SparkSession, path: str | list[str], sep: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantine) of all files, joined by column name, so files
+    whose columns differ in order or number never shift."""
+    good, bad = read_csv_groups(spark, path, sep)
+    rows = stack(good)
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != SOURCE_FILE]), stack(bad)
+
+
+def _read_records(spark: SparkSession, files: list[str], sep: str) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Rows and quarantined lines of files whose records may span lines."""
+    seps = spark.createDataFrame([(sep,)], "sep string").join(
+        CR.lines_of(spark, files).select("file").distinct())
+    recs, unclosed = CR.records(CR.lines_of(spark, files), seps)
+    recs = recs.withColumn("value", F.when(F.col("rec") == 1, F.regexp_replace("value", "^\\uFEFF", "")).otherwise(F.col("value")))
+    heads = recs.where("rec = 1").select("file", F.col("value").alias("header"))
+    kinds = heads.select("header").distinct().orderBy("header").collect()     # one row per kind of file
+    good, bad = [], [unclosed.join(heads, "file", "left").select("header", F.col("value").alias("line"))]
+    body = recs.where("rec > 1").where(F.length(F.trim("value")) > 0).join(heads, "file")
+    opts = {"sep": sep, "mode": "PERMISSIVE", "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}
+    for k in kinds:
+        names = header_names(k["header"], sep, spark)
+        wide = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+        rows = body.where(F.col("header") == k["header"]).withColumn("r", F.from_csv("value", wide, opts))
+        long = F.col(f"r.c{len(names)}").isNotNull()
+        good.append(rows.where(~long).select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)],
+                                             F.col("file").alias(SOURCE_FILE)))
+        bad.append(rows.where(long).select("header", F.col("value").alias("line")))
+    return good, bad
 
 
-def read_csv(spark: SparkSession, path: str | list[str], sep: str | None = None,
-             multiline: bool = False) -> DataFrame:
-    """The rows of :func:`read_csv_checked`.  ``multiline`` handles quoted
-    newlines but makes each file one task."""
-    return read_csv_checked(spark, path, sep, multiline)[0]
+def read_csv(spark: SparkSession, path: str | list[str], sep: str | None = None) -> DataFrame:
+    """The rows of :func:`read_csv_checked`."""
+    return read_csv_checked(spark, path, sep)[0]
 
 
 def csv_header_union(spark: SparkSession, paths: list[str]) -> list[str]:
@@ -175,9 +241,12 @@ def split_rejects(df: DataFrame, max_lengths: dict[str, int] | None = None,
     return accepted, rejected
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K7: header, UTF-8."""
-    df.write.mode(mode).option("header", True).option("encoding", "UTF-8").csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", by: str | None = None) -> None:
+    """K7: header, UTF-8, quotes doubled, spaces at the ends of a cell kept; with
+    ``by``, one folder per value."""
+    w = (df.write.mode(mode).option("header", True).option("encoding", "UTF-8").option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    (w.partitionBy(by) if by else w).csv(path)
 
 
 def write_texts(df: DataFrame, path: str, name_col: str = "name", text_col: str = "text",

@@ -61,3 +61,21 @@ def test_same_name_in_two_tables(spark):
 def test_name_parts():
     assert name_parts("nr_cpfTitular") == ["nr", "cpf", "titular"]
     assert "rg" not in name_parts("cargo")
+
+
+def test_prose_with_numbers_is_not_a_position(spark, key):
+    """Coordinates must cover most of a value; a sentence with a CPF, an amount
+    or a date in it is free text and is masked as such."""
+    from sombra.operators.mask import mask_table
+    rows = [(f"Caso {i} com CPF 111.444.777-{i:02d} e o email ana{i}@example.com informado, valor 1.000 reais",
+             f"R$ 1.{i:03d} pago por ana{i}@example.com em 10.02.2024 no local",
+             f"-25.{4284 + i},-49.{2733 + i}", f"lat -25.{4284 + i} lon -49.{2733 + i}", f"-25.{428400 + i}",
+             f"R$ 1.{i + 100}") for i in range(60)]
+    df = spark.createDataFrame(rows, "relato string, pago string, par string, rotulo string, simples string, valor string")
+    got = {r.column: r.tag for r in classify_tables({"t": df}).collect()}
+    assert got["relato"] == "TEXTO_LIVRE" and got["pago"] == "TEXTO_LIVRE"
+    assert got["par"] == "COORD" and got["rotulo"] == "COORD_SINGLE" and got["simples"] == "COORD_SINGLE"
+    assert not got["valor"].startswith("COORD")
+    out = mask_table(df.select("relato", "pago"), got, None, key).collect()
+    text = " ".join(x for r in out for x in r)
+    assert "ana" not in text and "111.444.777" not in text
