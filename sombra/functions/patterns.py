@@ -54,6 +54,20 @@ NAME_WORDS = r"[A-ZÀ-Ÿa-zà-ÿ]{2,20}(?:\s+[A-ZÀ-Ÿa-zà-ÿ]{2,20}){1,5}"
 ROLE_FILLER = r"(?:.*?[:\-.)])?"
 UPPER_RUN = r"\b[A-ZÀ-Ÿ]{2,}(?:\s+(?:DE|DA|DO|DOS|DAS|E|DI)?\s*[A-ZÀ-Ÿ]{2,}){1,5}\b"
 
+# Particles inside a name, words a candidate may not begin with, and verbs that
+# end one (own lists, for candidates trimmed without a model).
+NAME_PARTICLES = ["DE", "DA", "DO", "DOS", "DAS", "E", "DI", "DEL"]
+LEADING_WORDS = [
+    "a", "o", "as", "os", "um", "uma", "uns", "umas", "de", "da", "do", "das", "dos",
+    "em", "na", "no", "nas", "nos", "ao", "aos", "à", "às", "por", "pela", "pelo", "pelas",
+    "pelos", "para", "com", "sem", "sob", "sobre", "entre", "até", "desde", "contra",
+    "este", "esta", "esse", "essa", "aquele", "aquela", "seu", "sua", "meu", "minha",
+]
+AUXILIARIES = [
+    "é", "são", "foi", "foram", "era", "eram", "está", "estão", "estava", "estavam",
+    "tem", "têm", "tinha", "tinham", "ser", "estar", "ter", "há", "havia", "vai", "vão",
+]
+
 # ----------------------------------------------------------------------------
 # Stop vocabulary (D15).  A name candidate whose normal form
 # contains any of these words is dropped.

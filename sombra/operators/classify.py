@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from ..functions import patterns as P
 from ..functions.text import py_strip, word_count
 from ..session import ensure_checkpoint_dir
+from .lexicon import recognise_names
 
 HASH_DIGITS = 15                      # 60 bits of md5 as a bigint
 HASH_SPACE = 16 ** HASH_DIGITS
@@ -142,7 +143,19 @@ def _sample_features(samples: DataFrame) -> DataFrame:
     return samples.select("table", "column", *feats)
 
 
-def score_columns(samples: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
+def name_votes(samples: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(table, column, v_NOME): samples that names from ``lexicon`` cover, by
+    the share that the other votes ask for.  A single word counts: a column of
+    first names is a column of names."""
+    ids = ["table", "column", "rank"]
+    found = recognise_names(samples, ids, "value", lexicon, min_words=1)
+    covered = found.groupBy(*ids).agg(F.sum(F.col("end") - F.col("start")).alias("covered"))
+    hit = F.col("covered") / F.greatest(F.length("value"), F.lit(1)) >= P.FULL_MATCH_SHARE
+    return (samples.join(covered, ids).where(hit).groupBy("table", "column")
+            .agg(F.count(F.lit(1)).cast("double").alias("v_NOME")))
+
+
+def score_columns(samples: DataFrame, columns: list[tuple[str, str]], lexicon: DataFrame | None = None) -> DataFrame:
     """C2-C11 over a sample frame -> policy frame, one row per (table, column)."""
     agg = (_sample_features(samples).groupBy("table", "column").agg(
         F.count(F.lit(1)).cast("int").alias("n"),
@@ -151,6 +164,10 @@ def score_columns(samples: DataFrame, columns: list[tuple[str, str]]) -> DataFra
         F.avg("words").alias("mean_words"),
         F.max("punct").alias("any_punct"),
         *[F.sum("v_" + t).cast("double").alias("v_" + t) for t in VOTE_TYPES]))
+    if lexicon is None:
+        agg = agg.withColumn("v_NOME", F.lit(0.0))
+    else:
+        agg = agg.join(name_votes(samples, lexicon), ["table", "column"], "left").na.fill(0.0, ["v_NOME"])
 
     # plan-time facts about the names (metadata, one entry per column)
     key = _key(F.col("table"), F.col("column"))
@@ -171,7 +188,7 @@ def score_columns(samples: DataFrame, columns: list[tuple[str, str]]) -> DataFra
             s = F.when((F.col("mean_words") >= P.PROSE_MEAN_WORDS) | (F.col("any_punct") == 1),
                        n * P.PROSE_WEIGHT).otherwise(0.0)
         else:
-            s = F.lit(0.0)       # NOME_SOLTO: needs a recogniser (SURVEY Q13)
+            s = F.col("v_NOME")  # NOME_SOLTO: 0 without a dictionary (SURVEY Q13)
         scores.append(F.struct(s.alias("score"), F.lit(-TAG_PRIORITY.index(t)).alias("neg_prio"),
                                F.lit(t).alias("tag")))
     positive = F.filter(F.array(*scores), lambda s: s["score"] > 0)
@@ -202,9 +219,10 @@ def score_columns(samples: DataFrame, columns: list[tuple[str, str]]) -> DataFra
 
 
 def classify_tables(frames: dict[str, DataFrame], columns: dict[str, list[str]] | None = None,
-                    k: int = P.SAMPLE_SIZE) -> DataFrame:
+                    k: int = P.SAMPLE_SIZE, lexicon: DataFrame | None = None) -> DataFrame:
     """C1-C11 for many tables at once: policy frame
-    (table, column, tag, confidence, n_samples).
+    (table, column, tag, confidence, n_samples).  ``lexicon`` is a frame (term)
+    of names for the name vote (C6).
 
     Jobs: one HyperLogLog pass for distinct counts, one sampling pass whose
     small result (<= k rows per column) is checkpointed, one count check,
@@ -244,13 +262,13 @@ def classify_tables(frames: dict[str, DataFrame], columns: dict[str, list[str]]
             redo = _ranked(long.filter(_key(F.col("table"), F.col("column")).isin(redo_keys)), None, k)
             samples = samples.filter(~_key(F.col("table"), F.col("column")).isin(redo_keys)) \
                              .unionByName(redo)
-    return score_columns(samples, pairs)
+    return score_columns(samples, pairs, lexicon)
 
 
 def classify_columns(df: DataFrame, columns: list[str] | None = None, table: str = "",
-                     k: int = P.SAMPLE_SIZE) -> DataFrame:
+                     k: int = P.SAMPLE_SIZE, lexicon: DataFrame | None = None) -> DataFrame:
     """C1-C11 for one table."""
-    return classify_tables({table: df}, {table: columns} if columns else None, k)
+    return classify_tables({table: df}, {table: columns} if columns else None, k, lexicon)
 
 
 def policy_map(policies: DataFrame, table: str | None = None) -> dict[str, str]:

@@ -19,11 +19,11 @@ from typing import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions.text import normalize, word_count
 from ..session import ship_package
+from .lexicon import trim_spans
 from .spans import SPANS, regex_spans
 
 PRIO_TRUSTED = P.SPAN_ORDER.index("PER_TRUSTED")
@@ -42,12 +42,14 @@ def trusted_names(text: Column, marks_checked: bool = False) -> Column:
     return F.filter(spans, _keep_candidate)
 
 
-def suspect_names(text: Column, strict: bool = False, marks_checked: bool = False) -> Column:
+def suspect_names(text: Column, strict: bool = False, marks_checked: bool = False, trim: bool = False) -> Column:
+    """D12, D13 and, with ``trim``, D16 (the baseline only strips)."""
     role = regex_spans(text, P.role_context_pattern(), "PER", PRIO_SUSPECT, group=True,
                        marks_checked=marks_checked)
     run = regex_spans(text, P.upper_run_pattern(strict), "PER", PRIO_SUSPECT,
                       marks_checked=marks_checked)
-    return F.filter(F.concat(role, run), _keep_candidate)
+    found = F.concat(role, run)
+    return F.filter(trim_spans(found) if trim else found, _keep_candidate)
 
 
 def entity_spans(text: Column, terms: Column, marks_checked: bool = False) -> Column:
@@ -62,32 +64,6 @@ def entity_spans(text: Column, terms: Column, marks_checked: bool = False) -> Co
     return F.when(F.size(usable) > 0, F.filter(found, _keep_candidate)).otherwise(F.array().cast(SPANS))
 
 
-def recognise(df: DataFrame, text_col: str, recogniser: Callable[[str], list[str]],
-              out_col: str = "entity_terms") -> DataFrame:
-    """add the names a caller's recogniser finds in each text.
-
-    ``recogniser`` maps one text to a list of person names.  It runs with
-    ``mapInPandas`` inside the partition that holds the row: no shuffle, and
-    the row keeps all its columns.  Titles the text first when it is all upper
-    or all lower case and strips edge punctuation, like the reference.
-    """
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(out_col, T.ArrayType(T.StringType()))])
-    ship_package(df.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            def one(t):
-                if t is None or not str(t).strip():
-                    return []
-                s = str(t)
-                s = s.title() if (s.isupper() or s.islower()) else s
-                return [n.strip(".,;:?!() \n'\"") for n in recogniser(s)]
-            b[out_col] = b[text_col].map(one)
-            yield b
-
-    return df.mapInPandas(run, schema)
-
-
 def term_key(value: Column) -> Column:
     return F.upper(value)
 

@@ -392,7 +392,55 @@ def identity_sql() -> str:
             f"'01/02/20' || {pad(k, 2)} AS quando, c_mktsegment, c_acctbal FROM customer")
 
 
-def classify_sql(columns: dict[str, list[str]] | None = None, sources: dict[str, str] | None = None) -> str:
+TOKEN_RE = r"\pL[\pL\pM'’\-]*|[^\pL" + WS + "]+"
+PARTICLES = ["DE", "DA", "DO", "DOS", "DAS", "E", "DI", "DEL"]
+
+
+def named_person(k: str) -> str:
+    title = lambda x: f"(upper({x}[1]) || lower({x}[2:]))"
+    first, last = pick(S.FIRST_NAMES, f"({k} * 7 + 3)"), pick(S.LAST_NAMES, f"({k} * 11 + 5)")
+    return f"({title(first)} || CASE WHEN {k} % 3 = 0 THEN ' de ' ELSE ' ' END || {title(last)})"
+
+
+def name_runs_sql(source: str, min_words: int) -> str:
+    """(doc_id, start, end, n_words): runs of dictionary words in ``source``
+    (doc_id, text), particles inside."""
+    names = ", ".join(q(n) for n in [*S.FIRST_NAMES, *S.LAST_NAMES])
+    parts = ", ".join(q(n) for n in PARTICLES)
+    toks = matches_sql("WORD", TOKEN_RE, "text", lambda v: v).replace("FROM documents", f"FROM ({source})")
+    return f"""
+SELECT doc_id, CAST(min(CASE WHEN word = 1 THEN start END) AS INTEGER) AS start,
+       CAST(max(CASE WHEN word = 1 THEN "end" END) AS INTEGER) AS "end", CAST(sum(word) AS INTEGER) AS n_words
+FROM (SELECT *, match_no - row_number() OVER (PARTITION BY doc_id ORDER BY match_no) AS run
+      FROM (SELECT *, CASE WHEN {norm('value')} IN ({names}) THEN 1 WHEN {norm('value')} IN ({parts}) THEN 0 END AS word
+            FROM ({toks})) WHERE word IS NOT NULL)
+GROUP BY doc_id, run HAVING sum(word) >= {min_words}
+"""
+
+
+def trim_sql() -> str:
+    """D16 with list functions: drop the leading closed-class words, then keep
+    tokens up to the first that ends a name."""
+    lead = ", ".join(q(w) for w in (
+        "a o as os um uma uns umas de da do das dos em na no nas nos ao aos à às por pela pelo pelas pelos para com sem sob "
+        "sobre entre até desde contra este esta esse essa aquele aquela seu sua meu minha").split())
+    aux = ", ".join(q(w) for w in ("é são foi foram era eram está estão estava estavam tem têm tinha tinham ser estar ter há "
+                                   "havia vai vão").split())
+    token = f"(?:\\pL[\\pL\\pM'’\\-]*|[0-9][0-9.,]*|[^{WS}])[{WS}]*"
+    return f"""
+WITH c AS (SELECT doc_id, 'da ' || left(text, 60) AS raw FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, regexp_extract_all(raw, {q(token)}) AS ts FROM c),
+w AS (SELECT doc_id, ts, list_transform(ts, lambda x: lower({strip('x')})) AS ws FROM t),
+a AS (SELECT *, coalesce(list_position(list_transform(ws, lambda x: x NOT IN ({lead})), true), len(ws) + 1) AS i FROM w),
+b AS (SELECT *, coalesce(list_position(list_transform(ws[i:], lambda x: NOT regexp_matches(x, '^\\pL') OR x IN ({aux})), true),
+                         len(ws) + 1) AS j FROM a)
+SELECT doc_id, {strip("array_to_string(ts[i:i + j - 2], '')")} AS value,
+       CAST(length(array_to_string(ts[1:i - 1], '')) AS INTEGER) AS skip
+FROM b
+"""
+
+
+def classify_sql(columns: dict[str, list[str]] | None = None, sources: dict[str, str] | None = None, names: bool = False) -> str:
     from ..operators import classify as C
     from ..functions import patterns as PP
     columns = columns or CLASSIFY_COLUMNS
@@ -421,11 +469,17 @@ def classify_sql(columns: dict[str, list[str]] | None = None, sources: dict[str,
         elif tag == "TEXTO_LIVRE":
             s = "CASE WHEN mean_words >= 3 OR any_punct = 1 THEN n * 0.8 ELSE 0 END"
         else:
-            s = "0.0"
+            s = "coalesce((SELECT votes FROM nv WHERE nv.tbl = agg.tbl AND nv.col = agg.col), 0)" if names else "0.0"
         score_rows.append(f"SELECT tbl, col, '{tag}' AS tag, CAST({s} AS DOUBLE) AS score, {i} AS prio FROM agg")
     ignored = [f"(tbl = '{t}' AND col = '{c}')" for t, c in pairs if C.name_is_ignored(c)]
     ign = " OR ".join(ignored) if ignored else "FALSE"
     tagmap = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PP.TAG_TO_POLICY.items())
+    runs = name_runs_sql("SELECT tbl || '|' || col || '|' || rk AS doc_id, value AS text FROM samples", 1)
+    nv = f"""nv AS (SELECT s.tbl, s.col, COUNT(*) AS votes FROM samples s
+      JOIN (SELECT doc_id, SUM("end" - start) AS covered FROM ({runs}) GROUP BY doc_id) r
+        ON r.doc_id = s.tbl || '|' || s.col || '|' || s.rk
+      WHERE r.covered >= 0.8 * greatest(length(s.value), 1) GROUP BY s.tbl, s.col),
+""" if names else ""
     all_pairs = " UNION ALL ".join(f"SELECT '{t}' AS tbl, '{c}' AS col" for t, c in pairs)
     return f"""
 WITH long AS ({long}),
@@ -441,7 +495,7 @@ agg AS (SELECT tbl, col, COUNT(*) AS n, AVG(gps) AS gps_share, MAX(pair) AS any_
           AVG(words) AS mean_words, MAX(punct) AS any_punct,
           {", ".join(f"CAST(SUM(v_{t}) AS DOUBLE) AS v_{t}" for t in C.VOTE_TYPES)}
         FROM feats GROUP BY tbl, col),
-scores AS ({" UNION ALL ".join(score_rows)}),
+{nv}scores AS ({" UNION ALL ".join(score_rows)}),
 pos AS (SELECT * FROM scores WHERE score > 0),
 best AS (SELECT tbl, col, tag, score FROM (SELECT *, row_number() OVER (PARTITION BY tbl, col
            ORDER BY score DESC, prio ASC) AS r FROM pos) WHERE r = 1),
@@ -628,6 +682,15 @@ def oracle_queries() -> dict[str, str]:
     out["mask_orders_cpf"] = f"SELECT *, {surrogate('CPF', src)} AS cpf FROM orders"
     strings = ["nr_documento", "contato", "veiculo", "posicao", "quando", "c_mktsegment"]
     out["classify_identities"] = classify_sql({"customer": strings}, {"customer": f"({identity_sql()})"})
+    person = ("titular", "apelido", "relato", "local", "c_mktsegment")
+    out["classify_names"] = classify_sql({"customer": list(person)}, {"customer": (
+        f"(SELECT {named_person('c_custkey')} AS titular, {pick(S.FIRST_NAMES, 'c_custkey')} AS apelido, "
+        f"{named_person('c_custkey')} || ' comprou ' || c_custkey || ' itens na loja' AS relato, "
+        f"'rua ' || c_custkey AS local, c_mktsegment FROM customer)")}, names=True)
+    out["lexicon_names"] = name_runs_sql(
+        f"SELECT doc_id, coalesce(text, '') || ' Relato de ' || {named_person('doc_id')} || ', e ' || "
+        f"upper({named_person('(doc_id * 5 + 1)')}) || ' (presente).' AS text FROM documents", 2)
+    out["trim_candidates"] = trim_sql()
     out["mask_identities"] = (
         f"SELECT c_custkey, {surrogate('CPF', 'nr_documento')} AS nr_documento, {surrogate('EMAIL', 'contato')} AS contato, "
         f"{surrogate('PLATE', 'veiculo')} AS veiculo, quando, c_mktsegment, c_acctbal FROM ({identity_sql()})")

@@ -21,6 +21,7 @@ from ..functions.text import normalize
 from ..operators import audit as A
 from ..operators import classify as C
 from ..operators import fragments as FR
+from ..operators import lexicon as L
 from ..operators import names as N
 from ..operators.mask import MaskRules, find_pii, mask_table, mask_text, mask_text_struct, mask_with_verdicts
 from ..operators.spans import regex_spans, restore, shield, shield_tags
@@ -285,6 +286,51 @@ def classify_identities(spark, sf_dir) -> DataFrame:
     return C.classify_columns(identity_table(spark, sf_dir), table="customer")
 
 
+def demo_lexicon(spark: SparkSession) -> DataFrame:
+    """Stand-in dictionary of names (term): the engine's own two lists."""
+    return spark.createDataFrame([(n,) for n in [*S.FIRST_NAMES, *S.LAST_NAMES]], "term string")
+
+
+def _name(words: list[str], k: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(w) for w in words]), (k % len(words) + 1).cast("int"))
+
+
+def named_person(k: Column) -> Column:
+    """A person's name per key, in title case, some with a particle."""
+    first, last = _name(S.FIRST_NAMES, k * 7 + 3), _name(S.LAST_NAMES, k * 11 + 5)
+    return F.concat(F.initcap(first), F.when(k % 3 == 0, F.lit(" de ")).otherwise(F.lit(" ")), F.initcap(last))
+
+
+def classify_names(spark, sf_dir) -> DataFrame:
+    """Columns of names found by a dictionary, beside prose that holds names
+    and columns that hold none."""
+    k = F.col("c_custkey")
+    src = table(spark, sf_dir, "customer").select(
+        named_person(k).alias("titular"), _name(S.FIRST_NAMES, k).alias("apelido"),
+        F.concat(named_person(k), F.lit(" comprou "), k, F.lit(" itens na loja")).alias("relato"),
+        F.concat(F.lit("rua "), k).alias("local"), "c_mktsegment")
+    return C.classify_columns(src, table="customer", lexicon=demo_lexicon(spark))
+
+
+def lexicon_names(spark, sf_dir) -> DataFrame:
+    """Names of a dictionary with their places, in every document; each
+    text also ends with a sentence that names two persons."""
+    k = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(
+        F.coalesce("text", F.lit("")), F.lit(" Relato de "), named_person(k), F.lit(", e "), F.upper(named_person(k * 5 + 1)),
+        F.lit(" (presente).")).alias("text"))
+    return L.recognise_names(docs, ["doc_id"], "text", demo_lexicon(spark))
+
+
+def trim_candidates(spark, sf_dir) -> DataFrame:
+    """The first 60 characters of every document as a candidate, without
+    leading prepositions and articles, up to a verb, number or mark."""
+    raw = F.substring("text", 1, 60)
+    return (table(spark, sf_dir, "documents").where("text is not null")
+            .select("doc_id", L.trim_candidate(F.concat(F.lit("da "), raw)).alias("t"))
+            .select("doc_id", "t.value", "t.skip"))
+
+
 def mask_identities(spark, sf_dir) -> DataFrame:
     """D24 by classified policy: documents, e-mails and plates are swapped,
     dates and segments stay."""
@@ -442,6 +488,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "classify_columns": classify_columns,
     "mask_customer": mask_customer,
     "classify_identities": classify_identities,
+    "classify_names": classify_names,
+    "lexicon_names": lexicon_names,
+    "trim_candidates": trim_candidates,
     "mask_identities": mask_identities,
     "column_catalogue": column_catalogue,
     "fk_orphans": fk_orphans,

@@ -2,6 +2,7 @@
 
 import csv
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +125,6 @@ def test_job_masks_broken_cells_and_names_its_files(spark, key, tmp_path):
     casos = FS.read_csv(spark, str(tmp_path / "out" / names[0])).collect()
     assert len(casos) == 30 and {r.status for r in casos} == {"aberto"}
     text = " ".join(str(x) for r in casos for x in r)
-    assert "maria" not in text and "529.982.247-25" not in text and "111.444.777-35" not in text and "linha um" in text
+    assert not re.search(r"maria\d+@", text) and "529.982.247-25" not in text and "111.444.777-35" not in text and "linha um" in text
     pessoas = FS.read_csv(spark, str(tmp_path / "out" / names[1]))
     assert pessoas.columns == ["id", "email"] and pessoas.where("email like 'ana%'").count() == 0

@@ -90,12 +90,12 @@ def test_no_leak_of_found_values(spark, key):
 
 
 def test_recogniser_hook(spark, key):
-    from sombra.operators.names import recognise
+    from sombra.operators.lexicon import recognise
     df = spark.createDataFrame([(1, "Relato: Ana Beatriz Souto chegou cedo."), (2, "nada aqui")],
                                "id int, t string")
 
-    def toy(text):
-        return ["Ana Beatriz Souto"] if "Ana" in text else []
+    def toy(texts):
+        return texts.map(lambda t: [" Ana Beatriz Souto,"] if "Ana" in t else [])
 
     r = recognise(df, "t", toy)
     assert r.columns == ["id", "t", "entity_terms"]
