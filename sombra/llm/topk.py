@@ -44,10 +44,8 @@ def quantise(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 def pack_blocks(df: DataFrame, block: int, salt: str) -> DataFrame:
     """(blk, dim, n, ids binary, mat binary): vectors in vertical blocks of up
-    to ``block`` rows, dealt by hash of the id (ids are unique here, so no
-    block can run hot)."""
+    to ``block`` rows, dealt evenly whatever ids they share."""
     parts = max(1, -(-df.count() // block))
-    df = df.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("h", F.xxhash64("vec_id", F.lit(salt)))
 
     def pack(batches):
         ids, vecs, dims = [], [], []
@@ -84,7 +82,7 @@ def pack_blocks(df: DataFrame, block: int, salt: str) -> DataFrame:
         if ids:
             yield rows_out(flush())
 
-    packed = map_arrow(df.repartition(parts, "h").select("vec_id", "v"), pack,
+    packed = map_arrow(df.select("vec_id", "v").repartition(parts), pack,
                        "dim int, n int, ids binary, mat binary")
     return materialise(packed.withColumn("blk", F.monotonically_increasing_id()), f"vectors-{salt}")
 
@@ -144,10 +142,10 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, block: int = 40
     products, ties to the smaller vec_id.
 
     ``candidates`` and ``queries`` come from :func:`quantise`.  A query meets
-    only vectors with as many components as its own, never its own id.  An id
-    names one vector: of rows that repeat an id the smallest vector (compared
-    component by component) counts.  No candidates: no rows.  Empty vectors
-    score 0 with one another."""
+    only vectors with as many components as its own, never a row of its own id.
+    Rows that repeat an id all count: as candidates each for itself, as queries
+    together (their id's ``k`` best scores).  No candidates: no rows.  Empty
+    vectors score 0 with one another."""
     cand = pack_blocks(candidates, block, "candidates")
     ques = pack_blocks(queries, query_block, "queries")
     # every query block is dealt to every candidate block of its dimension

@@ -6,18 +6,14 @@ from sombra.llm import topk
 
 
 def brute(rows, queries, k):
-    ints = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        q = [math.floor(256.0 * x) for x in v]
-        ints[i] = min(ints.get(i, q), q)
+    """As the registered SQL: every row a candidate, ranked per query id."""
+    ints = [(i, [math.floor(256.0 * x) for x in v]) for i, v in rows
+            if i is not None and v is not None and not any(x is None or not math.isfinite(x) for x in v)]
     out = []
     for q in queries:
-        if q in ints:
-            best = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items()
-                          if i != q and len(v) == len(ints[q]))[:k]
-            out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+        best = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for o, own in ints if o == q
+                      for i, v in ints if i != q and len(v) == len(own))[:k]
+        out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
 
@@ -41,6 +37,12 @@ def test_odd_rows_ties_and_blocks(spark):
     assert run(spark, rows, queries, block=16, query_block=3) == brute(rows, queries, 5)
 
 
+def test_repeated_ids_keep_all_rows(spark):
+    rows = [(0, [8.0, 8.0]), (1, [9.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 2.0]), (0, [-1.0, 0.0])]
+    got = run(spark, rows, [0], k=3)
+    assert got == brute(rows, [0], 3) and got[0][2:] == (1, 9 * 8 * 256 * 256)
+
+
 def test_fewer_than_k_and_empty(spark):
     rows = [(1, [1.0]), (2, [0.5])]
     assert run(spark, rows, [1]) == [(1, 1, 2, 256 * 128)]
