@@ -30,9 +30,29 @@ MEMO = 800_000
 
 
 def projection(vocab: int, dims: int = DIMS, seed: int = 11) -> np.ndarray:
-    """A random sign per token id and dimension."""
+    """A random sign per token id and dimension, as 0 or 1; two dimensions share
+    a word, 32 bits each, so one sum over a document's tokens serves both."""
     r = np.random.Generator(np.random.PCG64(seed))
-    return (r.integers(0, 2, (vocab, dims)) * 2 - 1).astype(np.float32)
+    up = r.integers(0, 2, (vocab, dims)).astype(np.int64)
+    return np.ascontiguousarray((up[:, 0::2] | up[:, 1::2] << 32).T)
+
+
+def project(found: list[np.ndarray], up: np.ndarray, at_once: int = 1 << 20) -> np.ndarray:
+    """Mean sign of each document's tokens per dimension (documents of at least
+    one token), gathered for many documents at a time."""
+    n = np.array([len(x) for x in found], np.int64)
+    ends = np.cumsum(n)
+    out = np.empty((len(n), 2 * len(up)))
+    i = 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + at_once, "right")))
+        flat = np.concatenate(found[i:j])
+        begin = ends[i:j] - n[i:j] - (ends[i] - n[i])
+        for k, row in enumerate(up):
+            sums = np.add.reduceat(row[flat], begin)
+            out[i:j, 2 * k], out[i:j, 2 * k + 1] = sums & 0xFFFFFFFF, sums >> 32
+        i = j
+    return 2.0 * out / n[:, None] - 1.0
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -191,8 +211,7 @@ def tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
             found = ids_of(b.column("text"))
             n = [len(x) for x in found]
             packed = [x.tobytes() for x in found]
-            proj = [signs[x].mean(0) for x in found]
-            proj = np.array(proj, np.float64).reshape(len(n), DIMS)
+            proj = project(found, signs)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(packed, pa.binary())]
                 + [pa.array(proj[:, k]) for k in range(DIMS)],
@@ -201,11 +220,11 @@ def tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
     return map_arrow(docs.select(*id_text(id_col, text_col)), run, f"doc_id long, n long, ids binary, {cols}")
 
 
-def curve_key(toks: DataFrame) -> DataFrame:
-    """``toks`` with its Hilbert key; the grid is scaled by the corpus' mean and
-    deviation per dimension (one row of statistics)."""
+def curve_key(toks: DataFrame) -> tuple[DataFrame, int]:
+    """(``toks`` with its Hilbert key, number of tokens); the grid is scaled by
+    the corpus' mean and deviation per dimension (one row of statistics)."""
     names = [f"p{k}" for k in range(DIMS)]
-    stats = toks.agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
+    stats = toks.agg(F.sum("n").alias("total"), *[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
     mean = np.array([stats[f"m_{c}"] or 0.0 for c in names])
     dev = np.array([stats[f"s_{c}"] or 0.0 for c in names])
     dev[dev == 0] = 1.0
@@ -216,7 +235,7 @@ def curve_key(toks: DataFrame) -> DataFrame:
             cell = np.clip(((x - mean) / dev + 3.0) / 6.0 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
             keep = [c for c in b.schema.names if c not in names]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(hilbert(cell))], names=[*keep, "key"])
-    return map_arrow(toks, run, "doc_id long, n long, ids binary, key long")
+    return map_arrow(toks, run, "doc_id long, n long, ids binary, key long"), stats["total"] or 0
 
 
 def powers(n: int) -> list[int]:
@@ -225,7 +244,7 @@ def powers(n: int) -> list[int]:
 
 
 def pack(docs: DataFrame, length: int = 2048, vocabulary: str | None = None, id_col: str = "doc_id",
-         text_col: str = "text", rows_per_task: int = 8192) -> DataFrame:
+         text_col: str = "text", tokens_per_task: int = 4 << 20) -> DataFrame:
     """(doc_id, start, length, ids binary uint32, doc_tokens, sequence_id,
     offset): one row per piece; each id of each document row lies in one piece.
 
@@ -235,8 +254,8 @@ def pack(docs: DataFrame, length: int = 2048, vocabulary: str | None = None, id_
     if length & (length - 1):
         raise ValueError("length must be a power of two")
     toks = materialise(tokens(docs, vocabulary, id_col, text_col), "tokens")
-    keyed = curve_key(toks)
-    parts = max(1, -(-toks.count() // rows_per_task))
+    keyed, total = curve_key(toks)
+    parts = max(1, -(-total // tokens_per_task))
     ranged = (keyed.withColumn("tie", F.xxhash64("doc_id"))
               .repartitionByRange(parts, "key", "tie").sortWithinPartitions("key", "tie", "doc_id", "n", "ids"))
 

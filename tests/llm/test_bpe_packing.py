@@ -78,7 +78,7 @@ def check_packing(df, pieces, library, length):
 def test_packing(spark, odd_docs, no_docs, library):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     for df, length in ((docs, 2048), (odd_docs, 64)):
-        pieces = packing.pack(df, length=length, rows_per_task=50).collect()
+        pieces = packing.pack(df, length=length, tokens_per_task=20_000).collect()
         check_packing(df, pieces, library, length)
     assert packing.pack(no_docs).collect() == []
     with pytest.raises(ValueError):
@@ -129,7 +129,25 @@ def test_token_counts_of_odd_rows(odd_docs, no_docs):
 
 
 def test_crc_of_pieces(spark):
+    """ids_crc32 against zlib over the library's own ids."""
+    from tokenizers import Tokenizer
+
     from sombra.llm import queries
 
-    row = queries.op7_packing(spark, "/root/testdata/sf0.001").first()
-    assert 0 <= row.ids_crc32 < 2**32 and zlib.crc32(b"") == 0
+    tok = Tokenizer.from_file(PATH)
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in queries.op7_packing(spark, "/root/testdata/sf0.001").collect():
+        ids = [*tok.encode(docs[r.doc_id] or "", add_special_tokens=False).ids, 1]
+        assert r.doc_tokens == len(ids)
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start:r.start + r.length], "<u4").tobytes())
+
+
+def test_projection_of_many_documents():
+    r = np.random.default_rng(3)
+    up = packing.projection(500)
+    found = [r.integers(0, 500, n).astype(np.uint16) for n in (1, 7, 300, 1, 2000, 5)]
+    signs = np.stack([2 * (up[k // 2] >> 32 * (k % 2) & 0xFFFFFFFF) - 1 for k in range(packing.DIMS)], 1)
+    want = np.array([signs[x].mean(0) for x in found])
+    for at_once in (1, 400, 1 << 20):
+        assert np.allclose(packing.project(found, up, at_once), want)
+    assert packing.project([], up).shape == (0, packing.DIMS)
