@@ -3,10 +3,13 @@
 DataFrame functions only.  A text's paragraphs (lines, cut every ``PIECE``
 code points) are hashed to 64-bit keys: 48 bits of digest and 16 bits of
 check.  A sketch has 3 x ``WIDTH`` cells; a key is added to one cell of each
-third.  A cell holds a count and the exclusive or of its keys.  Subtracting two
-sketches cell by cell leaves the keys on one side only; peeling finds cells
-with one key (count +-1 and a valid check), records the key and removes it from
-its other cells, until nothing is left or no such cell is found.
+third.  A cell holds a count, the exclusive or of its keys, and the exclusive
+or of an independent 64-bit hash of each key.  Subtracting two sketches cell by
+cell leaves the keys on one side only; peeling finds cells with one key (count
++-1, a valid check, and the second sum equal to the key's hash: several keys
+whose sum only looks like a key fail that), records the key and removes it from
+its other cells, until nothing is left or no such cell is found.  A result
+counts only if the number of keys found agrees with the sizes of the two sets.
 
 The first try subtracts the two fingerprints themselves.  Where it fails, the
 sketch is made larger: keys are dealt to as many sub-sketches as the two sets
@@ -41,6 +44,11 @@ def valid(x: str) -> str:
     return f"(shiftleft(xxhash64({x} & {MASK48}L), 48) | ({x} & {MASK48}L)) = {x}"
 
 
+def second(x: str) -> str:
+    """SQL: the independent hash of a key, summed beside it."""
+    return f"xxhash64({x}, 'second')"
+
+
 def cell_mask(x: str, width: int, seed: int) -> str:
     """SQL: bit set of the three cells of a key (3 * width <= 62)."""
     h = f"xxhash64({x}, {seed})"
@@ -49,30 +57,37 @@ def cell_mask(x: str, width: int, seed: int) -> str:
 
 
 def cells(keys: str, width: int, seed: int) -> str:
-    """SQL: array of (c count, x exclusive or) cells of signed keys, given as
-    an array of struct<x bigint, s int>."""
-    masked = f"transform({keys}, k -> named_struct('x', k.x, 's', k.s, 'm', {cell_mask('k.x', width, seed)}))"
-    build = ("transform(sequence(0, {last}), i -> aggregate(ks, named_struct('c', 0, 'x', 0L), (a, k) -> "
-             "if((shiftright(k.m, i) & 1L) = 1L, named_struct('c', a.c + k.s, 'x', a.x ^ k.x), a)))").format(last=3 * width - 1)
+    """SQL: array of (c count, x and y exclusive ors) cells of signed keys, given
+    as an array of struct<x bigint, s int>."""
+    masked = (f"transform({keys}, k -> named_struct('x', k.x, 'y', {second('k.x')}, 's', k.s, "
+              f"'m', {cell_mask('k.x', width, seed)}))")
+    build = ("transform(sequence(0, {last}), i -> aggregate(ks, named_struct('c', 0, 'x', 0L, 'y', 0L), (a, k) -> "
+             "if((shiftright(k.m, i) & 1L) = 1L, named_struct('c', a.c + k.s, 'x', a.x ^ k.x, 'y', a.y ^ k.y), a)))"
+             ).format(last=3 * width - 1)
     return f"element_at(transform(array({masked}), ks -> {build}), 1)"
 
 
 def peel(table: str, width: int, seed: int, rounds: int) -> str:
     """SQL: struct<t cells left, d number of keys recovered> of a subtracted
     sketch.  Steps alternate between finding pure cells and removing them."""
-    pure = (f"array_distinct(transform(filter(st.t, e -> (e.c = 1 or e.c = -1) and {valid('e.x')}), "
-            f"e -> named_struct('x', e.x, 's', e.c, 'm', {cell_mask('e.x', width, seed)})))")
+    pure = (f"array_distinct(transform(filter(st.t, e -> (e.c = 1 or e.c = -1) and {valid('e.x')} and e.y = {second('e.x')}), "
+            f"e -> named_struct('x', e.x, 'y', e.y, 's', e.c, 'm', {cell_mask('e.x', width, seed)})))")
     found = f"named_struct('t', st.t, 'd', st.d, 'p', {pure})"
     cut = ("transform(st.t, (e, i) -> aggregate(st.p, e, (a, k) -> if((shiftright(k.m, i) & 1L) = 1L, "
-           "named_struct('c', a.c - k.s, 'x', a.x ^ k.x), a)))")
-    none = "filter(array(named_struct('x', 0L, 's', 0, 'm', 0L)), z -> false)"
+           "named_struct('c', a.c - k.s, 'x', a.x ^ k.x, 'y', a.y ^ k.y), a)))")
+    none = "filter(array(named_struct('x', 0L, 'y', 0L, 's', 0, 'm', 0L)), z -> false)"
     gone = f"if(size(st.p) = 0, st, named_struct('t', {cut}, 'd', st.d + size(st.p), 'p', {none}))"
     return (f"aggregate(sequence(1, {2 * rounds}), named_struct('t', {table}, 'd', 0, 'p', {none}), "
             f"(st, r) -> if(r % 2 = 1, {found}, {gone}))")
 
 
 def clear(table: str) -> str:
-    return f"forall({table}, e -> e.c = 0 and e.x = 0)"
+    return f"forall({table}, e -> e.c = 0 and e.x = 0 and e.y = 0)"
+
+
+def agrees(d: str, a: str, b: str) -> str:
+    """SQL: whether two sets of ``a`` and ``b`` keys can differ in ``d`` keys."""
+    return f"({d} between abs({a} - {b}) and {a} + {b} and ({d} - {a} - {b}) % 2 = 0)"
 
 
 def signed(own: str, other: str) -> str:
@@ -81,13 +96,13 @@ def signed(own: str, other: str) -> str:
 
 
 def subtract(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (p, q) -> named_struct('c', p.c - q.c, 'x', p.x ^ q.x))"
+    return f"zip_with({a}, {b}, (p, q) -> named_struct('c', p.c - q.c, 'x', p.x ^ q.x, 'y', p.y ^ q.y))"
 
 
 def as_text(n: str, table: str) -> Column:
-    """A fingerprint as text: set size, then count:key of every cell."""
+    """A fingerprint as text: set size, then count:key:hash of every cell."""
     return F.expr(f"concat(cast({n} as string), '|', array_join(transform({table}, "
-                  "e -> concat(cast(e.c as string), ':', lower(hex(e.x)))), '|'))")
+                  "e -> concat(cast(e.c as string), ':', lower(hex(e.x)), ':', lower(hex(e.y)))), '|'))")
 
 
 # ---------------------------------------------------------------------------
@@ -170,7 +185,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = materialise(sk.select(
         "rid", "doc_id", "n_chars", "edited_sha256", F.size("own").alias("n_own"), F.size("e").alias("n_e"), F.size("n").alias("n_n"),
         as_text("size(own)", "t_own").alias("fingerprint"), as_text("size(e)", "t_e").alias("edited_fingerprint"),
-        *[F.when(F.expr(clear(f"p_{c}.t")), F.col(f"p_{c}.d")).alias(f"d_{c}") for c in ("e", "n")]), "first-try")
+        *[F.when(F.expr(f"{clear(f'p_{c}.t')} and {agrees(f'p_{c}.d', 'size(own)', f'size({c})')}"), F.col(f"p_{c}.d")).alias(f"d_{c}") for c in ("e", "n")]), "first-try")
 
     # larger sketches for what did not peel
     failed = keyed.join(first.select("rid", F.col("d_e").isNull().alias("f_e"), F.col("d_n").isNull().alias("f_n")), "rid")
@@ -181,7 +196,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     width, seed, done = WIDTH, 1, []
     while True:
         step = subs.withColumn("p", F.expr(peel(cells("keys", width, seed), width, seed, 3 * width)))
-        step = step.withColumn("ok", F.expr(clear("p.t")))
+        plus, minus = (f"size(filter(keys, k -> k.s = {s}))" for s in (1, -1))
+        step = step.withColumn("ok", F.expr(f"{clear('p.t')} and {agrees('p.d', plus, minus)}"))
         step = materialise(step.select("rid", "side", F.when(F.col("ok"), F.col("p.d")).alias("d"),
                                        F.when(~F.col("ok"), F.col("keys")).alias("keys")), "peeled", "uncompressed")
         done.append(step.where("d is not null").select("rid", "side", "d"))
