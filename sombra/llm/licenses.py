@@ -133,20 +133,28 @@ class Scanner:
         found = []
         for r, b, x, n in wins:
             lo, hi = b + n * size, min(x, b + (n + 2) * size)
-            win = np.unique(h[lo:hi])
-            sig = self.signature(win)
+            sig = self.signature(np.unique(h[lo:hi]))
             for (name, own), sign in zip(temps, self.signs[k, size], strict=True):
-                if not (sig == sign).any():
-                    continue
-                inside = np.isin(own, win)
-                c = inside.sum() / len(own)
-                if c >= self.share:
-                    # the narrowest stretch from first to last match of the densest run
-                    pos = np.flatnonzero(np.isin(h[lo:hi], own)) + lo
-                    a, z = self._tight(h, pos, own, int(inside.sum()))
-                    found.append((r, name, int(first[a]), int(first[z]) + k - 1, float(c)))
+                if (sig == sign).any():
+                    found += [(r, name, int(first[a]), int(first[z]) + k - 1, c) for a, z, c in self._all(h, lo, hi, own)]
         return self._merge(found)
 
+    def _all(self, h, lo, hi, own):
+        """(first shingle, last shingle, containment) of every stretch of
+        lo..hi that holds the template: the tightest is cut out, what lies on
+        either side of it is verified again."""
+        out, todo = [], [(lo, hi)]
+        while todo:
+            lo, hi = todo.pop()
+            need = int(np.isin(own, h[lo:hi]).sum())
+            if not need or need / len(own) < self.share:
+                continue
+            # the narrowest stretch from first to last match of the densest run
+            a, z = self._tight(h, np.flatnonzero(np.isin(h[lo:hi], own)) + lo, own, need)
+            out.append((int(a), int(z), need / len(own)))
+            todo += [(lo, int(a)), (int(z) + 1, hi)]
+        return out
+
     @staticmethod
     def _tight(h, pos, own, need):
         """Shortest stretch of positions that holds ``need`` different template
@@ -183,9 +191,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, words
 
     The templates are a parameter of bounded size, sent with the plan.  Null or
     empty text: no rows; null ids stay; repeated rows give their finds each.
-    A template found more than once in one window counts there once, at its
-    shortest stretch; finds in different windows are rows of their own unless
-    they overlap."""
+    A template found several times gives a row for each stretch that no other
+    find of it overlaps (of overlapping ones the fullest, then the shortest)."""
     scanner = Scanner(TEMPLATES if templates is None else templates, words, share)
     shared = docs.sparkSession.sparkContext.broadcast(scanner)
 
