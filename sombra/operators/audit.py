@@ -5,11 +5,14 @@ Identities are counted over keyed digests, never raw values (SURVEY Q18).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import MaskKey
 from ..functions.surrogates import digest, family
+from ..session import ensure_checkpoint_dir
 from .mask import MaskRules, find_pii, mask_text_struct
 
 PERSON_TYPES = ["PER", "NOME_SOLTO"]
@@ -64,22 +67,58 @@ def audit_by_type(df: DataFrame, text_col: str, rules, key: MaskKey | None = Non
                    F.countDistinct(F.col("s.value")).alias("n_distinct")))
 
 
-def moving_speed(log: DataFrame, partition: str | None, order: list[str], speed: str,
-                 window: int = 30) -> DataFrame:
-    """Mean of the last ``window`` speeds.  Partitioned so no single task
-    takes the whole log; each frame is bounded, so rows stream through."""
-    w = Window.orderBy(*order) if partition is None else Window.partitionBy(partition).orderBy(*order)
-    w = w.rowsBetween(-(window - 1), 0)
-    return log.withColumn(f"speed_{window}", F.avg(speed).over(w))
+def row_numbers(df: DataFrame, partition: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``_pos``, the place (from 0) of each row in its partition by
+    ``order``, without bringing a partition together: rows are range-sorted,
+    and the counts per (range, partition) are summed.  Ties are told apart by
+    the order in which the range sort leaves them."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sombra-order/{uuid.uuid4().hex}"
+    (df.repartitionByRange(n, *partition, *order).sortWithinPartitions(*partition, *order)
+     .withColumn("_at", F.monotonically_increasing_id()).write.parquet(path))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    rows = spark.read.parquet(path).withColumn("_range", F.shiftright("_at", 33))
+    # one row per (range, partition): a partition has at most as many as there are ranges
+    parts = rows.groupBy(*partition, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*partition).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(partition)], F.col("_range").alias("_r"),
+                         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(partition):
+        same = same & F.col(c).eqNullSafe(F.col(f"_p{i}"))
+    return (rows.join(parts, same).withColumn("_pos", F.col("_at") + F.col("_shift"))
+            .select(*df.columns, "_pos"))
 
 
 def moving_window(log: DataFrame, partition: str | None, order: list[str], value: str,
-                  window: int = 30) -> DataFrame:
-    """W1 parts: sum and count over the last ``window`` rows (mean = sum / n)."""
-    w = Window.orderBy(*order) if partition is None else Window.partitionBy(partition).orderBy(*order)
-    w = w.rowsBetween(-(window - 1), 0)
-    return log.withColumn(f"sum_{window}", F.sum(value).over(w)) \
-              .withColumn(f"n_{window}", F.count(F.lit(1)).over(w))
+                  window: int = 30, block: int = 65_536) -> DataFrame:
+    """Sum, count and mean of ``value`` over the last ``window`` rows, as
+    ``sum_<window>``, ``n_<window>`` and ``mean_<window>``.
+
+    A partition (a run, a user; None: the whole log) is cut into blocks of
+    ``block`` rows by place, and the last ``window - 1`` rows of each block are
+    sent to the next one too, so one partition spans many tasks.  A null value
+    counts as a row but adds nothing (as a plain window would have it)."""
+    keys = ["_all"] if partition is None else [partition]
+    rows = log.withColumn("_all", F.lit(0)) if partition is None else log
+    halo = window - 1
+    block = max(block, window)          # so that a halo comes from one block
+    placed = row_numbers(rows, keys, order).withColumn("_blk", F.floor(F.col("_pos") / block))
+    late = F.col("_pos") % block >= block - halo
+    both = placed.withColumn("_to", F.explode(F.when(late, F.array("_blk", F.col("_blk") + 1)).otherwise(F.array("_blk"))))
+    w = Window.partitionBy(*keys, "_to").orderBy("_pos").rowsBetween(-halo, 0)
+    out = (both.withColumn(f"sum_{window}", F.sum(value).over(w)).withColumn(f"n_{window}", F.count(F.lit(1)).over(w))
+           .withColumn(f"mean_{window}", F.avg(F.col(value).cast("double")).over(w)).where("_to = _blk"))
+    return out.drop("_pos", "_blk", "_to", "_all")
+
+
+def moving_speed(log: DataFrame, partition: str | None, order: list[str], speed: str,
+                 window: int = 30, block: int = 65_536) -> DataFrame:
+    """Mean of the last ``window`` speeds."""
+    out = moving_window(log, partition, order, speed, window, block)
+    return out.withColumnRenamed(f"mean_{window}", f"speed_{window}").drop(f"sum_{window}", f"n_{window}")
 
 
 def eta(remaining: Column, speed: Column) -> Column:

@@ -97,7 +97,7 @@ def copy_database(spark: SparkSession, src_url: str, dst_url: str, schema: str,
         elif lengths:
             out = FS.fit_lengths(out, lengths)
         start = time.time()
-        J.append(out, dst_url, f"{schema}.{t}", dst_props)
+        J.load(out, dst_url, f"{schema}.{t}", dst_props)
         dt = max(time.time() - start, 1e-3)
         done = int(J.query(spark, dst_url, f"SELECT COUNT(*) AS n FROM {schema}.{t}", dst_props).first()[0]) + n_rejected
         total = int(J.query(spark, src_url, f"SELECT COUNT(*) AS n FROM {schema}.{t}", props).first()[0])

@@ -319,9 +319,20 @@ ORDER BY table_name, column_name"""
   (SELECT COUNT(*) FROM {child} c WHERE c.{cc} IS NOT NULL
      AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pc} = c.{cc})) AS orphans""")
     out["fk_orphans"] = "\nUNION ALL\n".join(edges)
+    lacking = lambda child, keys, parent, pairs, label: (
+        f"SELECT '{child}' AS child, '{label}' AS parent, '{keys}' AS child_col, COUNT(*) AS orphans FROM {child} c "
+        f"WHERE NOT EXISTS (SELECT 1 FROM {parent} p WHERE {' AND '.join(f'p.{b} = c.{a}' for a, b in pairs)})")
+    out["fk_orphans_masked"] = " UNION ALL ".join([
+        lacking("orders", "o_custkey", "(SELECT * FROM customer WHERE c_acctbal > 0)", [("o_custkey", "c_custkey")], "solvent")
+        + " AND o_custkey IS NOT NULL",
+        lacking("documents", "doc_id", "labels", [("doc_id", "doc_id")], "labels") + " AND doc_id IS NOT NULL",
+        lacking("lineitem", "l_partkey, l_suppkey", "(SELECT * FROM lineitem WHERE l_linenumber = 1)",
+                [("l_partkey", "l_partkey"), ("l_suppkey", "l_suppkey")], "first_lines")
+        + " AND l_partkey IS NOT NULL AND l_suppkey IS NOT NULL"])
     out["run_speed_30"] = """
 SELECT event_id, user_id,
-       SUM(CAST(value AS DECIMAL(18,2))) OVER w AS sum_30, COUNT(*) OVER w AS n_30
+       SUM(CAST(value AS DECIMAL(18,2))) OVER w AS sum_30, COUNT(*) OVER w AS n_30,
+       CAST(SUM(CAST(value AS DECIMAL(18,2))) OVER w AS DOUBLE) / COUNT(*) OVER w AS mean_30
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id
                          ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"""
     return out

@@ -375,6 +375,25 @@ def fk_orphans(spark, sf_dir) -> DataFrame:
     return CAT.orphan_counts(frames, edges)
 
 
+def fk_orphans_masked(spark, sf_dir) -> DataFrame:
+    """J6 + J7 on masked keys, one of two columns: orders whose customer has no
+    account balance above zero, documents without labels, and (part, supplier)
+    pairs that no first line of an order holds.  lineitem is read once as child."""
+    mask = lambda df, cols: S.add_surrogates(df.select(*[cpf_source(F.col(c)).alias(c) for c in cols]),
+                                             {c: ("CPF", c) for c in cols}, DEMO_KEY)
+    line = table(spark, sf_dir, "lineitem")
+    frames = {"orders": mask(table(spark, sf_dir, "orders"), ["o_custkey"]),
+              "solvent": mask(table(spark, sf_dir, "customer").where("c_acctbal > 0"), ["c_custkey"]),
+              "documents": mask(table(spark, sf_dir, "documents"), ["doc_id"]),
+              "labels": mask(table(spark, sf_dir, "labels"), ["doc_id"]),
+              "lineitem": mask(line, ["l_partkey", "l_suppkey"]),
+              "first_lines": mask(line.where("l_linenumber = 1"), ["l_partkey", "l_suppkey"])}
+    pair = ["l_partkey", "l_suppkey"]
+    edges = CAT.fk_edges(spark, [("orders", "solvent", "o_custkey", "c_custkey"), ("documents", "labels", "doc_id", "doc_id"),
+                                 ("lineitem", "first_lines", pair, pair)], list(frames))
+    return CAT.orphan_counts(frames, edges)
+
+
 def quarantine_split(spark, sf_dir) -> DataFrame:
     p = table(spark, sf_dir, "part")
     accepted, rejected = FS.split_rejects(p, max_lengths={"p_name": 11, "p_type": 7},
@@ -419,11 +438,13 @@ def audit_by_type(spark, sf_dir) -> DataFrame:
 
 
 def run_speed_30(spark, sf_dir) -> DataFrame:
-    """30-row moving window per user; the mean is sum_30 / n_30, both
-    reported exactly (decimal sum) so the check does not hinge on float order."""
+    """Mean of the last 30 values per user, and its parts (an exact decimal
+    sum and the number of rows); the mean is sum / n, so it does not hinge on
+    the order of float additions.  Blocks are short, so users span several."""
     e = table(spark, sf_dir, "events").withColumn("v", F.col("value").cast("decimal(18,2)"))
-    return A.moving_window(e, partition="user_id", order=["ts", "event_id"], value="v",
-                           window=30).select("event_id", "user_id", "sum_30", "n_30")
+    out = A.moving_window(e, partition="user_id", order=["ts", "event_id"], value="v", window=30, block=256)
+    mean = F.col("sum_30").cast("double") / F.col("n_30")
+    return out.select("event_id", "user_id", "sum_30", "n_30", mean.alias("mean_30"))
 
 
 def mask_orders_cpf(spark, sf_dir) -> DataFrame:
@@ -494,6 +515,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mask_identities": mask_identities,
     "column_catalogue": column_catalogue,
     "fk_orphans": fk_orphans,
+    "fk_orphans_masked": fk_orphans_masked,
     "quarantine_split": quarantine_split,
     "fit_length": fit_length,
     "csv_roundtrip": csv_roundtrip,

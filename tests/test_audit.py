@@ -44,3 +44,26 @@ def test_sql_views(spark, key):
     register_findings(people, "people_findings", "id", "obs", MaskRules(names=False))
     f = spark.sql("SELECT id, type, value FROM people_findings").collect()
     assert [(r.id, r.type, r.value) for r in f] == [(1, "EMAIL", "a@b.com")]
+
+
+def test_moving_window_of_a_hot_user_spans_tasks(spark):
+    """Equal to the plain window, with one user holding most rows, blocks of 30
+    rows, null values and a null user."""
+    import random
+
+    from pyspark.sql import Window
+    r = random.Random(7)
+    rows = [(i, r.choice(["hot"] * 8 + ["a", "b", None]), r.choice([None, float(r.randrange(99))])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, user string, v double")
+    got = A.moving_window(df, "user", ["id"], "v", window=30, block=30)
+    w = Window.partitionBy("user").orderBy("id").rowsBetween(-29, 0)
+    want = (df.withColumn("sum_30", F.sum("v").over(w)).withColumn("n_30", F.count(F.lit(1)).over(w))
+            .withColumn("mean_30", F.avg("v").over(w)))
+    assert got.columns == want.columns
+    order = lambda d: sorted((tuple(x) for x in d.collect()), key=lambda x: x[0])
+    assert order(got) == order(want)
+    # the hot user's rows lie in many groups of the window
+    placed = A.row_numbers(df, ["user"], ["id"])
+    assert placed.where("user = 'hot'").agg(F.countDistinct(F.floor(F.col("_pos") / 30))).first()[0] > 60
+    assert placed.where("user = 'hot'").agg(F.countDistinct("_pos"), F.max("_pos") + 1).first()[0] == placed.where("user = 'hot'").count()
+    assert A.moving_window(df.limit(0), None, ["id"], "v").collect() == []
