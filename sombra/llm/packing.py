@@ -21,8 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (LOWER, TOKENIZER, id_text, map_arrow, materialise, slices, text_bytes, tokenizer_path, word_hashes,
-                     word_spans)
+from .common import LOWER, TOKENIZER, id_text, map_arrow, materialise, slices, text_bytes, tokenizer_path, word_hashes
 
 END_ID = 1
 DIMS, BITS = 4, 8
@@ -85,12 +84,45 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, bool)                       # ASCII marks but for the apostrophe
+_MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
+_MARK[39] = False
+
+
+def piece_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of the pieces of texts: what stands between ASCII white
+    space, cut between a Latin letter and an ASCII mark.  A run of letters and
+    a run of marks are never one pre-token, but for contractions, which begin
+    with an apostrophe; so the marks after a word do not make it another word."""
+    if not len(buf):
+        z = np.empty(0, np.int64)
+        return z, z, z
+    ends = _LETTER[buf]
+    ends[1:] |= (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] < 0xC0) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
+    starts = _LETTER[buf]
+    starts[:-1] |= (buf[:-1] == 0xC3) & ends[1:]
+    mark = _MARK[buf]
+    cut = np.zeros(len(buf) + 1, bool)
+    cut[off] = True
+    cut[1:-1] |= (ends[:-1] & mark[1:]) | (mark[:-1] & starts[1:])
+    solid = ~_SPACE[buf]
+    begin, stop = solid.copy(), solid.copy()
+    begin[1:] &= ~solid[:-1] | cut[1:-1]
+    stop[:-1] &= ~solid[1:] | cut[1:-1]
+    s = np.flatnonzero(begin)
+    return s, np.flatnonzero(stop) + 1, np.searchsorted(off, s, "right") - 1
+
+
 class Ids:
     """Token ids of texts by the tokenizers library.
 
     No pre-token of the vocabulary crosses white space and it ignores case, so
-    a text's ids are those of its lower-cased pieces between ASCII white space,
-    one after another.  Pieces are told apart by vectorised hashes (checked
+    a text's ids are those of its lower-cased pieces (:func:`piece_spans`), one
+    after another.  Pieces are told apart by vectorised hashes (checked
     byte by byte), the library encodes each distinct one once, and a bounded
     memo per Python worker keeps the encodings.  A text that may hold a special
     token (their case matters) goes to the library whole."""
@@ -167,7 +199,7 @@ class Ids:
         return out
 
     def _slice(self, buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-        s, e, row = word_spans(buf, off)
+        s, e, row = piece_spans(buf, off)
         lens = e - s
         low = LOWER[buf]
         _, first, inv = np.unique(word_hashes(buf, s, e), return_index=True, return_inverse=True)

@@ -151,3 +151,11 @@ def test_projection_of_many_documents():
     for at_once in (1, 400, 1 << 20):
         assert np.allclose(packing.project(found, up, at_once), want)
     assert packing.project([], up).shape == (0, packing.DIMS)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="abZ'.,é×÷&<=|#\u0338\u0301…1 ’ñÉß \tstr", max_size=30), min_size=1, max_size=5))
+def test_pieces_cut_at_marks_give_the_library_ids(library, texts):
+    ids = packing._LOADED.setdefault(PATH, None) or packing._LOADED.__setitem__(PATH, packing.Ids(PATH)) or packing._LOADED[PATH]
+    for t, got in zip(texts, ids(pa.array(texts)), strict=True):
+        assert got.tolist() == [*library.encode(t, add_special_tokens=False).ids, 1]
