@@ -35,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import (id_text, map_arrow, materialise, mix64, shingle_hashes, slices, text_bytes, word_hashes,
+from .common import (id_text, map_arrow, materialise, mix64, release, shingle_hashes, slices, text_bytes, word_hashes,
                      word_spans)
 from .graph import components
 
 SKETCH_ROWS, SKETCH_BITS, SKETCH_CHUNK = 2, 19, 1 << 14
 BLOCK = 2048          # members of an index list read together
+STAR = 4096           # members of a leader verified under one key
 FILTER_BITS = 24
 
 
@@ -144,13 +145,8 @@ def signatures(docs: DataFrame, k: int, pct: int) -> DataFrame:
     return map_arrow(docs, run, "rid long, doc_id long, n long, digest binary, head binary, common long")
 
 
-def postings(classes: DataFrame, keep: np.ndarray | None = None) -> DataFrame:
-    """(token, n, cls, pos, ...other columns) one row per first shingle; with
-    ``keep`` only shingles in that bit filter."""
-    shared = None if keep is None else classes.sparkSession.sparkContext.broadcast(keep)      # 2 MB
-    rest = [c for c in classes.columns if c not in ("cls", "n", "head")]
-    fields = ", ".join(f"{c} {classes.schema[c].dataType.simpleString()}" for c in rest)
-
+def postings(classes: DataFrame) -> DataFrame:
+    """(token, n, cls, pos, common) one row per first shingle."""
     def run(batches):
         for b in batches:
             heads = b.column("head").to_pylist()
@@ -158,14 +154,38 @@ def postings(classes: DataFrame, keep: np.ndarray | None = None) -> DataFrame:
             tok = np.frombuffer(b"".join(heads), np.int64)
             take = pa.array(np.repeat(np.arange(len(heads)), lens))
             pos = np.arange(len(tok)) - np.repeat(np.cumsum(lens) - lens, lens)
-            if shared is not None:
-                ok = np.flatnonzero(_in_filter(shared.value, tok))
-                tok, pos, take = tok[ok], pos[ok], take.take(pa.array(ok))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tok), b.column("n").take(take), b.column("cls").take(take), pa.array(pos)]
-                + [b.column(c).take(take) for c in rest], names=["token", "n", "cls", "pos", *rest])
-    return map_arrow(classes.select("cls", "n", "head", *rest), run,
-                     "token long, n long, cls long, pos long" + (", " + fields if fields else ""))
+                [pa.array(tok), b.column("n").take(take), b.column("cls").take(take), pa.array(pos), b.column("common").take(take)],
+                names=["token", "n", "cls", "pos", "common"])
+    return map_arrow(classes.select("cls", "n", "head", "common"), run, "token long, n long, cls long, pos long, common long")
+
+
+def shared_lists(posts: DataFrame) -> DataFrame:
+    """Index lists of two members or more.  Most first shingles are one class's
+    own; their rows end here, so that later steps move only what can pair."""
+    names = ["token", "n", "cls", "pos", "common"]
+
+    def run(batches):
+        held, last = None, False       # the row not yet decided, and whether it equals the one before it
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held is not None:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            t = b.column("token").to_numpy()
+            same = t[1:] == t[:-1]
+            keep = np.zeros(len(t), bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            keep[0] |= last
+            last = bool(same[-1]) if len(same) else last
+            held = b.slice(len(t) - 1, 1)
+            yield b.slice(0, len(t) - 1).filter(pa.array(keep[:-1]))
+        if held is not None and last:
+            yield held
+
+    dealt = posts.select(*names).repartition("token").sortWithinPartitions("token")
+    return map_arrow(dealt, run, ", ".join(f"{c} long" for c in names))
 
 
 def _lists(batches, names):
@@ -237,9 +257,12 @@ def shared_additions(known: DataFrame, facts: DataFrame, pct: int) -> DataFrame:
                                               pa.array(np.frombuffer(b"".join(adds), np.int64))], names=["cls", "leader", "token"])
     lists = map_arrow(known.where("add is not null").select("cls", "leader", "add"), run, "cls long, leader long, token long")
     mine = facts.select("cls", "n", "root", "ov")
-    # an addition of one member alone pairs nothing
-    several = lists.groupBy("leader", "token").agg(F.count("*").alias("df")).where("df > 1").select("leader", "token")
-    rows = lists.join(several, ["leader", "token"]).join(mine, "cls")
+    # members that are connected already pair nothing: only additions that
+    # classes of different components share are read on
+    rooted = lists.join(mine, "cls")
+    several = (rooted.groupBy("leader", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+               .where("lo <> hi").select("leader", "token"))
+    rows = rooted.join(several, ["leader", "token"])
     left = rows.select("leader", "token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("ov").alias("oa"))
     right = rows.select("leader", "token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("ov").alias("ob"))
     need = F.expr(f"({pct} * (na + nb) + 99 + {pct}) div (100 + {pct})")
@@ -249,20 +272,21 @@ def shared_additions(known: DataFrame, facts: DataFrame, pct: int) -> DataFrame:
             .where(F.col("shared") >= need - F.least("oa", "ob")).select("a", "b", "na", "nb", "leader"))
 
 
-def cross_pairs(facts: DataFrame, pct: int) -> DataFrame:
+def cross_pairs(lists: DataFrame, facts: DataFrame, pct: int) -> DataFrame:
     """(a, b, na, nb, oneleader, shared) pairs of different components that
     share first shingles and pass the size, position and leader bounds;
     ``shared`` counts the lists that hold both."""
     names = ["token", "n", "cls", "pos", "root", "leader", "ov", "delta", "side"]
     # lists whose members are all connected hold no open pair; only the others'
     # rows are moved with what is known of them
-    slim = postings(facts.select("cls", "n", "head", "root")).select("token", "root")
-    hot = slim.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    hot = (lists.select("token", "cls").join(facts.select("cls", "root"), "cls").groupBy("token")
+           .agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")))
     hot = materialise(hot.where("lo <> hi").select("token", "df"), "open-lists")
-    posts = postings(facts, _member_filter(hot.select("token")))
     parts = F.ceil(F.col("df") / BLOCK).cast("int")
     # a long list is cut into blocks by hash; each pair of blocks is one unit
-    live = posts.join(hot, "token").withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    live = (lists.select("token", "n", "cls", "pos").join(hot, "token")
+            .join(facts.select("cls", "root", "leader", "ov", "delta"), "cls"))
+    live = live.withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     live = live.select("token", "n", "cls", "pos", "root", "leader", "ov", "delta",
                        F.least("mine", "other").alias("u"), F.greatest("mine", "other").alias("v"),
@@ -321,20 +345,21 @@ def cross_pairs(facts: DataFrame, pct: int) -> DataFrame:
     return counted.where(F.col("shared") + F.greatest(rest("na"), rest("nb")) >= need)
 
 
+def _difference(x: np.ndarray, y: np.ndarray) -> tuple[int, bytes | None, bytes | None]:
+    """|x & y|, and x - y and y - x unless they are as large as the sets."""
+    both = np.intersect1d(x, y, assume_unique=True)
+    if 2 * len(both) < len(y):
+        return len(both), None, None
+    return (len(both), np.setdiff1d(x, both, assume_unique=True).tobytes(), np.setdiff1d(y, both, assume_unique=True).tobytes())
+
+
 def _verify(batches, pct):
     """Exact overlap of (set, other) binaries, with the differences."""
     for b in batches:
         ov, add, rem = [], [], []
         for x, y in zip(b.column("set").to_pylist(), b.column("other").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.intersect1d(x, y, assume_unique=True)
-            ov.append(len(both))
-            if 2 * len(both) >= len(y):
-                add.append(np.setdiff1d(x, both, assume_unique=True).tobytes())
-                rem.append(np.setdiff1d(y, both, assume_unique=True).tobytes())
-            else:          # not similar: the difference would be as large as the set
-                add.append(None)
-                rem.append(None)
+            for col, v in zip((ov, add, rem), _difference(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), strict=True):
+                col.append(v)
         keep = [c for c in b.schema.names if c not in ("set", "other")]
         yield pa.RecordBatch.from_arrays(
             [b.column(c) for c in keep] + [pa.array(ov, pa.int64()), pa.array(add, pa.binary()), pa.array(rem, pa.binary())],
@@ -400,8 +425,45 @@ def class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 [pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                  pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "set"])
     again = map_arrow(docs.select("doc_id", "text"), run, "digest binary, set binary")
-    found = again.join(wanted.select("cls", "digest"), "digest")
-    return found.groupBy("cls").agg(F.first("set").alias("set"))
+    # one shuffle: the join and the choice of one of equal sets share its key
+    found = again.join(wanted, "digest").groupBy("digest")
+    rest = [c for c in wanted.columns if c not in ("digest", "doc_id")]
+    return found.agg(F.first("set").alias("set"), *[F.first(c).alias(c) for c in rest]).drop("digest")
+
+
+def star_overlaps(docs: DataFrame, paired: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """(cls, leader, ov, add, rem) of every class and its leader (``best``).
+
+    Sets are moved once, to their leader's key: a task reads a leader's set,
+    then its members one after another.  The members of a leader with more than
+    ``STAR`` are dealt to several keys, each with a copy of the leader's set."""
+    salts = best.groupBy("leader").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
+    seat = lambda key, salt, role: F.struct(key.alias("key"), salt.alias("salt"), F.lit(role).alias("role"))
+    members = best.join(salts, "leader").select(
+        "cls", seat(F.col("leader"), F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int"), 1).alias("seat"))
+    leaders = salts.select(F.col("leader").alias("cls"), F.explode(F.transform(
+        F.sequence(F.lit(0), F.col("salts") - 1), lambda i: seat(F.col("leader"), i, 0))).alias("seat"))
+    seats = members.union(leaders).groupBy("cls").agg(F.collect_list("seat").alias("seats"))
+    sets = class_sets(docs, paired.select("cls", "doc_id", "digest").join(seats, "cls"), k)
+    dealt = (sets.select("cls", "set", F.inline("seats")).repartition("key", "salt")
+             .sortWithinPartitions("key", "salt", "role", "cls"))
+
+    def run(batches):
+        own = None
+        for b in batches:
+            out: list[list] = [[], [], [], [], []]
+            for cls, raw, key, role in zip(*(b.column(c).to_pylist() for c in ("cls", "set", "key", "role")), strict=True):
+                x = np.frombuffer(raw, np.uint64)
+                if role == 0:
+                    own = x
+                    continue
+                for col, v in zip(out, (cls, key, *_difference(x, own)), strict=True):
+                    col.append(v)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()),
+                 pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())], names=["cls", "leader", "ov", "add", "rem"])
+
+    return map_arrow(dealt, run, "cls long, leader long, ov long, add binary, rem binary")
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "doc_id",
@@ -420,10 +482,14 @@ def jaccard_components(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str =
         sigs.where("n > 0").groupBy("digest")
         .agg(F.min("rid").alias("cls"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),
              F.first("head").alias("head"), F.first("common").alias("common")), "classes")
+    rows = materialise(sigs.select("doc_id", "n", "digest"), "rows")
+    release(sigs)
+    lists = materialise(shared_lists(postings(classes)), "lists")
+    heads, classes = classes, materialise(classes.select("cls", "doc_id", "digest", "n"), "class-list")
+    release(heads)
 
     # 1. leaders
-    best = (leader_pairs(postings(classes.select("cls", "n", "head", "common")), pct)
-            .groupBy("cls", "leader").agg(F.count("*").alias("lists")))
+    best = leader_pairs(lists, pct).groupBy("cls", "leader").agg(F.count("*").alias("lists"))
     # a row for each (cls, leader) and list count; per class the leader met most,
     # null if it met none
     met = F.when(F.col("leader").isNotNull(), F.struct("lists", (-F.col("leader")).alias("l")))
@@ -431,17 +497,12 @@ def jaccard_components(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str =
     listed = materialise(best, "leaders")
     best = listed.where("leader is not null")
     # step 1 verifies the classes of a pair; step 2 reads all that share a list
-    paired = best.select("cls").union(best.select("leader")).distinct()
-    sharing = listed.select("cls").union(best.select("leader")).distinct().join(
-        paired.withColumn("paired", F.lit(True)), "cls", "left")
-    wanted = (classes.select("cls", "doc_id", "digest", "n", "head").join(sharing, "cls")
+    paired = best.select("cls").union(best.select("leader")).distinct().withColumn("paired", F.lit(True))
+    sharing = listed.select("cls").union(best.select("leader")).distinct()
+    wanted = (classes.join(sharing, "cls").join(paired, "cls", "left")
               .withColumn("paired", F.coalesce("paired", F.lit(False))))
     wanted = materialise(wanted, "sharing")
-    sets = materialise(class_sets(docs.select("doc_id", "text"), wanted.where("paired"), k), "sets")
-    stars = (best.join(sets, "cls")
-             .join(sets.select(F.col("cls").alias("leader"), F.col("set").alias("other")), "leader"))
-    known = materialise(map_arrow(stars.select("cls", "leader", "set", "other"), lambda it: _verify(it, pct),
-                                  "cls long, leader long, ov long, add binary, rem binary"), "stars")
+    known = materialise(star_overlaps(docs.select("doc_id", "text"), wanted.where("paired"), best, k), "stars")
     size = wanted.select("cls", "n")
     linked = (known.select("cls", "leader", "ov").join(size, "cls")
               .join(size.select(F.col("cls").alias("leader"), F.col("n").alias("ln")), "leader")
@@ -451,15 +512,15 @@ def jaccard_components(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str =
     roots = components(linked)
 
     # 2. open pairs
-    facts = (wanted.select("cls", "n", "head")
+    facts = (wanted.select("cls", "n")
              .join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
              .join(known.select("cls", "leader", "ov", F.col("add").isNotNull().alias("delta")), "cls", "left")
              # a class without a leader is its own: overlap with itself is its size
-             .select("cls", "n", "head", F.coalesce("root", "cls").alias("root"),
+             .select("cls", "n", F.coalesce("root", "cls").alias("root"),
                      F.coalesce("leader", "cls").alias("leader"), F.coalesce("ov", "n").alias("ov"),
                      F.coalesce("delta", F.lit(True)).alias("delta")))
     facts = materialise(facts, "facts")
-    open_pairs = materialise(cross_pairs(facts, pct).select("a", "b", "na", "nb", "leader")
+    open_pairs = materialise(cross_pairs(lists, facts, pct).select("a", "b", "na", "nb", "leader")
                              .union(shared_additions(known, facts, pct)).distinct(), "open")
 
     # 3. verification
@@ -479,12 +540,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str =
     quick = map_arrow(sided.where(usable), _incremental, "a long, b long, na long, nb long, ov long")
     slow = (sided.where(f"not ({usable})").select("a", "b", "na", "nb")
             .union(pairs.where("leader < 0").select("a", "b", "na", "nb")))
-    # sets of open pairs that step 1 had no use for
-    late = (wanted.where("not paired").select("cls", "doc_id", "digest")
-            .join(slow.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi"))
-    late = materialise(late, "late")
-    if late.limit(1).count():
-        sets = sets.union(materialise(class_sets(docs.select("doc_id", "text"), late, k), "late-sets"))
+    # the sets of the few open pairs that have no differences to go by
+    late = wanted.select("cls", "doc_id", "digest").join(
+        slow.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi")
+    sets = materialise(class_sets(docs.select("doc_id", "text"), materialise(late, "late"), k), "late-sets")
     slow = (slow.join(sets.select(F.col("cls").alias("a"), "set"), "a")
             .join(sets.select(F.col("cls").alias("b"), F.col("set").alias("other")), "b"))
     slow = map_arrow(slow.select("a", "b", "na", "nb", "set", "other"), lambda it: _verify(it, pct),
@@ -499,5 +558,5 @@ def jaccard_components(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str =
            .withColumn("root", F.coalesce("root", "cls")))
     small = cls.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     named = cls.join(small, "root").select("digest", "component_id")
-    return (sigs.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left")
+    return (rows.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))

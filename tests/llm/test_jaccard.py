@@ -119,3 +119,16 @@ def test_growing_texts_under_a_saturated_sketch(spark, monkeypatch):
         rows = growing(seed)
         df = spark.createDataFrame(rows, "doc_id long, text string")
         assert got(jaccard.jaccard_components(df)) == brute(rows, 4, 85)
+
+
+def test_lists_of_one_member_are_dropped_across_batches(spark):
+    """Rows come in Arrow batches of three; a list may span several."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = [(t, 1, 10 * t + i, 0, 0) for t, m in ((1, 1), (2, 2), (3, 1), (4, 7), (5, 3), (6, 1), (7, 2)) for i in range(m)]
+        df = spark.createDataFrame(rows, "token long, n long, cls long, pos long, common long").coalesce(1)
+        got = sorted(tuple(r) for r in jaccard.shared_lists(df).collect())
+        assert got == [r for r in rows if r[0] in (2, 4, 5, 7)]
+        assert jaccard.shared_lists(df.limit(0)).collect() == []
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
