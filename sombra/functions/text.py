@@ -6,6 +6,7 @@ level of a ``select`` or inside a higher-order-function lambda.
 
 from __future__ import annotations
 
+import html
 import html.entities
 import unicodedata
 from functools import lru_cache
@@ -14,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from .expr import let
 
 # Private-use marks.  They are stripped from (or swapped in) the input before
 # any of them is used as a sentinel, so user text can never forge one.
@@ -71,44 +73,89 @@ def remove_tags(c: Column) -> Column:
     return F.regexp_replace(c, P.TAG_PATTERN, "")
 
 
+# References as the HTML 5 rules read them, from the standard library's table:
+# numeric ones with or without ";", names up to 32 characters, of which the
+# longest known beginning counts where the whole is unknown.
+REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+ROW = "\x01"
+
+
+def _as_text(table: dict[str, str]) -> str:
+    """A lookup table as one string: one literal, however long, keeps the plan
+    small, where a map literal is hashed and compared by every optimizer rule."""
+    return ROW + "".join(f"{k}={v}{ROW}" for k, v in sorted(table.items()))
+
+
+def _look_up(table: str, name: Column) -> Column:
+    """The value of a name in such a table, null if it has none."""
+    key = F.concat(F.lit(ROW), name, F.lit("="))
+    return let(F.instr(F.lit(table), key), lambda at: F.when((at > 0) & ~name.contains("="), F.substring_index(
+        F.substr(F.lit(table), at + F.length(key), F.lit(8)), ROW, 1)))
+
+
+@lru_cache(maxsize=1)
+def _entity_names() -> tuple[str, str]:
+    """(the table as one text, pattern of the names that need no ";", longest
+    first)."""
+    bare = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    return _as_text(html.entities.html5), "^(?:" + "|".join(bare) + ")"
+
+
 @lru_cache(maxsize=1)
-def _entity_map() -> Column:
-    # Built from the standard library's HTML 4 entity table (252 names).
-    pairs = []
-    for name, cp in sorted(html.entities.name2codepoint.items()):
-        pairs += [F.lit(name), F.lit(chr(cp))]
-    return F.create_map(*pairs)
+def _code_points() -> tuple[str, list[int]]:
+    """(replacements of invalid numbers as one text, numbers that stand for
+    nothing), found by asking the standard library."""
+    moved, gone = {}, []
+    for n in [*range(0, 0xA0), *range(0xFDD0, 0xFDF0), *(p * 0x10000 + k for p in range(17) for k in (0xFFFE, 0xFFFF))]:
+        got = html.unescape(f"&#{n};")
+        if got == "":
+            gone.append(n)
+        elif got != chr(n):
+            moved[str(n)] = got
+    return _as_text(moved), gone
 
 
 def _codepoint_char(n: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    # U+FEFF would be read as a byte order mark
+    return F.when(n == 0xFEFF, F.lit("\ufeff")).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
 
 
 def html_unescape(c: Column) -> Column:
-    """M15 on the JVM: HTML 4 named entities and numeric references.
+    """M15 on the JVM: equal to ``html.unescape``.
 
-    Entities are wrapped in marks, the text is split on the open mark, and each
-    piece's entity is decoded; unknown names are kept as written.
+    References are wrapped in marks, the text is split on the open mark, and each
+    piece's reference is decoded; unknown names are kept as written.
     """
-    ent = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
-    parts = F.split(F.regexp_replace(c, ent, MARK_OPEN + "$1" + MARK_CLOSE), MARK_OPEN)
-    emap = _entity_map()
+    table, bare = _entity_names()
+    moved, gone = _code_points()
+    def number(name: Column) -> Column:
+        hexadecimal = name.rlike("^#[xX]")
+        digits = F.regexp_replace(F.regexp_extract(name, "^#[xX]?([0-9a-fA-F]+);?$", 1), "^0+(?=.)", "")
+        # more digits than any code point has: out of range
+        value = F.when(F.length(digits) > 9, F.lit(0x110000)).when(
+            hexadecimal, F.conv(digits, 16, 10).cast("bigint")).otherwise(digits.cast("bigint"))
+        # only control characters are replaced by the table
+        return let(value, lambda n: F.when(n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd"))
+                   .when(n < 0xA0, F.coalesce(_look_up(moved, n.cast("string")), F.when(n.isin(gone), F.lit("")), _codepoint_char(n)))
+                   .when(n.isin(gone), F.lit("")).otherwise(_codepoint_char(n)))
+
+    def named(name: Column) -> Column:
+        start = F.regexp_extract(name, bare, 0)
+        return F.coalesce(_look_up(table, name), F.when(start != "", F.concat(
+            _look_up(table, start), F.substr(name, F.length(start) + 1))), F.concat(F.lit("&"), name))
 
     def decode(p: Column, i: Column) -> Column:
         name = F.substring_index(p, MARK_CLOSE, 1)
         tail = F.substring_index(p, MARK_CLOSE, -1)
-        num = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)) \
-               .when(name.startswith("#"), F.substring(name, 2, 8))
-        num_i = num.cast("bigint")
-        char = F.when(num_i.isNotNull() & (num_i > 0) & (num_i <= 0x10FFFF)
-                      & ~num_i.between(0xD800, 0xDFFF), _codepoint_char(num_i)) \
-                .when(num_i.isNull(), F.element_at(emap, name))
-        return F.when(i == 0, p).otherwise(
-            F.concat(F.coalesce(char, F.concat(F.lit("&"), name, F.lit(";"))), tail))
-
-    out = F.array_join(F.transform(parts, decode), "")
+        return F.when(i == 0, p).otherwise(F.concat(F.when(name.startswith("#"), number(name)).otherwise(named(name)), tail))
+
+    def decoded(text: Column) -> Column:
+        parts = F.split(F.regexp_replace(text, REFERENCE, MARK_OPEN + "$1" + MARK_CLOSE), MARK_OPEN)
+        return F.array_join(F.transform(parts, decode), "")
     # no '&' -> nothing to do; text that already holds a mark is left as is
-    return F.when(~c.contains("&") | c.rlike(MARKS_CLASS), c).otherwise(out)
+    return F.when(~c.contains("&") | c.rlike(MARKS_CLASS), c).otherwise(decoded(c))
 
 
 def clean_value(c: Column) -> Column:
