@@ -265,6 +265,27 @@ def coord_source(k: str) -> str:
             f" || ',-' || CAST({k} % 179 AS VARCHAR) || '.' || lpad(CAST(({k} * 53) % 10000 AS VARCHAR), 4, '0')")
 
 
+def shaped_sources(k: str) -> dict[str, str]:
+    pad = lambda x, n: f"lpad(CAST(({x}) % {10 ** n} AS VARCHAR), {n}, '0')"
+    rg, tel = pad(f"{k} * 7919", 8), pad(f"{k} * 104729", 8)
+    return {
+        "RG": f"substr({rg}, 1, 2) || '.' || substr({rg}, 3, 3) || '.' || substr({rg}, 6, 3) || '-' || "
+              f"CASE WHEN {k} % 11 = 10 THEN 'x' ELSE CAST({k} % 11 AS VARCHAR) END",
+        "PHONE": f"'(' || ({k} % 89 + 11) || ') 9' || substr({tel}, 1, 4) || '-' || substr({tel}, 5, 4)",
+        "IP": " || '.' || ".join(f"({k} * {m} % 256)" for m in (3, 7, 11, 13)),
+        "CHASSI": f"'9bw zzz-377vt' || {pad(f'{k} * 31', 6)}",
+        "PLATE": f"'a' || substr('BCDEFGHJKL', CAST({k} % 10 + 1 AS INTEGER), 1) || 'c-' || {pad(f'{k} * 17', 4)}",
+        "EMAIL": f"' User' || {k} || '@Exemplo.COM '",
+    }
+
+
+def mask_shapes_sql() -> str:
+    src = shaped_sources("c_custkey")
+    inner = ", ".join(f"{x} AS src_{t}" for t, x in src.items())
+    return (f"SELECT c_custkey, {', '.join(f'src_{t}, ' + surrogate(t, f'src_{t}') + f' AS masked_{t}' for t in src)} "
+            f"FROM (SELECT c_custkey, {inner} FROM customer)")
+
+
 def mask_values_sql(tag: str) -> str:
     src = cpf_source("c_custkey")
     return (f"SELECT c_custkey, {src} AS src, {surrogate(tag, src)} AS masked FROM customer")
@@ -693,6 +714,15 @@ def oracle_queries() -> dict[str, str]:
     out["mask_orders_cpf"] = f"SELECT *, {surrogate('CPF', src)} AS cpf FROM orders"
     strings = ["nr_documento", "contato", "veiculo", "posicao", "quando", "c_mktsegment"]
     out["classify_identities"] = classify_sql({"customer": strings}, {"customer": f"({identity_sql()})"})
+    out["mask_shapes"] = mask_shapes_sql()
+    out["audit_identities"] = f"""
+WITH o AS (SELECT c_custkey AS k, {named_person('c_custkey')} AS person FROM customer WHERE c_custkey % 10 <> 0)
+SELECT 'cells_evaluated' AS metric, COUNT(*) AS value FROM o
+UNION ALL SELECT 'cells_changed', COUNT(*) FROM o
+UNION ALL SELECT 'span_substitutions', 2 * COUNT(*) FROM o
+UNION ALL SELECT 'propagated_substitutions', 0
+UNION ALL SELECT 'persons_protected', COUNT(DISTINCT upper(person)) FROM o
+UNION ALL SELECT 'documents_protected', COUNT(DISTINCT k) FROM o"""
     person = ("titular", "apelido", "relato", "local", "c_mktsegment")
     out["classify_names"] = classify_sql({"customer": list(person)}, {"customer": (
         f"(SELECT {named_person('c_custkey')} AS titular, {pick(S.FIRST_NAMES, 'c_custkey')} AS apelido, "

@@ -107,6 +107,31 @@ def _mask_values(tag: str, source: Callable[[Column], Column]):
     return q
 
 
+def shaped_sources(k: Column) -> dict[str, Column]:
+    """A value of each type's own shape per key, with the separators and case
+    that the canonical forms have to see through."""
+    pad = lambda x, n: F.lpad((x % 10 ** n).cast("string"), n, "0")
+    part = lambda t, at, n: F.substring(t, at, n)
+    rg, tel = pad(k * 7919, 8), pad(k * 104729, 8)
+    octet = lambda m: (k * m % 256).cast("string")
+    return {
+        "RG": F.concat(part(rg, 1, 2), F.lit("."), part(rg, 3, 3), F.lit("."), part(rg, 6, 3), F.lit("-"),
+                       F.when(k % 11 == 10, "x").otherwise((k % 11).cast("string"))),
+        "PHONE": F.concat(F.lit("("), (k % 89 + 11).cast("string"), F.lit(") 9"), part(tel, 1, 4), F.lit("-"), part(tel, 5, 4)),
+        "IP": F.concat_ws(".", octet(3), octet(7), octet(11), octet(13)),
+        "CHASSI": F.concat(F.lit("9bw zzz-377vt"), pad(k * 31, 6)),
+        "PLATE": F.concat(F.lit("a"), F.substr(F.lit("BCDEFGHJKL"), (k % 10 + 1).cast("int"), F.lit(1)), F.lit("c-"), pad(k * 17, 4)),
+        "EMAIL": F.concat(F.lit(" User"), k, F.lit("@Exemplo.COM ")),
+    }
+
+
+def mask_shapes(spark, sf_dir) -> DataFrame:
+    """M8-M13 on values of their own shape: source and mask of every type."""
+    src = shaped_sources(F.col("c_custkey"))
+    cols = [x for t, c in src.items() for x in (c.alias(f"src_{t}"), S.surrogate_for(t, c, DEMO_KEY).alias(f"masked_{t}"))]
+    return table(spark, sf_dir, "customer").select("c_custkey", *cols)
+
+
 def mask_person(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return c.select("c_custkey", S.surrogate_for("PER", F.col("c_name"), DEMO_KEY).alias("masked"))
@@ -432,6 +457,16 @@ def audit_email(spark, sf_dir) -> DataFrame:
     return A.audit_summary(d, "text", MaskRules.only("EMAIL"), DEMO_KEY)
 
 
+def audit_identities(spark, sf_dir) -> DataFrame:
+    """A3 + A4 with identities in them: a report per customer that names a person
+    (trusted context) and that person's CPF, and blank ones."""
+    k = F.col("c_custkey")
+    text = F.when(k % 10 == 0, F.lit("  ")).otherwise(F.concat(
+        F.lit("Corpo de "), named_person(k), F.lit(". CPF "), cpf_source(k), F.lit("; fim.")))
+    # strict: 17 letters in a row ("de Renata de Andrade") are no vehicle number
+    return A.audit_summary(table(spark, sf_dir, "customer").select(text.alias("text")), "text", MaskRules(strict=True), DEMO_KEY)
+
+
 def audit_by_type(spark, sf_dir) -> DataFrame:
     d = heavy(spark, sf_dir, "documents", "doc_id")
     return A.audit_by_type(d, "text", MaskRules(names=False), DEMO_KEY)
@@ -522,6 +557,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "direct_copy": direct_copy,
     "audit_email": audit_email,
     "audit_by_type": audit_by_type,
+    "audit_identities": audit_identities,
+    "mask_shapes": mask_shapes,
     "run_speed_30": run_speed_30,
     "table_counts": table_counts,
     "mask_orders_cpf": mask_orders_cpf,
