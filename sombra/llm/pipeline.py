@@ -1,6 +1,10 @@
 """Stage functions of the corpus pipeline (see corpus_pipeline.py).
 
-Each takes (spark, docs, sf_dir) and works on every row of ``docs``.
+Each takes (spark, docs, sf_dir) and works on every row of ``docs``: a null
+text is the empty text, empty and very long texts are documents like others,
+repeated rows are rows of their own (but one of a group of copies), null ids
+stay null, an empty table gives no rows, and further columns, whatever their
+names, are passed on.
 """
 
 from __future__ import annotations
@@ -30,9 +34,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced by kind marks; n_chars
-    follows the new text."""
-    return (pii.redact(docs, pii.train(docs))
-            .withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars"))
+    follows the new text where there is such a column."""
+    out = pii.redact(docs, pii.train(docs))
+    if "n_chars" not in docs.columns:
+        return out
+    return (out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars"))
                         .cast(docs.schema["n_chars"].dataType)))
 
 

@@ -30,3 +30,21 @@ def test_stages_take_effect(spark, tmp_path):
 def test_run_returns_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
+
+
+def test_stages_on_odd_rows_and_an_empty_table(spark, odd_docs, no_docs):
+    """Nulls, empty and long texts, repeats and clashing names in every stage."""
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd_docs, SF)
+        ids = sorted((r.doc_id is not None, r.doc_id or 0) for r in out.select("doc_id").distinct().collect())
+        if name == "packing":
+            assert [i for ok, i in ids if ok] == [1, 2, 3, 4, 5, 6, 7, 8]
+        elif name == "ngram_join":
+            # one of the copies 1 and 6; texts without words link with nothing
+            assert [i for ok, i in ids if ok] == [1, 2, 3, 4, 5, 7, 8] and out.where("doc_id is null").count() == 2
+        else:
+            assert out.columns == odd_docs.columns and (False, 0) in ids
+            assert name != "pii" or out.count() == odd_docs.count()
+        assert stage(spark, no_docs, SF).collect() == [], name
+    slim = odd_docs.select("doc_id", "text")
+    assert corpus_pipeline.STAGES[2][1](spark, slim, SF).columns == ["doc_id", "text"]
