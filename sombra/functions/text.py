@@ -137,13 +137,16 @@ def html_unescape(c: Column) -> Column:
         value = F.when(F.length(digits) > 9, F.lit(0x110000)).when(
             hexadecimal, F.conv(digits, 16, 10).cast("bigint")).otherwise(digits.cast("bigint"))
         # only control characters are replaced by the table
-        return let(value, lambda n: F.when(n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd"))
+        return let(value, lambda n: F.when(n.between(0x20, 0x7E), F.chr(n)).when(n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd"))
                    .when(n < 0xA0, F.coalesce(_look_up(moved, n.cast("string")), F.when(n.isin(gone), F.lit("")), _codepoint_char(n)))
                    .when(n.isin(gone), F.lit("")).otherwise(_codepoint_char(n)))
 
     def named(name: Column) -> Column:
         start = F.regexp_extract(name, bare, 0)
-        return F.coalesce(_look_up(table, name), F.when(start != "", F.concat(
+        usual = None                 # most references are one of these: no search through the table
+        for n in ("amp;", "lt;", "gt;", "quot;", "nbsp;"):
+            usual = (F if usual is None else usual).when(name == n, F.lit(html.entities.html5[n]))
+        return F.coalesce(usual, _look_up(table, name), F.when(start != "", F.concat(
             _look_up(table, start), F.substr(name, F.length(start) + 1))), F.concat(F.lit("&"), name))
 
     def decode(p: Column, i: Column) -> Column:
@@ -158,6 +161,13 @@ def html_unescape(c: Column) -> Column:
     return F.when(~c.contains("&") | c.rlike(MARKS_CLASS), c).otherwise(decoded(c))
 
 
+def html_escape(c: Column) -> Column:
+    """SURVEY 2.9: text made safe to show as markup, quotes included."""
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(char), F.lit(name))
+    return c
+
+
 def clean_value(c: Column) -> Column:
     """M2: tags removed, entities decoded, stripped."""
     return py_strip(html_unescape(remove_tags(c)))

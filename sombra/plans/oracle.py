@@ -315,6 +315,10 @@ FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"""
     out["stitch_pages"] = """
 SELECT conv_id, string_agg(text || chr(10) || chr(10), '' ORDER BY turn) AS text
 FROM conversations WHERE text IS NOT NULL AND text <> '' GROUP BY conv_id"""
+    shown = "html"
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        shown = f"replace({shown}, {q(char)}, {q(name)})"
+    out["escape_pages"] = f"SELECT page_id, {shown} AS shown, html FROM pages"
     out["latin1_text"] = "SELECT doc_id, regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?', 'g') AS text FROM documents"
     out["fit_length"] = "SELECT * REPLACE (left(p_name, 10) AS p_name, left(p_type, 6) AS p_type) FROM part"
     out["quarantine_split"] = """

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import surrogates as S
 from ..functions.hashing import MaskKey
-from ..functions.text import normalize
+from ..functions.text import html_escape, html_unescape, normalize
 from ..operators import audit as A
 from ..operators import classify as C
 from ..operators import fragments as FR
@@ -276,6 +276,12 @@ def stitch_pages(spark, sf_dir) -> DataFrame:
              .select(F.col("conv_id"), F.col("text"))
 
 
+def escape_pages(spark, sf_dir) -> DataFrame:
+    """2.9, M15: every page escaped for display, and decoded again from that."""
+    shown = html_escape(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", shown.alias("shown"), html_unescape(shown).alias("html"))
+
+
 def latin1_text(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", FS.latin1(F.col("text")).alias("text"))
@@ -540,6 +546,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fragment_text": fragment_text,
     "mask_long_documents": mask_long_documents,
     "stitch_pages": stitch_pages,
+    "escape_pages": escape_pages,
     "latin1_text": latin1_text,
     "classify_columns": classify_columns,
     "mask_customer": mask_customer,

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sombra.functions.text import html_unescape
+from sombra.functions.text import html_escape, html_unescape
 
 PIECES = ["&", "#", "x", "X", "1", "9", "f", ";", " ", "amp", "lt", "notin", "not", "copy", "AMP", "&#", "&#x", "0", "80",
           "\n", "é", "a", "Afr;", "&nbsp", "&NotEqualTilde;", "&#128;", "&#xD800;", "&#0;", "&#x1F600;", "&#99999999999;",
@@ -34,3 +34,9 @@ def test_numbers(spark):
 @given(st.lists(st.lists(st.sampled_from(PIECES), max_size=10).map("".join), min_size=200, max_size=400))
 def test_mixed_texts(spark, texts):
     same(spark, texts)
+
+
+def test_escape(spark):
+    texts = ["", "a < b & \"c\" > 'd'", "&amp;", "é", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", html_escape(F.col("t")).alias("u"))
+    assert all(r.u == (None if r.t is None else html.escape(r.t)) for r in df.collect())
