@@ -119,12 +119,12 @@ IGNORE_NAME_PARTS = [
 # classifier tag -> column policy
 TAG_TO_POLICY = {"PLATE": "PLACA", "DATE_TIME": "IGNORAR"}
 
-# Markup shield (P12) and the adjudication floor.
+# Markup shield (P12) and the adjudication floor.
 TAG_PATTERN = r"<[^>]+>"
 MIN_NAME_CHARS = 3
 MIN_NAME_WORDS = 2
 
-# Coordinate jitter (M5): numbers with at least this many decimals move by at
+# Coordinate jitter (M5).  Numbers with at least this many decimals move by at
 # most this many degrees.  The reference needs 4 decimals to jitter; we use 3
 # so every detected coordinate changes.
 JITTER_NUMBER = r"-?\d{1,3}[.,]\d{3,}"
