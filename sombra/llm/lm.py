@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,15 @@ from .common import id_text, map_arrow, materialise
 VOCAB = 1 << 17
 SLOT_BITS = 18
 CHUNK = 1 << 12
-ROWS = 500               # texts handled together in a task
+ROWS = 500               # texts cut into words together in a task
+GATHER = 2_000_000       # words (or one text) scored together
+LANES = 256              # texts of like length read side by side
+SOME = 4_000             # symbols whose bits are looked up at once: they stay in the cache
 RATE = 0.06
 BLOCK = 16               # symbols of a text read between two weight updates
-ROUNDS = 4               # passes over the training texts for the starting weights
-SCALE = 1 << 24          # gradients are summed as whole numbers, in any order
+ROUNDS = 4               # Newton steps for the starting weights
+LEVELS, SIDE = 32, 15    # inputs are put in 2 * SIDE + 1 levels to fit their weights, finer towards 0
+NEAR = (16.0, 2.0, 2.0)  # how much finer; a Huffman code leaves the node alone little to say
 GATES = 8                # bit depths with weights of their own; deeper bits share the last
 INPUTS = 3
 LN10 = float(np.log(10.0))
@@ -85,6 +90,10 @@ class Code:
         self.nodes = np.array(nodes, np.int32)
         self.bits = np.array(bits, np.uint8)
         self.off = np.array(off, np.int64)
+        self.lens = np.diff(self.off)
+        self.sign = np.float32(1) - 2 * self.bits.astype(np.float32)          # -1 for a one
+        depth = np.arange(len(nodes)) - np.repeat(self.off[:-1], self.lens)
+        self.gate = np.minimum(depth, GATES - 1).astype(np.uint8)
         self.ending = np.array([int.from_bytes(w[-2:], "little") + (len(w) == 0) * 65536 for w in words] + [65537], np.int64)
         self.index = {w: i for i, w in enumerate(words)}
         # lengths of a complete code of bytes and a stop, for unseen words
@@ -112,10 +121,20 @@ class Stream:
     """Symbols and contexts of a batch of texts (lists of lower-cased words)."""
 
     def __init__(self, code: Code, texts: list[list[bytes]]):
-        get = code.index.get
-        flat = [w for t in texts for w in (*t, b"")]
-        ids = np.fromiter((get(w, code.escape) for w in flat), np.int64, len(flat))
-        lens = np.array([len(t) + 1 for t in texts], np.int64)
+        flat = list(chain.from_iterable(chain.from_iterable(zip(texts, repeat((b"",))))))
+        ids = np.fromiter(map(code.index.get, flat, repeat(code.escape)), np.int64, len(flat))
+        self.place(code, ids, np.array([len(t) + 1 for t in texts], np.int64))
+        out = np.flatnonzero(ids == code.escape)
+        self.unknown, self.unknown_doc = [flat[i] for i in out.tolist()], self.doc[out]
+
+    @classmethod
+    def of(cls, code: Code, ids: np.ndarray, lens: np.ndarray) -> "Stream":
+        """Texts given by the vocabulary numbers of their words and their end."""
+        out = cls.__new__(cls)
+        out.place(code, ids, lens)
+        return out
+
+    def place(self, code: Code, ids: np.ndarray, lens: np.ndarray) -> None:
         ends = np.cumsum(lens)
         first = ends - lens
         prev = np.concatenate([[0], ids[:-1]])
@@ -127,27 +146,34 @@ class Stream:
         with np.errstate(over="ignore"):
             self.x1 = prev.astype(np.uint64) * _A
             self.x2 = (t1 * 131072 + t2 + 7).astype(np.uint64) * _A
-        self.ids, self.n_docs = ids, len(texts)
-        self.doc = np.repeat(np.arange(len(texts)), lens)
+        self.ids, self.n_docs = ids, len(lens)
+        self.doc = np.repeat(np.arange(len(lens)), lens)
         self.off = np.concatenate([[0], ends])
-        out = np.flatnonzero(ids == code.escape)
-        self.unknown, self.unknown_doc = [flat[i] for i in out.tolist()], self.doc[out]
 
-    def bits(self, code: Code, at: np.ndarray):
-        """(node, bit, gate, ctx1, ctx2, owner) of the bits of symbols ``at``;
-        owner indexes ``at``."""
+    def paths(self, code: Code, at: np.ndarray):
+        """Places in the code's paths of the bits of symbols ``at``, and the
+        number of bits of each."""
         s = self.ids[at]
-        lo = code.off[s]
-        n = code.off[s + 1] - lo
-        owner = np.repeat(np.arange(len(at)), n)
-        depth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        pos = np.repeat(lo, n) + depth
-        return (code.nodes[pos], code.bits[pos], np.minimum(depth, GATES - 1), self.x1[at][owner], self.x2[at][owner], owner)
+        n = code.lens[s]
+        ends = np.cumsum(n)
+        pos = np.repeat(code.off[s] - ends + n, n)
+        pos += np.arange(len(pos))
+        return pos, n
+
+    def cells(self, code: Code, at: np.ndarray, pos: np.ndarray, n: np.ndarray):
+        """Node and the two contexts' slots of the bits of :meth:`paths`."""
+        node = code.nodes[pos]
+        return node, slots(np.repeat(self.x1[at], n), node), slots(np.repeat(self.x2[at], n), node)
 
 
 def slots(ctx: np.ndarray, node: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (((ctx ^ (node.astype(np.uint64) + np.uint64(1))) * _B) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        h = node.astype(np.uint64)
+        h += np.uint64(1)
+        h ^= ctx
+        h *= _B
+    h >>= np.uint64(64 - SLOT_BITS)
+    return h.view(np.int64)
 
 
 def split(raw: bytes) -> list[bytes]:
@@ -223,25 +249,36 @@ def count_bits(code: Code, texts: list[list[bytes]], table: np.ndarray) -> None:
     """Add the bits of texts to a flat (context cell, bit) count table."""
     for lo, hi in groups(texts):
         st = Stream(code, texts[lo:hi])
-        for at in range(0, len(st.ids), 50_000):
-            node, bit, _, c1, c2, _ = st.bits(code, np.arange(at, min(at + 50_000, len(st.ids))))
-            size = 1 << SLOT_BITS
-            for base, cell, cells in ((0, node.astype(np.int64), code.n_nodes),
-                                      (code.n_nodes, slots(c1, node), size), (code.n_nodes + size, slots(c2, node), size)):
-                got = np.bincount(2 * cell + bit, minlength=2 * cells)
-                table[2 * base:2 * (base + cells)] += got.astype(table.dtype)
-
-
-def bit_counts(train: DataFrame, shared) -> np.ndarray:
-    """The count table over all training texts: one table per task, then sums
-    per chunk of the table; its size does not depend on the input."""
+        size = 1 << SLOT_BITS
+        # of the node alone only how often each symbol comes matters
+        often = np.bincount(st.ids, minlength=code.v + 1)
+        there = np.flatnonzero(often)
+        pos = np.repeat(code.off[there] - (np.cumsum(code.lens[there]) - code.lens[there]), code.lens[there])
+        pos += np.arange(len(pos))
+        got = np.bincount(2 * code.nodes[pos].astype(np.int64) + code.bits[pos], np.repeat(often[there], code.lens[there]), 2 * code.n_nodes)
+        table[:2 * code.n_nodes] += got.astype(table.dtype)
+        keys = [[], []]
+        for i in range(0, len(st.ids), SOME):
+            at = np.arange(i, min(i + SOME, len(st.ids)))
+            pos, n = st.paths(code, at)
+            bit = code.bits[pos]
+            for key, cell in zip(keys, st.cells(code, at, pos, n)[1:], strict=True):
+                key.append((2 * cell + bit).astype(np.int32))
+        for key, base in zip(keys, (code.n_nodes, code.n_nodes + size), strict=True):
+            got = np.bincount(np.concatenate(key), minlength=2 * size)
+            table[2 * base:2 * (base + size)] += got.astype(table.dtype)
+
+
+def summed(train: DataFrame, size: int, add, begin, kind=np.uint32) -> np.ndarray:
+    """Whole-number tables of ``size`` cells over all training texts, added up:
+    ``add(begin(), texts, table)`` adds texts to a task's table, then its
+    chunks are summed; what moves does not depend on the input's size."""
     def local(batches):
-        code = shared.value
-        table = np.zeros(table_size(code), np.uint32)
+        state, table = begin(), np.zeros(size, kind)
         for b in batches:
             raw = b.column("text").cast(pa.binary())
             for lo in range(0, len(raw), ROWS):
-                count_bits(code, [split(t) for t in raw[lo:lo + ROWS].to_pylist()], table)
+                add(state, [split(t) for t in raw[lo:lo + ROWS].to_pylist()], table)
         flat = table.reshape(-1, CHUNK)
         keep = np.flatnonzero(flat.any(1))
         if len(keep):
@@ -252,20 +289,24 @@ def bit_counts(train: DataFrame, shared) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for c, x in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                sums[c] = sums.get(c, 0) + np.frombuffer(x, np.uint32).astype(np.float64)
+                sums[c] = sums.get(c, 0) + np.frombuffer(x, kind).astype(np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums)), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())],
-                names=["chunk", "counts"])
+                [pa.array(list(sums)), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
 
     parts = map_arrow(train.select("text"), local, "chunk long, counts binary")
-    rows = map_arrow(parts.repartition("chunk"), total, "chunk long, counts binary").collect()
-    table = np.zeros((table_size(shared.value) // CHUNK, CHUNK), np.float32)
-    for r in rows:
-        table[r["chunk"]] = np.frombuffer(r["counts"], np.float32)
+    table = np.zeros((size // CHUNK, CHUNK), np.int64)
+    for r in map_arrow(parts.repartition("chunk"), total, "chunk long, counts binary").collect():
+        table[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
     return table.ravel()
 
 
+def bit_counts(train: DataFrame, shared) -> np.ndarray:
+    """The count table over all training texts; its size does not depend on the
+    input."""
+    return summed(train, table_size(shared.value), count_bits, lambda: shared.value).astype(np.float32)
+
+
 def inputs(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Logistic prediction of a counter, drawn to 0 while it has seen little."""
     n = n0 + n1
@@ -284,129 +325,172 @@ class Mixer:
         self.grid = np.linspace(-8, 8, 33).astype(np.float32)
         self.final = np.repeat(self.grid[None], GATES, 0)
 
-    def look_up(self, node, c1, c2):
-        return [self.x0[node], self.xs[0][slots(c1, node)], self.xs[1][slots(c2, node)]]
+        self.lines()
 
-    def refine(self, st, gate):
-        """Average of the mixed prediction and the learned map of it."""
-        pos = np.clip(st, np.float32(-7.999), np.float32(7.999)) * np.float32(2) + np.float32(16)
-        i = pos.astype(np.int32)
-        f = pos - i.astype(np.float32)
-        flat = self.final.ravel()
-        at = gate * 33 + i
-        left = flat[at]
-        return np.float32(0.5) * (st + left + (flat[at + 1] - left) * f)
+    def lines(self) -> None:
+        """Half of the final map as a line per grid interval: at + by * place."""
+        by = np.diff(self.final, axis=1, append=self.final[:, -1:])
+        self.by = (by / 2).astype(np.float32).ravel()
+        self.at = ((self.final - by * np.arange(33, dtype=np.float32)) / 2).astype(np.float32).ravel()
 
     def score(self, code: Code, stream: Stream, rate: float = RATE) -> np.ndarray:
         """Cost (natural log units) of each text's bits; weights adapt per
         text and start afresh for the next."""
+        # the longest first, so that texts not yet read to the end stay in front
+        order = np.argsort(np.diff(stream.off)[:stream.n_docs] * -1, kind="stable")
+        left, stop = stream.off[:-1][order], stream.off[1:][order]
         cost = np.zeros(stream.n_docs)
-        w = np.repeat(self.weights[None], stream.n_docs, 0)
+        w = [np.repeat(self.weights[None, :, k], stream.n_docs, 0) for k in range(INPUTS)]
         corr = np.zeros((stream.n_docs, GATES), np.float32)
-        left, stop = stream.off[:-1].copy(), stream.off[1:]
-        one = np.float32(1)
+        one, two, half = np.float32(1), np.float32(2), np.float32(0.5)
+        edge, far, mid = np.float32(7.999), np.float32(30), np.float32(16)
         while True:
-            live = np.flatnonzero(left < stop)
-            if not len(live):
-                return cost
+            m = int(np.count_nonzero(left < stop))
+            if not m:
+                out = np.empty(stream.n_docs)
+                out[order] = cost
+                return out
             # all texts advance together, each from its own last update
-            n = np.minimum(stop[live] - left[live], BLOCK)
-            at = np.repeat(left[live] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            left[live] += n
-            node, bit, gate, c1, c2, owner = stream.bits(code, at)
-            x = self.look_up(node, c1, c2)
-            lane = np.repeat(np.arange(len(live)), n)[owner]
-            lg, size = lane * GATES + gate, len(live) * GATES
-            flat = w[live].reshape(-1, INPUTS)[lg]
-            st = flat[:, 0] * x[0] + flat[:, 1] * x[1] + flat[:, 2] * x[2]
-            sign = one - 2 * bit.astype(np.float32)          # -1 for a one
-            e = np.exp(np.clip((self.refine(st, gate) + corr[live].ravel()[lg]) * sign, -30, 30))   # cost = log(1 + e)
-            cost[live] += np.bincount(lane, np.log(one + e), minlength=len(live))
-            err = -sign * (e / (one + e))                     # bit - prediction
+            n = np.minimum(stop[:m] - left[:m], BLOCK)
+            first = np.cumsum(n) - n
+            at = np.repeat(left[:m] - first, n) + np.arange(n.sum())
+            left[:m] += n
+            pos, width = stream.paths(code, at)
+            if not len(pos):            # a code of one symbol has no bits
+                continue
+            node, s1, s2 = stream.cells(code, at, pos, width)
+            x = self.x0[node], self.xs[0][s1], self.xs[1][s2]
+            sign, gate = code.sign[pos], code.gate[pos].astype(np.int64)
+            bits = np.add.reduceat(width, first)
+            lg, size = np.repeat(np.arange(0, m * GATES, GATES), bits) + gate, m * GATES
+            z = w[0][:m].ravel()[lg] * x[0]
+            for k in range(1, INPUTS):
+                z += w[k][:m].ravel()[lg] * x[k]
+            # average of the mixed prediction and the learned map of it
+            place = np.minimum(np.maximum(z, -edge), edge) * two + mid
+            gate *= 33
+            gate += place.astype(np.int32)
+            place *= self.by[gate]
+            place += self.at[gate]
+            z *= half
+            z += place
+            z += corr[:m].ravel()[lg]
+            z *= sign
+            e = np.exp(np.minimum(np.maximum(z, -far), far, out=z), out=z)
+            odds = e + one
+            err = e / odds
+            err *= sign
+            np.negative(err, out=err)                         # bit - prediction
+            cost[:m] += np.add.reduceat(np.log(odds, out=odds), np.cumsum(bits) - bits, dtype=np.float64)  # log(1 + e)
             seen = rate / np.sqrt(np.bincount(lg, minlength=size) + 1.0)
             for k in range(INPUTS):
-                w[live, :, k] += (seen * np.bincount(lg, err * x[k], minlength=size)).astype(np.float32).reshape(-1, GATES)
-            corr[live] += (seen * np.bincount(lg, err, minlength=size)).astype(np.float32).reshape(-1, GATES)
+                w[k][:m] += (seen * np.bincount(lg, err * x[k], minlength=size)).astype(np.float32).reshape(-1, GATES)
+            corr[:m] += (seen * np.bincount(lg, err, minlength=size)).astype(np.float32).reshape(-1, GATES)
+
+
+def costs(mixer: Mixer, code: Code, ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """:meth:`Mixer.score` of many texts, those of like length together, so
+    that few wait for a long one."""
+    out, off = np.empty(len(lens)), np.cumsum(lens) - lens
+    order = np.argsort(lens, kind="stable")
+    for lo in range(0, len(order), LANES):
+        some = order[lo:lo + LANES]
+        n = lens[some]
+        at = np.repeat(off[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out[some] = mixer.score(code, Stream.of(code, ids[at], n))
+    return out
 
 
 class Fitter:
-    """Sums over texts from which a mixer's starting weights and final map are
-    fitted, each bit counted out of its own counters first."""
+    """Counts of training bits by gate, value and the levels of the three
+    inputs, from which a mixer's starting weights and final map are fitted.
+    Each bit is counted out of its own counters first; a level stands for the
+    mean input of its bits.  A table of fixed size holds all bits, so the texts
+    are read once for all steps."""
+
+    SIZE = -(-2 * GATES * LEVELS ** INPUTS // CHUNK) * CHUNK
 
     def __init__(self, code: Code, table: np.ndarray):
         size = 1 << SLOT_BITS
-        self.cells = table[:2 * (code.n_nodes + 2 * size)].reshape(-1, 2)
-        self.code, self.size = code, size
-        self.grads = np.zeros((INPUTS, GATES), np.int64)
-        self.curv = np.zeros((INPUTS, INPUTS, GATES), np.int64)
-        self.seen = np.zeros((GATES, 33, 2), np.int64)
-
-    def left_out(self, node, bit, c1, c2):
-        out = []
-        for cell in (node.astype(np.int64), self.code.n_nodes + slots(c1, node), self.code.n_nodes + self.size + slots(c2, node)):
-            n = self.cells[cell].copy()
-            n[np.arange(len(bit)), bit] = np.maximum(n[np.arange(len(bit)), bit] - 1, 0)
-            out.append(inputs(n[:, 0], n[:, 1]).astype(np.float64))
-        return out
-
-    def add(self, weights: np.ndarray, texts: list[list[bytes]]) -> None:
-        """Gradient, curvature and (prediction, bit) counts of plain logistic
-        regression at ``weights``."""
-        def total(gate, v):
-            return np.bincount(gate, np.rint(v * SCALE), minlength=GATES).astype(np.int64)
-        st = Stream(self.code, texts)
-        for at in range(0, len(st.ids), 20_000):
-            node, bit, gate, c1, c2, _ = st.bits(self.code, np.arange(at, min(at + 20_000, len(st.ids))))
-            x = self.left_out(node, bit, c1, c2)
-            w = weights.astype(np.float64)
-            z = sum(w[gate, k] * x[k] for k in range(INPUTS))
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            var = p * (1 - p) + 1e-6
-            for k in range(INPUTS):
-                self.grads[k] += total(gate, x[k] * (bit - p))
-                for m in range(k + 1):
-                    self.curv[k, m] += total(gate, x[k] * x[m] * var)
-            i = np.rint((np.clip(z, -8, 8) + 8) * 2).astype(np.int64)
-            self.seen += np.bincount((gate * 33 + i) * 2 + bit, minlength=GATES * 66).reshape(GATES, 33, 2)
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.grads.ravel(), self.curv.ravel(), self.seen.ravel()])
+        self.code, self.levels = code, []
+        self.means = np.zeros((INPUTS, LEVELS))
+        cells = table[:2 * (code.n_nodes + 2 * size)].reshape(-1, 2)
+        kinds = np.uint8, np.uint16, np.int32           # the least that hold a level's share of a key
+        for k, part in enumerate(np.split(cells, [code.n_nodes, code.n_nodes + size])):
+            x = np.empty(part.shape, np.float32)        # of a cell whose own bit is left out
+            for bit in (0, 1):
+                n = [part[:, 0], part[:, 1]]
+                n[bit] = np.maximum(n[bit] - 1, 0)
+                x[:, bit] = inputs(*n)
+            far = np.arcsinh(12 * NEAR[k])
+            level = (np.clip(np.rint(np.arcsinh(x * NEAR[k]) * (SIDE / far)), -SIDE, SIDE) + SIDE).astype(np.int64).ravel()
+            n = part.ravel().astype(np.float64)
+            self.means[k] = np.bincount(level, n * x.ravel(), LEVELS) / np.maximum(np.bincount(level, n, LEVELS), 1)
+            place = INPUTS - 1 - k
+            self.levels.append((level * (2 * LEVELS ** place)).astype(kinds[place]))
+
+    def add(self, texts: list[list[bytes]], table: np.ndarray) -> None:
+        code = self.code
+        for lo, hi in groups(texts):
+            st = Stream(code, texts[lo:hi])
+            found = []
+            for i in range(0, len(st.ids), SOME):
+                at = np.arange(i, min(i + SOME, len(st.ids)))
+                pos, n = st.paths(code, at)
+                bit = code.bits[pos]
+                key = code.gate[pos] * np.int32(2 * LEVELS ** INPUTS) + bit
+                for level, cell in zip(self.levels, st.cells(code, at, pos, n), strict=True):
+                    key += level[2 * cell + bit]
+                found.append(key)
+            got = np.bincount(np.concatenate(found), minlength=len(table))
+            table += got.astype(table.dtype)
+
+
+def bit_histogram(train: DataFrame, shared, table) -> np.ndarray:
+    """A :class:`Fitter`'s counts over all training texts."""
+    return summed(train, Fitter.SIZE, Fitter.add, lambda: Fitter(shared.value, table.value), np.int64)
+
+
+def sums_at(histogram: np.ndarray, means: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradient, curvature and (prediction, bit) counts of plain logistic
+    regression at ``weights`` over a :class:`Fitter`'s counts and means."""
+    key = np.flatnonzero(histogram)
+    n = histogram[key].astype(np.float64)
+    bit, rest = key % 2, key // 2
+    x = []
+    for mean in means[::-1]:
+        x.append(mean[rest % LEVELS])
+        rest = rest // LEVELS
+    x, gate = np.array(x[::-1]), rest
+    z = (weights.astype(np.float64)[gate].T * x).sum(0)
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    var = n * (p * (1 - p) + 1e-6)
+    total = lambda v: np.bincount(gate, v, minlength=GATES)
+    grads = np.array([total(n * x[k] * (bit - p)) for k in range(INPUTS)]).T
+    curv = np.array([[total(x[k] * x[m] * var) for m in range(INPUTS)] for k in range(INPUTS)]).transpose(2, 0, 1)
+    i = np.rint((np.clip(z, -8, 8) + 8) * 2).astype(np.int64)
+    seen = np.bincount((gate * 33 + i) * 2 + bit, n, minlength=GATES * 66).reshape(GATES, 33, 2)
+    return grads, curv, seen
 
 
 def fit_sums(train: DataFrame, shared, table, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(grads, curv, seen) of a Fitter over all training texts; what is
-    collected is a row per number, whatever the input."""
-    def run(batches):
-        fitter = Fitter(shared.value, table.value)
-        for b in batches:
-            raw = b.column("text").cast(pa.binary())
-            for lo in range(0, len(raw), ROWS):
-                texts = [split(t) for t in raw[lo:lo + ROWS].to_pylist()]
-                for i, j in groups(texts):
-                    fitter.add(weights, texts[i:j])
-        sums = fitter.flat()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["i", "v"])
-
-    sums = np.zeros(GATES * (INPUTS + INPUTS * INPUTS + 66), np.int64)
-    for r in map_arrow(train.select("text"), run, "i long, v long").groupBy("i").agg(F.sum("v").alias("v")).collect():
-        sums[r["i"]] = r["v"]
-    grads, curv, seen = np.split(sums, np.cumsum([GATES * INPUTS, GATES * INPUTS * INPUTS]))
-    lower = curv.reshape(INPUTS, INPUTS, GATES).transpose(2, 0, 1) / SCALE
-    return (grads.reshape(INPUTS, GATES).T / SCALE, lower + np.tril(lower, -1).transpose(0, 2, 1),
-            seen.reshape(GATES, 33, 2))
+    """:func:`sums_at` over all training texts."""
+    return sums_at(bit_histogram(train, shared, table), Fitter(shared.value, table.value).means, weights)
 
 
 def fit(train: DataFrame, shared, table: np.ndarray, mixer: Mixer) -> None:
     """Starting weights by Newton steps and the final map, over all training
-    texts."""
+    texts, which are read once."""
     cells = train.sparkSession.sparkContext.broadcast(table)      # of fixed size, as in the mixer
+    histogram, means = bit_histogram(train, shared, cells), Fitter(shared.value, table).means
     for _ in range(ROUNDS):
-        grads, curv, seen = fit_sums(train, shared, cells, mixer.weights)
+        grads, curv, seen = sums_at(histogram, means, mixer.weights)
         step = [np.linalg.solve(c + np.eye(INPUTS) * 1e-2, g) for c, g in zip(curv, grads, strict=True)]
         mixer.weights = (mixer.weights + np.array(step).clip(-1, 1)).astype(np.float32)
     n0, n1 = seen[..., 0], seen[..., 1]
     prior = 1 / (1 + np.exp(-mixer.grid))[None]
     mixer.final = np.log((n1 + 20 * prior) / (n0 + 20 * (1 - prior))).astype(np.float32)
+    mixer.lines()
 
 
 # ---------------------------------------------------------------------------
@@ -441,24 +525,36 @@ def score_texts(docs: DataFrame, vocab: int = VOCAB, id_col: str = "doc_id", tex
         code, (mixer, logs) = shared.value, model.value
         logs = np.append(logs, 0.0)      # the escape's own share is joined later
         has_end = n > 0
+        held, words = [], 0
+
+        def finish():
+            done = [np.concatenate(x) for x in zip(*(h[1:5] for h in held), strict=True)]
+            ids, lens, base, known = done
+            rows = pa.concat_batches([h[0] for h in held])
+            cost = costs(mixer, code, ids.astype(np.int64), lens)
+            return pa.RecordBatch.from_arrays(
+                [*rows.columns, pa.array(lens), pa.array(known), pa.array(base), pa.array(-cost / LN10),
+                 pa.concat_arrays([h[5] for h in held])],
+                names=["doc_id", "held_out", "bytes", "n_tokens", "known", "logs", "words", "rare"])
+
         for b in (x.slice(lo, ROWS) for x in batches for lo in range(0, x.num_rows, ROWS)):
             texts = [split(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            cost, base, known, tail = [], [], [], []
             for lo, hi in groups(texts):
                 st = Stream(code, texts[lo:hi])
-                cost.append(mixer.score(code, st))
-                base.append(np.bincount(st.doc, logs[st.ids], minlength=hi - lo))
                 k = (st.ids < code.v).astype(float) if has_end else np.zeros(len(st.ids))
-                known.append(np.bincount(st.doc, k, minlength=hi - lo).astype(np.int64))
-                words = [{} for _ in range(hi - lo)]
+                found = [{} for _ in range(hi - lo)]
                 for d, w, c in zip(st.unknown_doc.tolist(), st.unknown, code.spelt(st.unknown).tolist(), strict=True):
-                    words[d][w] = (words[d].get(w, (0,))[0] + 1, c)
-                tail += [[{"word": w, "tf": tf, "bits": c} for w, (tf, c) in x.items()] for x in words]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), b.column("bytes"),
-                 pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array(np.concatenate(known)),
-                 pa.array(np.concatenate(base)), pa.array(-np.concatenate(cost) / LN10), pa.array(tail, rare)],
-                names=["doc_id", "held_out", "bytes", "n_tokens", "known", "logs", "words", "rare"])
+                    found[d][w] = (found[d].get(w, (0,))[0] + 1, c)
+                held.append((b.select(["doc_id", "held_out", "bytes"]).slice(lo, hi - lo), st.ids.astype(np.int32), np.diff(st.off),
+                             np.bincount(st.doc, logs[st.ids], minlength=hi - lo),
+                             np.bincount(st.doc, k, minlength=hi - lo).astype(np.int64),
+                             pa.array([[{"word": w, "tf": tf, "bits": c} for w, (tf, c) in x.items()] for x in found], rare)))
+                words += len(st.ids)
+                if words >= GATHER:
+                    yield finish()
+                    held, words = [], 0
+        if held:
+            yield finish()
 
     scored = map_arrow(docs.select("doc_id", "text", held_out().alias("held_out"), F.octet_length("text").cast("long").alias("bytes")),
                        run, "doc_id long, held_out boolean, bytes long, n_tokens long, known long, logs double, "

@@ -220,6 +220,45 @@ def test_starting_weights_read_all_training_rows(spark):
     assert np.allclose(curv, curv.transpose(0, 2, 1)) and np.isfinite(grads).all()
 
 
+def test_starting_weights_take_one_pass_and_fit_as_all_passes_would(spark, monkeypatch):
+    texts = lm_texts(300)
+    code, table = lm_mixer(texts)
+    df = spark.createDataFrame([(b" ".join(t).decode(),) for t in texts], "text string").repartition(5)
+    passes, whole = [], lm.bit_histogram
+    monkeypatch.setattr(lm, "bit_histogram", lambda *a: passes.append(1) or whole(*a))
+    mixer = lm.Mixer(code, table)
+    lm.fit(df, spark.sparkContext.broadcast(code), table, mixer)
+    assert len(passes) == 1
+
+    # the inputs themselves, not their levels, by Newton steps over every bit
+    st = lm.Stream(code, texts)
+    at = np.arange(len(st.ids))
+    pos, n = st.paths(code, at)
+    bit, gate = code.bits[pos].astype(int), code.gate[pos]
+    node, s1, s2 = st.cells(code, at, pos, n)
+    size = 1 << lm.SLOT_BITS
+    cells = table[:2 * (code.n_nodes + 2 * size)].reshape(-1, 2)
+    x = []
+    for cell in (node, code.n_nodes + s1, code.n_nodes + size + s2):
+        c = cells[cell].copy()
+        c[np.arange(len(bit)), bit] -= 1
+        x.append(lm.inputs(c[:, 0], c[:, 1]).astype(float))
+    x = np.array(x)
+
+    def loss(w):
+        z = (np.asarray(w, float)[gate].T * x).sum(0)
+        return np.log1p(np.exp(z * (1 - 2 * bit))).sum()
+    w = np.full((lm.GATES, lm.INPUTS), 0.4)
+    start = loss(w)
+    for _ in range(lm.ROUNDS):
+        p = 1 / (1 + np.exp(-(w[gate].T * x).sum(0)))
+        for g in range(lm.GATES):
+            k = gate == g
+            h = (x[:, k] * (p[k] * (1 - p[k]) + 1e-6)) @ x[:, k].T
+            w[g] += np.linalg.solve(h + np.eye(lm.INPUTS) * 1e-2, x[:, k] @ (bit[k] - p[k])).clip(-1, 1)
+    assert loss(mixer.weights) - loss(w) < 0.02 * (start - loss(w))
+
+
 # -- fingerprints -------------------------------------------------------------
 
 def check_fingerprints(df):
