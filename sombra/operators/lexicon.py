@@ -28,7 +28,7 @@ from ..session import ship_package
 # A word, or anything else that is not white space: only white space may stand
 # between the tokens of one name.
 TOKEN = r"(?U)\p{L}[\p{L}\p{M}'’\-]*|[^\s\p{L}]+"
-CHUNK = 128
+CHUNK = 32
 
 
 def prefix_sums(lengths: Column) -> Column:
@@ -77,9 +77,6 @@ def name_hits(df: DataFrame, id_cols: list[str], text_col: str, lexicon: DataFra
     longest = words.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 0
     if not longest:
         return df.select(*id_cols, F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("start"), F.lit(0).alias("end")).limit(0)
-    toks = df.select(*id_cols, F.posexplode(tokens(F.col(text_col))).alias("at", "t"),)
-    toks = toks.select(*id_cols, "at", F.col("t.start").alias("start"), F.col("t.end").alias("end"),
-                       normalize(F.col("t.value")).alias("w"))
     if longest > 1:
         row = df.select(*id_cols, tokens(F.col(text_col)).alias("ts"))
         row = row.withColumn("ws", F.transform("ts", lambda t: normalize(t["value"])))
@@ -90,10 +87,15 @@ def name_hits(df: DataFrame, id_cols: list[str], text_col: str, lexicon: DataFra
                                F.array_join(F.slice("ws", i, n), " ").alias("key")))))
         grams = row.select(*id_cols, F.inline(runs))
     else:
-        grams = toks.select(*id_cols, "at", F.lit(1).alias("n"), "start", "end", F.col("w").alias("key"))
-    found = grams.join(words, "key", "left_semi").select(*id_cols, "at", "n", "start", "end")
-    joins = toks.where(F.col("w").isin(P.NAME_PARTICLES)).select(*id_cols, "at", F.lit(0).alias("n"), "start", "end")
-    return found.unionByName(joins)
+        toks = df.select(*id_cols, F.posexplode(tokens(F.col(text_col))).alias("at", "t"))
+        grams = toks.select(*id_cols, "at", F.lit(1).alias("n"), F.col("t.start").alias("start"), F.col("t.end").alias("end"),
+                            normalize(F.col("t.value")).alias("key"))
+    # texts are cut once: a run may be a term, a particle (n = 0), or both
+    met = grams.join(words.withColumn("term", F.lit(True)), "key", "left")
+    kinds = F.array(F.when(F.col("term"), F.col("n")),
+                    F.when((F.col("n") == 1) & F.col("key").isin(P.NAME_PARTICLES), F.lit(0)))
+    return (met.select(*id_cols, "at", F.explode(kinds).alias("kind"), "start", "end").where("kind is not null")
+            .select(*id_cols, "at", F.col("kind").alias("n"), "start", "end"))
 
 
 def recognise_names(df: DataFrame, id_cols: list[str], text_col: str, lexicon: DataFrame,
