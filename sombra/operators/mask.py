@@ -208,6 +208,7 @@ def mask_cell(c: Column, policy: str, rules: MaskRules, key: MaskKey,
 
 
 STAGED = "__sombra_texts"
+TEXTS_PER_TASK = 2_000
 _ARRAYS: dict[tuple, Column] = {}
 
 
@@ -233,6 +234,10 @@ def mask_with_verdicts(df: DataFrame, id_col: str, text_col: str, verdicts: Data
     if key is None:
         raise ValueError("a MaskKey is required")
     terms = N.approved_row_terms(df, id_col, text_col, verdicts)
+    # dealt by rows: texts are masked in the tasks of the join, and partitions
+    # that are merged by their size alone would mask too many in one task
+    tasks = -(-df.count() // TEXTS_PER_TASK)
+    df = df.repartition(tasks, id_col) if tasks > 1 else df
     none = F.array().cast("array<string>")
     joined = df.join(terms, id_col, "left").withColumn("_terms", F.coalesce("_terms", none))
     return joined.select(*[mask_text(F.col(c), rules, key, F.col("_terms")).alias(c) if c == text_col else F.col(f"`{c}`")
