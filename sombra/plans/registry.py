@@ -48,6 +48,17 @@ def heavy(spark: SparkSession, sf_dir: str, name: str, key: str, cols: list[str]
     return df.select(*cols) if cols else df
 
 
+ROWS_PER_TASK = 20_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, of a few short columns, dealt evenly over tasks of
+    ``ROWS_PER_TASK`` rows: a file of short rows is one split, or one row group,
+    however many rows it holds.  Rows are counted from the files' footers."""
+    n = -(-df.count() // ROWS_PER_TASK)
+    return df.repartition(n) if n > 1 else df
+
+
 # ---------------------------------------------------------------------------
 # Detectors (D1-D10): every match of one detector, before overlap resolution
 # ---------------------------------------------------------------------------
@@ -93,14 +104,14 @@ def coord_source(k: Column) -> Column:
 
 
 def seed_customer(spark, sf_dir) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
     return c.select("c_custkey", normalize(F.col("c_name")).alias("norm"),
                     S.digest(F.col("c_name"), "PER", DEMO_KEY).alias("seed_hex"))
 
 
 def _mask_values(tag: str, source: Callable[[Column], Column]):
     def q(spark, sf_dir):
-        c = table(spark, sf_dir, "customer")
+        c = spread(table(spark, sf_dir, "customer").select("c_custkey"))
         src = source(F.col("c_custkey"))
         return c.select("c_custkey", src.alias("src"),
                         S.surrogate_for(tag, src, DEMO_KEY).alias("masked"))
@@ -129,16 +140,16 @@ def mask_shapes(spark, sf_dir) -> DataFrame:
     """M8-M13 on values of their own shape: source and mask of every type."""
     src = shaped_sources(F.col("c_custkey"))
     cols = [x for t, c in src.items() for x in (c.alias(f"src_{t}"), S.surrogate_for(t, c, DEMO_KEY).alias(f"masked_{t}"))]
-    return table(spark, sf_dir, "customer").select("c_custkey", *cols)
+    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", *cols)
 
 
 def mask_person(spark, sf_dir) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
     return c.select("c_custkey", S.surrogate_for("PER", F.col("c_name"), DEMO_KEY).alias("masked"))
 
 
 def jitter_coord(spark, sf_dir) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey"))
     src = coord_source(F.col("o_orderkey"))
     return o.select("o_orderkey", src.alias("src"),
                     S.surrogate_for("COORD", src, DEMO_KEY).alias("masked"))
@@ -147,8 +158,8 @@ def jitter_coord(spark, sf_dir) -> DataFrame:
 def masked_join(spark, sf_dir) -> DataFrame:
     """Join customer and orders on masked keys; per segment counts equal
     the unmasked join's."""
-    c = heavy(spark, sf_dir, "customer", "c_custkey")
-    o = heavy(spark, sf_dir, "orders", "o_orderkey")
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"))
+    o = spread(table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice"))
     mc = S.add_surrogates(c.filter(F.col("c_custkey").isNotNull())
                            .select(cpf_source(F.col("c_custkey")).alias("k"), "c_mktsegment"),
                           {"k": ("CPF", "k")}, DEMO_KEY, non_null=True)
@@ -241,7 +252,7 @@ def mask_documents_verdict(spark, sf_dir) -> DataFrame:
 
 def mask_collisions(spark, sf_dir) -> DataFrame:
     """Distinct keys and distinct masks of the join-key types."""
-    src = table(spark, sf_dir, "orders").select(cpf_source(F.col("o_orderkey")).alias("CPF"),
+    src = spread(table(spark, sf_dir, "orders").select("o_orderkey")).select(cpf_source(F.col("o_orderkey")).alias("CPF"),
                                                 F.concat(F.lit("u"), F.col("o_orderkey"), F.lit("@example.com")).alias("EMAIL"))
     both = S.add_surrogates(src, {"m_CPF": ("CPF", "CPF"), "m_EMAIL": ("EMAIL", "EMAIL")}, DEMO_KEY)
     pairs = both.select(F.inline(F.array(*[F.struct(F.lit(t).alias("type"), F.col(t).alias("k"), F.col(f"m_{t}").alias("m"))
@@ -367,13 +378,13 @@ def mask_identities(spark, sf_dir) -> DataFrame:
     dates and segments stay."""
     src = identity_table(spark, sf_dir).drop("posicao")
     pol = C.policy_map(C.classify_columns(src, table="customer"), "customer")
-    return mask_table(src, pol, MaskRules(), DEMO_KEY)
+    return mask_table(spread(src), pol, MaskRules(), DEMO_KEY)
 
 
 def mask_customer(spark, sf_dir) -> DataFrame:
     c = heavy(spark, sf_dir, "customer", "c_custkey")
     pol = C.policy_map(C.classify_columns(c, table="customer"))
-    return mask_table(c, pol, MaskRules(), DEMO_KEY)
+    return mask_table(spread(c), pol, MaskRules(), DEMO_KEY)
 
 
 # ---------------------------------------------------------------------------
@@ -470,7 +481,7 @@ def audit_identities(spark, sf_dir) -> DataFrame:
     text = F.when(k % 10 == 0, F.lit("  ")).otherwise(F.concat(
         F.lit("Corpo de "), named_person(k), F.lit(". CPF "), cpf_source(k), F.lit("; fim.")))
     # strict: 17 letters in a row ("de Renata de Andrade") are no vehicle number
-    return A.audit_summary(table(spark, sf_dir, "customer").select(text.alias("text")), "text", MaskRules(strict=True), DEMO_KEY)
+    return A.audit_summary(spread(table(spark, sf_dir, "customer").select("c_custkey")).select(text.alias("text")), "text", MaskRules(strict=True), DEMO_KEY)
 
 
 def audit_by_type(spark, sf_dir) -> DataFrame:
@@ -492,7 +503,7 @@ def mask_orders_cpf(spark, sf_dir) -> DataFrame:
     """D24 with direct-swap policies: each order carries its customer's CPF
     (derived from the key); ``mask_table`` swaps it by policy, keeps the
     status as is (IGNORAR) and leaves non-string columns untouched."""
-    o = heavy(spark, sf_dir, "orders", "o_orderkey")
+    o = spread(heavy(spark, sf_dir, "orders", "o_orderkey"))
     src = o.withColumn("cpf", cpf_source(F.col("o_custkey")))
     return mask_table(src, {"cpf": "CPF", "o_orderstatus": "IGNORAR", "o_orderpriority": "IGNORAR"}, MaskRules(), DEMO_KEY)
 
