@@ -49,6 +49,7 @@ def heavy(spark: SparkSession, sf_dir: str, name: str, key: str, cols: list[str]
 
 
 ROWS_PER_TASK = 20_000
+KEYS_PER_TASK = 200_000         # at most: of distinct ones there are fewer
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -421,8 +422,16 @@ def fk_orphans_masked(spark, sf_dir) -> DataFrame:
     """J6 + J7 on masked keys, one of two columns: orders whose customer has no
     account balance above zero, documents without labels, and (part, supplier)
     pairs that no first line of an order holds.  lineitem is read once as child."""
-    mask = lambda df, cols: S.add_surrogates(df.select(*[cpf_source(F.col(c)).alias(c) for c in cols]),
-                                             {c: ("CPF", c) for c in cols}, DEMO_KEY)
+    def mask(df: DataFrame, cols: list[str]) -> DataFrame:
+        # a mask hangs on its key alone: each key is masked once, its mask joined to all rows that hold it
+        tasks = -(-df.count() // KEYS_PER_TASK)
+        rows = df.select(*cols)
+        for c in cols:
+            keys = rows.select(F.col(c).alias("_key")).where("_key is not null").distinct().repartition(max(1, tasks))
+            masks = S.add_surrogates(keys.select("_key", cpf_source(F.col("_key")).alias("_mask")), {"_mask": ("CPF", "_mask")}, DEMO_KEY)
+            rows = rows.join(masks, F.col(c) == F.col("_key"), "left").withColumn(c, F.col("_mask")).drop("_key", "_mask")
+        return rows
+
     line = table(spark, sf_dir, "lineitem")
     frames = {"orders": mask(table(spark, sf_dir, "orders"), ["o_custkey"]),
               "solvent": mask(table(spark, sf_dir, "customer").where("c_acctbal > 0"), ["c_custkey"]),
