@@ -98,15 +98,17 @@ def array_bytes(b: Column):
 
 def byte_array(h: Column) -> Column:
     """The 32 digest bytes as array<int>, decoded once: five 7-byte chunks are
-    parsed as integers and the bytes shifted out of them."""
-    chunks = F.array(*[F.conv(F.rpad(F.substring(h, 14 * j + 1, 14), 14, "0"), 16, 10).cast("bigint")
-                       for j in range(5)])
+    parsed as integers and the bytes shifted out of them.  The digest is bound
+    first: each chunk would compute it again."""
+    def chunks(d: Column) -> Column:
+        return F.array(*[F.conv(F.rpad(F.substring(d, 14 * j + 1, 14), 14, "0"), 16, 10).cast("bigint")
+                         for j in range(5)])
 
     def split(c: Column) -> Column:
         return F.array(*[F.shiftright(F.element_at(c, k // 7 + 1), 8 * (6 - k % 7))
                          .bitwiseAND(F.lit(255)).cast("int") for k in range(32)])
 
-    return let(chunks, split)
+    return let(h, lambda d: let(chunks(d), split))
 
 
 def _word(byte, k) -> Column:
@@ -314,12 +316,13 @@ def surrogate_any(tag: Column, value: Column, key: MaskKey, tags: list[str]) ->
     return let(clean_value(value), with_value)
 
 
-def add_surrogates(df, specs: dict, key: MaskKey, non_null: bool = False):
+def add_surrogates(df, specs: dict, key: MaskKey, non_null: bool = False, keep_blank: bool = True):
     """Codegen path for top-level columns: ``specs`` maps an output column to
     (tag, input column).  The cleaned value and its digest are computed in one
     projection and the fakes read them in the next; Catalyst keeps the two
     apart because the digest is expensive and read many times, so no lambda
-    (interpreted) evaluation is needed.  Blank inputs stay as they are.
+    (interpreted) evaluation is needed.  Blank inputs stay as they are, or, unless
+    ``keep_blank``, get what :func:`surrogate_for` gives them.
     """
     from .text import is_blank
     tmp = {}
@@ -335,8 +338,10 @@ def add_surrogates(df, specs: dict, key: MaskKey, non_null: bool = False):
         fake = _fake(family(tag), hex_bytes(F.col(h)), F.col(v), key)
         if non_null:
             fake = F.coalesce(fake, F.lit(""))
-        else:
+        elif keep_blank:
             fake = F.when(is_blank(F.col(f"`{src}`")), F.col(f"`{src}`")).otherwise(fake)
+        elif family(tag) != "IP":      # whose four null bytes are the empty text
+            fake = F.when(F.col(f"`{src}`").isNotNull(), fake)
         outs[out] = fake
     cols = [outs[c].alias(c) if c in outs else F.col(f"`{c}`") for c in df.columns]
     cols += [outs[c].alias(c) for c in outs if c not in df.columns]

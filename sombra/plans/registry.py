@@ -113,9 +113,8 @@ def seed_customer(spark, sf_dir) -> DataFrame:
 def _mask_values(tag: str, source: Callable[[Column], Column]):
     def q(spark, sf_dir):
         c = spread(table(spark, sf_dir, "customer").select("c_custkey"))
-        src = source(F.col("c_custkey"))
-        return c.select("c_custkey", src.alias("src"),
-                        S.surrogate_for(tag, src, DEMO_KEY).alias("masked"))
+        src = c.select("c_custkey", source(F.col("c_custkey")).alias("src"))
+        return S.add_surrogates(src, {"masked": (tag, "src")}, DEMO_KEY, keep_blank=False)
     return q
 
 
@@ -140,20 +139,21 @@ def shaped_sources(k: Column) -> dict[str, Column]:
 def mask_shapes(spark, sf_dir) -> DataFrame:
     """M8-M13 on values of their own shape: source and mask of every type."""
     src = shaped_sources(F.col("c_custkey"))
-    cols = [x for t, c in src.items() for x in (c.alias(f"src_{t}"), S.surrogate_for(t, c, DEMO_KEY).alias(f"masked_{t}"))]
-    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", *cols)
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey"))
+    both = S.add_surrogates(c.select("c_custkey", *[x.alias(f"src_{t}") for t, x in src.items()]),
+                            {f"masked_{t}": (t, f"src_{t}") for t in src}, DEMO_KEY, keep_blank=False)
+    return both.select("c_custkey", *[x for t in src for x in (f"src_{t}", f"masked_{t}")])
 
 
 def mask_person(spark, sf_dir) -> DataFrame:
     c = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
-    return c.select("c_custkey", S.surrogate_for("PER", F.col("c_name"), DEMO_KEY).alias("masked"))
+    return S.add_surrogates(c, {"masked": ("PER", "c_name")}, DEMO_KEY, keep_blank=False).select("c_custkey", "masked")
 
 
 def jitter_coord(spark, sf_dir) -> DataFrame:
     o = spread(table(spark, sf_dir, "orders").select("o_orderkey"))
-    src = coord_source(F.col("o_orderkey"))
-    return o.select("o_orderkey", src.alias("src"),
-                    S.surrogate_for("COORD", src, DEMO_KEY).alias("masked"))
+    src = o.select("o_orderkey", coord_source(F.col("o_orderkey")).alias("src"))
+    return S.add_surrogates(src, {"masked": ("COORD", "src")}, DEMO_KEY, keep_blank=False)
 
 
 def masked_join(spark, sf_dir) -> DataFrame:

@@ -33,6 +33,27 @@ def test_masks_of_one_row_group_take_several_tasks(spark, one_split, monkeypatch
     assert "RoundRobinPartitioning(3)" in plan(dealt) and sorted(map(str, dealt.collect())) == before
 
 
+@pytest.mark.parametrize("name", ["mask_ipv4", "mask_phone", "mask_rg", "mask_plate", "mask_vin", "mask_email", "mask_word",
+                                  "mask_person", "jitter_coord"])
+def test_a_value_is_digested_once(spark, one_split, tmp_path, name):
+    """One HMAC (two hashes) a row, by the columns' own expressions."""
+    spark.createDataFrame([(7,), (None,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    q = R.QUERIES[name](spark, str(tmp_path) if name == "jitter_coord" else one_split)
+    assert plan(q).count("sha2(") == 2
+
+
+def test_digest_bytes_are_cut_from_one_digest(spark, key):
+    df = spark.createDataFrame([("1.2.3.4",), (None,), (" ",)], "v string")
+    assert plan(df.select(S.surrogate_for("IP", F.col("v"), key).alias("m"))).count("sha2(") == 2
+
+
+@pytest.mark.parametrize("tag", [*S.MASKABLE_TYPES, "OTHER"])
+def test_column_path_gives_blanks_what_the_expression_gives(spark, key, tag):
+    df = spark.createDataFrame([("x",), ("12.345.678-9",), ("-25.4284,-49.2733",), (None,), ("",), (" ",)], "v string")
+    got = S.add_surrogates(df, {"m": (tag, "v")}, key, keep_blank=False).collect()
+    assert got == df.select("v", S.surrogate_for(tag, F.col("v"), key).alias("m")).collect()
+
+
 def test_verdict_masks_are_dealt_by_texts(spark, key, monkeypatch):
     from sombra.operators import mask as M
     monkeypatch.setattr(M, "TEXTS_PER_TASK", 10)
