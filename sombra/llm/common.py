@@ -57,11 +57,39 @@ def release(*tables: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_CACHES: dict[str, dict] = {}       # module -> what its functions keep in this Python worker
+
+
+def worker_cache(module: str) -> dict:
+    """The cache that ``module`` keeps in a Python worker from task to task."""
+    return _CACHES.setdefault(module, {})
+
+
+def forget_others(module: str) -> None:
+    """Empty the caches of all modules but ``module``: a worker outlives the
+    operator it worked for, and would hold that one's memos beside the next's."""
+    for name, cache in _CACHES.items():
+        if name != module:
+            cache.clear()
+
+
+def lean(fn: Callable) -> Callable:
+    """``fn`` in a worker without other operators' caches, which gives Arrow's
+    unused buffers back when it ends."""
+    module = fn.__module__
+
+    def run(batches):
+        forget_others(module)
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+    return run
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with this package made importable on the executors."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(lean(fn), schema)
 
 
 def id_text(id_col: str = "doc_id", text_col: str = "text") -> list:

@@ -41,7 +41,7 @@ from .graph import components
 
 SKETCH_ROWS, SKETCH_BITS, SKETCH_CHUNK = 2, 19, 1 << 14
 BLOCK = 2048          # members of an index list read together
-STAR = 4096           # members of a leader verified under one key
+STAR = 256            # members of a leader verified under one key
 FILTER_BITS = 24
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, id_text, map_arrow, slices, text_bytes, word_hashes, word_spans
+from .common import LOWER, id_text, map_arrow, slices, text_bytes, word_hashes, word_spans, worker_cache
 
 ORDER, DECAY, FLOOR = 3, 0.6, 0.25
 LANDMARKS = 40
@@ -224,7 +224,7 @@ class Reader:
         return [rows[cut[i]:cut[i + 1]] for i in range(len(texts))]
 
 
-_READERS: dict[tuple, Reader] = {}
+_READERS: dict[tuple, Reader] = worker_cache(__name__)
 
 
 def reader(landmarks: list[str]) -> Reader:

@@ -132,3 +132,18 @@ def test_lists_of_one_member_are_dropped_across_batches(spark):
         assert jaccard.shared_lists(df.limit(0)).collect() == []
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_members_of_a_large_leader_are_dealt_to_several_tasks(spark, monkeypatch):
+    from sombra.llm import jaccard
+    words = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join([*words, f"own{k}"])) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seats = []
+    real = jaccard.class_sets
+    monkeypatch.setattr(jaccard, "class_sets", lambda d, wanted, k: seats.append(wanted) or real(d, wanted, k))
+    out = jaccard.jaccard_components(docs).collect()
+    assert {r.component_id for r in out} == {0} and len(out) == 300
+    inlined = seats[0].selectExpr("inline(seats)")
+    assert inlined.groupBy("key").agg({"salt": "max"}).collect()[0][1] >= 1
+    assert inlined.where("role = 1").groupBy("key", "salt").count().agg({"count": "max"}).first()[0] <= 256

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from sombra.llm import jaccard, pii, toxicity
+from sombra.llm import common, jaccard, pii, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +48,12 @@ def test_stages_on_odd_rows_and_an_empty_table(spark, odd_docs, no_docs):
         assert stage(spark, no_docs, SF).collect() == [], name
     slim = odd_docs.select("doc_id", "text")
     assert corpus_pipeline.STAGES[2][1](spark, slim, SF).columns == ["doc_id", "text"]
+
+
+def test_a_worker_drops_the_memos_of_other_operators():
+    toxicity.reader(["abc"])
+    own = lambda batches: batches
+    own.__module__ = toxicity.__name__
+    assert list(common.lean(own)([])) == [] and toxicity._READERS
+    own.__module__ = jaccard.__name__
+    assert list(common.lean(own)([1, 2])) == [1, 2] and not toxicity._READERS
