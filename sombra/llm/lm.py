@@ -24,23 +24,25 @@ words are joined to the table.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_arrow, materialise
+from .common import id_text, map_arrow, materialise, slices
 
 VOCAB = 1 << 17
 SLOT_BITS = 18
 CHUNK = 1 << 12
-ROWS = 500               # texts cut into words together in a task
+SLICE = 8 << 20          # bytes of texts cut into words together in a task
+WORDS = 150_000          # words whose bits are counted together
+DISTINCT = 300_000       # words a task counts before it hands them on
 GATHER = 2_000_000       # words (or one text) scored together
 LANES = 256              # texts of like length read side by side
-SOME = 4_000             # symbols whose bits are looked up at once: they stay in the cache
+SOME = 16_000            # symbols whose bits are looked up at once: they stay in the cache
 RATE = 0.06
 BLOCK = 16               # symbols of a text read between two weight updates
 ROUNDS = 4               # Newton steps for the starting weights
@@ -91,11 +93,14 @@ class Code:
         self.bits = np.array(bits, np.uint8)
         self.off = np.array(off, np.int64)
         self.lens = np.diff(self.off)
-        self.sign = np.float32(1) - 2 * self.bits.astype(np.float32)          # -1 for a one
+        self.steps = 2 * self.nodes + self.bits                   # node and bit in one number
+        self.deep = self.lens.astype(np.uint8 if self.lens.max() < 256 else np.int64)
         depth = np.arange(len(nodes)) - np.repeat(self.off[:-1], self.lens)
+        self.sign = np.array([1, -1], np.float32)
         self.gate = np.minimum(depth, GATES - 1).astype(np.uint8)
         self.ending = np.array([int.from_bytes(w[-2:], "little") + (len(w) == 0) * 65536 for w in words] + [65537], np.int64)
-        self.index = {w: i for i, w in enumerate(words)}
+        self.known = pa.array(words, pa.binary())
+        self.end = words.index(b"") if b"" in words else self.escape
         # lengths of a complete code of bytes and a stop, for unseen words
         spell = np.ones(257, np.int64)
         spell[:256] += np.bincount(np.frombuffer(b"".join(words), np.uint8), minlength=256)
@@ -108,24 +113,41 @@ class Code:
                 self.spelling[leaf] += 1
                 x = tree[x][0]
 
-    def spelt(self, words: list[bytes]) -> np.ndarray:
+    def spelt(self, words: pa.Array) -> np.ndarray:
         """Bits of each word's bytes and its stop."""
-        if not words:
+        if not len(words):
             return np.empty(0, np.int64)
-        lens = np.array([len(w) for w in words])
-        cost = self.spelling[np.frombuffer(b"".join(words), np.uint8)]
-        return np.add.reduceat(cost, np.cumsum(lens) - lens) + self.spelling[256]
+        off = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
+        cost = self.spelling[np.frombuffer(words.buffers()[2], np.uint8)[off[0]:off[-1]]]
+        return np.add.reduceat(cost, off[:-1] - off[0]) + self.spelling[256]
 
 
-class Stream:
-    """Symbols and contexts of a batch of texts (lists of lower-cased words)."""
+def split(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts one after another, words per text) of a string
+    column, lower-cased (Arrow's ASCII functions know the six white space bytes
+    and A-Z, which is the definition)."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(col))
+    words = parts.flatten()
+    some = pc.greater(pc.binary_length(words), 0)            # white space at a text's ends leaves empty words
+    lens = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(lens)), lens)[some.to_numpy(zero_copy_only=False)]
+    return words.filter(some).cast(pa.binary()), np.bincount(row, minlength=len(lens))
+
 
-    def __init__(self, code: Code, texts: list[list[bytes]]):
-        flat = list(chain.from_iterable(chain.from_iterable(zip(texts, repeat((b"",))))))
-        ids = np.fromiter(map(code.index.get, flat, repeat(code.escape)), np.int64, len(flat))
-        self.place(code, ids, np.array([len(t) + 1 for t in texts], np.int64))
-        out = np.flatnonzero(ids == code.escape)
-        self.unknown, self.unknown_doc = [flat[i] for i in out.tolist()], self.doc[out]
+class Stream:
+    """Symbols and contexts of a batch of texts (lists of lower-cased words, or
+    all words one after another and their number per text)."""
+
+    def __init__(self, code: Code, texts: list[list[bytes]] | pa.Array, lens: np.ndarray | None = None):
+        if lens is None:
+            lens = np.array([len(t) for t in texts], np.int64)
+            texts = pa.array(chain.from_iterable(texts), pa.binary())
+        at = np.arange(len(texts)) + np.repeat(np.arange(len(lens)), lens)      # an end follows each text
+        ids = np.full(len(texts) + len(lens), code.end, np.int64)
+        ids[at] = pc.fill_null(pc.index_in(texts, value_set=code.known), code.escape).to_numpy()
+        self.place(code, ids, lens + 1)
+        out = np.flatnonzero(ids[at] == code.escape)
+        self.unknown, self.unknown_doc = texts.take(pa.array(out)), self.doc[at[out]]
 
     @classmethod
     def of(cls, code: Code, ids: np.ndarray, lens: np.ndarray) -> "Stream":
@@ -166,32 +188,34 @@ class Stream:
         return node, slots(np.repeat(self.x1[at], n), node), slots(np.repeat(self.x2[at], n), node)
 
 
-def slots(ctx: np.ndarray, node: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = node.astype(np.uint64)
-        h += np.uint64(1)
-        h ^= ctx
-        h *= _B
-    h >>= np.uint64(64 - SLOT_BITS)
-    return h.view(np.int64)
+    def by_depth(self, code: Code, at):
+        """Symbols ``at`` by the length of their code, the longest first, so
+        that those that reach a depth are the first ones: (their order, how many
+        reach each depth, where their paths begin, their two contexts)."""
+        s = self.ids[at]
+        n = code.deep[s]
+        order = np.argsort(n, kind="stable")[::-1]
+        many = (len(s) - np.cumsum(np.bincount(n)))[:-1].tolist()
+        return order, many, code.off[s[order]], self.x1[at][order], self.x2[at][order]
 
+    def layers(self, code: Code, at):
+        """Per depth of the code, (depth, steps of the symbols ``at`` that reach
+        so far, their two contexts)."""
+        _, many, off, x1, x2 = self.by_depth(code, at)
+        for depth, m in enumerate(many):
+            yield depth, code.steps.take(off[:m] + depth), x1[:m], x2[:m]
 
-def split(raw: bytes) -> list[bytes]:
-    """Words of the lower-cased text (bytes.lower and bytes.split know ASCII
-    only, which is the definition)."""
-    return raw.lower().split()
+
+def slots(ctx: np.ndarray, node: np.ndarray) -> np.ndarray:
+    return mixed(ctx, node.astype(np.uint64))
 
 
-def groups(texts: list[list[bytes]], most: int = 150_000):
-    """Row ranges of about ``most`` words (one row at least)."""
-    lo, n = 0, 0
-    for i, t in enumerate(texts):
-        n += len(t) + 1
-        if n >= most:
-            yield lo, i + 1
-            lo, n = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+def mixed(ctx: np.ndarray, node: np.ndarray) -> np.ndarray:
+    h = node + np.uint64(1)
+    h ^= ctx
+    h *= _B
+    h >>= np.uint64(64 - SLOT_BITS)
+    return h.view(np.int64)
 
 
 # ---------------------------------------------------------------------------
@@ -205,21 +229,26 @@ def held_out(id_col: str = "doc_id"):
 def word_counts(train: DataFrame) -> DataFrame:
     """(word binary, c) over all training texts; b"" is the end."""
     def run(batches):
-        seen: Counter = Counter()
-
-        def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())],
-                                               names=["word", "c"])
-            seen.clear()
-            return batch
+        held, rows, size = [], 0, 0
         for b in batches:
-            for t in b.column("text").cast(pa.binary()).to_pylist():
-                seen.update(split(t))
-                seen[b""] += 1
-                if len(seen) > 300_000:
-                    yield flush()
-        if seen:
-            yield flush()
+            col = b.column("text")
+            for lo, hi in slices(col, SLICE):
+                found = pc.value_counts(split(col.slice(lo, hi - lo))[0])
+                held.append(pa.table([found.field("values"), found.field("counts")], ["word", "c"]))
+                held.append(pa.table([pa.array([b""], pa.binary()), pa.array([hi - lo], pa.int64())], ["word", "c"]))
+                rows, size = rows + len(found) + 1, size + found.nbytes
+                if rows > 2 * DISTINCT or size > 4 * SLICE:
+                    held = [added(held)]
+                    rows, size = len(held[0]), held[0].nbytes
+                    if rows > DISTINCT or size > 2 * SLICE:
+                        yield from held[0].to_batches()
+                        held, rows, size = [], 0, 0
+        if held:
+            yield from added(held).to_batches()
+
+    def added(held):
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).select(
+            ["word", "c_sum"]).rename_columns(["word", "c"])
     return map_arrow(train.select("text"), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
@@ -247,38 +276,45 @@ def table_size(code: Code) -> int:
 
 def count_bits(code: Code, texts: list[list[bytes]], table: np.ndarray) -> None:
     """Add the bits of texts to a flat (context cell, bit) count table."""
-    for lo, hi in groups(texts):
-        st = Stream(code, texts[lo:hi])
-        size = 1 << SLOT_BITS
-        # of the node alone only how often each symbol comes matters
-        often = np.bincount(st.ids, minlength=code.v + 1)
-        there = np.flatnonzero(often)
-        pos = np.repeat(code.off[there] - (np.cumsum(code.lens[there]) - code.lens[there]), code.lens[there])
-        pos += np.arange(len(pos))
-        got = np.bincount(2 * code.nodes[pos].astype(np.int64) + code.bits[pos], np.repeat(often[there], code.lens[there]), 2 * code.n_nodes)
-        table[:2 * code.n_nodes] += got.astype(table.dtype)
-        keys = [[], []]
-        for i in range(0, len(st.ids), SOME):
-            at = np.arange(i, min(i + SOME, len(st.ids)))
-            pos, n = st.paths(code, at)
-            bit = code.bits[pos]
-            for key, cell in zip(keys, st.cells(code, at, pos, n)[1:], strict=True):
-                key.append((2 * cell + bit).astype(np.int32))
+    count_symbols(code, Stream(code, texts), table)
+
+
+def count_symbols(code: Code, st: Stream, table: np.ndarray) -> None:
+    size = 1 << SLOT_BITS
+    # of the node alone only how often each symbol comes matters
+    often = np.bincount(st.ids, minlength=code.v + 1)
+    there = np.flatnonzero(often)
+    pos = np.repeat(code.off[there] - (np.cumsum(code.lens[there]) - code.lens[there]), code.lens[there])
+    pos += np.arange(len(pos))
+    got = np.bincount(code.steps[pos], np.repeat(often[there], code.lens[there]), 2 * code.n_nodes)
+    table[:2 * code.n_nodes] += got.astype(table.dtype)
+    for lo in range(0, len(st.ids), WORDS):
+        hi, k = min(lo + WORDS, len(st.ids)), 0
+        keys = np.empty((2, code.lens[st.ids[lo:hi]].sum()), np.int64)
+        for i in range(lo, hi, SOME):
+            for _, step, *contexts in st.layers(code, slice(i, min(i + SOME, hi))):
+                step = step.astype(np.int64)
+                node, bit = (step >> 1).view(np.uint64), step & 1
+                for key, ctx in zip(keys, contexts, strict=True):
+                    cell = mixed(ctx, node)
+                    cell <<= 1
+                    np.add(cell, bit, out=key[k:k + len(step)])
+                k += len(step)
         for key, base in zip(keys, (code.n_nodes, code.n_nodes + size), strict=True):
-            got = np.bincount(np.concatenate(key), minlength=2 * size)
-            table[2 * base:2 * (base + size)] += got.astype(table.dtype)
+            table[2 * base:2 * (base + size)] += np.bincount(key, minlength=2 * size).astype(table.dtype)
 
 
 def summed(train: DataFrame, size: int, add, begin, kind=np.uint32) -> np.ndarray:
     """Whole-number tables of ``size`` cells over all training texts, added up:
-    ``add(begin(), texts, table)`` adds texts to a task's table, then its
-    chunks are summed; what moves does not depend on the input's size."""
+    ``add(state, stream, table)`` adds texts to a task's table, then its
+    chunks are summed; what moves does not depend on the input's size.
+    ``begin()`` gives the code and the state."""
     def local(batches):
-        state, table = begin(), np.zeros(size, kind)
+        (code, state), table = begin(), np.zeros(size, kind)
         for b in batches:
-            raw = b.column("text").cast(pa.binary())
-            for lo in range(0, len(raw), ROWS):
-                add(state, [split(t) for t in raw[lo:lo + ROWS].to_pylist()], table)
+            col = b.column("text")
+            for i, j in slices(col, SLICE):
+                add(state, Stream(code, *split(col.slice(i, j - i))), table)
         flat = table.reshape(-1, CHUNK)
         keep = np.flatnonzero(flat.any(1))
         if len(keep):
@@ -304,7 +340,7 @@ def summed(train: DataFrame, size: int, add, begin, kind=np.uint32) -> np.ndarra
 def bit_counts(train: DataFrame, shared) -> np.ndarray:
     """The count table over all training texts; its size does not depend on the
     input."""
-    return summed(train, table_size(shared.value), count_bits, lambda: shared.value).astype(np.float32)
+    return summed(train, table_size(shared.value), count_symbols, lambda: (shared.value,) * 2).astype(np.float32)
 
 
 def inputs(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -355,33 +391,44 @@ class Mixer:
             first = np.cumsum(n) - n
             at = np.repeat(left[:m] - first, n) + np.arange(n.sum())
             left[:m] += n
-            pos, width = stream.paths(code, at)
-            if not len(pos):            # a code of one symbol has no bits
+            rank, many, begin, x1, x2 = stream.by_depth(code, at)
+            if not many:                # a code of one symbol has no bits
                 continue
-            node, s1, s2 = stream.cells(code, at, pos, width)
-            x = self.x0[node], self.xs[0][s1], self.xs[1][s2]
-            sign, gate = code.sign[pos], code.gate[pos].astype(np.int64)
-            bits = np.add.reduceat(width, first)
-            lg, size = np.repeat(np.arange(0, m * GATES, GATES), bits) + gate, m * GATES
-            z = w[0][:m].ravel()[lg] * x[0]
+            # bits stand by depth, those of a text in one order in any batch
+            text = np.repeat(np.arange(0, m * GATES, GATES), n)[rank]
+            step = code.steps.take(np.concatenate([begin[:k] + d for d, k in enumerate(many)])).astype(np.int64)
+            lg = np.concatenate([text[:k] + min(d, GATES - 1) for d, k in enumerate(many)])
+            gate = np.repeat(np.minimum(np.arange(len(many)), GATES - 1) * 33, many)
+            size, node = m * GATES, step >> 1
+            step &= 1
+            sign = code.sign.take(step)
+            x = [self.x0.take(node)]
+            node = node.view(np.uint64)
+            x += [self.xs[j].take(mixed(np.concatenate([c[:k] for k in many]), node)) for j, c in enumerate((x1, x2))]
+            z = w[0][:m].take(lg)
+            z *= x[0]
             for k in range(1, INPUTS):
-                z += w[k][:m].ravel()[lg] * x[k]
+                y = w[k][:m].take(lg)
+                y *= x[k]
+                z += y
             # average of the mixed prediction and the learned map of it
-            place = np.minimum(np.maximum(z, -edge), edge) * two + mid
-            gate *= 33
-            gate += place.astype(np.int32)
-            place *= self.by[gate]
-            place += self.at[gate]
+            place = np.maximum(z, -edge)
+            np.minimum(place, edge, out=place)
+            place *= two
+            place += mid
+            gate += place.astype(np.int64)
+            place *= self.by.take(gate)
+            place += self.at.take(gate)
             z *= half
             z += place
-            z += corr[:m].ravel()[lg]
+            z += corr[:m].take(lg)
             z *= sign
             e = np.exp(np.minimum(np.maximum(z, -far), far, out=z), out=z)
             odds = e + one
             err = e / odds
             err *= sign
             np.negative(err, out=err)                         # bit - prediction
-            cost[:m] += np.add.reduceat(np.log(odds, out=odds), np.cumsum(bits) - bits, dtype=np.float64)  # log(1 + e)
+            cost[:m] += np.bincount(lg, np.log(odds, out=odds), size).reshape(-1, GATES).sum(1)        # log(1 + e)
             seen = rate / np.sqrt(np.bincount(lg, minlength=size) + 1.0)
             for k in range(INPUTS):
                 w[k][:m] += (seen * np.bincount(lg, err * x[k], minlength=size)).astype(np.float32).reshape(-1, GATES)
@@ -428,27 +475,33 @@ class Fitter:
             self.means[k] = np.bincount(level, n * x.ravel(), LEVELS) / np.maximum(np.bincount(level, n, LEVELS), 1)
             place = INPUTS - 1 - k
             self.levels.append((level * (2 * LEVELS ** place)).astype(kinds[place]))
+        self.levels[0][1::2] += 1                       # the bit itself
 
-    def add(self, texts: list[list[bytes]], table: np.ndarray) -> None:
+    def add(self, st: Stream, table: np.ndarray) -> None:
         code = self.code
-        for lo, hi in groups(texts):
-            st = Stream(code, texts[lo:hi])
-            found = []
-            for i in range(0, len(st.ids), SOME):
-                at = np.arange(i, min(i + SOME, len(st.ids)))
-                pos, n = st.paths(code, at)
-                bit = code.bits[pos]
-                key = code.gate[pos] * np.int32(2 * LEVELS ** INPUTS) + bit
-                for level, cell in zip(self.levels, st.cells(code, at, pos, n), strict=True):
-                    key += level[2 * cell + bit]
-                found.append(key)
-            got = np.bincount(np.concatenate(found), minlength=len(table))
-            table += got.astype(table.dtype)
+        near, one, two = self.levels
+        for lo in range(0, len(st.ids), WORDS):
+            hi, k = min(lo + WORDS, len(st.ids)), 0
+            keys = np.empty(code.lens[st.ids[lo:hi]].sum(), np.int64)
+            for i in range(lo, hi, SOME):
+                for depth, step, x1, x2 in st.layers(code, slice(i, min(i + SOME, hi))):
+                    step = step.astype(np.int64)
+                    node, bit = (step >> 1).view(np.uint64), step & 1
+                    key = near.take(step)
+                    key += np.int32(min(depth, GATES - 1) * 2 * LEVELS ** INPUTS)
+                    for level, ctx in ((one, x1), (two, x2)):
+                        cell = mixed(ctx, node)
+                        cell <<= 1
+                        cell += bit
+                        key += level.take(cell)
+                    keys[k:k + len(key)] = key
+                    k += len(key)
+            table += np.bincount(keys, minlength=len(table)).astype(table.dtype)
 
 
 def bit_histogram(train: DataFrame, shared, table) -> np.ndarray:
     """A :class:`Fitter`'s counts over all training texts."""
-    return summed(train, Fitter.SIZE, Fitter.add, lambda: Fitter(shared.value, table.value), np.int64)
+    return summed(train, Fitter.SIZE, Fitter.add, lambda: (shared.value, Fitter(shared.value, table.value)), np.int64)
 
 
 def sums_at(histogram: np.ndarray, means: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -527,6 +580,17 @@ def score_texts(docs: DataFrame, vocab: int = VOCAB, id_col: str = "doc_id", tex
         has_end = n > 0
         held, words = [], 0
 
+        def rare_words(st):
+            """Per text its words outside the vocabulary, each once."""
+            seen = st.unknown.dictionary_encode()
+            kinds = max(1, len(seen.dictionary))
+            pairs, tf = np.unique(st.unknown_doc * kinds + seen.indices.to_numpy(), return_counts=True)
+            doc, word = pairs // kinds, pairs % kinds
+            each = pa.StructArray.from_arrays(
+                [seen.dictionary.take(pa.array(word)), pa.array(tf, pa.int64()), pa.array(code.spelt(seen.dictionary)[word], pa.int32())],
+                fields=list(rare.value_type))
+            return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(st.n_docs + 1)), pa.int32()), each)
+
         def finish():
             done = [np.concatenate(x) for x in zip(*(h[1:5] for h in held), strict=True)]
             ids, lens, base, known = done
@@ -537,18 +601,13 @@ def score_texts(docs: DataFrame, vocab: int = VOCAB, id_col: str = "doc_id", tex
                  pa.concat_arrays([h[5] for h in held])],
                 names=["doc_id", "held_out", "bytes", "n_tokens", "known", "logs", "words", "rare"])
 
-        for b in (x.slice(lo, ROWS) for x in batches for lo in range(0, x.num_rows, ROWS)):
-            texts = [split(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            for lo, hi in groups(texts):
-                st = Stream(code, texts[lo:hi])
+        for b in batches:
+            for lo, hi in slices(b.column("text"), SLICE):
+                st = Stream(code, *split(b.column("text").slice(lo, hi - lo)))
                 k = (st.ids < code.v).astype(float) if has_end else np.zeros(len(st.ids))
-                found = [{} for _ in range(hi - lo)]
-                for d, w, c in zip(st.unknown_doc.tolist(), st.unknown, code.spelt(st.unknown).tolist(), strict=True):
-                    found[d][w] = (found[d].get(w, (0,))[0] + 1, c)
                 held.append((b.select(["doc_id", "held_out", "bytes"]).slice(lo, hi - lo), st.ids.astype(np.int32), np.diff(st.off),
                              np.bincount(st.doc, logs[st.ids], minlength=hi - lo),
-                             np.bincount(st.doc, k, minlength=hi - lo).astype(np.int64),
-                             pa.array([[{"word": w, "tf": tf, "bits": c} for w, (tf, c) in x.items()] for x in found], rare)))
+                             np.bincount(st.doc, k, minlength=hi - lo).astype(np.int64), rare_words(st)))
                 words += len(st.ids)
                 if words >= GATHER:
                     yield finish()

@@ -193,6 +193,29 @@ def lm_mixer(texts):
     return code, table.astype(np.float32)
 
 
+def test_texts_are_cut_and_their_bits_found_many_at_once():
+    r = random.Random(8)
+    parts = ["Ab", "É", "c\u00a0d", "x\x1cy", "\x85", "zz", "w" * 300, " ", "\t", "\n\n", "\x0b", "\x0c", "\r", " "]
+    texts = ["", " ", "A", *("".join(r.choice(parts) for _ in range(r.randint(1, 40))) for _ in range(200))]
+    col = pa.array(["skipped by the slice", *texts])[1:]
+    words, lens = lm.split(col)
+    want = [split(t) for t in texts]
+    assert words.to_pylist() == [w for t in want for w in t] and lens.tolist() == [len(t) for t in want]
+
+    known = Counter(w for t in want for w in t).most_common(40)
+    code = lm.Code([*(w for w, _ in known), b""], [*(c for _, c in known), len(texts)], 10_000)
+    st = lm.Stream(code, words, lens)
+    number = {w: i for i, (w, _) in enumerate(known)}
+    assert st.ids.tolist() == [x for t in want for x in (*(number.get(w, code.escape) for w in t), code.end)]
+    assert st.unknown.to_pylist() == [w for t in want for w in t if w not in number]
+    # by depth, all symbols at once, as by symbol
+    pos, n = st.paths(code, np.arange(len(st.ids)))
+    by_symbol = [2 * code.nodes[pos].astype(int) + code.bits[pos], *st.cells(code, np.arange(len(st.ids)), pos, n)[1:]]
+    by_depth = [(step, lm.slots(x1, step >> 1), lm.slots(x2, step >> 1))
+                for _, step, x1, x2 in st.layers(code, slice(0, len(st.ids)))]
+    assert sorted(zip(*map(list, by_symbol), strict=True)) == sorted(x for d in by_depth for x in zip(*map(list, d), strict=True))
+
+
 def test_a_text_scores_the_same_in_any_batch():
     texts = lm_texts(80)
     code, table = lm_mixer(texts)
