@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, TOKENIZER, id_text, map_arrow, materialise, slices, text_bytes, tokenizer_path, word_hashes
+from .common import LOWER, TOKENIZER, id_text, map_arrow, materialise, slices, text_bytes, tokenizer_path
 
 END_ID = 1
 DIMS, BITS = 4, 8
@@ -122,9 +122,9 @@ class Ids:
 
     No pre-token of the vocabulary crosses white space and it ignores case, so
     a text's ids are those of its lower-cased pieces (:func:`piece_spans`), one
-    after another.  Pieces are told apart by vectorised hashes (checked
-    byte by byte), the library encodes each distinct one once, and a bounded
-    memo per Python worker keeps the encodings.  A text that may hold a special
+    after another.  Arrow numbers the distinct pieces of a few MB of text, the
+    library encodes each distinct one once, and a bounded memo per Python
+    worker keeps the encodings.  A text that may hold a special
     token (their case matters) goes to the library whole."""
 
     def __init__(self, path: str):
@@ -194,28 +194,28 @@ class Ids:
     def __call__(self, col: pa.Array) -> list[np.ndarray]:
         """Ids of each text of a string column, ``END_ID`` last."""
         out: list[np.ndarray] = []
-        for i, j in slices(col, 2 << 20):
+        for i, j in slices(col, 4 << 20):
             out += self._slice(*text_bytes(col, i, j))
         return out
 
     def _slice(self, buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         s, e, row = piece_spans(buf, off)
-        lens = e - s
-        low = LOWER[buf]
-        _, first, inv = np.unique(word_hashes(buf, s, e), return_index=True, return_inverse=True)
-        # equal hashes must be equal bytes
-        step = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
-        rep = first[inv]
-        if not (lens[rep] == lens).all() or not (low[np.repeat(s, lens) + step] == low[np.repeat(s[rep], lens) + step]).all():
-            return [self.whole(buf[off[r]:off[r + 1]].tobytes()) for r in range(len(off) - 1)]
-        raw = low.tobytes()
-        data, begin, size = self._ids_of([raw[a:b] for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)])
+        pieces = np.zeros(len(s) + 1, np.int64)
+        np.cumsum(e - s, out=pieces[1:])
+        # pieces leave out white space only
+        solid = LOWER[buf[~_SPACE[buf]]]
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(pieces), pa.py_buffer(solid)]).dictionary_encode()
+        data, begin, size = self._ids_of(found.dictionary.to_pylist())
+        inv = found.indices.to_numpy()
         width = size[inv]
         texts = len(off) - 1
+        stop = np.cumsum(width)
         ends = np.cumsum(np.bincount(row, width, minlength=texts).astype(np.int64) + 1)
-        flat = np.full(ends[-1], END_ID, self.kind)
-        within = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-        flat[np.repeat(np.cumsum(width) - width + row, width) + within] = data[np.repeat(begin[inv], width) + within]
+        at = np.repeat(begin[inv] - stop + width, width)
+        at += np.arange(len(at))
+        flat, inside = np.full(ends[-1], END_ID, self.kind), np.ones(ends[-1], bool)
+        inside[ends - 1] = False
+        flat[inside] = data[at]
         found = np.split(flat, ends[:-1])
         mark = np.flatnonzero((buf[:-1] == 60) & (buf[1:] == 124))        # "<|"
         for r in np.unique(np.searchsorted(off, mark, "right") - 1).tolist():

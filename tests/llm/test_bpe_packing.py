@@ -159,3 +159,16 @@ def test_pieces_cut_at_marks_give_the_library_ids(library, texts):
     ids = packing._LOADED.setdefault(PATH, None) or packing._LOADED.__setitem__(PATH, packing.Ids(PATH)) or packing._LOADED[PATH]
     for t, got in zip(texts, ids(pa.array(texts)), strict=True):
         assert got.tolist() == [*library.encode(t, add_special_tokens=False).ids, 1]
+
+
+def test_pieces_are_looked_up_once_for_megabytes_of_text(library, monkeypatch):
+    ids = packing.Ids(PATH)
+    seen, look_up = [], ids._ids_of
+    monkeypatch.setattr(ids, "_ids_of", lambda words: seen.append(words) or look_up(words))
+    texts = ["", "Naïve cafés, 12 of them. ", " \t\n", "It's <|x|> A-b " * 3, "", *(f"w{i % 700}x Y{i % 90}. " * 20 for i in range(12_000)), ""]
+    assert 2 << 20 < sum(map(len, texts)) < 4 << 20
+    col = pa.array(["not in the slice", *texts])[1:]
+    got = ids(col)
+    assert len(seen) == 1 and len(set(seen[0])) == len(seen[0]) < 2000
+    for k in (0, 1, 2, 3, 4, 5, 6, 700, 8000, len(texts) - 1):
+        assert got[k].tolist() == [*library.encode(texts[k], add_special_tokens=False).ids, 1]
